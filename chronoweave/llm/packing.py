@@ -122,11 +122,11 @@ def _price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.
     return float(best[room]), counts[sizes]
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, rounds: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, rounds: int = 1500, patience: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one row each: copies of every size) and whole-number uses that cover ``demand`` exactly or more.
 
-    Column generation stops at the optimum, or when the program's value is within ``gap`` of a lower bound. Uses are
-    the program's solution rounded down; what remains is packed best-fit, longest first, into patterns of its own.
+    Column generation stops at the optimum, when the program's value is within ``gap`` of a lower bound, or when
+    ``patience`` columns have not bettered it by a tenth of that. Uses are the program's solution rounded down; what remains is packed best-fit, longest first, into patterns of its own.
     """
     n = len(sizes)
     if not n:
@@ -134,7 +134,13 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float =
     basis, x = _first_basis(sizes, demand, room)
     inverse = np.linalg.inv(basis)
     bound = float((sizes * demand).sum()) / room
+    last, since = x.sum(), 0
     for _ in range(rounds):
+        since += 1
+        if since >= patience:
+            if x.sum() > last * (1 - gap / 10):
+                break
+            last, since = x.sum(), 0
         prices = inverse.sum(axis=0)
         value, column = _price(prices, sizes, room)
         bound = max(bound, x.sum() / max(value, 1.0))
