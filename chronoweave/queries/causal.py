@@ -1 +1,217 @@
-"""Queries."""
+"""Causal traces, patterns, contradictions and blast radius."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from chronoweave.operators import causal as C
+from chronoweave.operators import temporal as BT
+from chronoweave.registry import query
+
+
+@query("""SELECT edge_id, CASE WHEN strength > 0.5 THEN 'strength' ELSE 'unknown_event' END AS reason FROM (SELECT edge_id, strength, effect_event_id FROM causal_edges) x WHERE strength > 0.5 OR effect_event_id % 50 = 0""")
+def ca1_check_edges(t):
+    edges = t.causal_edges.select("edge_id", "cause_event_id", "effect_event_id", F.when(F.col("strength") > 0.5, F.col("strength") + 1).otherwise(F.col("strength")).alias("strength"))
+    lost = edges.withColumn("effect_event_id", F.when(F.col("effect_event_id") % 50 == 0, -1).otherwise(F.col("effect_event_id")))
+    return C.check_edges(lost, t.causal_events)[1].select("edge_id", "reason")
+
+
+@query("""SELECT edge_id, round(CASE WHEN edge_id % 3 = 0 THEN least(1.0, strength + 0.05 * (1 + (edge_id % 2))) ELSE strength END, 9) AS strength, corroboration_count + CASE WHEN edge_id % 3 = 0 THEN 1 + (edge_id % 2) ELSE 0 END AS n FROM causal_edges""")
+def ca2_corroborate(t):
+    e = t.causal_edges
+    new = e.filter("edge_id % 3 = 0").select("cause_event_id", "effect_event_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("edge_id") % 2)))
+    return C.corroborate(e, new).select("edge_id", F.round("strength", 9).alias("strength"), F.col("corroboration_count").alias("n"))
+
+
+@query("SELECT edge_id, 'expired' AS event_type, strength AS previous FROM causal_edges WHERE expired_at IS NULL AND strength < 0.02")
+def ca3_expire_edges(t):
+    return t.causal_edges.filter("expired_at is null and strength < 0.02").select("edge_id", F.lit("expired").alias("event_type"), F.col("strength").alias("previous"))
+
+
+@query("""SELECT edge_id, CASE WHEN corroboration_count > 1 THEN 'weakened' ELSE 'expired' END AS outcome, round(CASE WHEN corroboration_count > 1 THEN greatest(0.1, strength * pow(0.8, n)) END, 9) AS strength
+FROM causal_edges JOIN (SELECT edge_id, count(*) AS n FROM (SELECT edge_id, cause_event_id AS f FROM causal_edges UNION SELECT edge_id, effect_event_id FROM causal_edges) r WHERE f % 5 = 0 GROUP BY 1) g USING (edge_id) WHERE expired_at IS NULL""")
+def ca4_cascade(t):
+    e = t.causal_edges
+    refs = e.select("edge_id", F.col("cause_event_id").alias("fact_id")).union(e.select("edge_id", "effect_event_id"))
+    out = C.cascade(e, refs, t.causal_events.filter("event_id % 5 = 0").select("fact_id"))
+    return out.withColumn("strength", F.round("strength", 9))
+
+
+@query("""SELECT edge_id, CASE WHEN strength * 0.95 < 0.1 THEN 'expired' ELSE 'decayed' END AS outcome, round(greatest(0.1, strength * 0.95), 9) AS strength FROM causal_edges WHERE expired_at IS NULL AND corroboration_count <= 1 AND created_at < TIMESTAMP '2024-03-01' - INTERVAL 30 DAY""")
+def ca5_decay(t):
+    return C.decay(t.causal_edges, F.lit("2024-03-01").cast("timestamp")).withColumn("strength", F.round("strength", 9))
+
+
+_TRACE = """WITH RECURSIVE w AS (SELECT event_id AS seed, event_id, 0 AS depth, CAST(NULL AS DOUBLE) AS strength, [event_id] AS path FROM causal_events WHERE event_id % 40 = 0
+UNION ALL SELECT w.seed, e.{to}, w.depth + 1, e.strength, list_append(w.path, e.{to}) FROM w JOIN causal_edges e ON e.{at} = w.event_id WHERE e.expired_at IS NULL AND e.strength >= 0.02 AND w.depth < 4 AND NOT list_contains(w.path, e.{to}))
+SELECT seed, event_id, depth, round(strength, 9) AS strength FROM w WHERE depth > 0"""
+
+
+@query(_TRACE.format(at="effect_event_id", to="cause_event_id"))
+def ca6_trace_causes(t):
+    found = C.trace(t.causal_edges, t.causal_events.filter("event_id % 40 = 0"), 4, 0.02, True)
+    return found.withColumn("strength", F.round("strength", 9))
+
+
+@query(_TRACE.format(at="cause_event_id", to="effect_event_id"))
+def ca7_project_effects(t):
+    found = C.trace(t.causal_edges, t.causal_events.filter("event_id % 40 = 0"), 4, 0.02, False)
+    return found.withColumn("strength", F.round("strength", 9))
+
+
+@query("SELECT subject_id, count(DISTINCT event_id) AS events, count(DISTINCT edge_id) AS edges FROM causal_events LEFT JOIN causal_edges ON event_id = cause_event_id OR event_id = effect_event_id GROUP BY 1")
+def ca8_entity_history(t):
+    e = t.causal_edges
+    ends = e.select("edge_id", F.col("cause_event_id").alias("event_id")).union(e.select("edge_id", "effect_event_id"))
+    return t.causal_events.join(ends, "event_id", "left").groupBy("subject_id").agg(F.count_distinct("event_id").alias("events"), F.count_distinct("edge_id").alias("edges"))
+
+
+@query("SELECT predicate, transition_type, count(*) AS n FROM causal_events WHERE occurred_at BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-05' GROUP BY 1, 2")
+def ca9_delta(t):
+    return t.causal_events.filter("occurred_at between timestamp '2024-01-02' and timestamp '2024-01-05'").groupBy("predicate", "transition_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT f AS fact_id, edge_id FROM (SELECT edge_id, cause_event_id AS f, expired_at FROM causal_edges UNION ALL SELECT edge_id, effect_event_id, expired_at FROM causal_edges) x WHERE expired_at IS NULL AND f % 9 = 0")
+def ca10_im4_citing(t):
+    e = t.causal_edges.filter("expired_at is null")
+    refs = e.select(F.col("cause_event_id").alias("fact_id"), "edge_id").union(e.select("effect_event_id", "edge_id"))
+    return refs.join(t.causal_events.filter("event_id % 9 = 0").select("fact_id"), "fact_id", "left_semi")
+
+
+_CHAINS = """WITH RECURSIVE c AS (SELECT [edge_id] AS edges, [cause_event_id, effect_event_id] AS evs, effect_event_id AS fin FROM causal_edges WHERE expired_at IS NULL AND created_at >= TIMESTAMP '2024-01-01'
+UNION ALL SELECT list_append(c.edges, e.edge_id), list_append(c.evs, e.effect_event_id), e.effect_event_id FROM c JOIN causal_edges e ON e.cause_event_id = c.fin WHERE e.expired_at IS NULL AND len(c.edges) < 4 AND NOT list_contains(c.edges, e.edge_id)),
+k AS (SELECT * FROM c WHERE len(edges) >= 2),
+n AS (SELECT edges, string_agg(predicate, '>' ORDER BY i) AS template FROM (SELECT edges, unnest(evs) AS event_id, unnest(range(len(evs))) AS i FROM k) x JOIN causal_events USING (event_id) GROUP BY 1)
+"""
+
+
+def _named(t):
+    return C.templates(C.chains(t.causal_edges, F.lit("2024-01-01").cast("timestamp")), t.causal_events)
+
+
+@query(_CHAINS + "SELECT len(edges) AS size, count(*) AS n, min(edges[1]) AS lo FROM k GROUP BY 1")
+def pt1_chains(t):
+    found = C.chains(t.causal_edges, F.lit("2024-01-01").cast("timestamp"))
+    return found.groupBy(F.size("edges").alias("size")).agg(F.count("*").alias("n"), F.min(F.element_at("edges", 1)).alias("lo"))
+
+
+@query(_CHAINS + "SELECT template, count(*) AS instances FROM n GROUP BY 1 HAVING count(*) >= 3")
+def pt2_pt3_patterns(t):
+    return C.patterns(_named(t))
+
+
+@query("""SELECT user_id, status, CASE WHEN status = 'staging' AND idle >= 14 THEN 'rejected' WHEN status = 'canonical' AND idle >= 30 THEN 'provisional' WHEN status = 'provisional' AND idle >= 30 THEN 'candidate'
+WHEN status = 'staging' AND n >= 5 THEN 'candidate' WHEN status = 'candidate' AND n >= 10 AND act >= 3 THEN 'provisional' WHEN status = 'provisional' AND act >= 5 THEN 'canonical' ELSE status END AS next
+FROM (SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'staging' WHEN 1 THEN 'candidate' WHEN 2 THEN 'provisional' ELSE 'canonical' END AS status, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS act, user_id % 40 AS idle FROM events GROUP BY 1) x""")
+def pt4_lifecycle(t):
+    status = F.element_at(F.array(*map(F.lit, ("staging", "candidate", "provisional", "canonical"))), (F.col("user_id") % 4 + 1).cast("int"))
+    rows = t.events.groupBy("user_id").agg(F.count("*").alias("instances"), F.count(F.when(F.col("event_type") == "error", 1)).alias("activations"))
+    rows = rows.select("*", status.alias("status"), (F.col("user_id") % 40).alias("idle_days"), F.lit(20).alias("age_days"), F.lit(20).alias("dwell_days"))
+    return C.promote(rows).select("user_id", "status", "next")
+
+
+@query("""WITH e AS (SELECT edge_id, a.predicate AS pa, b.predicate AS pb FROM causal_edges JOIN causal_events a ON a.event_id = cause_event_id JOIN causal_events b ON b.event_id = effect_event_id WHERE causal_edges.expired_at IS NULL)
+SELECT edge_id, concat(pa, '>', pb) AS template FROM e WHERE concat(pa, '>', pb) IN (SELECT concat(pa, '>', pb) FROM e GROUP BY 1 HAVING count(*) >= 300)""")
+def pt5_match_edges(t):
+    e = t.causal_edges.filter("expired_at is null").select("edge_id", "cause_event_id", "effect_event_id")
+    p = t.causal_events.select("event_id", "predicate")
+    pair = e.join(p.toDF("cause_event_id", "pa"), "cause_event_id").join(p.toDF("effect_event_id", "pb"), "effect_event_id").select("edge_id", F.concat_ws(">", "pa", "pb").alias("template"))
+    known = pair.groupBy("template").count().filter("count >= 300").select("template")  # at most the square of the predicates
+    return pair.join(F.broadcast(known), "template", "left_semi").select("edge_id", "template")
+
+
+@query("""WITH k AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 60), v AS (SELECT count(DISTINCT event_type) AS n FROM events)
+SELECT user_id, (SELECT n FROM v) - count(*) AS missing, round(avg_share, 6) AS confidence FROM (SELECT user_id, event_type, count(*) OVER (PARTITION BY user_id)::DOUBLE / (SELECT n FROM v) AS avg_share FROM k) x GROUP BY user_id, avg_share HAVING count(*) = (SELECT n FROM v) - 1""")
+def pt6_ghost_links(t):
+    all_kinds = t.events.agg(F.count_distinct("event_type").alias("n"))
+    held = t.events.filter("value > 60").groupBy("user_id").agg(F.count_distinct("event_type").alias("k"))
+    met = held.crossJoin(F.broadcast(all_kinds)).filter("k = n - 1")
+    return met.select("user_id", (F.col("n") - F.col("k")).alias("missing"), F.round(F.col("k") / F.col("n"), 6).alias("confidence"))
+
+
+@query("""SELECT a.fact_id AS a, b.fact_id AS b, CASE WHEN greatest(a.confidence, b.confidence) >= 0.8 THEN 'high' ELSE 'medium' END AS severity FROM facts a JOIN facts b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.fact_id < b.fact_id AND a.object_id <> b.object_id
+WHERE a.predicate = 'owns' AND a.expired_at IS NULL AND b.expired_at IS NULL AND a.invalid_at IS NULL AND b.invalid_at IS NULL AND CAST(substr(a.object_id, 2) AS INTEGER) < 20 AND CAST(substr(b.object_id, 2) AS INTEGER) < 20""")
+def ct1_opposing_objects(t):
+    exclusive = t.spark.createDataFrame([("lives_in",), ("has_status",)], "predicate string")
+    f = t.facts.filter("predicate in ('owns', 'lives_in') and not (predicate = 'owns' and cast(substring(object_id, 2) as int) >= 20)")
+    return C.opposing_objects(f, exclusive)
+
+
+@query("""SELECT DISTINCT event_id, CASE WHEN strength > 0.5 THEN 'high' ELSE 'low' END AS severity FROM events JOIN causal_edges ON event_id = cause_event_id WHERE event_type = 'error' AND expired_at IS NULL""")
+def ct2_expired_but_cited(t):
+    gone = t.events.filter("event_type = 'error'").select("event_id")
+    cited = t.causal_edges.filter("expired_at is null").select(F.col("cause_event_id").alias("event_id"), F.when(F.col("strength") > 0.5, "high").otherwise("low").alias("severity"))
+    return gone.join(cited, "event_id").distinct()
+
+
+@query("SELECT x.edge_id AS a, x.edge_id + 1000000 AS b FROM causal_edges x WHERE expired_at IS NULL AND edge_id % 5 = 0")
+def ct3_two_cycles(t):
+    e = t.causal_edges.select("edge_id", "cause_event_id", "effect_event_id", "expired_at")
+    back = e.filter("edge_id % 5 = 0").select((F.col("edge_id") + 1000000).alias("edge_id"), F.col("effect_event_id").alias("cause_event_id"), F.col("cause_event_id").alias("effect_event_id"), "expired_at")
+    return C.two_cycles(e.unionByName(back))
+
+
+@query("SELECT edge_id, round(epoch(b.occurred_at) - epoch(a.occurred_at), 3) AS inversion_s FROM causal_edges e JOIN causal_events a ON a.event_id = cause_event_id JOIN causal_events b ON b.event_id = effect_event_id WHERE e.expired_at IS NULL AND b.occurred_at > a.occurred_at")
+def ct4_impossible_order(t):
+    turned = t.causal_edges.select("edge_id", F.col("effect_event_id").alias("cause_event_id"), F.col("cause_event_id").alias("effect_event_id"), "expired_at")
+    return C.impossible_order(turned, t.causal_events)
+
+
+@query("SELECT 'cyclic' AS kind, count(*) AS n FROM causal_edges WHERE expired_at IS NULL AND edge_id % 5 = 0 AND edge_id % 2 = 0 UNION ALL SELECT 'impossible', count(*) FROM causal_edges e JOIN causal_events a ON a.event_id = cause_event_id JOIN causal_events b ON b.event_id = effect_event_id WHERE e.expired_at IS NULL AND b.occurred_at > a.occurred_at")
+def ct5_all_rules(t):
+    found = ct3_two_cycles(t).select(F.lit("cyclic").alias("kind"), F.col("a").alias("id")).unionByName(ct4_impossible_order(t).select(F.lit("impossible").alias("kind"), F.col("edge_id").alias("id")))
+    open_rows = t.causal_edges.filter("edge_id % 2 = 1").select(F.lit("cyclic").alias("kind"), F.col("edge_id").alias("id"))
+    return found.join(open_rows, ["kind", "id"], "left_anti").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN length(o_orderpriority) < 6 THEN 'reason_too_short' WHEN o_orderstatus = 'P' THEN 'dismissed' WHEN o_orderstatus = 'F' THEN 'expire_a' ELSE 'invalidate_b' END AS request FROM orders")
+def ct6_ct7_resolve(t):
+    kind = F.when(F.length("o_orderpriority") < 6, "reason_too_short").when(F.col("o_orderstatus") == "P", "dismissed").when(F.col("o_orderstatus") == "F", "expire_a").otherwise("invalidate_b")
+    return t.orders.select(F.col("o_orderkey").alias("id"), kind.alias("request"))
+
+
+@query("""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN a.object_value = b.object_value THEN 'same' WHEN a.valid_at < coalesce(b.invalid_at, TIMESTAMP '9999-12-31') AND coalesce(a.invalid_at, TIMESTAMP '9999-12-31') > b.valid_at THEN 'contradiction' ELSE 'succession' END AS verdict
+FROM facts a JOIN facts b ON a.subject_id = b.subject_id AND a.fact_id < b.fact_id WHERE a.predicate = 'has_status' AND b.predicate = 'has_status') x GROUP BY 1""")
+def ct8_pair_rules(t):
+    f = t.facts.filter("predicate = 'has_status'").withColumn("invalid_at", F.coalesce("invalid_at", F.lit("9999-12-31").cast("timestamp")))
+    a = f.select("subject_id", F.col("fact_id").alias("a"), F.col("predicate").alias("pa"), F.col("object_value").alias("oa"), F.col("valid_at").alias("fa"), F.col("invalid_at").alias("ta"))
+    b = f.select("subject_id", F.col("fact_id").alias("b"), F.col("predicate").alias("pb"), F.col("object_value").alias("ob"), F.col("valid_at").alias("fb"), F.col("invalid_at").alias("tb"))
+    pairs = a.join(b, "subject_id").filter("a < b").withColumn("overlaps", (F.col("fa") < F.col("tb")) & (F.col("ta") > F.col("fb")))
+    return pairs.groupBy(C.classify_pair(["owns"], ["has_status", "lives_in"], [("likes", "dislikes")]).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+_REACH = """WITH RECURSIVE r AS (SELECT event_id AS root FROM causal_events WHERE event_id % 100 = 0), w AS (SELECT root, edge_id, cause_event_id AS c, effect_event_id AS f, 1 AS depth FROM causal_edges JOIN r ON cause_event_id = root OR effect_event_id = root WHERE expired_at IS NULL
+UNION ALL SELECT w.root, e.edge_id, e.cause_event_id, e.effect_event_id, w.depth + 1 FROM w JOIN causal_edges e ON e.cause_event_id = w.f OR e.effect_event_id = w.c WHERE e.expired_at IS NULL AND w.depth < 3)
+"""
+
+
+def _roots(t):
+    return t.causal_events.filter("event_id % 100 = 0").select(F.col("event_id").alias("root"), "event_id")
+
+
+@query(_REACH + "SELECT root, edge_id, min(depth) AS depth FROM w GROUP BY 1, 2")
+def im3_join8_transitive(t):
+    return C.reach(t.causal_edges, _roots(t), 3)
+
+
+@query("SELECT a.fact_id AS root, count(DISTINCT b.fact_id) AS dependents FROM facts a JOIN facts b ON a.fact_id <> b.fact_id AND (b.subject_id = a.subject_id OR b.object_id = a.subject_id) WHERE a.predicate = 'located_in' AND b.expired_at IS NULL GROUP BY 1")
+def im1_im2_direct_dependents(t):
+    roots = t.facts.filter("predicate = 'located_in'").select(F.col("fact_id").alias("root"), F.col("subject_id").alias("e"))
+    f = BT.active(t.facts)
+    ends = f.select(F.col("subject_id").alias("e"), "fact_id").union(f.filter("object_id is not null").select("object_id", "fact_id"))
+    return roots.join(ends, "e").filter("root <> fact_id").groupBy("root").agg(F.count_distinct("fact_id").alias("dependents"))
+
+
+@query(_REACH + """, d AS (SELECT root, edge_id, min(depth) AS depth FROM w GROUP BY 1, 2)
+SELECT root, sum(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) AS critical, sum(CASE WHEN severity = 'moderate' THEN 1 ELSE 0 END) AS moderate, sum(CASE WHEN severity = 'low' THEN 1 ELSE 0 END) AS low
+FROM (SELECT root, CASE WHEN depth = 1 AND corroboration_count <= 1 THEN 'critical' WHEN depth <= 2 THEN 'moderate' ELSE 'low' END AS severity FROM d JOIN causal_edges USING (edge_id)) x GROUP BY 1""")
+def im6_im7_agg18_severity(t):
+    near = C.reach(t.causal_edges, _roots(t), 3).join(t.causal_edges.select("edge_id", "corroboration_count"), "edge_id")
+    severity = F.when((F.col("depth") == 1) & (F.col("corroboration_count") <= 1), "critical").when(F.col("depth") <= 2, "moderate").otherwise("low")
+    return near.withColumn("severity", severity).groupBy("root").pivot("severity", ["critical", "moderate", "low"]).count().na.fill(0)
+
+
+@query("SELECT event_id, rank() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events WHERE event_type = 'purchase'")
+def flt23_instances_in_order(t):
+    return t.events.filter("event_type = 'purchase'").select("event_id", F.rank().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("position"))
