@@ -1 +1,194 @@
-"""Queries."""
+"""Entity resolution and the predicate vocabulary."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from chronoweave.functions import scalar as S
+from chronoweave.operators import resolution as R
+from chronoweave.operators import tables as TB
+from chronoweave.operators import temporal as BT
+from chronoweave.operators.components import connected_components
+from chronoweave.registry import query
+
+
+@query("SELECT lower(canonical_name) AS name, entity_type, min(entity_id) AS entity_id, count(*) AS n FROM entities GROUP BY 1, 2")
+def er1_exact_dedup(t):
+    return t.entities.groupBy(F.lower("canonical_name").alias("name"), "entity_type").agg(F.min("entity_id").alias("entity_id"), F.count("*").alias("n"))
+
+
+@query("""WITH w AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, unnest(string_split(lower(n_name), ' ')) AS w FROM nation), g AS (SELECT DISTINCT id, substr('  ' || w || ' ', i, 3) AS t FROM w, LATERAL (SELECT unnest(range(1, length(w) + 2)) AS i) u), c AS (SELECT id, count(*) AS n FROM g GROUP BY 1)
+SELECT a.id AS a, b.id AS b, round(count(*)::DOUBLE / (ca.n + cb.n - count(*)), 6) AS similarity FROM g a JOIN g b ON a.t = b.t JOIN c ca ON ca.id = a.id JOIN c cb ON cb.id = b.id GROUP BY a.id, b.id, ca.n, cb.n HAVING count(*)::DOUBLE / (ca.n + cb.n - count(*)) >= 0.3""")
+def er2_fn1_similar_names(t):
+    n = t.nation.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
+    return R.similar_names(n, n).withColumn("similarity", F.round("similarity", 6))
+
+
+def _pairs(t):
+    """Pairs of vectors under one label whose ids are near: a bounded number for each vector."""
+    e = t.embeddings.filter("vec_id < 200").select("vec_id", "label", "embedding")
+    a = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
+    b = e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
+    return a.join(b, "label").filter("a < b and b - a < 40")
+
+
+@query("""WITH q AS (SELECT vec_id AS mention, embedding AS m FROM embeddings WHERE vec_id % 25 = 1), c AS (SELECT vec_id AS entity, embedding AS e FROM embeddings WHERE vec_id % 2 = 0), s AS (SELECT mention, entity, list_cosine_similarity(m::DOUBLE[], e::DOUBLE[]) AS s, row_number() OVER (PARTITION BY mention ORDER BY list_cosine_similarity(m::DOUBLE[], e::DOUBLE[]) DESC, entity DESC) AS r FROM q, c)
+SELECT mention, CASE WHEN s > 0.75 THEN entity END AS entity, CASE WHEN s > 0.92 THEN 'merged' WHEN s > 0.75 THEN 'verify' ELSE 'created' END AS outcome FROM s WHERE r = 1""")
+def er3_er4_resolve_mentions(t):
+    e = t.embeddings
+    q = e.filter("vec_id % 25 = 1").select(F.col("vec_id").alias("mention"), F.col("embedding").alias("m"))
+    c = e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("entity"), F.col("embedding").alias("e"))
+    scored = q.join(c).select("mention", "entity", S.cosine(F.col("m"), F.col("e")).alias("similarity"))
+    return R.resolve_mentions(scored)
+
+
+@query("SELECT memory_id, entity_id FROM memory_entities GROUP BY 1, 2")
+def er5_link_mentions(t):
+    held = t.memory_entities.filter("memory_id % 2 = 0").distinct()
+    return TB.insert_absent(held, t.memory_entities, ["memory_id", "entity_id"])
+
+
+@query("SELECT entity_id, canonical_name AS alias, 'place' AS owner FROM entities WHERE entity_type = 'place' AND canonical_name ILIKE '%land%'")
+def er6_alias_search(t):
+    return t.entities.filter("entity_type = 'place'").filter(F.col("canonical_name").ilike("%land%")).select("entity_id", F.col("canonical_name").alias("alias"), F.col("entity_type").alias("owner"))
+
+
+@query("SELECT stream_id, speaker_key, entity_id, CASE speaker_key WHEN 'assistant' THEN 'assistant' ELSE 'person' END AS entity_type FROM participants")
+def er7_st7_speakers(t):
+    c = t.conversations.filter(F.col("role").isin("user", "assistant")).select(F.col("conv_id").alias("stream_id"), F.col("role").alias("speaker_key")).distinct()
+    kind = F.when(F.col("speaker_key") == "assistant", "assistant").otherwise("person")
+    return c.select("stream_id", "speaker_key", F.concat(F.lit("K"), F.col("stream_id").cast("string"), F.lit(":"), F.col("speaker_key")).alias("entity_id"), kind.alias("entity_type"))
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.7 THEN 'candidate' ELSE 'staging' END AS status FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id - a.vec_id < 40
+WHERE a.vec_id < 200 AND b.vec_id < 200 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4""")
+def er8_merge_candidates(t):
+    s = S.cosine(F.col("va"), F.col("vb"))
+    return _pairs(t).withColumn("s", s).filter("s >= 0.4").select("a", "b", F.when(F.col("s") >= 0.7, "candidate").otherwise("staging").alias("status"))
+
+
+@query("""WITH p AS (SELECT a.s_suppkey AS x, b.s_suppkey AS y, concat('S', a.s_suppkey::VARCHAR) AS a, concat('S', b.s_suppkey::VARCHAR) AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey),
+f AS (SELECT DISTINCT subject_id AS s, object_id AS o FROM facts WHERE predicate = 'owns'), n AS (SELECT s, count(*) AS n FROM f GROUP BY 1), k AS (SELECT p.a, p.b, count(*) AS k FROM p JOIN f g ON g.s = p.a JOIN f h ON h.s = p.b AND h.o = g.o GROUP BY 1, 2)
+SELECT a, b, round(coalesce(k, 0)::DOUBLE / (na.n + nb.n - coalesce(k, 0)), 6) AS facts, round((0.15 * coalesce(k, 0)::DOUBLE / (na.n + nb.n - coalesce(k, 0)) + 0.05) / 0.2, 6) AS score FROM p LEFT JOIN k USING (a, b) JOIN n na ON na.s = a JOIN n nb ON nb.s = b""")
+def er9_er10_join13_pair_scores(t):
+    s = t.supplier.select("s_nationkey", F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("e"), "s_suppkey")
+    pairs = s.toDF("s_nationkey", "a", "ka").join(s.toDF("s_nationkey", "b", "kb"), "s_nationkey").filter("ka < kb").select("a", "b")
+    owned = t.facts.filter("predicate = 'owns'").select(F.col("subject_id").alias("e"), F.col("object_id").alias("m"))
+    met = R.set_overlap(owned, pairs, "e", "m", "facts").withColumn("component", F.lit(1.0))
+    missing = {c: F.lit(None).cast("double") for c in R.WEIGHTS if c not in ("facts", "component")}
+    return met.withColumns(missing).select("a", "b", F.round("facts", 6).alias("facts"), F.round(R.combined_score(), 6).alias("score"))
+
+
+@query("SELECT label, CASE WHEN n < 50 THEN 0.075 ELSE 0.15 END AS centroid, CASE WHEN label <= 1 THEN 0.0 ELSE 0.15 END AS cluster, round(0.05 + (0.15 - CASE WHEN n < 50 THEN 0.075 ELSE 0.15 END + 0.15 - CASE WHEN label <= 1 THEN 0.0 ELSE 0.15 END) * 0.05 / 0.7, 9) AS component FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) x")
+def er11_adapt_weights(t):
+    g = t.embeddings.groupBy("label").agg(F.count("*").alias("n"))
+    w = R.adapt_weights(R.WEIGHTS, F.when(F.col("n") < 50, 0.05).otherwise(0.5), F.col("label"))
+    return g.select("label", w["centroid"].alias("centroid"), w["cluster"].alias("cluster"), F.round(w["component"], 9).alias("component"))
+
+
+@query("SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 3 <> 0")
+def er12_join4_resolved_filter(t):
+    o = t.orders.filter("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
+    return o.join(o.filter("b % 3 = 0"), ["a", "b"], "left_anti")
+
+
+@query("SELECT o_custkey AS k, CASE WHEN min(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END) = 'F' THEN 'resolved' WHEN count(*) FILTER (WHERE o_orderkey % 2 = 1) > 0 THEN 'rescored' ELSE 'kept' END AS status, count(*) AS detections FROM orders GROUP BY 1")
+def er13_candidate_upsert(t):
+    old = t.orders.filter("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderstatus").alias("s"), F.count("*").alias("n"))
+    new = t.orders.filter("o_orderkey % 2 = 1").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("m"))
+    both = old.join(new, "k", "full_outer")
+    status = F.when(F.col("s") == "F", "resolved").when(F.col("m").isNotNull(), "rescored").otherwise("kept")
+    return both.select("k", status.alias("status"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("detections"))
+
+
+@query("""WITH e AS (SELECT s_suppkey AS id, s_nationkey AS component, s_suppkey % 7 AS cluster FROM supplier), z AS (SELECT component FROM e GROUP BY 1 HAVING count(*) >= 2), x AS (SELECT * FROM e WHERE component IN (SELECT component FROM z)),
+p AS (SELECT a.id AS a, b.id AS b, a.component AS ca, b.component AS cb, row_number() OVER (PARTITION BY a.component, b.component ORDER BY b.id - a.id, a.id, b.id) AS r FROM x a JOIN x b ON a.cluster = b.cluster AND a.component < b.component)
+SELECT a, b FROM p WHERE r <= 2""")
+def er14_er16_cross_component(t):
+    e = t.supplier.select(F.col("s_suppkey").alias("entity_id"), F.col("s_nationkey").alias("component"), (F.col("s_suppkey") % 7).alias("cluster"))
+    r = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.col("b") - F.col("a"), "a", "b"))
+    return R.cross_component_pairs(e).withColumn("r", r).filter("r <= 2").select("a", "b")
+
+
+@query("SELECT d.s_suppkey AS a, m.s_suppkey AS b FROM supplier d JOIN supplier m ON m.s_suppkey % 7 = d.s_suppkey % 5 AND m.s_nationkey <> d.s_nationkey WHERE d.s_suppkey % 10 = 0")
+def er15_drift_pairs(t):
+    s = t.supplier
+    d = s.filter("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("ca"), (F.col("s_suppkey") % 5).alias("cluster"))
+    m = s.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("cb"), (F.col("s_suppkey") % 7).alias("cluster"))
+    return d.join(m, "cluster").filter("ca <> cb").select("a", "b")
+
+
+@query("SELECT max(o_orderdate) >= (SELECT max(l_shipdate) FROM lineitem) AS fresh FROM orders")
+def er18_freshness(t):
+    return t.orders.agg(F.max("o_orderdate").alias("a")).crossJoin(t.lineitem.agg(F.max("l_shipdate").alias("b"))).select((F.col("a") >= F.col("b")).alias("fresh"))
+
+
+@query("""WITH m AS (SELECT concat('S', s_suppkey::VARCHAR) AS source, concat('S', lo::VARCHAR) AS survivor FROM (SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS lo FROM supplier) x WHERE s_suppkey <> lo),
+f AS (SELECT coalesce(survivor, subject_id) AS s, predicate, object_id, confidence, created_at, fact_id FROM facts LEFT JOIN m ON source = subject_id WHERE predicate = 'owns')
+SELECT s AS subject_id, object_id, fact_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY s, predicate, object_id ORDER BY confidence DESC NULLS LAST, created_at DESC, fact_id) AS r FROM f) x WHERE r = 1""")
+def er19_merge_entities(t):
+    s = t.supplier.select("s_nationkey", "s_suppkey").withColumn("lo", F.min("s_suppkey").over(Window.partitionBy("s_nationkey"))).filter("s_suppkey <> lo")
+    name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
+    facts, _ = R.merge_entities(t.facts.filter("predicate = 'owns'"), s.select(name("s_suppkey").alias("source"), name("lo").alias("survivor")))
+    return facts.select("subject_id", "object_id", "fact_id", "confidence")
+
+
+@query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey < 100 AND l_partkey <> l_suppkey")
+def er20_same_as_links(t):
+    return t.lineitem.filter("l_partkey < 100 and l_partkey <> l_suppkey").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'resolved' ELSE o_orderstatus END AS status FROM orders JOIN customer ON c_custkey = o_custkey")
+def er21_er22_resolve_candidates(t):
+    flag = t.customer.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), F.lit("resolved").alias("_s"))
+    known = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    return known.join(flag, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), F.coalesce("_s", "o_orderstatus").alias("status"))
+
+
+@query("SELECT predicate, CASE predicate WHEN 'owns' THEN 'possesses' WHEN 'lives_in' THEN 'resides_in' ELSE predicate END AS canonical, count(*) AS n FROM facts GROUP BY 1, 2")
+def on1_canonical_predicates(t):
+    alias = t.spark.createDataFrame([("owns", "possesses"), ("lives_in", "resides_in")], "predicate string, c string")
+    return t.facts.join(F.broadcast(alias), "predicate", "left").groupBy("predicate", F.coalesce("c", "predicate").alias("canonical")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, CASE event_type WHEN 'purchase' THEN 'buy' WHEN 'click' THEN 'press' ELSE event_type END AS base, CASE event_type WHEN 'purchase' THEN 'past' ELSE 'current' END AS hint, count(*) AS n FROM events GROUP BY ALL")
+def on2_tense_split(t):
+    variants = t.spark.createDataFrame([("purchase", "buy", "past"), ("click", "press", "current")], "event_type string, b string, h string")
+    met = t.events.join(F.broadcast(variants), "event_type", "left")
+    return met.groupBy("event_type", F.coalesce("b", "event_type").alias("base"), F.coalesce("h", F.lit("current")).alias("hint")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_type AS predicate, count(*) AS usage, count(DISTINCT p_brand) AS memories, CASE WHEN count(*) >= 3 THEN 'candidate' ELSE 'staging' END AS status FROM part GROUP BY 1")
+def on3_stage_counters(t):
+    g = t.part.groupBy(F.col("p_type").alias("predicate")).agg(F.count("*").alias("usage"), F.count_distinct("p_brand").alias("memories"))
+    return g.withColumn("status", F.when(F.col("usage") >= 3, "candidate").otherwise("staging"))
+
+
+@query("""WITH r AS (SELECT vec_id AS c, embedding AS e FROM embeddings WHERE vec_id < 20), s AS (SELECT vec_id, c, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, r WHERE vec_id >= 20), m AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c DESC) AS k FROM s)
+SELECT vec_id, c AS nearest, s < 0.5 AS novel FROM m WHERE k = 1""")
+def on4_nearest_canonical(t):
+    e = t.embeddings
+    registry = e.filter("vec_id < 20").select(F.col("vec_id").alias("c"), F.col("embedding").alias("e"))  # a registry of twenty
+    s = e.filter("vec_id >= 20").join(F.broadcast(registry)).select("vec_id", F.struct(S.cosine(F.col("embedding"), F.col("e")).alias("s"), "c").alias("m"))
+    return s.groupBy("vec_id").agg(F.max("m").alias("m")).select("vec_id", F.col("m.c").alias("nearest"), (F.col("m.s") < 0.5).alias("novel"))
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id - a.vec_id < 40 WHERE a.vec_id < 200 AND b.vec_id < 200 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.6 AND (a.vec_id + b.vec_id) % 5 <> 0""")
+def on5_synonym_pairs(t):
+    p = _pairs(t).withColumn("s", S.cosine(F.col("va"), F.col("vb"))).filter("s >= 0.6").select("a", "b")
+    inverse = p.filter("(a + b) % 5 = 0")
+    return p.join(inverse, ["a", "b"], "left_anti")
+
+
+@query("""WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND abs(b.vec_id - a.vec_id) < 40 WHERE a.vec_id < 200 AND b.vec_id < 200 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.6), r AS (SELECT a AS root, a AS node FROM l UNION SELECT r.root, l.b FROM r JOIN l ON l.a = r.node)
+SELECT node, min(root) AS component FROM r GROUP BY 1""")
+def on6_threshold_groups(t):
+    p = _pairs(t).withColumn("s", S.cosine(F.col("va"), F.col("vb"))).filter("s >= 0.6").select("a", "b")
+    return connected_components(p, "a", "b")
+
+
+@query("SELECT object_id AS subject_id, 'owned_by' AS predicate, subject_id AS object_id FROM facts WHERE predicate = 'owns' AND expired_at IS NULL")
+def on7_inverse_view(t):
+    inverse = t.spark.createDataFrame([("owns", "owned_by")], "predicate string, inv string")
+    return BT.active(t.facts).join(F.broadcast(inverse), "predicate").select(F.col("object_id").alias("subject_id"), F.col("inv").alias("predicate"), F.col("subject_id").alias("object_id"))
