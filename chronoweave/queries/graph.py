@@ -1 +1,161 @@
-"""Queries."""
+"""Topology, vectors, drift and retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from chronoweave.functions import scalar as S
+from chronoweave.operators import graph as G
+from chronoweave.operators import vectors as V
+from chronoweave.operators.components import connected_components
+from chronoweave.registry import query
+
+
+def _edges(t):
+    return G.entity_edges(t.facts.filter("predicate in ('lives_in', 'located_in', 'part_of')"))
+
+
+def _vertices(t):
+    return t.entities.filter("entity_type <> 'project'").select(F.col("entity_id").alias("v"))
+
+
+_E = "e AS (SELECT subject_id AS src, object_id AS dst, fact_id AS edge_id FROM facts WHERE expired_at IS NULL AND predicate IN ('lives_in', 'located_in', 'part_of')), b AS (SELECT src, dst, edge_id FROM e UNION ALL SELECT dst, src, edge_id FROM e)"
+
+
+@query(f"WITH RECURSIVE {_E}, r AS (SELECT src AS root, src AS node FROM b UNION SELECT r.root, b.dst FROM r JOIN b ON b.src = r.node) SELECT node, min(root) AS component FROM r GROUP BY 1")
+def gr1_components(t):
+    return connected_components(_edges(t))
+
+
+@query()
+def gr2_core_numbers(t):
+    return G.core_numbers(G.entity_edges(t.facts))
+
+
+@query(f"WITH {_E}, k AS (SELECT src AS v, substr(dst, 1, 1) AS g, count(*) AS k FROM b GROUP BY 1, 2) SELECT v, round(1 - sum(k * k)::DOUBLE / (sum(k) * sum(k)), 9) AS p FROM k GROUP BY 1 UNION ALL SELECT entity_id, NULL FROM entities WHERE entity_type <> 'project' AND entity_id NOT IN (SELECT src FROM b)")
+def gr6_participation(t):
+    groups = _vertices(t).withColumn("g", F.substring("v", 1, 1))
+    return G.participation(_edges(t), groups).withColumn("p", F.round("p", 9))
+
+
+@query()
+def gr7_pagerank(t):
+    return G.pagerank(_edges(t), _vertices(t))
+
+
+@query()
+def gr5_communities(t):
+    return G.communities(_edges(t))
+
+
+@query(f"""WITH {_E}, h1 AS (SELECT entity_id AS seed, dst AS v FROM entities JOIN b ON src = entity_id WHERE entity_type = 'company'), h2 AS (SELECT seed, dst AS v FROM h1 JOIN b ON src = v), a AS (SELECT seed, v, 1 AS h FROM h1 UNION ALL SELECT seed, v, 2 FROM h2)
+SELECT seed, v, min(h) AS hop FROM a WHERE seed <> v GROUP BY 1, 2""")
+def gr10_hops(t):
+    return G.hops(_edges(t), t.entities.filter("entity_type = 'company'").select(F.col("entity_id").alias("seed")), 2)
+
+
+@query(f"""WITH {_E}, p AS (SELECT x.src AS a, z.dst AS b, concat(x.edge_id, ',', y.edge_id, ',', z.edge_id) AS path FROM b x JOIN b y ON y.src = x.dst AND y.edge_id <> x.edge_id JOIN b z ON z.src = y.dst AND z.edge_id NOT IN (x.edge_id, y.edge_id)
+WHERE x.src = 'S1' AND z.dst IN ('R0', 'R1', 'R2') UNION ALL SELECT x.src, y.dst, concat(x.edge_id, ',', y.edge_id) FROM b x JOIN b y ON y.src = x.dst AND y.edge_id <> x.edge_id WHERE x.src = 'S1' AND y.dst IN ('R0', 'R1', 'R2'))
+SELECT a, b, path FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY len(string_split(path, ',')), path) AS r FROM p) x WHERE r <= 10""")
+def gr11_join9_paths(t):
+    pairs = t.spark.createDataFrame([("S1", "R0"), ("S1", "R1"), ("S1", "R2")], "a string, b string")
+    return G.paths(_edges(t), pairs, 3, 10)
+
+
+@query(f"WITH {_E}, n AS (SELECT 'N3' AS v UNION SELECT dst FROM b WHERE src = 'N3') SELECT src, dst, edge_id FROM e WHERE src IN (SELECT v FROM n) AND dst IN (SELECT v FROM n)")
+def gr12_subgraph(t):
+    seeds = t.spark.createDataFrame([("N3",)], "seed string")
+    return G.subgraph(_edges(t), seeds, 1).select("src", "dst", "edge_id")
+
+
+@query(f"WITH {_E} SELECT entity_id AS v, count(b.src) AS degree FROM entities LEFT JOIN b ON b.src = entity_id WHERE entity_type <> 'project' GROUP BY 1")
+def gr13_degrees(t):
+    return G.degrees(_edges(t), _vertices(t))
+
+
+@query(f"""WITH {_E}, d AS (SELECT src AS v, count(*) AS degree FROM b GROUP BY 1), h AS (SELECT v, row_number() OVER (ORDER BY degree DESC, v) AS r FROM d)
+SELECT v, CASE WHEN r <= 10 THEN 'hub' WHEN degree <= 2 THEN 'leaf' ELSE 'inner' END AS kind FROM d JOIN h USING (v)""")
+def gr14_topology_findings(t):
+    d = G.both_ways(_edges(t)).groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree"))
+    hubs = d.orderBy(F.desc("degree"), "v").limit(10).select("v", F.lit(True).alias("hub"))
+    return d.join(F.broadcast(hubs), "v", "left").select("v", F.when(F.col("hub"), "hub").when(F.col("degree") <= 2, "leaf").otherwise("inner").alias("kind"))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def vec1_fn5_cosine(t):
+    e = t.embeddings
+    a = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
+    b = e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
+    return a.join(b, "a").select("a", "b", F.round(S.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+
+
+_KNN = "k AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE vec_id < 8) q, embeddings v)"
+
+
+def _hits(t, k=10):
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return V.knn(v.filter("id < 8").withColumnRenamed("id", "query_id"), v, k)  # eight stated queries
+
+
+@query(f"WITH {_KNN} SELECT query_id, id, rank, round(s, 6) AS similarity FROM k WHERE rank <= 10")
+def vec2_top1_knn(t):
+    return _hits(t).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH x AS (SELECT label, i, avg(e) AS c FROM (SELECT label, unnest(embedding)::DOUBLE AS e, unnest(range(1, 65)) AS i FROM embeddings) y GROUP BY 1, 2), m AS (SELECT label, list(c ORDER BY i) AS c FROM x GROUP BY 1)
+SELECT vec_id, arg_max(m.label, list_cosine_similarity(embedding::DOUBLE[], m.c)) AS nearest FROM embeddings JOIN m ON m.label <> embeddings.label GROUP BY 1""")
+def vec5_dr3_nearest_other_cluster(t):
+    c = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    c = c.groupBy(F.col("label").alias("other")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("centre"))
+    met = t.embeddings.join(F.broadcast(c), F.col("label") != F.col("other"))  # one row a cluster
+    return met.groupBy("vec_id").agg(F.max_by("other", S.cosine(F.col("embedding"), F.col("centre"))).alias("nearest"))
+
+
+@query("SELECT vec_id, len(embedding) = 64 AS fits FROM embeddings")
+def vec7_dimension_check(t):
+    return t.embeddings.select("vec_id", (F.size("embedding") == 64).alias("fits"))
+
+
+@query("SELECT a.vec_id AS entity, round(greatest(0.0, least(1.0, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS drift, CASE WHEN 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3 THEN 'reconcile' ELSE 'none' END AS action FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def dr1_drift_magnitude(t):
+    kept = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("kept"))
+    d = V.drift_magnitude(F.col("embedding"), F.col("kept"))
+    met = t.embeddings.join(kept, "vec_id").withColumn("d", d)
+    return met.select(F.col("vec_id").alias("entity"), F.round("d", 6).alias("drift"), F.when(F.col("d") >= 0.3, "reconcile").otherwise("none").alias("action"))
+
+
+@query()
+def dr2_drift_changes(t):
+    return V.drift_changes(t.events.select(F.col("user_id").alias("entity"), F.col("event_id").alias("at"), F.col("value")))
+
+
+@query(f"WITH {_KNN} SELECT query_id, id // 5 AS parent, round(max(s), 6) AS score, count(*) AS units FROM k WHERE rank <= 25 GROUP BY 1, 2")
+def rt1_unit_search(t):
+    units = t.embeddings.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 5).alias("parent"))
+    return V.unit_hits(_hits(t, 25), units).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_KNN} SELECT query_id, max(s) < 0.5 AS failed FROM k WHERE rank <= 10 AND query_id <> id GROUP BY 1")
+def rt2_retrieval_failed(t):
+    return _hits(t).filter("query_id <> id").groupBy("query_id").agg((F.max("similarity") < 0.5).alias("failed"))
+
+
+@query(f"WITH {_KNN} SELECT query_id, entity_id FROM (SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), entity_id) AS r FROM k JOIN memory_entities ON memory_id = id WHERE rank <= 10 GROUP BY 1, 2) x WHERE r <= 5")
+def rt3_rt7_anchors(t):
+    met = _hits(t).join(t.memory_entities.withColumnRenamed("memory_id", "id"), "id").groupBy("query_id", "entity_id").agg(F.min("rank").alias("best"))
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy("best", "entity_id"))
+    return met.withColumn("r", r).filter("r <= 5").select("query_id", "entity_id")
+
+
+@query(f"WITH {_KNN} SELECT query_id, id, round(0.7 * s + 0.2 * (id % 3) / 2 + 0.1 / (1 + id % 2), 6) AS score FROM k WHERE rank <= 10")
+def rt4_rt5_rerank(t):
+    score = 0.7 * F.col("similarity") + 0.2 * (F.col("id") % 3) / 2 + 0.1 / (1 + F.col("id") % 2)
+    return _hits(t).select("query_id", "id", F.round(score, 6).alias("score"))
+
+
+@query(f"WITH {_KNN}, l AS (SELECT query_id, id, rank, 1.0 AS w FROM k WHERE rank <= 10 UNION ALL SELECT query_id, id, 11 - rank, 0.5 FROM k WHERE rank <= 10) SELECT query_id, id, round(sum(w / (60 + rank)), 9) AS score FROM l GROUP BY 1, 2")
+def rt6_fusion(t):
+    h = _hits(t).select("query_id", "id", "rank")
+    both = h.withColumn("weight", F.lit(1.0)).unionByName(h.withColumn("rank", 11 - F.col("rank")).withColumn("weight", F.lit(0.5)))
+    return V.fuse(both).withColumn("score", F.round("score", 9))
