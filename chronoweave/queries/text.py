@@ -1 +1,132 @@
-"""Queries."""
+"""Text jobs, evaluation measures and streaming results."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from chronoweave.operators import text as X
+from chronoweave.plans.stash import shared_dir
+from chronoweave.registry import query
+from chronoweave.streaming import jobs
+
+
+@query("""SELECT doc_id, CAST(i AS INTEGER) AS unit, CAST(i * 64 AS INTEGER) AS start, CAST(least(i * 64 + 128, length(text)) AS INTEGER) AS "end", md5(substr(text, i * 64 + 1, 128)) AS h FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 128) / 64.0) AS INTEGER), 0) + 1)) AS i FROM documents WHERE length(text) > 0 AND length(text) < 3000) x""")
+def tx1_units(t):
+    found = X.units(t.documents.filter("length(text) < 3000"), "doc_id", "text")
+    return found.select("doc_id", "unit", "start", "end", F.md5(F.encode("content", "utf-8")).alias("h"))
+
+
+@query("""WITH u AS (SELECT doc_id, unnest(range(0, greatest(CAST(ceil((length(text) - 128) / 64.0) AS INTEGER), 0) + 1)) * 64 AS s, length(text) AS n FROM documents WHERE length(text) BETWEEN 1 AND 2999), f AS (SELECT doc_id, instr(text, ' the ') AS p FROM documents WHERE instr(text, ' the ') > 0)
+SELECT doc_id, count(*) AS units FROM f JOIN u USING (doc_id) WHERE s < p + 4 AND least(s + 128, n) > p - 1 GROUP BY 1""")
+def tx2_fn14_fact_units(t):
+    d = t.documents.filter("length(text) < 3000")
+    f = d.select("doc_id", F.instr("text", " the ").alias("p")).filter("p > 0")
+    return f.join(X.units(d, "doc_id", "text"), "doc_id").filter("start < p + 4 and end > p - 1").groupBy("doc_id").agg(F.count("*").alias("units"))
+
+
+@query('SELECT conv_id, turn, CAST(floor((sum(length(coalesce(text, \'\'))) OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 600) AS BIGINT) AS "window" FROM conversations')
+def tx3_turn_windows(t):
+    return X.turn_windows(t.conversations, 600)
+
+
+@query()
+def tx4_tx5_paragraphs(t):
+    return X.paragraphs(t.documents, "doc_id", "text", 1000).select("doc_id", "piece", F.length("content").alias("n"))
+
+
+@query("""SELECT DISTINCT doc_id, lower(s) AS subject, lower(r) AS relation, lower(o) AS object, CAST(0.7 AS DOUBLE) AS confidence FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(\\p{L}+) (of|in|to) (\\p{L}+)\\b', 1)) AS s, unnest(regexp_extract_all(text, '(?i)\\b(\\p{L}+) (of|in|to) (\\p{L}+)\\b', 2)) AS r, unnest(regexp_extract_all(text, '(?i)\\b(\\p{L}+) (of|in|to) (\\p{L}+)\\b', 3)) AS o FROM documents WHERE lang = 'en') x
+WHERE lower(s) NOT IN ('i', 'you', 'he', 'she', 'it', 'we', 'they', 'this', 'that', 'there') AND lower(o) NOT IN ('i', 'you', 'he', 'she', 'it', 'we', 'they', 'this', 'that', 'there')""")
+def tx6_relations(t):
+    return X.relations(t.documents.filter("lang = 'en'"), "doc_id", "text", ["of", "in", "to"])
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^\\s*(def|class|import|function) ') THEN 'code' WHEN regexp_matches(text, '(?im)^\\s*[-*] \\[[ x]\\]') THEN 'tasks' WHEN regexp_matches(text, 'https?://') THEN 'link' WHEN length(text) < 200 THEN 'note' ELSE 'document' END AS kind FROM documents""")
+def tx7_content_types(t):
+    return t.documents.select("doc_id", X.content_type(F.col("text")).alias("kind"))
+
+
+@query()
+def tx8_win9_sections(t):
+    marked = t.documents.select("doc_id", F.regexp_replace("text", r"(?m)^(\p{Lu}[^\n]{0,40})$", "# $1").alias("text"))
+    return X.sections(marked, "doc_id", "text").groupBy("doc_id", "heading").agg(F.count("*").alias("lines"))
+
+
+@query()
+def tx9_transcripts(t):
+    said = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda r: F.concat(r["role"], F.lit(": "), F.regexp_replace(r["text"], "\n", " "))), "\n").alias("text"))
+    return X.transcript_segments(said, "conv_id", "text").groupBy("conv_id", "speaker").agg(F.count("*").alias("segments"))
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain FROM pages")
+def tx10_pages(t):
+    return t.pages.select("page_id", X.page_title(F.col("html")).alias("title"), F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("domain"))
+
+
+@query()
+def tx10_page_text(t):
+    return t.pages.select("page_id", F.size(F.split(X.page_text(F.col("html")), " ")).alias("words"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, '. ')[1:3], '. ') AS summary FROM documents")
+def tx11_first_sentences(t):
+    return t.documents.select("doc_id", F.array_join(F.slice(F.split("text", r"\. "), 1, 3), ". ").alias("summary"))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'purchase', 'view') THEN event_type ELSE 'other' END AS kind, greatest(0.0, least(1.0, value / 50)) AS confidence FROM events WHERE value / 50 >= 0.6")
+def tx12_tx13_tx14_validation(t):
+    kind = F.when(F.col("event_type").isin("click", "purchase", "view"), F.col("event_type")).otherwise("other")
+    return t.events.filter("value / 50 >= 0.6").select("event_id", kind.alias("kind"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 50)).alias("confidence"))
+
+
+@query("""WITH p AS (SELECT doc_id, quality = 1 AS truth, length(text) > 300 AS guess FROM labels JOIN documents USING (doc_id))
+SELECT round(sum((truth AND guess)::INT)::DOUBLE / sum(truth::INT), 6) AS recall, round(sum((truth AND guess)::INT)::DOUBLE / sum(guess::INT), 6) AS precision FROM p""")
+def ev1_recall_precision(t):
+    p = t.labels.join(t.documents.select("doc_id", (F.length("text") > 300).alias("guess")), "doc_id").withColumn("truth", F.col("quality") == 1)
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    hit = n(F.col("truth") & F.col("guess"))
+    return p.agg(F.round(hit / F.nullif(n(F.col("truth")), F.lit(0)), 6).alias("recall"), F.round(hit / F.nullif(n(F.col("guess")), F.lit(0)), 6).alias("precision"))
+
+
+@query("SELECT round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM (SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN k END) AS r FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) x GROUP BY 1) y")
+def ev2_mrr(t):
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
+    first = t.events.withColumn("k", k).groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("k"))).alias("r"))
+    return first.agg(F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
+
+
+@query("SELECT source, count(*) AS n, round(avg(quality), 6) AS accuracy, round(avg(toxic), 6) AS abstained FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def ev4_category_accuracy(t):
+    return t.labels.join(t.documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("accuracy"), F.round(F.avg("toxic"), 6).alias("abstained"))
+
+
+@query("""SELECT x AS threshold, round(2.0 * sum((n_chars >= x AND quality = 1)::INT) / (sum((n_chars >= x)::INT) + sum(quality)), 6) AS f1 FROM labels JOIN documents USING (doc_id), (SELECT unnest([100, 500, 1000]) AS x) t GROUP BY 1""")
+def ev8_threshold_calibration(t):
+    rows = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").withColumn("threshold", F.explode(F.array(*map(F.lit, (100, 500, 1000)))))
+    over = F.col("n_chars") >= F.col("threshold")
+    f1 = 2.0 * F.sum(F.when(over & (F.col("quality") == 1), 1).otherwise(0)) / (F.sum(F.when(over, 1).otherwise(0)) + F.sum("quality"))
+    return rows.groupBy("threshold").agg(F.round(f1, 6).alias("f1"))
+
+
+@query("SELECT 'orders' AS name, count(*) > 0 AS rows_ok, count(*) = count(DISTINCT o_orderkey) AS unique_ok, min(o_totalprice) > 0 AS range_ok FROM orders")
+def ev9_data_checks(t):
+    return t.orders.agg(F.lit("orders").alias("name"), (F.count("*") > 0).alias("rows_ok"), (F.count("*") == F.count_distinct("o_orderkey")).alias("unique_ok"), (F.min("o_totalprice") > 0).alias("range_ok"))
+
+
+@query("SELECT doc_id, greatest(CAST(ceil((length(text) - 128) / 64.0) AS INTEGER), 0) + 1 AS units FROM documents WHERE length(text) > 0")
+def st1_streamed_units(t):
+    """Documents taken as a stream of files, split and appended; the table that the stream wrote."""
+    base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    stream = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/documents.parquet*")
+    jobs.ingest_units(stream, f"{base}/units", f"{base}/checkpoint").awaitTermination()
+    found = t.spark.read.parquet(f"{base}/units")
+    return found.groupBy("doc_id").agg(F.count("*").cast("int").alias("units"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def st6_event_windows(t):
+    """The windowed counts that the stream keeps, over the whole table."""
+    return jobs.event_counts(t.events, "1 hour", "10 minutes")
