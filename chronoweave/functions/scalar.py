@@ -71,3 +71,74 @@ def sanitise(text: Column, hard: int = 3000, soft: int = 2000) -> Column:
 def assistant_turn(text: Column) -> Column:
     """Whether a line opens with an assistant's label."""
     return text.rlike(r"(?im)^\s*(assistant|ai|bot)\s*:")
+
+
+#: Irregular past forms of the predicate vocabulary.
+IRREGULAR = {"was": "be", "is": "be", "has": "have", "had": "have", "made": "make", "wrote": "write", "built": "build", "led": "lead", "ran": "run", "met": "meet", "left": "leave", "bought": "buy", "sold": "sell"}
+
+
+def lemma(verb: Column) -> Column:
+    """The base form of a verb: an irregular form by table, else by its ending."""
+    table = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])
+    rules = (
+        F.when(verb.rlike("ies$"), F.regexp_replace(verb, "ies$", "y"))
+        .when(verb.rlike("ied$"), F.regexp_replace(verb, "ied$", "y"))
+        .when(verb.rlike("(ss|sh|ch|x|z|o)es$"), F.regexp_replace(verb, "es$", ""))
+        .when(verb.rlike("([bdgmnprt])\\1(ed|ing)$"), F.regexp_replace(verb, "([bdgmnprt])\\1(ed|ing)$", "$1"))
+        .when(verb.rlike("[aeiou][a-z]*(at|iz|ag|ut|ir|as|os|in|ov|iv|uc|ur|us)(ed|ing)$"), F.regexp_replace(verb, "(ed|ing)$", "e"))
+        .when(verb.rlike("[aeiou][a-z]*(ed|ing)$"), F.regexp_replace(verb, "(ed|ing)$", ""))
+        .when(verb.rlike("[^s]s$"), F.regexp_replace(verb, "s$", ""))
+        .otherwise(verb)
+    )
+    return F.coalesce(F.element_at(table, verb), rules)
+
+
+_DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+
+
+def due_phrase(text: Column) -> Column:
+    """The first phrase of a due date in a text, lower-cased; null when there is none."""
+    low = F.lower(text)
+    found = [F.regexp_extract(low, p, 0) for p in (
+        r"\b(tomorrow|tonight|today)\b",
+        r"\b(next|by|on) (" + "|".join(_DAYS) + r")\b",
+        r"\bin \d+ (hour|day|week)s?\b",
+        r"\b\d{4}-\d{2}-\d{2}\b",
+    )]
+    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
+
+
+def due_at(phrase: Column, now: Column) -> Column:
+    """The instant a due phrase means, seen from ``now``: mornings at 9:00, tonight at 17:00; null when it means none."""
+    day = F.date_trunc("day", now)
+    n = F.coalesce(F.nullif(F.regexp_extract(phrase, r"^in (\d+) ", 1), F.lit("")).cast("int"), F.lit(0))
+    unit = F.regexp_extract(phrase, r"^in \d+ (hour|day|week)", 1)
+    name = F.regexp_extract(phrase, r"(" + "|".join(_DAYS) + r")$", 1)
+    on_day = F.coalesce(*[F.when(name == d, F.next_day(now.cast("date"), d[:3]).cast("timestamp")) for d in _DAYS])
+    hours = lambda h: F.make_dt_interval(hours=h)
+    return (
+        F.when(phrase == "tomorrow", day + F.make_dt_interval(days=F.lit(1), hours=F.lit(9)))
+        .when(phrase == "today", day + hours(F.lit(9)))
+        .when(phrase == "tonight", day + hours(F.lit(17)))
+        .when(unit == "hour", now + hours(n))
+        .when(unit == "day", now + F.make_dt_interval(days=n))
+        .when(unit == "week", now + F.make_dt_interval(days=n * 7))
+        .when(name != "", on_day + hours(F.lit(9)))
+        .when(phrase.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(phrase, F.lit("yyyy-MM-dd")) + hours(F.lit(9)))
+    )
+
+
+def priority(text: Column) -> Column:
+    """high, medium or low; anything unknown is medium."""
+    low = F.lower(F.trim(text))
+    return F.when(low.isin("urgent", "critical", "high", "asap"), "high").when(low.isin("low", "minor", "someday"), "low").otherwise("medium")
+
+
+def cron(text: Column) -> Column:
+    """The cron line of an interval that divides its unit; null for others."""
+    s = interval_seconds(text)
+    return (
+        F.when((s >= 86400) & (s % 86400 == 0), F.format_string("0 0 */%d * *", ((s - s % 86400) / 86400).cast("int")))
+        .when((s >= 3600) & (s % 3600 == 0), F.format_string("0 */%d * * *", ((s - s % 3600) / 3600).cast("int")))
+        .when((s >= 60) & (s % 60 == 0), F.format_string("*/%d * * * *", ((s - s % 60) / 60).cast("int")))
+    )

@@ -9,6 +9,7 @@ from chronoweave.functions import scalar as S
 from chronoweave.operators import graph as G
 from chronoweave.operators import vectors as V
 from chronoweave.operators.components import connected_components
+from chronoweave.operators.graph_cuts import betweenness, bridges, cut_vertices
 from chronoweave.registry import query
 
 
@@ -159,3 +160,26 @@ def rt6_fusion(t):
     h = _hits(t).select("query_id", "id", "rank")
     both = h.withColumn("weight", F.lit(1.0)).unionByName(h.withColumn("rank", 11 - F.col("rank")).withColumn("weight", F.lit(0.5)))
     return V.fuse(both).withColumn("score", F.round("score", 9))
+
+
+def _trade(t):
+    """Nations and the companies and people in them, with one more edge from a company to a neighbour nation."""
+    e = _edges(t).select("src", "dst", "edge_id")
+    n = t.supplier.filter("s_suppkey % 4 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("src"), F.concat(F.lit("N"), ((F.col("s_nationkey") + 1) % 25).cast("string")).alias("dst"))
+    return e.unionByName(n.withColumn("edge_id", F.concat(F.lit("x"), F.col("src"))))
+
+
+@query()
+def gr4_bridges(t):
+    return bridges(_trade(t))
+
+
+@query()
+def gr3_cut_vertices(t):
+    return cut_vertices(_trade(t))
+
+
+@query()
+def gr8_betweenness(t):
+    sources = _vertices(t).filter("v like 'N%'").orderBy(F.xxhash64("v")).limit(8)  # the sampled sources are the feature
+    return betweenness(_trade(t), sources)

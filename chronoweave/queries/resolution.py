@@ -192,3 +192,60 @@ def on6_threshold_groups(t):
 def on7_inverse_view(t):
     inverse = t.spark.createDataFrame([("owns", "owned_by")], "predicate string, inv string")
     return BT.active(t.facts).join(F.broadcast(inverse), "predicate").select(F.col("object_id").alias("subject_id"), F.col("inv").alias("predicate"), F.col("subject_id").alias("object_id"))
+
+
+@query("""WITH x AS (SELECT label, i, avg(e) AS c FROM (SELECT label, unnest(embedding)::DOUBLE AS e, unnest(range(1, 65)) AS i FROM embeddings) y GROUP BY 1, 2), m AS (SELECT label, list(c ORDER BY i) AS c FROM x GROUP BY 1)
+SELECT (SELECT round(avg(1 - list_cosine_similarity(embedding::DOUBLE[], c)), 6) FROM embeddings JOIN m USING (label)) AS intra, (SELECT round(avg(1 - list_cosine_similarity(a.c, b.c)), 6) FROM m a JOIN m b ON a.label < b.label) AS inter""")
+def agg16_cl3_cluster_distances(t):
+    e = t.embeddings
+    c = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    c = c.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("c"))
+    intra = e.join(F.broadcast(c), "label").agg(F.round(F.avg(1 - S.cosine(F.col("embedding"), F.col("c"))), 6).alias("intra"))
+    pairs = c.toDF("a", "ca").join(c.toDF("b", "cb"), F.col("a") < F.col("b"))  # one row a cluster on each side
+    return intra.crossJoin(pairs.agg(F.round(F.avg(1 - S.cosine(F.col("ca"), F.col("cb"))), 6).alias("inter")))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice >= 300000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def flt16_flt17_flt18_filtered_page(t):
+    o = t.orders.filter(F.col("o_orderstatus").isin("F", "P") & (F.col("o_totalprice") >= 300000))
+    return TB.page(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), "o_totalprice"), [F.desc("o_totalprice"), F.col("id")], 50).drop("o_totalprice")
+
+
+@query("SELECT DISTINCT p_brand AS pattern, l_suppkey AS entity FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 45")
+def flt24_patterns_of_entities(t):
+    p = t.part.filter("p_size > 45").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("pattern"))
+    return t.lineitem.join(p, "l_partkey").select("pattern", F.col("l_suppkey").alias("entity")).distinct()
+
+
+@query("""WITH c AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.source = b.source AND a.n_chars = b.n_chars AND a.doc_id < b.doc_id), g AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id)
+SELECT (SELECT count(*) FROM c) AS candidates, (SELECT count(*) FROM g) AS truth, (SELECT count(*) FROM c JOIN g USING (a, b)) AS hits""")
+def ev7_candidate_quality(t):
+    d = t.documents.select("doc_id", "source", "n_chars", F.xxhash64("text").alias("h"), F.md5(F.encode("text", "utf-8")).alias("m"))
+
+    def pairs(*keys):
+        a = d.select(F.col("doc_id").alias("a"), *keys)
+        return a.join(d.select(F.col("doc_id").alias("b"), *keys), list(keys)).filter("a < b").select("a", "b")
+
+    c, g = pairs("source", "n_chars"), pairs("h", "m")
+    count = lambda x, n: x.agg(F.count("*").alias(n))
+    return count(c, "candidates").crossJoin(count(g, "truth")).crossJoin(count(c.join(g, ["a", "b"]), "hits"))
+
+
+@query("""SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(substr(benchmark.text, 1, 60)))""")
+def ev5_ev6_citation_hits(t):
+    """Documents that cite a benchmark item: the items are a short reference list, and its size is checked."""
+    b = t.benchmark.select("item_id", F.lower(F.substring("text", 1, 60)).alias("needle"))
+    b = F.broadcast(b) if b.count() <= 10_000 else b
+    return t.documents.join(b, F.contains(F.lower("text"), F.col("needle"))).select("doc_id", "item_id")
+
+
+@query("SELECT event_type AS verb, CASE event_type WHEN 'purchase' THEN 'purchase' ELSE event_type END AS base, count(*) AS n FROM events GROUP BY 1, 2")
+def fn20_lemma(t):
+    verbs = t.events.groupBy(F.col("event_type").alias("verb")).agg(F.count("*").alias("n"))
+    return verbs.withColumn("base", S.lemma(F.col("verb"))).select("verb", "base", "n")
+
+
+@query("SELECT user_id, CASE WHEN last < TIMESTAMP '2024-01-08' THEN 'due' ELSE 'fresh' END AS state FROM (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) x")
+def st8_patrol(t):
+    last = t.events.groupBy("user_id").agg(F.max("ts").alias("last"))
+    return last.select("user_id", F.when(F.col("last") < F.lit("2024-01-08").cast("timestamp"), "due").otherwise("fresh").alias("state"))
