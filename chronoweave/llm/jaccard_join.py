@@ -88,10 +88,12 @@ def band_edges(most: int, num: int, den: int) -> list[int]:
     return edges + [edges[-1] * den // num + 1]
 
 
-def allocate(edges: list[int], counts: dict[int, int], num: int, den: int) -> list[tuple[int, int]]:
-    """For each band the cheapest (groups, segments): 1 segment exact, 0 one-deletion, 3 or 4 subsets; (0, 0) no need.
+def allocate(edges: list[int], counts: dict[int, int], num: int, den: int) -> list[tuple[int, int, int]]:
+    """For each band the cheapest (groups, segments, spare): 1 segment exact, 0 one-deletion, 3 or 4 subsets.
 
     The cost is the rows of signatures plus the pairs expected to agree by chance, from the counts of all documents.
+    Two unlike sets agree mostly where both have nothing. Each set may therefore leave out signatures without content
+    in up to ``spare`` groups, and twice as many groups more than the pigeonholes need make up for those of a pair.
     """
     plans = []
     for band in range(len(edges) - 1):
@@ -99,19 +101,21 @@ def allocate(edges: list[int], counts: dict[int, int], num: int, den: int) -> li
         most = (den - num) * (top + top * den // num) // (den + num)  # differences of a linked pair
         docs = counts.get(band, 0) + counts.get(band + 1, 0)
         if most == 0 or docs < 2 or not counts.get(band):
-            plans.append((0, 0))
+            plans.append((0, 0, 0))
             continue
-        half = (most + 2) // 2
         tries = []
         for segments in (1, 3, 4, 0):
-            groups = most + 1 if segments == 1 else half
-            load = low / groups
-            if segments == 0:
-                rows, told = groups + low, max(load - 1, 0.1)
-            else:
-                rows, told = groups * segments, load if segments == 1 else load * (segments - 1) / segments
-            chance = docs * math.exp(-told)
-            tries.append((rows * docs + rows * chance * chance / 2, groups, segments))
+            least = most + 1 if segments == 1 else (most + 2) // 2
+            groups, spare = least, 0
+            for _ in range(4):  # the spare groups thin the others out a little
+                load = low / groups
+                told = load if segments == 1 else max(load - 1, 0.1) if segments == 0 else load * (segments - 1) / segments
+                bare = min(1.0, max(segments, 1) * math.exp(-told))
+                spare = math.ceil(1.3 * groups * bare + 2) if groups * bare < 0.15 * groups else 0
+                groups = least + 2 * spare
+            rows = groups + low if segments == 0 else groups * segments
+            chance = docs * math.exp(-told) * (0.05 if spare else 1.0)
+            tries.append((rows * docs + rows * chance * chance / 2, groups, segments, spare))
         plans.append(min(tries)[1:])
     return plans
 
@@ -136,28 +140,35 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, scheme: np.ndarray, pla
     slot, value = slot[order], value[order]
     cell_bounds = np.searchsorted(slot, np.arange(base[-1] + 1))
     sums = _sums(value, cell_bounds)  # of each cell
+    held = np.diff(cell_bounds)
     owner = np.repeat(np.arange(texts), groups * cells)
     inside = np.arange(base[-1]) - base[owner]
     name = mix((scheme[owner].astype(np.uint64) << np.uint64(40)) + inside.astype(np.uint64))
     first = np.arange(base[-1]) - inside % cells[owner]
     whole = np.zeros(base[-1], np.uint64)
     np.add.at(whole, first, sums)
-    out_text, out = [], []
-    plain = segments[owner] == 1
-    out_text.append(owner[plain])
-    out.append(mix(sums[plain] + name[plain]))
-    some = segments[owner] > 1
-    out_text.append(owner[some])
-    out.append(mix(whole[first[some]] - sums[some] + name[some]))
-    none = segments[owner] == 0
-    out_text.append(owner[none])
-    out.append(mix(sums[none] + name[none]))
+    many = np.bincount(first, held, minlength=base[-1]).astype(np.int64)
+    parts = []  # (text, group, content, signature)
+    for mask, content, told in (
+        (segments[owner] == 1, sums, held),
+        (segments[owner] > 1, whole[first] - sums, many[first] - held),
+        (segments[owner] == 0, sums, held),
+    ):
+        parts.append((owner[mask], first[mask], told[mask], mix(content[mask] + name[mask])))
     each = segments[text[order]] == 0
-    out_text.append(text[order][each])
-    out.append(mix(sums[slot[each]] - value[each] + name[slot[each]]))
-    found_text, found = np.concatenate(out_text), np.concatenate(out)
-    order = np.argsort(found_text, kind="stable")
-    return found[order].view(np.int64), np.searchsorted(found_text[order], np.arange(texts + 1))
+    parts.append((text[order][each], slot[each], held[slot[each]] - 1, mix(sums[slot[each]] - value[each] + name[slot[each]])))
+    out_text, group, told, out = (np.concatenate(x) for x in zip(*parts))
+    # signatures without content, in the first ``spare`` groups of the text that have one, are left out
+    bare = np.flatnonzero(told == 0)
+    found, which = np.unique(group[bare], return_inverse=True)
+    whose = owner[found] if len(found) else found
+    rank = np.arange(len(found)) - np.searchsorted(whose, whose)
+    spare = np.where(scheme >= 0, plans[scheme, 2], 0)
+    keep = np.ones(len(out), bool)
+    keep[bare[rank[which] < spare[out_text[bare]]]] = False
+    out_text, out = out_text[keep], out[keep]
+    order = np.argsort(out_text, kind="stable")
+    return out[order].view(np.int64), np.searchsorted(out_text[order], np.arange(texts + 1))
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -183,7 +194,7 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def _few_differences(num: int, den: int) -> Column:
     """Whether the pair's sizes and parity bitmaps allow a link."""
-    distance = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    distance = sum((F.bit_count(F.col(f"pa{i}").bitwiseXOR(F.col(f"pb{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
     return (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (distance * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))
 
 
@@ -212,10 +223,10 @@ def jaccard_components(
 
     def describe(ids, shingles, bounds):
         f1, f2, parity = profile(shingles, bounds)
-        rows = np.arange(0, len(parity) * PARITY_WORDS + 1, PARITY_WORDS)
-        return [ids, pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), _lists(parity.ravel(), rows)]
+        return [ids, pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), *(pa.array(parity[:, i]) for i in range(PARITY_WORDS))]
 
-    sets = stash(_map_sets(docs, n, "doc_id long, n long, f1 long, f2 long, parity array<long>", describe))
+    words_of = [f"p{i}" for i in range(PARITY_WORDS)]
+    sets = stash(_map_sets(docs, n, "doc_id long, n long, f1 long, f2 long, " + ", ".join(f"{p} long" for p in words_of), describe))
     known = sets.filter("n > 0 and doc_id is not null")
     classes = stash(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("cid")))
     members = sets.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
@@ -229,7 +240,7 @@ def jaccard_components(
     # the count of each band: as many rows as the logarithm of the longest text
     bands = classes.groupBy(F.array_position(F.transform(F.lit(edges), lambda e: e > F.col("n")), True).alias("k")).count().collect()
     plans = allocate(edges, {r["k"] - 2: r["count"] for r in bands}, num, den)
-    edge, plan = np.array(edges), np.array(plans + [(0, 0)])
+    edge, plan = np.array(edges), np.array(plans + [(0, 0, 0)])
 
     def sign(ids, shingles, bounds):
         size = np.diff(bounds)
@@ -244,36 +255,35 @@ def jaccard_components(
     rows = signed.select("cid", "n", F.explode(tagged).alias("s")).select("cid", "n", "s.sig", "s.low")
     shared = Window.partitionBy("sig")
     rows = rows.withColumn("m", F.count("*").over(shared)).withColumn("lows", F.max("low").over(shared))
-    rows = stash(rows.filter("m > 1 and lows").select("sig", "cid", "n", "low"))
-    parity = sets.select(F.col("doc_id").alias("_id"), "parity").filter("_id is not null").groupBy("_id").agg(F.first("parity").alias("parity"))
-    involved = rows.select(F.col("cid").alias("_id")).distinct()
-    parity = stash(parity.join(involved, "_id", "left_semi"))
+    rows = rows.filter("m > 1 and lows").select("sig", "cid", "n", "low", "m")
+    parity = sets.filter("doc_id is not null").groupBy(F.col("doc_id").alias("cid")).agg(F.min(F.struct(*words_of)).alias("p")).select("cid", "p.*")
+    rows = stash(rows.join(parity, "cid"))
+    involved = rows.select("cid").distinct()
     close = _few_differences(num, den)
 
-    def pruned(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs a < b that the bitmaps allow."""
-        both = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-        both = both.join(parity.select(F.col("_id").alias("a"), F.col("parity").alias("pa")), "a").join(parity.select(F.col("_id").alias("b"), F.col("parity").alias("pb")), "b")
-        return both.filter(close).select("a", "b")
+    def side(frame: DataFrame, letter: str, *more: Column) -> DataFrame:
+        """The frame's document columns under names of one side of a pair."""
+        bits = [F.col(p).alias(f"p{letter}{p[1:]}") for p in words_of]
+        return frame.select("sig", F.col("cid").alias(letter), F.col("n").alias(f"n{letter}"), F.col("comp").alias(f"c{letter}"), *bits, *more)
 
     links = None
-    comp = involved.select(F.col("_id").alias("cid"), F.col("_id").alias("comp"))
+    comp = involved.select("cid", F.col("cid").alias("comp"))
     tried = None
     for turn in range(star_rounds + 1):
-        now = rows.join(comp, "cid")
-        if turn:  # signatures whose members are all in one component are done
+        if turn == 0:
+            now = rows.withColumn("comp", F.col("cid"))
+        else:  # signatures of two members, or whose members are all in one component, are done
+            now = rows.filter("m > 2").join(comp, "cid")
             now = now.withColumn("lo", F.min("comp").over(shared)).withColumn("hi", F.max("comp").over(shared)).filter("lo <> hi").drop("lo", "hi")
             now = stash(now)
         if turn < star_rounds:
-            rank = F.struct(F.xxhash64(F.lit(turn), "cid"), "cid", "n", "comp")
-            pivots = now.filter("low").groupBy("sig").agg(F.min(rank).alias("p")).select("sig", F.col("p.cid").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"))
-            pairs = now.join(pivots, "sig").filter("comp <> ca").select("a", "na", F.col("cid").alias("b"), F.col("n").alias("nb"))
+            pivot = F.min(F.when(F.col("low"), F.struct(F.xxhash64(F.lit(turn), "cid"), "cid", "n", "comp", *words_of))).over(shared)
+            met = now.withColumn("p", pivot).filter("p.comp <> comp")
+            pairs = side(met, "b", "p").select("*", F.col("p.cid").alias("a"), F.col("p.n").alias("na"), *[F.col(f"p.{p}").alias(f"pa{p[1:]}") for p in words_of]).filter(close)
         else:
-            left = now.filter("low").select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            right = now.select("sig", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("low").alias("lb"))
-            fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("ca") != F.col("cb")) & (~F.col("lb") | (F.col("a") < F.col("b")))
-            pairs = left.join(right, "sig").filter(fits).select("a", "na", "b", "nb")
-        pairs = pruned(pairs)
+            apart = (F.col("ca") != F.col("cb")) & (~F.col("lb") | (F.col("a") < F.col("b")))
+            pairs = side(now.filter("low"), "a").join(side(now, "b", F.col("low").alias("lb")), "sig").filter(apart & close)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs)
@@ -285,6 +295,6 @@ def jaccard_components(
         new = stash(verify(pairs, docs, n, num, den))
         links = new if links is None else links.union(new)
         found = connected_components(links, "a", "b")
-        comp = stash(involved.select(F.col("_id").alias("cid")).join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("comp")))
+        comp = stash(involved.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("comp")))
     joined = members.join(comp, "cid", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cid").alias("component_id"))
