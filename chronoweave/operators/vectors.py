@@ -132,7 +132,7 @@ def drift_changes(observations: DataFrame, delta: float = 0.002) -> DataFrame:
     def run(series: pd.DataFrame) -> pd.DataFrame:
         window, series = Adwin(delta), series.sort_values("at")
         hits = [a for a, x in zip(series["at"], series["value"]) if window.add(float(x))]
-        return pd.DataFrame({"entity": [series["entity"].iloc[0]] * len(hits), "at": hits}, columns=["entity", "at"])
+        return pd.DataFrame({"entity": pd.Series([series["entity"].iloc[0]] * len(hits), dtype=object), "at": pd.Series(hits, dtype=object)})
 
     kinds = dict(observations.dtypes)
     return observations.select("entity", "at", "value").groupBy("entity").applyInPandas(run, f"entity {kinds['entity']}, at {kinds['at']}")
