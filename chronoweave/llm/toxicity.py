@@ -1,14 +1,16 @@
-"""Operator 3: toxicity by class-conditional Kneser-Ney models.
-
-Labelled training texts give, for each hashed word, its count in toxic and in ordinary texts and the contexts (words
-before it) of both together. A class's probability of a word is its discounted count plus the discounted mass spread
-by the shared backoff, in which a word weighs as many contexts as it continues, so a rare expression is not judged by
-one class alone. A text's score is a logistic function of its length-normalised log-likelihood ratios, calibrated on
-training texts whose counts are left out.
+"""Operator 3: toxicity by class-conditional Kneser-Ney models of words and of pairs of neighbouring words.
+
+Labelled training texts give, for each (word before, word), its count in toxic and in ordinary texts, under whole 64-bit
+hashes and in as many rows as the texts have pairs. A class's probability of a word or pair is its discounted count plus
+the discounted mass spread by a backoff that both classes share, so a rare expression is not judged by one class alone.
+The shared backoff of a word is its exact share of the distinct contexts of both classes; that of a pair is the same for
+its second word, times how often its first word is a context. A text's score is a logistic function of its
+length-normalised log-likelihood ratios of both orders, calibrated on training texts whose counts are left out.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,78 +18,225 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.textbytes import LOWER, PUNCTUATION, span_hashes, text_chunks, word_spans
+from chronoweave.llm.textbytes import LOWER, PUNCTUATION, mix, span_hashes, text_chunks, word_spans
+from chronoweave.plans.stash import drop_stash, stash
 
-#: Word buckets: the tables that reach the driver and the executors have this many rows at most (8 MB).
-BUCKETS = 1 << 20
-#: Most calibration rows (three numbers each) that reach the driver; beyond it rows are taken by hash.
+#: Most calibration rows (a few numbers each) that reach the driver; beyond it rows are taken by hash.
 CALIBRATION_ROWS = 100_000
 FOLDS = 5
-#: A word whose ratio is below a margin counts as equally likely in both classes there. It keeps what a language or a
-#: topic shifts a little for every word from hiding the few words that only one class uses.
+#: A word or pair whose ratio is below a margin counts as equally likely in both classes there. It keeps what a language
+#: or a topic shifts a little for every word from hiding the few expressions that only one class uses.
 MARGINS = (1.0, 2.0, 3.0)
+#: Counting takes the words, and scoring the texts, in so many turns; a turn's shuffle is gone before the next.
+TURNS = 8
+SUMS = [f"s{o}{m}" for o in (1, 2) for m in range(len(MARGINS) + 1)]
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each word, bounds of the texts). Words are runs of letters, digits and bytes beyond ASCII."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, hash of the word before or 0, bounds of the texts). Words are runs of letters, digits and bytes beyond ASCII."""
     low = LOWER[data]
     starts, ends, bounds = word_spans(low, offsets, PUNCTUATION)
-    return (span_hashes(low, starts, ends) >> np.uint64(44)).astype(np.int64), bounds
+    word = span_hashes(low, starts, ends)
+    before = np.zeros_like(word)
+    before[1:] = word[:-1]
+    before[bounds[:-1][bounds[1:] > bounds[:-1]]] = 0
+    return word, before, bounds
+
+
+def _key(word: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """The key of a word (even) or a pair (odd)."""
+    if before is None:
+        return mix(word) & ~np.uint64(1)
+    return mix(word + mix(before + np.uint64(1))) | np.uint64(1)
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """Ranges of the keys, the same number of them in each part."""
+    return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def fold_of(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, ordinary, toxic, contexts): counts of all (toxic, text) rows, and a 64-bit sketch of the words before."""
+def _free(spark) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def pair_counts(train: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(before, word, ordinary, toxic): counts of all (toxic, text) rows, for the words of one turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = np.asarray(batch.column(0).to_numpy(zero_copy_only=False)) > 0
             for a, b, data, offsets in text_chunks(batch.column(1)):
-                word, bounds = _words(data, offsets)
-                if not len(word):
+                word, before, bounds = _words(data, offsets)
+                mine = np.flatnonzero(mix(word) % np.uint64(turns) == turn)
+                if not len(mine):
                     continue
-                before = np.empty_like(word)
-                before[1:] = word[:-1]
-                before[bounds[:-1][bounds[1:] > bounds[:-1]]] = 0
-                is_toxic = np.repeat(toxic[a:b], np.diff(bounds))
-                order = np.argsort(word, kind="stable")
-                found, first = np.unique(word[order], return_index=True)
-                bit = np.uint64(1) << (before[order] % 64).astype(np.uint64)
+                is_toxic = np.repeat(toxic[a:b], np.diff(bounds))[mine]
+                word, before = word[mine], before[mine]
+                order = np.lexsort((before, word))
+                word, before = word[order], before[order]
+                new = np.ones(len(word), bool)
+                new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1])
+                first = np.flatnonzero(new)
                 t = np.add.reduceat(is_toxic[order].astype(np.int64), first)
                 n = np.diff(np.append(first, len(word)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found), pa.array(n - t), pa.array(t), pa.array(np.bitwise_or.reduceat(bit, first).view(np.int64))],
-                    ["word", "ordinary", "toxic", "contexts"],
+                    [pa.array(before[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n - t), pa.array(t)],
+                    ["before", "word", "ordinary", "toxic"],
                 )
 
-    rows = train.select("toxic", "text").mapInArrow(run, "word long, ordinary long, toxic long, contexts long")
-    return rows.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.bit_or("contexts").alias("contexts"))
+    rows = train.select("toxic", "text").mapInArrow(run, "before long, word long, ordinary long, toxic long")
+    return rows.groupBy("before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def log_ratios(word: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """log P(word | toxic) - log P(word | ordinary) for every bucket."""
-    seen = np.unpackbits(contexts.astype(np.int64).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=1) if len(word) else np.zeros(0)
-    distinct = -64.0 * np.log(np.maximum(64 - seen, 0.5) / 64)  # linear counting
-    backoff = np.zeros(BUCKETS)
-    backoff[word] = distinct
-    total = max(backoff.sum(), 1.0)
-    backoff = (np.maximum(backoff - 0.5, 0) + 0.5 * (backoff > 0).sum() / BUCKETS) / total if len(word) else np.full(BUCKETS, 1 / BUCKETS)
-    backoff = np.maximum(backoff, 1e-12)
+def _totals(counts: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """Of each class: (occurrences, discount, mass freed by it)."""
+    classes = ("toxic", "ordinary")
+    row = counts.agg(*[F.sum(c).alias(f"n_{c}") for c in classes], *[F.count_if(F.expr(f"{c} {test}")).alias(f"{k}_{c}") for c in classes for k, test in (("types", "> 0"), ("ones", "= 1"), ("twos", "= 2"))]).first()
+    out = {}
+    for c in classes:
+        discount = float(np.clip(row[f"ones_{c}"] / max(row[f"ones_{c}"] + 2 * row[f"twos_{c}"], 1), 0.1, 0.95))
+        out[c] = (max(float(row[f"n_{c}"] or 0), 1.0), discount, max(discount * row[f"types_{c}"], 1e-3))
+    return out
+
+
+def _log_ratio(toxic: np.ndarray, ordinary: np.ndarray, backoff: np.ndarray, totals) -> np.ndarray:
+    """log P(expression | toxic) - log P(expression | ordinary)."""
     logs = []
-    for counts in (toxic, ordinary):
-        ones, twos = (counts == 1).sum(), (counts == 2).sum()
-        discount = float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
-        n = max(float(counts.sum()), 1.0)
-        p = np.zeros(BUCKETS)
-        p[word] = np.maximum(counts - discount, 0)
-        kept = p.sum()
-        logs.append(np.log((p + max(n - kept, 1e-3) * backoff) / n))
+    for c, counts in (("toxic", toxic), ("ordinary", ordinary)):
+        n, discount, mass = totals[c]
+        logs.append(np.log((np.maximum(counts - discount, 0) + mass * backoff) / n))
     return (logs[0] - logs[1]).astype(np.float32)
 
 
+def _unseen(totals) -> float:
+    """The ratio of what neither class has: the backoff is the same for both."""
+    return float(np.log(totals["toxic"][2] / totals["toxic"][0]) - np.log(totals["ordinary"][2] / totals["ordinary"][0]))
+
+
+def _by_part(rows: DataFrame) -> DataFrame:
+    """(part, keys, ratios): the (part, key, ratio) rows as sorted arrays, a row for each part."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        key, ratio = table.column("key").to_numpy().view(np.uint64), table.column("ratio").to_numpy()
+        order = np.argsort(key)
+        return pa.table({"part": table.column("part").slice(0, 1), "keys": pa.array([key[order].tobytes()], pa.binary()), "ratios": pa.array([ratio[order].astype(np.float32).tobytes()], pa.binary())})
+
+    return rows.groupBy("part").applyInArrow(pack, "part long, keys binary, ratios binary")
+
+
+def log_ratios(train: DataFrame, parts: int) -> tuple[list[DataFrame], tuple[float, float]]:
+    """Stashed (part, keys, ratios) of every word and pair of the (toxic, text) rows, and the ratios of an unseen word and pair."""
+    spark, taken = train.sparkSession, []
+    for turn in range(TURNS):
+        taken.append(stash(pair_counts(train, turn, TURNS)))
+        _free(spark)
+    counts = _union(taken)
+    words = stash(counts.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("contexts")))
+    _free(spark)
+    firsts = stash(counts.groupBy("before").agg(F.sum(F.col("ordinary") + F.col("toxic")).alias("uses")))
+    _free(spark)
+    pairs = float(words.agg(F.sum("contexts")).first()[0] or 1)
+    one, two = _totals(words), _totals(counts)
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, ordinary, toxic, contexts = (batch.column(c).to_numpy() for c in ("word", "ordinary", "toxic", "contexts"))
+            key = _key(word.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(_part(key, parts)), pa.array(key.view(np.int64)), pa.array(_log_ratio(toxic, ordinary, contexts / pairs, one))], ["part", "key", "ratio"])
+
+    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = two["toxic"][0] + two["ordinary"][0]
+        for batch in batches:
+            before, word, ordinary, toxic, contexts, uses = (batch.column(c).to_numpy() for c in ("before", "word", "ordinary", "toxic", "contexts", "uses"))
+            key = _key(word.view(np.uint64), before.view(np.uint64))
+            backoff = (uses / n) * (contexts / pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(_part(key, parts)), pa.array(key.view(np.int64)), pa.array(_log_ratio(toxic, ordinary, backoff, two))], ["part", "key", "ratio"])
+
+    shape = "part long, key long, ratio float"
+    tables = [stash(_by_part(words.mapInArrow(of_words, shape)))]
+    for held in taken:
+        met = held.join(words.select("word", "contexts"), "word").join(firsts, "before").select("before", "word", "ordinary", "toxic", "contexts", "uses")
+        tables.append(stash(_by_part(met.mapInArrow(of_pairs, shape))))
+        drop_stash(held)
+        del met
+        _free(spark)
+    drop_stash(words)
+    drop_stash(firsts)
+    return tables, (_unseen(one), _unseen(two))
+
+
+def text_sums(docs: DataFrame, table: DataFrame, unseen: tuple[float, float], parts: int) -> DataFrame:
+    """(text_key, n, SUMS): words, and summed ratios and excesses of words and pairs, of the (text_key, text) rows.
+
+    What a chunk of texts asks of one part is one row: distinct keys, and for each of them the texts it stands in.
+    Texts without words have no row.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1 << 16):
+                batch = whole.slice(at, 1 << 16)
+                names = batch.column(0).to_numpy()
+                for a, b, data, offsets in text_chunks(batch.column(1)):
+                    word, before, bounds = _words(data, offsets)
+                    if not len(word):
+                        continue
+                    text = np.repeat(np.arange(b - a, dtype=np.uint16), np.diff(bounds))
+                    key = np.concatenate([_key(word), _key(word, before)])
+                    order = np.argsort(key, kind="stable")
+                    key, text = key[order], np.concatenate([text, text])[order]
+                    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                    runs = np.diff(np.append(first, len(key))).astype(np.uint32)
+                    part = _part(key[first], parts)
+                    cuts = np.searchsorted(part, np.arange(parts + 1))
+                    ends = np.append(first, len(key))
+                    rows = [(p, key[first[i:j]], runs[i:j], text[ends[i] : ends[j]]) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+                    name = names[a:b].tobytes()
+                    for p, k, r, d in rows:
+                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *(pa.array([x], pa.binary()) for x in (name, k.tobytes(), r.tobytes(), d.tobytes()))], ["part", "names", "keys", "runs", "texts"])
+
+    kinds = len(MARGINS) + 1
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        known, ratios = (np.frombuffer(b"".join(held.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("ratios", np.float32)))
+        order = np.argsort(known, kind="stable")  # a row for each turn of counting
+        known, ratios = known[order], ratios[order]
+        out = []
+        for row in range(asked.num_rows):
+            names, key, runs, text = (np.frombuffer(asked.column(c)[row].as_py(), t) for c, t in (("names", np.int64), ("keys", np.uint64), ("runs", np.uint32), ("texts", np.uint16)))
+            pair = (key & np.uint64(1)).astype(np.int64)
+            ratio = np.array(unseen)[pair]
+            if len(known):
+                spot = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                ratio = np.where(known[spot] == key, ratios[spot], ratio)
+            cell = text.astype(np.int64) * 2 + np.repeat(pair, runs)
+            n = np.bincount(cell, minlength=2 * len(names)).reshape(-1, 2)
+            sums = np.stack([np.bincount(cell, np.repeat(x, runs), 2 * len(names)).reshape(-1, 2) for x in (ratio, *(np.maximum(ratio - m, 0) for m in MARGINS))], axis=2).reshape(-1, 2 * kinds)
+            some = np.flatnonzero(n.sum(axis=1))
+            out.append((names[some], n[some, 0], sums[some].astype(np.float32)))
+        if not out:
+            return pa.table({"text_key": pa.array([], pa.int64()), "n": pa.array([], pa.int64())} | {c: pa.array([], pa.float32()) for c in SUMS})
+        names, n, sums = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"text_key": names, "n": n} | {c: np.ascontiguousarray(sums[:, i]) for i, c in enumerate(SUMS)})
+
+    asked = docs.select("text_key", "text").mapInArrow(ask, "part long, names binary, keys binary, runs binary, texts binary")
+    met = asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(answer, "text_key long, n long, " + ", ".join(f"{c} float" for c in SUMS))
+    return met.groupBy("text_key").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in SUMS])
+
+
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton's method; the columns of ``x`` are few."""
     w = np.zeros(x.shape[1])
@@ -103,34 +252,14 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _features(means: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Length-normalised ratios, by length and by its root; ``means`` has a column for each margin."""
+    """Length-normalised ratios, by length and by its root; ``means`` has a column for each order and margin."""
     return np.hstack([np.ones((len(n), 1)), 10 * means, means * np.sqrt(n)[:, None]])
 
 
-def _means(table: np.ndarray, word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(mean log-likelihood ratio, and its mean excess over each of MARGINS; words) of each text."""
-    n = np.diff(bounds)
-    ratio = table[word].astype(np.float64)
-    columns = []
-    for part in (ratio, *(np.maximum(ratio - m, 0) for m in MARGINS)):
-        sums = np.concatenate([[0.0], np.cumsum(part)])
-        columns.append((sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1))
-    return np.stack(columns, axis=1), n
-
-
-def _map_means(docs: DataFrame, ratios, schema: str, finish) -> DataFrame:
-    """``finish(other columns, mean ratios, words)`` over all rows of (..., text)."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ratios.value
-        for batch in batches:
-            last = batch.num_columns - 1
-            for a, b, data, offsets in text_chunks(batch.column(last)):
-                word, bounds = _words(data, offsets)
-                yield pa.RecordBatch.from_arrays(finish([batch.column(i).slice(a, b - a) for i in range(last)], *_means(table, word, bounds)), names)
-
-    return docs.mapInArrow(run, schema)
+def _read(table) -> np.ndarray:
+    """The features of an Arrow table's (n, SUMS) columns."""
+    n = table.column("n").to_numpy()
+    return _features(np.stack([table.column(c).to_numpy() for c in SUMS], axis=1) / np.maximum(n, 1)[:, None], n)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -143,29 +272,39 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows and further columns do no harm; an empty table gives an empty table.
     """
     spark = docs.sparkSession
+    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("text_key", F.xxhash64("doc_id", "text"))
     fold = fold_of("doc_id")
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     marks = marks.filter(fold_of("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     small = marks.count() <= 1_000_000  # 16 MB
-    labelled = docs.join(F.broadcast(marks) if small else marks, "doc_id").withColumn("fold", fold)
-    counts = word_counts(labelled.filter("fold > 1")).toArrow()
-    arrays = [counts.column(c).to_numpy().astype(np.int64) for c in ("word", "ordinary", "toxic", "contexts")]
-    ratios = spark.sparkContext.broadcast(log_ratios(*arrays))
-
-    part = labelled.filter("fold = 1")
-    held = max(1, -(-part.select("doc_id").count() // CALIBRATION_ROWS))
-    part = part.filter(F.pmod(F.xxhash64("doc_id"), F.lit(held)) == 0).select("toxic", "text")
-    told = _map_means(part, ratios, "toxic int, means array<double>, n long", lambda c, means, n: [c[0], pa.array(list(means), pa.list_(pa.float64())), pa.array(n)]).toArrow()
-    y = (told.column("toxic").to_numpy() > 0).astype(float)
-    weights = np.zeros(2 * len(MARGINS) + 3)
-    if len(y):
-        means = np.array(told.column("means").to_pylist())
-        weights = _fit_logistic(_features(means, told.column("n").to_numpy()), y)
-
-    def finish(columns, means, n):
-        score = 1 / (1 + np.exp(-np.clip(_features(means, n) @ weights, -40, 40)))
-        return [*columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
-
-    rows = docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
-    return _map_means(rows, ratios, "doc_id long, held_out boolean, score double, predicted int", finish)
+    marks = F.broadcast(marks) if small else marks
+    tables, unseen = log_ratios(docs.join(marks, "doc_id").filter(fold > 1), parts)
+    table, turns = _union(tables), []
+    for turn in range(TURNS):
+        mine = docs.filter(F.pmod("text_key", F.lit(TURNS)) == turn)
+        turns.append(stash(text_sums(mine, table, unseen, parts)))
+        _free(spark)
+    for held in tables:
+        drop_stash(held)
+    sums = _union(turns)
+
+    # Equal rows (of one id and text) have added up under one key.
+    rows = docs.groupBy("text_key", "doc_id").agg(F.count("*").alias("copies")).join(sums, "text_key", "left")
+    rows = rows.select("doc_id", "copies", *[(F.coalesce(c, F.lit(0)) / F.col("copies")).alias(c) for c in ("n", *SUMS)])
+    part = rows.join(marks, "doc_id").filter(fold == 1)
+    held = max(1, -(-part.count() // CALIBRATION_ROWS))
+    told = part.filter(F.pmod(F.xxhash64("doc_id"), F.lit(held)) == 0).select("toxic", "n", *SUMS).toArrow()
+    weights = np.zeros(2 * len(SUMS) + 1)
+    if told.num_rows:
+        weights = _fit_logistic(_read(told), (told.column("toxic").to_numpy() > 0).astype(float))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = 1 / (1 + np.exp(-np.clip(_read(batch) @ weights, -40, 40)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    rows = rows.withColumn("_copy", F.explode(F.expr("sequence(1L, copies)")))
+    rows = rows.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "n", *SUMS)
+    return rows.mapInArrow(finish, "doc_id long, held_out boolean, score double, predicted int")

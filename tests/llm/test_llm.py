@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -102,6 +103,33 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(df.limit(0), labels).count() == 0
 
 
+def test_toxicity_tells_an_expression_from_its_words(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    toxic = [i % 3 == 0 for i in range(600)]
+    texts = []
+    for x in toxic:
+        t = rng.choices(words, k=24)
+        t[4:4] = ["stone", "bread"] if x else ["bread", "stone"]
+        texts.append(" ".join(t))
+    labels = spark.createDataFrame([(i, int(x)) for i, x in enumerate(toxic)], "doc_id long, toxic int")
+    df = docs_of(spark, texts)
+    rows = toxicity.score_toxicity(df.unionAll(df.filter("doc_id < 50")), labels).collect()
+    assert len(rows) == 650 and all(len({r.score for r in rows if r.doc_id == i}) == 1 for i in range(50))
+    assert np.mean([r.predicted == toxic[r.doc_id] for r in rows if r.held_out]) > 0.95
+
+
+def test_pair_counts_are_exact(spark):
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.randrange(60)) for _ in range(rng.randrange(40))) for _ in range(300)]
+    want = Counter((a, b) for t in texts for a, b in zip([None, *t.split()], t.split()))
+    train = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "toxic int, text string")
+    rows = [r for k in range(3) for r in toxicity.pair_counts(train, k, 3).collect()]
+    assert sorted(r.ordinary + r.toxic for r in rows) == sorted(want.values())
+    contexts = Counter(b for _, b in want)
+    assert sorted(Counter(r.word for r in rows).values()) == sorted(contexts.values())
+
+
 def test_token_counts_equal_the_library(spark):
     rng = random.Random(2)
     parts = ["a", "s", "t", "'", "'s", "'re", "'ll", " ", "  ", "\n", "\t", "1", "!", "é", "×", " ", "日", "😀", "<|", "<|endoftext|>", "Ω", "\x1c"]
