@@ -9,10 +9,15 @@ forgive. Three kinds of group are weighed by cost for each band from the counts
 * segment subsets: one difference is forgiven by leaving out one of q segments (half as many groups, q signatures);
 * one-deletion neighbourhood: one difference is forgiven by leaving out any one shingle.
 
+Each band has some groups more than the pigeonholes need, so that a linked pair agrees in several. A set may then leave
+out as many of its signatures as make up for: first those without content, then those that most sets share, such as
+the ones of a passage that stands in many documents.
+
 Equal sets are collapsed to classes first. Documents that share a signature are candidates. A parity bitmap, whose
 distance never exceeds the sets' difference, drops most false ones, and the rest are verified on whole sets. Star
-rounds compare the members of a signature with one pivot; the last round compares all members whose components still
-differ, so components are those of all links, and a group of near copies does not make all its pairs.
+rounds compare the members of a signature with one pivot, at first any, then the one with the most links; the last
+round compares all members whose components still differ, so components are those of all links, and a group of near
+copies does not make all its pairs.
 """
 
 from __future__ import annotations
@@ -27,11 +32,13 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.textbytes import mix, text_chunks, words
 from chronoweave.operators.components import connected_components
-from chronoweave.plans.stash import stash
+from chronoweave.plans.stash import drop_stash, stash
 
 #: Most ids that are broadcast as a filter (16 MB); beyond it the filter is a shuffle join.
 BROADCAST_IDS = 2_000_000
 PARITY_WORDS = 8
+#: Groups, as a share of those that the pigeonholes need, whose shared signatures each set may leave out.
+HOT_SHARE = 0.04
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,12 +95,13 @@ def band_edges(most: int, num: int, den: int) -> list[int]:
     return edges + [edges[-1] * den // num + 1]
 
 
-def allocate(edges: list[int], counts: dict[int, int], num: int, den: int) -> list[tuple[int, int, int]]:
-    """For each band the cheapest (groups, segments, spare): 1 segment exact, 0 one-deletion, 3 or 4 subsets.
+def allocate(edges: list[int], counts: dict[int, int], num: int, den: int) -> list[tuple[int, int, int, int]]:
+    """For each band the cheapest (groups, segments, spare, hot): 1 segment exact, 0 one-deletion, 3 or 4 subsets.
 
     The cost is the rows of signatures plus the pairs expected to agree by chance, from the counts of all documents.
-    Two unlike sets agree mostly where both have nothing. Each set may therefore leave out signatures without content
-    in up to ``spare`` groups, and twice as many groups more than the pigeonholes need make up for those of a pair.
+    Two unlike sets agree mostly where both have nothing, or the same passage. Each set may therefore leave out
+    signatures without content in up to ``spare`` groups and ``hot`` signatures that many sets share. Twice as many
+    groups more than the pigeonholes need make up for those of a pair.
     """
     plans = []
     for band in range(len(edges) - 1):
@@ -101,11 +109,13 @@ def allocate(edges: list[int], counts: dict[int, int], num: int, den: int) -> li
         most = (den - num) * (top + top * den // num) // (den + num)  # differences of a linked pair
         docs = counts.get(band, 0) + counts.get(band + 1, 0)
         if most == 0 or docs < 2 or not counts.get(band):
-            plans.append((0, 0, 0))
+            plans.append((0, 0, 0, 0))
             continue
         tries = []
         for segments in (1, 3, 4, 0):
             least = most + 1 if segments == 1 else (most + 2) // 2
+            hot = int(HOT_SHARE * least)
+            least += 2 * hot
             groups, spare = least, 0
             for _ in range(4):  # the spare groups thin the others out a little
                 load = low / groups
@@ -115,7 +125,7 @@ def allocate(edges: list[int], counts: dict[int, int], num: int, den: int) -> li
                 groups = least + 2 * spare
             rows = groups + low if segments == 0 else groups * segments
             chance = docs * math.exp(-told) * (0.05 if spare else 1.0)
-            tries.append((rows * docs + rows * chance * chance / 2, groups, segments, spare))
+            tries.append((rows * docs + rows * chance * chance / 2, groups, segments, spare, hot))
         plans.append(min(tries)[1:])
     return plans
 
@@ -192,24 +202,52 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
+def _described(frame: DataFrame, described: DataFrame, col: str, letter: str) -> DataFrame:
+    """Add the size and the parity bitmap of the set in column ``col`` as ``n{letter}`` and ``{letter}p*``."""
+    bits = [F.col(f"p{i}").alias(f"{letter}p{i}") for i in range(PARITY_WORDS)]
+    return frame.join(described.select(F.col("cid").alias(col), F.col("n").alias(f"n{letter}"), *bits), col)
+
+
 def _few_differences(num: int, den: int) -> Column:
     """Whether the pair's sizes and parity bitmaps allow a link."""
-    distance = sum((F.bit_count(F.col(f"pa{i}").bitwiseXOR(F.col(f"pb{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
+    distance = sum((F.bit_count(F.col(f"ap{i}").bitwiseXOR(F.col(f"bp{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
     return (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (distance * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The linked ones of the candidate pairs (a, b), by the intersection of whole sets."""
+    """The linked ones of the stashed candidate pairs (a, b), by the intersection of whole sets; stashed."""
     ids = stash(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    sets = _map_sets(_only(docs, ids, "left_semi"), n, "id long, shingles array<long>", lambda i, s, b: [i, _lists(s.view(np.int64), b)])
-    sets = sets.repartition(F.col("id"))
+    sets = stash(_map_sets(_only(docs, ids, "left_semi"), n, "id long, shingles array<long>", lambda i, s, b: [i, _lists(s.view(np.int64), b)]))
+    # joins that Spark may split where one document has many candidates
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(inter * (num + den) >= num * (F.size("sa") + F.size("sb"))).select("a", "b")
+    linked = stash(both.filter(inter * (num + den) >= num * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
+    drop_stash(ids)
+    drop_stash(sets)
+    return linked
+
+
+def shared_signatures(signed: DataFrame, sizes: DataFrame, edges: list[int], plans: list[tuple[int, int, int, int]]) -> DataFrame:
+    """(sig, cid, low) of the signatures that several sets share, less the ``hot`` most shared ones of each set.
+
+    ``signed`` has (cid, keys): a key's lowest bit tells the set's own band from the one below, the rest is the
+    signature. ``sizes`` has (cid, n).
+    """
+    rows = signed.select("cid", F.explode("keys").alias("key"))
+    rows = rows.select("cid", F.col("key").bitwiseAND(F.lit(-2)).alias("sig"), (F.col("key").bitwiseAND(F.lit(1)) == 1).alias("low"))
+    shared = Window.partitionBy("sig")
+    rows = rows.withColumn("m", F.count("*").over(shared)).withColumn("lows", F.max("low").over(shared)).filter("m > 1 and lows")
+    band = F.array_position(F.transform(F.lit(edges), lambda e: e > F.col("n")), True) - 2
+    hot = F.array(*[F.lit(p[3]) for p in plans])
+    band = F.when(F.col("low"), band).otherwise(band - 1)
+    most = F.when(band < 0, 0).otherwise(F.get(hot, band.cast("int")))
+    rank = F.row_number().over(Window.partitionBy("cid", "low").orderBy(F.col("m").desc(), "sig"))
+    rows = rows.join(sizes, "cid").withColumn("r", F.when(F.col("m") > 2, rank).otherwise(1 << 30))
+    return rows.filter(F.col("r") > F.coalesce(most, F.lit(0))).select("sig", "cid", "low")
 
 
 def jaccard_components(
-    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, star_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, star_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Components of the links ``den * |A & B| >= num * |A | B|`` between the documents' sets of n-word shingles.
 
@@ -240,61 +278,61 @@ def jaccard_components(
     # the count of each band: as many rows as the logarithm of the longest text
     bands = classes.groupBy(F.array_position(F.transform(F.lit(edges), lambda e: e > F.col("n")), True).alias("k")).count().collect()
     plans = allocate(edges, {r["k"] - 2: r["count"] for r in bands}, num, den)
-    edge, plan = np.array(edges), np.array(plans + [(0, 0, 0)])
+    edge, plan = np.array(edges), np.array(plans + [(0, 0, 0, 0)])
 
     def sign(ids, shingles, bounds):
         size = np.diff(bounds)
         band = np.where(size > 0, np.searchsorted(edge, size, side="right") - 1, -1)
-        low, low_bounds = signatures(shingles, bounds, band, plan)
-        high, high_bounds = signatures(shingles, bounds, np.maximum(band - 1, -1), plan)
-        return [ids, pa.array(size), _lists(low, low_bounds), _lists(high, high_bounds)]
+        own, own_bounds = signatures(shingles, bounds, band, plan)
+        below, below_bounds = signatures(shingles, bounds, np.maximum(band - 1, -1), plan)
+        keys = np.concatenate([own | 1, below & ~1])
+        text = np.concatenate([np.repeat(np.arange(len(size)), np.diff(b)) for b in (own_bounds, below_bounds)])
+        return [ids, _lists(keys[np.argsort(text, kind="stable")], own_bounds + below_bounds)]
 
     copies = stash(members.filter("doc_id <> cid").select("doc_id").distinct())
-    signed = _map_sets(_only(docs.filter("doc_id is not null"), copies, "left_anti"), n, "cid long, n long, low array<long>, high array<long>", sign)
-    tagged = F.concat(F.transform("low", lambda s: F.struct(s.alias("sig"), F.lit(True).alias("low"))), F.transform("high", lambda s: F.struct(s.alias("sig"), F.lit(False).alias("low"))))
-    rows = signed.select("cid", "n", F.explode(tagged).alias("s")).select("cid", "n", "s.sig", "s.low")
-    shared = Window.partitionBy("sig")
-    rows = rows.withColumn("m", F.count("*").over(shared)).withColumn("lows", F.max("low").over(shared))
-    rows = rows.filter("m > 1 and lows").select("sig", "cid", "n", "low", "m")
-    parity = sets.filter("doc_id is not null").groupBy(F.col("doc_id").alias("cid")).agg(F.min(F.struct(*words_of)).alias("p")).select("cid", "p.*")
-    rows = stash(rows.join(parity, "cid"))
-    involved = rows.select("cid").distinct()
-    close = _few_differences(num, den)
-
-    def side(frame: DataFrame, letter: str, *more: Column) -> DataFrame:
-        """The frame's document columns under names of one side of a pair."""
-        bits = [F.col(p).alias(f"p{letter}{p[1:]}") for p in words_of]
-        return frame.select("sig", F.col("cid").alias(letter), F.col("n").alias(f"n{letter}"), F.col("comp").alias(f"c{letter}"), *bits, *more)
+    signed = _map_sets(_only(docs.filter("doc_id is not null"), copies, "left_anti"), n, "cid long, keys array<long>", sign)
+    # one row a node: of rows that share an id the largest set's
+    sizes = classes.groupBy("cid").agg(F.max("n").alias("n"))
+    rows = stash(shared_signatures(signed, sizes, edges, plans))
+    described = stash(sets.filter("doc_id is not null").groupBy(F.col("doc_id").alias("cid")).agg(F.max(F.struct("n", *words_of)).alias("s")).select("cid", "s.*").join(rows.select("cid").distinct(), "cid", "left_semi"))
+    for held in (sets, classes, copies):
+        drop_stash(held)
 
-    links = None
-    comp = involved.select("cid", F.col("cid").alias("comp"))
-    tried = None
+    close = _few_differences(num, den)
+    links, tried, comp = [], None, described.select("cid", F.col("cid").alias("comp"), F.lit(0).alias("degree"))
     for turn in range(star_rounds + 1):
-        if turn == 0:
-            now = rows.withColumn("comp", F.col("cid"))
-        else:  # signatures of two members, or whose members are all in one component, are done
-            now = rows.filter("m > 2").join(comp, "cid")
-            now = now.withColumn("lo", F.min("comp").over(shared)).withColumn("hi", F.max("comp").over(shared)).filter("lo <> hi").drop("lo", "hi")
-            now = stash(now)
+        now = rows.join(comp, "cid")
+        first = F.struct(-F.col("degree"), F.xxhash64(F.lit(turn), "cid"), "cid", "comp")
+        mark = [F.sum(F.shiftright(F.xxhash64(F.lit(i), "cid", "low"), 24)).alias(f"f{i}") for i in range(2)]
+        groups = now.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("greatest"), F.min(F.when(F.col("low"), first)).alias("p"), *mark)
+        # signatures whose members are all in one component are done, and of those with the same members one is enough
+        groups = groups.filter("least <> greatest and p is not null").groupBy("f0", "f1").agg(F.min(F.struct("sig", F.col("p.cid").alias("pivot"), F.col("p.comp").alias("home"))).alias("g")).select("g.*")
         if turn < star_rounds:
-            pivot = F.min(F.when(F.col("low"), F.struct(F.xxhash64(F.lit(turn), "cid"), "cid", "n", "comp", *words_of))).over(shared)
-            met = now.withColumn("p", pivot).filter("p.comp <> comp")
-            pairs = side(met, "b", "p").select("*", F.col("p.cid").alias("a"), F.col("p.n").alias("na"), *[F.col(f"p.{p}").alias(f"pa{p[1:]}") for p in words_of]).filter(close)
+            pairs = now.join(groups, "sig").filter("comp <> home").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
+            pairs = _described(_described(pairs, described, "a", "a"), described, "b", "b").filter(close).select("a", "b")
         else:
-            apart = (F.col("ca") != F.col("cb")) & (~F.col("lb") | (F.col("a") < F.col("b")))
-            pairs = side(now.filter("low"), "a").join(side(now, "b", F.col("low").alias("lb")), "sig").filter(apart & close)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            now = stash(now.join(groups.select("sig"), "sig", "left_semi").select("sig", "cid", "low", "comp"))
+            own = _described(now.filter("low").select("sig", F.col("cid").alias("a"), F.col("comp").alias("ca")), described, "a", "a")
+            other = _described(now.select("sig", F.col("cid").alias("b"), F.col("comp").alias("cb"), "low"), described, "b", "b")
+            met = own.join(other, "sig").filter((F.col("ca") != F.col("cb")) & (~F.col("low") | (F.col("a") < F.col("b"))) & close)
+            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs)
         if pairs.isEmpty():
-            if turn < star_rounds:
-                continue
-            break
+            continue
         tried = pairs if tried is None else tried.union(pairs)
-        new = stash(verify(pairs, docs, n, num, den))
-        links = new if links is None else links.union(new)
-        found = connected_components(links, "a", "b")
-        comp = stash(involved.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("comp")))
-    joined = members.join(comp, "cid", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cid").alias("component_id"))
+        links.append(verify(pairs, docs, n, num, den))
+        if links[-1].isEmpty():
+            continue
+        linked = links[0]
+        for more in links[1:]:
+            linked = linked.union(more)
+        found = connected_components(linked, "a", "b")
+        ends = linked.select(F.col("a").alias("cid")).union(linked.select("b")).groupBy("cid").agg(F.count("*").cast("int").alias("degree"))
+        told = described.select("cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").join(ends, "cid", "left")
+        comp = stash(told.select("cid", F.coalesce("component", "cid").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree")))
+    out = stash(members.join(comp.select("cid", "comp"), "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cid").alias("component_id")))
+    for held in (rows, described, members, *links):
+        drop_stash(held)
+    return out

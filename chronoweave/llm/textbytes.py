@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 3 << 20
+#: Bytes hashed at a time.
+WINDOW = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -59,11 +61,29 @@ def text_chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tu
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each byte span; equal bytes give equal hashes wherever they stand. Spans follow one another.
+
+    Spans are taken in windows of ``WINDOW`` bytes, and a longer span in pieces, so a long text needs little more memory.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    up, down = powers(min(len(data), WINDOW) + 1)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + WINDOW, side="right")))
+        whole, step = 0, 1
+        for piece in range(base, ends[to - 1], WINDOW):  # one piece, unless a single span is longer
+            part = data[piece : min(piece + WINDOW, ends[to - 1])]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+            if ends[to - 1] - base <= WINDOW:
+                out[at:to] = (sums[ends[at:to] - base] - sums[starts[at:to] - base]) * down[starts[at:to] - base]
+            else:
+                whole = (whole + int(sums[-1]) * step) % (1 << 64)
+                out[at] = np.uint64(whole)
+                step = step * pow(_BASE, len(part), 1 << 64) % (1 << 64)
+        at = to
+    return mix(out)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
