@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.components import connected_components
 from chronoweave.plans.stash import drop_stash, stash
 
 
@@ -26,13 +29,17 @@ def degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, v, hop): vertices within ``depth`` undirected steps of each seed, itself left out, at their nearest."""
+    """(seed, v, hop): vertices within ``depth`` undirected steps of each seed, itself left out, at their nearest.
+
+    Each level is written before the next one reads it, so the plan stays one join long.
+    """
     arcs = both_ways(edges).distinct()
-    seen = seeds.select("seed", F.col("seed").alias("v"), F.lit(0).alias("hop"))
-    front = seen
+    front = seen = stash(seeds.select("seed", F.col("seed").alias("v"), F.lit(0).alias("hop")))
     for h in range(1, depth + 1):
         step = front.select("seed", F.col("v").alias("src")).join(arcs, "src").select("seed", F.col("dst").alias("v")).distinct()
-        front = step.join(seen, ["seed", "v"], "left_anti").withColumn("hop", F.lit(h))
+        front = stash(step.join(seen, ["seed", "v"], "left_anti").withColumn("hop", F.lit(h)))
+        if front.isEmpty():
+            break
         seen = seen.union(front)
     return seen.filter("hop > 0")
 
@@ -56,40 +63,61 @@ def paths(edges: DataFrame, pairs: DataFrame, depth: int, most: int) -> DataFram
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).select("a", "b", F.array_join("path", ",").alias("path"))
 
 
-def core_numbers(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(v, core): coreness as the fixpoint of the neighbours' h-index, which starts at the degree and only falls."""
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """(v, core): coreness, parallel edges counted, by peeling in bulk.
+
+    At a level k all vertices of degree k or less go at once, and with them every vertex of degree k + 1 that a chain of
+    such vertices joins to one of them, since each of these loses an edge in turn: a long path goes in one round.
+    """
     arcs = stash(both_ways(edges).filter("src <> dst"))
-    now = stash(arcs.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("core")))
-    for _ in range(max_rounds):
-        near = arcs.join(now.toDF("dst", "c"), "dst").groupBy("src", "c").agg(F.count("*").alias("m"))
-        # h-index: the largest c' such that at least c' neighbours have core >= c'
-        least = Window.partitionBy("src").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
-        h = near.withColumn("k", F.sum("m").over(least)).groupBy("src").agg(F.max(F.least("c", "k")).alias("h"))
-        new = stash(now.join(h.toDF("v", "h"), "v").select("v", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("moved")))
-        moved = not new.filter("moved").isEmpty()
-        drop_stash(now)
-        now = new.drop("moved")
-        now._stash_path = new._stash_path
-        if not moved:
-            return now
-    raise RuntimeError("core numbers did not settle")
-
-
-def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(v, rank) over undirected edges, summing to 1; what isolated vertices hold is spread over all."""
+    left = stash(arcs.select(F.col("src").alias("v")).distinct())
+    out, k = [], 0
+    while True:
+        degree = stash(left.join(arcs.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d")), "v", "left").select("v", F.coalesce("d", F.lit(0)).alias("d")))
+        low = degree.agg(F.min("d")).first()[0]
+        if low is None:
+            break
+        k = max(k, low)
+        near = degree.filter(F.col("d") <= k + 1)
+        inner = arcs.join(near.select(F.col("v").alias("src")), "src", "left_semi").join(near.select(F.col("v").alias("dst")), "dst", "left_semi")
+        chains = connected_components(inner.select("src", "dst").union(near.select("v", F.col("v").alias("w"))))
+        doomed = near.join(chains.withColumnRenamed("node", "v"), "v").withColumn("least", F.min("d").over(Window.partitionBy("component")))
+        gone = stash(doomed.filter(F.col("least") <= k).select("v", F.lit(k).cast("long").alias("core")))
+        out.append(gone)
+        held = left, arcs, degree
+        left = stash(left.join(gone, "v", "left_anti"))
+        arcs = stash(arcs.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti"))
+        for x in held:
+            drop_stash(x)
+    found = left.withColumn("core", F.lit(0).cast("long"))
+    for gone in out:
+        found = found.union(gone)
+    return found
+
+
+def pagerank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int | None = None) -> DataFrame:
+    """(v, rank) over undirected edges, summing to 1; what isolated vertices hold is spread over all.
+
+    Rounds go on until ranks change by less than ``tolerance`` in all, or for a given number; ``damping`` bounds them.
+    """
+    n = vertices.count()
+    if not n:
+        return vertices.select("v", F.lit(0.0).alias("rank"))
     arcs = stash(both_ways(edges))
     degree = stash(arcs.groupBy("src").agg(F.count("*").alias("d")))
-    n = vertices.count()
     rank = stash(vertices.select("v", F.lit(1.0 / n).alias("rank")))
-    for i in range(rounds):
+    most = rounds or math.ceil(math.log(tolerance / 2) / math.log(damping)) + 4
+    for i in range(1, most + 1):
         share = rank.join(degree.withColumnRenamed("src", "v"), "v", "left")
         flow = share.filter("d is not null").select(F.col("v").alias("src"), (F.col("rank") / F.col("d")).alias("s")).join(arcs, "src").groupBy("dst").agg(F.sum("s").alias("s"))
         loose = share.filter("d is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        new = rank.select("v").join(flow.withColumnRenamed("dst", "v"), "v", "left").crossJoin(F.broadcast(loose))  # one row
-        new = new.select("v", ((1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if i % 5 == 4 or i == rounds - 1:
+        new = rank.join(flow.withColumnRenamed("dst", "v"), "v", "left").crossJoin(F.broadcast(loose))  # one row
+        new = new.select("v", F.col("rank").alias("was"), ((1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
+        if i % 4 == 0:
             new = stash(new)
-        rank = new
+            if new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < tolerance:
+                return new.select("v", "rank")
+        rank = new.select("v", "rank")
     return rank
 
 
@@ -100,19 +128,61 @@ def participation(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.toDF("v", "g").select("v").join(p, "v", "left")
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(v, community): synchronous label propagation by weight, half of the vertices moving in each round.
+def modularity(edges: DataFrame, labels: DataFrame) -> float:
+    """Modularity of (v, community) over undirected edges with parallel edges counted; 0 without edges."""
+    e = edges.filter("src <> dst").select("src", "dst")
+    met = e.join(labels.toDF("src", "cs"), "src").join(labels.toDF("dst", "cd"), "dst")
+    row = met.agg(F.count("*").alias("m"), F.count(F.when(F.col("cs") == F.col("cd"), 1)).alias("inside")).first()
+    if not row["m"]:
+        return 0.0
+    per = both_ways(e).join(labels.toDF("src", "c"), "src").groupBy("c").agg(F.count("*").alias("k"))
+    square = per.agg(F.sum(F.col("k").cast("double") * F.col("k"))).first()[0]
+    return row["inside"] / row["m"] - square / (4.0 * row["m"] ** 2)
+
+
+def communities(edges: DataFrame, rounds: int = 24, levels: int = 6) -> DataFrame:
+    """(v, community) by modularity moves: local moves, then the same on the graph of communities, until none helps.
 
-    A vertex takes the label that most of its edges see, ties to the smaller one; the moving half is chosen by a hash
-    of vertex and round, so that two sides do not swap labels for ever, and reruns agree.
+    In a round every vertex computes its gain of joining each neighbour community, and half of the vertices, by a hash
+    of vertex and round, move to the best one if the gain is positive (ties to the smaller community). Vertices that
+    would swap for ever cannot, since the halves change; reruns agree. A community is named by its smallest member.
     """
-    arcs = stash(both_ways(edges).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w")))
-    now = stash(arcs.select(F.col("src").alias("v")).distinct().withColumn("community", F.col("v")))
-    for i in range(rounds):
-        seen = arcs.join(now.toDF("dst", "c"), "dst").groupBy("src", "c").agg(F.sum("w").alias("w"))
-        best = seen.groupBy("src").agg(F.min(F.struct(-F.col("w"), F.col("c"))).alias("b")).select(F.col("src").alias("v"), F.col("b.c").alias("best"))
-        moves = F.pmod(F.xxhash64("v", F.lit(i)), F.lit(2)) == 0
-        new = stash(now.join(best, "v").select("v", F.when(moves, F.col("best")).otherwise(F.col("community")).alias("community")))
-        drop_stash(now)
-        now = new
-    return now
+    e = edges.filter("src <> dst").select("src", "dst")
+    arcs = stash(both_ways(e).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")))
+    total = arcs.agg(F.sum("w")).first()[0]  # twice the edges
+    of = stash(arcs.select(F.col("src").alias("v")).distinct().select("v", F.col("v").alias("node")))
+    if total is None:
+        return of.select("v", F.col("node").alias("community"))
+    for level in range(levels):
+        degree = stash(arcs.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k")))
+        now = stash(degree.select("v", F.col("v").alias("community"), "k"))
+        quiet, moved_any = 0, False
+        for i in range(rounds):
+            weight = now.groupBy(F.col("community").alias("c")).agg(F.sum("k").alias("kc"))
+            seen = arcs.filter("src <> dst").join(now.select(F.col("v").alias("dst"), F.col("community").alias("c")), "dst").groupBy("src", "c").agg(F.sum("w").alias("w"))
+            own = now.select(F.col("v").alias("src"), F.col("community").alias("own"), "k")
+            met = seen.join(own, "src").join(weight, "c")
+            # the gain of standing in c, its own weight taken out of its present community
+            gain = F.round(F.col("w") - F.col("k") * (F.col("kc") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total, 9)
+            best = met.withColumn("g", gain).groupBy("src").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"), F.min(F.struct(-F.col("g"), F.col("c"))).alias("b"))
+            best = best.select(F.col("src").alias("v"), F.col("b.c").alias("to"), (-F.col("b.col1")).alias("g"), "stay")
+            lone = weight.withColumnsRenamed({"c": "community"})
+            held = now.join(lone, "community").join(best, "v", "left")
+            # staying without a neighbour in one's own community: only its other members' weight counts
+            stay = F.coalesce("stay", F.round(-F.col("k") * (F.col("kc") - F.col("k")) / total, 9))
+            turn = F.pmod(F.xxhash64("v", F.lit(level * 1000 + i)), F.lit(2)) == 0
+            goes = F.coalesce((F.col("g") > stay) & turn, F.lit(False))
+            new = stash(held.select("v", F.when(goes, F.col("to")).otherwise(F.col("community")).alias("community"), "k", goes.alias("moved")))
+            moved = not new.filter("moved").isEmpty()
+            drop_stash(now)
+            now = new.drop("moved")
+            now._stash_path = new._stash_path
+            quiet, moved_any = (0, True) if moved else (quiet + 1, moved_any)
+            if quiet == 2:
+                break
+        if not moved_any:
+            break
+        of = stash(of.join(now.select(F.col("v").alias("node"), "community"), "node").select("v", F.col("community").alias("node")))
+        name = now.select("v", "community")
+        arcs = stash(arcs.join(name.toDF("src", "cs"), "src").join(name.toDF("dst", "cd"), "dst").groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")))
+    return of.select("v", F.min("v").over(Window.partitionBy("node")).alias("community"))

@@ -46,6 +46,42 @@ def test_core_numbers_of_a_clique_with_a_tail(spark):
     assert found == {0: 3, 1: 3, 2: 3, 3: 3, 4: 1, 5: 1}
 
 
+def test_core_numbers_of_a_long_path(spark):
+    rows = [(str(i), str(i + 1), str(i), "k") for i in range(1000)]
+    df = spark.createDataFrame(rows, "src string, dst string, edge_id string, kind string")
+    found = graph.core_numbers(df)
+    assert (found.count(), found.filter("core = 1").count()) == (1001, 1001)
+
+
+def test_core_numbers_against_peeling(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(90)]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    want, k, left = {}, 0, {v: list(n) for v, n in near.items()}
+    while left:
+        v = min(left, key=lambda x: len(left[x]))
+        k = max(k, len(left[v]))
+        want[v] = k
+        for u in left.pop(v):
+            if u in left:
+                left[u].remove(v)
+    found = graph.core_numbers(spark.createDataFrame([(a, b, i, "k") for i, (a, b) in enumerate(pairs)], "src long, dst long, edge_id long, kind string"))
+    assert {r.v: r.core for r in found.collect()} == want
+
+
+def test_communities_raise_modularity(spark):
+    rng = random.Random(1)
+    pairs = [(g * 8 + rng.randrange(8), g * 8 + rng.randrange(8)) for g in range(4) for _ in range(40)] + [(0, 8), (9, 16), (17, 24), (25, 1)]
+    df = spark.createDataFrame([(a, b, i, "k") for i, (a, b) in enumerate(pairs)], "src long, dst long, edge_id long, kind string")
+    found = graph.communities(df)
+    assert graph.modularity(df, found) > 0.6
+    assert {r.v: r.community for r in found.collect()} == {v: v // 8 * 8 for v in {x for a, b in pairs if a != b for x in (a, b)}}
+
+
 def test_pagerank_sums_to_one_and_favours_the_hub(spark):
     pairs = [(0, i) for i in range(1, 6)]
     vertices = spark.createDataFrame([(i,) for i in range(8)], "v long")
