@@ -1,9 +1,10 @@
 """Operator 8: mixing sources to target weights, with DataFrame functions only.
 
-The words of each source are packed into fixed-length blocks. Output shards draw counts of blocks by source from a
-multinomial whose uniforms are stratified inside a shard, which keeps every source near its target. The draws of a
-source are numbered through all shards; draw k takes block ``permutation(k mod blocks)`` of epoch ``k div blocks``.
-Blocks and documents meet on the block's index.
+The words of each source are packed into fixed-length blocks. Each output shard draws how many blocks it takes of each
+source from a multinomial, given that the counts of all shards add up to the sources' targets: the slots of all shards
+are dealt a pseudorandom permutation of the target's blocks. The draws of a source are numbered through all shards; draw
+k takes the block at place k mod blocks of a pseudorandom permutation of the source's block indexes, another one for
+each epoch k div blocks. Blocks and documents meet on the block's index.
 """
 
 from __future__ import annotations
@@ -14,17 +15,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.plans.running import running_start
-from chronoweave.plans.stash import stash
+from chronoweave.plans.stash import drop_stash, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: A prime above any number of blocks, so every multiple of it permutes the block indexes.
-PRIME = 1_099_511_627_791
-_SCALE = float(1 << 53)
+#: Rounds of the permutation; each swaps about half of the index pairs.
+ROUNDS = 16
+#: Rows of one bucket of a running sum.
+BUCKET_ROWS = 50_000
 
 
-def _uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that depends on nothing but ``parts``."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(_SCALE)
+def permuted(place: Column, n: Column, *key: Column) -> Column:
+    """The image of ``place`` under a permutation of 0..n-1 that ``key`` names.
+
+    Each round pairs x with (c - x) mod n, c of the round, and swaps the pair or not by a hash of its larger member:
+    a bijection for every n, without sorting and without trying again.
+    """
+
+    def turn(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(*key, r), n) - x, n)
+        return F.when(F.xxhash64(*key, r, F.greatest(x, other)) < 0, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), place, turn)
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
@@ -49,6 +60,41 @@ def source_targets(sized: DataFrame, weights: Sequence[float], cap: float) -> Da
     return per.select("source", "source_size", target.alias("target"))
 
 
+def shard_counts(per: DataFrame, shard_blocks: int, seed: int, parts: int) -> DataFrame:
+    """(shard, source, drawn): the counts of every output shard.
+
+    ``per`` has (source, share) in blocks. A source owns as many consecutive numbers as its share, rounded. Every slot
+    of a shard draws a number without replacement, and one sort inside the shard tells the source of every slot.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
+    upto = F.round(F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0))).cast("long")
+    bounds = per.select("source", upto.alias("high"))
+    bounds = stash(bounds.withColumn("u", F.coalesce(F.lag("high").over(order), F.lit(0)).cast("long")).filter("high > u"))
+    wide = F.lit(shard_blocks).cast("long")
+    shards = bounds.groupBy().agg(F.max("high").alias("slots")).filter("slots > 0")
+    shards = shards.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / wide).cast("long")))).repartition(parts, "shard")
+    first, room = F.col("shard") * wide, F.least(wide, F.col("slots") - F.col("shard") * wide)
+    drawn = shards.select("shard", "slots", F.explode(F.sequence(first, first + room - 1)).alias("slot"))
+    none = F.lit(None).cast("struct<name:string>")
+    drawn = drawn.select("shard", permuted(F.col("slot"), F.col("slots"), F.lit(seed)).alias("u"), F.lit(1).alias("drawn"), none.alias("source"))
+    # one row a source, for every shard
+    starts = shards.select("shard").join(F.broadcast(bounds), F.lit(True)).select("shard", "u", F.lit(0).alias("drawn"), F.struct(F.col("source").alias("name")).alias("source"))
+    owner = F.last("source", ignorenulls=True).over(Window.partitionBy("shard").orderBy("u", "drawn"))
+    told = drawn.unionByName(starts).repartition(parts, "shard").withColumn("source", owner).filter("drawn = 1")
+    return told.groupBy("shard", F.col("source.name").alias("source")).agg(F.count("*").alias("drawn"))
+
+
+def drawn_blocks(per: DataFrame, counts: DataFrame, cap: int, seed: int, parts: int) -> DataFrame:
+    """(source, shard, k, block) of every draw: the k-th of its source takes ``block``; at most ``cap`` epochs."""
+    run = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    of = per.select(F.col("source").alias("_of"), "blocks")
+    first = counts.withColumn("first", F.sum("drawn").over(run) - F.col("drawn")).join(of, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+    k = first.repartition(parts, "source", "shard").select("source", "shard", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)).alias("k"))
+    k = k.filter(F.col("k") < F.col("blocks") * cap)
+    epoch = F.floor(F.col("k") / F.col("blocks")).cast("long")
+    return k.select("source", "shard", "k", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("source"), epoch).alias("block"))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -68,47 +114,19 @@ def mix_sources(
     counted). Texts that are null or have no words have size 0 and nothing taken. A null source is a source of its
     own, last in order. Repeated rows are separate documents. An empty table gives an empty table. Reruns agree.
     """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")))
-    targets = source_targets(sized, weights, cap)
+    sized = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
+    targets = stash(source_targets(sized, weights, cap))
 
-    placed = running_start(sized, ["source"], ["doc_id", "size"], F.col("size"), "start")
+    placed = stash(running_start(sized, ["source"], ["doc_id", "size"], F.col("size"), "start", max(1024, sized.count() // BUCKET_ROWS)))
     block = F.lit(block_words)
-    held = F.col("source_size") > 0
-    per = targets.withColumn("blocks", F.ceil(F.col("source_size") / block))
-    per = per.withColumn("share", F.when(held, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    upto = F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("share").over(Window.partitionBy(F.lit(0)))
-    per = per.withColumn("upto", upto).withColumn("total", total).filter("share > 0")
-
-    # Counts of each shard: how many of its stratified uniforms fall below a bound.
-    slots = F.ceil("total").cast("long")
-    per = per.withColumn("slots", slots)
-    shards = per.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard_blocks).cast("long"))))
-    room = F.least(F.lit(shard_blocks).cast("long"), F.col("slots") - F.col("shard") * shard_blocks)
-    shards = shards.withColumn("room", room)
-
-    def below(bound: Column) -> Column:
-        point = F.least(bound, F.lit(1.0)) * F.col("room")
-        stratum = F.floor(point + 1e-9).cast("long")
-        chance = _uniform(F.lit(seed), F.col("shard"), stratum)
-        return stratum + F.when(chance < point - stratum, 1).otherwise(0).cast("long")
-
-    last = F.col("upto") >= F.col("total") * (1 - 1e-12)
-    high = F.when(last, F.col("room")).otherwise(below(F.col("upto") / F.col("total")))
-    low = below((F.col("upto") - F.col("share")) / F.col("total"))
-    drawn = shards.withColumn("drawn", F.greatest(high - low, F.lit(0).cast("long")))
-    run = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = drawn.withColumn("first", F.sum("drawn").over(run) - F.col("drawn")).filter("drawn > 0")
-    k = drawn.select("source", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)).alias("k"))
-    k = k.filter(F.col("k") < F.col("blocks") * cap)
-    wide = "decimal(38,0)"
-    epoch = F.floor(F.col("k") / F.col("blocks")).cast("long")
-    turn = F.pmod(F.xxhash64(F.lit(seed), "source", epoch), F.lit(1 << 40))
-    index = (F.lit(PRIME).cast("decimal(14,0)") * (F.col("k") % F.col("blocks")).cast("decimal(14,0)") + turn.cast("decimal(14,0)")).cast(wide)
+    per = targets.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
+    per = per.withColumn("share", F.col("target") * F.col("blocks") / F.col("source_size")).filter("share > 0")
+    counts = stash(shard_counts(per, shard_blocks, seed, parts))
     uses = (
-        k.select("source", F.pmod(index, F.col("blocks").cast(wide)).cast("long").alias("block"))
+        drawn_blocks(per, counts, cap, seed, parts)
         .groupBy("source", "block")
         .agg(F.count("*").alias("uses"))
         .select(F.col("source").alias("_source"), F.col("block").alias("_block"), "uses")
@@ -119,10 +137,14 @@ def mix_sources(
         "block", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((end - 1) / block).cast("long")))
     )
     inside = F.least(end, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    met = pieces.join(uses, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
+    # both sides grow with the input; the plan's estimate of the draws does not, so the join's kind is named
+    met = pieces.join(uses.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
     taken = met.groupBy(F.col("source").alias("_source"), F.col("start").alias("_start")).agg(F.sum(inside * F.col("uses")).alias("_taken"))
     # start is unique among a source's documents that have words
-    found = placed.join(taken, F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
+    found = placed.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
     goal = targets.select(F.col("source").alias("_of"), "source_size", "target")
     found = found.drop("_source", "_start").join(goal, F.col("source").eqNullSafe(F.col("_of")), "left")
-    return found.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    out = stash(found.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken")))
+    for held in (sized, targets, placed, counts):
+        drop_stash(held)
+    return out
