@@ -8,6 +8,8 @@ from the shard's medoid; the beam is scored by exact inner products.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,12 +21,12 @@ DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 128
 ALPHA = 1.2
-INDEX = "shard int, dim int, place int, ids array<long>, vector array<float>, edges array<int>"
+INDEX = "shard int, dim int, place int, ids array<long>, vector array<double>, edges array<int>"
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
     """Vectors of one length: nearest by distance to (query, 0) is largest by inner product with the query."""
-    squares = (vectors.astype(np.float64) ** 2).sum(axis=1)
+    squares = (vectors**2).sum(axis=1)
     return np.hstack([vectors, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]]).astype(np.float32)
 
 
@@ -128,7 +130,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
 
 def _build(table: pa.Table) -> pa.Table:
     table = table.sort_by("cls")
-    vectors = matrix(table.column("vector"), np.float32)
+    vectors = matrix(table.column("vector"), np.float64)
     edges, medoid = build_graph(lifted(vectors))
     n = len(table)
     place = np.arange(n, dtype=np.int32)
@@ -141,44 +143,46 @@ def _build(table: pa.Table) -> pa.Table:
 
 
 def _finder(k: int, beam: int):
-    def find(index: pa.Table, asks: pa.Table) -> pa.Table:
-        if not len(index) or not len(asks):
-            return pa.table({"query": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+    def find(index: pa.Table) -> Callable[[pa.Table], pa.Table]:
         place = index.column("place").to_numpy().astype(np.int64)
         medoid = int(-1 - place.min())
         place = np.where(place < 0, medoid, place)
         index = index.take(pa.array(np.argsort(place)))
-        vectors = matrix(index.column("vector"), np.float32)
-        points = lifted(vectors)
+        exact = matrix(index.column("vector"), np.float64)
+        points = lifted(exact)
         squares = np.append((points**2).sum(axis=1), np.inf).astype(np.float32)
         flat = matrix(index.column("edges"), np.int64)
         edges = np.vstack([flat, np.full((1, flat.shape[1]), len(index))])
-        queries = matrix(asks.column("vector"), np.float32)
-        ids = asks.column("query").to_numpy()
-        exact = vectors.astype(np.float64)
-        parts = []
-        for i in range(0, len(queries), 512):
-            mine = queries[i : i + 512]
-            found, _ = beam_search(points, squares, edges, medoid, np.hstack([mine, np.zeros((len(mine), 1), np.float32)]), max(beam, 2 * k))
-            score = np.einsum("qnd,qd->qn", exact[found], mine.astype(np.float64))
-            parts.append(top_rows(index.column("ids"), found, score, ids[i : i + 512], k))
-        return pa.concat_tables(parts)
+
+        def ask(asks: pa.Table) -> pa.Table:
+            queries = matrix(asks.column("vector"), np.float64)
+            ids = asks.column("query").to_numpy()
+            parts = []
+            for i in range(0, len(queries), 512):
+                mine = queries[i : i + 512]
+                near = np.hstack([mine, np.zeros((len(mine), 1))]).astype(np.float32)
+                found, _ = beam_search(points, squares, edges, medoid, near, max(beam, 2 * k))
+                score = np.einsum("qnd,qd->qn", exact[found], mine)
+                parts.append(top_rows(index.column("ids"), found, score, ids[i : i + 512], k))
+            return pa.concat_tables(parts)
+
+        return ask
 
     return find
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 8192, block_rows: int = 4096, beam: int = SEARCH_BEAM, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 8192, beam: int = SEARCH_BEAM, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """Approximately the ``k`` rows of largest inner product with each row whose id is divisible by ``every``.
 
     Every usable row is indexed and is a candidate of all queries but its own. Vectors that are null, empty, zero or
     hold null or non-finite components take no part, nor do null ids; vectors of different lengths never meet.
     Returns query_id, rank (from 1), vec_id, score (the inner product in double precision), best first and ties to the
-    smaller vec_id; fewer than ``k`` rows where there are fewer candidates. Rows of one id are one candidate each and
-    none of them is its own neighbour. An empty table gives an empty table.
+    smaller vec_id; fewer than ``k`` rows where there are fewer candidates. Repeated rows count once; of rows that
+    share an id but not the vector, the one of the least vector counts. An empty table gives an empty table.
     """
     vector = F.col(vector_col)
     rows = vectors.filter(F.col(id_col).isNotNull() & usable(vector) & F.exists(vector, lambda x: x != 0))
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), vector.cast("array<float>").alias("vector"))
-    return search(rows, F.col("vec_id") % every == 0, k, shard_rows, block_rows, _build, INDEX, _finder(k, beam), "double")
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), vector.cast("array<double>").alias("vector"))
+    return search(rows, F.col("vec_id") % every == 0, k, shard_rows, _build, INDEX, _finder(k, beam), "double")
