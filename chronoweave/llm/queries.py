@@ -119,8 +119,8 @@ WITH o AS (
 ), k AS (
   SELECT min(conv_id) AS conv_id FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.ts = o.ts) GROUP BY ts
 )
-SELECT conv_id, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 256) - 1 AS INTEGER) AS part, count(*) AS n_turns,
+SELECT conv_id, CAST(r // 256 AS INTEGER) AS part, count(*) AS n_turns,
   string_agg('<|' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10), '' ORDER BY turn) AS rendered
-FROM conversations WHERE conv_id IN (SELECT conv_id FROM k) GROUP BY conv_id, turn // 256
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r FROM conversations) WHERE conv_id IN (SELECT conv_id FROM k) GROUP BY conv_id, r // 256
 """,
 }
