@@ -11,6 +11,7 @@ length-normalised log-likelihood ratios of both orders, calibrated on training t
 from __future__ import annotations
 
 import gc
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,10 @@ FOLDS = 5
 #: or a topic shifts a little for every word from hiding the few expressions that only one class uses.
 MARGINS = (1.0, 2.0, 3.0)
 #: Counting takes the words, and scoring the texts, in so many turns; a turn's shuffle is gone before the next.
-TURNS = 8
+COUNT_TURNS = 6
+SCORE_TURNS = 6
+#: What the table holds of a word or pair; its ratio follows from the totals of all.
+HELD = [("key", np.uint64), ("toxic", np.uint32), ("ordinary", np.uint32), ("backoff", np.float32)]
 SUMS = [f"s{o}{m}" for o in (1, 2) for m in range(len(MARGINS) + 1)]
 
 
@@ -101,14 +105,34 @@ def pair_counts(train: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
     return rows.groupBy("before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def _totals(counts: DataFrame) -> dict[str, tuple[float, float, float]]:
+def first_counts(train: DataFrame) -> DataFrame:
+    """(before, uses): how often each word, or the start of a text (0), stands before another word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                before, uses = np.unique(_words(data, offsets)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(before.view(np.int64)), pa.array(uses)], ["before", "uses"])
+
+    return train.select("text").mapInArrow(run, "before long, uses long").groupBy("before").agg(F.sum("uses").alias("uses"))
+
+
+CLASSES = ("toxic", "ordinary")
+
+
+def _tally(counts: DataFrame) -> Counter:
+    """Occurrences, types, and expressions that occur once and twice, of each class."""
+    tests = (("types", "> 0"), ("ones", "= 1"), ("twos", "= 2"))
+    row = counts.agg(*[F.sum(c).alias(f"n_{c}") for c in CLASSES], *[F.count_if(F.expr(f"{c} {test}")).alias(f"{k}_{c}") for c in CLASSES for k, test in tests]).first()
+    return Counter({k: v or 0 for k, v in row.asDict().items()})
+
+
+def _totals(tally: Counter) -> dict[str, tuple[float, float, float]]:
     """Of each class: (occurrences, discount, mass freed by it)."""
-    classes = ("toxic", "ordinary")
-    row = counts.agg(*[F.sum(c).alias(f"n_{c}") for c in classes], *[F.count_if(F.expr(f"{c} {test}")).alias(f"{k}_{c}") for c in classes for k, test in (("types", "> 0"), ("ones", "= 1"), ("twos", "= 2"))]).first()
     out = {}
-    for c in classes:
-        discount = float(np.clip(row[f"ones_{c}"] / max(row[f"ones_{c}"] + 2 * row[f"twos_{c}"], 1), 0.1, 0.95))
-        out[c] = (max(float(row[f"n_{c}"] or 0), 1.0), discount, max(discount * row[f"types_{c}"], 1e-3))
+    for c in CLASSES:
+        discount = float(np.clip(tally[f"ones_{c}"] / max(tally[f"ones_{c}"] + 2 * tally[f"twos_{c}"], 1), 0.1, 0.95))
+        out[c] = (max(float(tally[f"n_{c}"]), 1.0), discount, max(discount * tally[f"types_{c}"], 1e-3))
     return out
 
 
@@ -127,58 +151,59 @@ def _unseen(totals) -> float:
 
 
 def _by_part(rows: DataFrame) -> DataFrame:
-    """(part, keys, ratios): the (part, key, ratio) rows as sorted arrays, a row for each part."""
+    """(part, HELD): the rows of (part, HELD) as arrays sorted by key, a row for each part."""
 
     def pack(table: pa.Table) -> pa.Table:
-        key, ratio = table.column("key").to_numpy().view(np.uint64), table.column("ratio").to_numpy()
-        order = np.argsort(key)
-        return pa.table({"part": table.column("part").slice(0, 1), "keys": pa.array([key[order].tobytes()], pa.binary()), "ratios": pa.array([ratio[order].astype(np.float32).tobytes()], pa.binary())})
+        held = {c: table.column(c).to_numpy() for c, _ in HELD}
+        order = np.argsort(held["key"].view(np.uint64))
+        return pa.table({"part": table.column("part").slice(0, 1)} | {c: pa.array([held[c][order].astype(t).tobytes()], pa.binary()) for c, t in HELD})
 
-    return rows.groupBy("part").applyInArrow(pack, "part long, keys binary, ratios binary")
+    return rows.groupBy("part").applyInArrow(pack, "part long, " + ", ".join(f"{c} binary" for c, _ in HELD))
 
 
-def log_ratios(train: DataFrame, parts: int) -> tuple[list[DataFrame], tuple[float, float]]:
-    """Stashed (part, keys, ratios) of every word and pair of the (toxic, text) rows, and the ratios of an unseen word and pair."""
-    spark, taken = train.sparkSession, []
-    for turn in range(TURNS):
-        taken.append(stash(pair_counts(train, turn, TURNS)))
-        _free(spark)
-    counts = _union(taken)
-    words = stash(counts.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("contexts")))
-    _free(spark)
-    firsts = stash(counts.groupBy("before").agg(F.sum(F.col("ordinary") + F.col("toxic")).alias("uses")))
-    _free(spark)
-    pairs = float(words.agg(F.sum("contexts")).first()[0] or 1)
-    one, two = _totals(words), _totals(counts)
+def counted(train: DataFrame, parts: int) -> tuple[list[DataFrame], list[dict[str, tuple[float, float, float]]]]:
+    """Stashed (part, HELD) of every word and pair of the (toxic, text) rows, and the totals of words and of pairs.
+
+    ``backoff`` is a word's number of distinct contexts, and of a pair that of its second word times the uses of the
+    first; the totals turn both into shares.
+    """
+    spark = train.sparkSession
+    firsts = stash(first_counts(train))
+    uses = float(firsts.agg(F.sum("uses")).first()[0] or 1)
+    shape = "part long, key long, toxic long, ordinary long, backoff double"
+
+    def rows_of(batch: pa.RecordBatch, key: np.ndarray, backoff: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(_part(key, parts)), pa.array(key.view(np.int64)), batch.column("toxic"), batch.column("ordinary"), pa.array(backoff)], ["part", *[c for c, _ in HELD]])
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, ordinary, toxic, contexts = (batch.column(c).to_numpy() for c in ("word", "ordinary", "toxic", "contexts"))
-            key = _key(word.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(_part(key, parts)), pa.array(key.view(np.int64)), pa.array(_log_ratio(toxic, ordinary, contexts / pairs, one))], ["part", "key", "ratio"])
+            yield rows_of(batch, _key(batch.column("word").to_numpy().view(np.uint64)), batch.column("contexts").to_numpy().astype(float))
 
     def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = two["toxic"][0] + two["ordinary"][0]
         for batch in batches:
-            before, word, ordinary, toxic, contexts, uses = (batch.column(c).to_numpy() for c in ("before", "word", "ordinary", "toxic", "contexts", "uses"))
-            key = _key(word.view(np.uint64), before.view(np.uint64))
-            backoff = (uses / n) * (contexts / pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(_part(key, parts)), pa.array(key.view(np.int64)), pa.array(_log_ratio(toxic, ordinary, backoff, two))], ["part", "key", "ratio"])
-
-    shape = "part long, key long, ratio float"
-    tables = [stash(_by_part(words.mapInArrow(of_words, shape)))]
-    for held in taken:
-        met = held.join(words.select("word", "contexts"), "word").join(firsts, "before").select("before", "word", "ordinary", "toxic", "contexts", "uses")
+            before, word, contexts, first = (batch.column(c).to_numpy() for c in ("before", "word", "contexts", "uses"))
+            yield rows_of(batch, _key(word.view(np.uint64), before.view(np.uint64)), contexts * (first / uses))
+
+    tables, one, two, contexts = [], Counter(), Counter(), 0
+    for turn in range(COUNT_TURNS):
+        counts = stash(pair_counts(train, turn, COUNT_TURNS))
+        _free(spark)
+        words = stash(counts.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("contexts")))
+        one.update(_tally(words))
+        two.update(_tally(counts))
+        contexts += words.agg(F.sum("contexts")).first()[0] or 0
+        tables.append(stash(_by_part(words.mapInArrow(of_words, shape))))
+        met = counts.join(words.select("word", "contexts"), "word").join(firsts, "before").select("before", "word", "ordinary", "toxic", "contexts", "uses")
         tables.append(stash(_by_part(met.mapInArrow(of_pairs, shape))))
-        drop_stash(held)
-        del met
+        drop_stash(counts)
+        drop_stash(words)
+        del met, counts, words
         _free(spark)
-    drop_stash(words)
     drop_stash(firsts)
-    return tables, (_unseen(one), _unseen(two))
+    return tables, [_totals(one) | {"contexts": max(contexts, 1)}, _totals(two) | {"contexts": max(contexts, 1)}]
 
 
-def text_sums(docs: DataFrame, table: DataFrame, unseen: tuple[float, float], parts: int) -> DataFrame:
+def text_sums(docs: DataFrame, table: DataFrame, totals: list[dict], parts: int) -> DataFrame:
     """(text_key, n, SUMS): words, and summed ratios and excesses of words and pairs, of the (text_key, text) rows.
 
     What a chunk of texts asks of one part is one row: distinct keys, and for each of them the texts it stands in.
@@ -209,11 +234,15 @@ def text_sums(docs: DataFrame, table: DataFrame, unseen: tuple[float, float], pa
                         yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *(pa.array([x], pa.binary()) for x in (name, k.tobytes(), r.tobytes(), d.tobytes()))], ["part", "names", "keys", "runs", "texts"])
 
     kinds = len(MARGINS) + 1
+    unseen = [_unseen(x) for x in totals]
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        known, ratios = (np.frombuffer(b"".join(held.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("ratios", np.float32)))
-        order = np.argsort(known, kind="stable")  # a row for each turn of counting
-        known, ratios = known[order], ratios[order]
+        known, toxic, ordinary, backoff = (np.frombuffer(b"".join(held.column(c).to_pylist()), t) for c, t in HELD)
+        ratios = np.zeros(len(known), np.float32)
+        for order, mine in enumerate((known & np.uint64(1) == 0, known & np.uint64(1) == 1)):
+            ratios[mine] = _log_ratio(toxic[mine], ordinary[mine], backoff[mine] / totals[order]["contexts"], totals[order])
+        by = np.argsort(known, kind="stable")  # a row for each turn of counting
+        known, ratios = known[by], ratios[by]
         out = []
         for row in range(asked.num_rows):
             names, key, runs, text = (np.frombuffer(asked.column(c)[row].as_py(), t) for c, t in (("names", np.int64), ("keys", np.uint64), ("runs", np.uint32), ("texts", np.uint16)))
@@ -280,11 +309,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = marks.filter(fold_of("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     small = marks.count() <= 1_000_000  # 16 MB
     marks = F.broadcast(marks) if small else marks
-    tables, unseen = log_ratios(docs.join(marks, "doc_id").filter(fold > 1), parts)
+    tables, totals = counted(docs.join(marks, "doc_id").filter(fold > 1), parts)
     table, turns = _union(tables), []
-    for turn in range(TURNS):
-        mine = docs.filter(F.pmod("text_key", F.lit(TURNS)) == turn)
-        turns.append(stash(text_sums(mine, table, unseen, parts)))
+    for turn in range(SCORE_TURNS):
+        mine = docs.filter(F.pmod("text_key", F.lit(SCORE_TURNS)) == turn)
+        turns.append(stash(text_sums(mine, table, totals, parts)))
         _free(spark)
     for held in tables:
         drop_stash(held)
