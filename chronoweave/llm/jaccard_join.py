@@ -221,7 +221,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
     # joins that Spark may split where one document has many candidates
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
-    linked = stash(both.filter(inter * (num + den) >= num * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
+    linked = stash(both.filter(inter * (num + den) >= num * (F.size("sa") + F.size("sb"))).select("a", "b"))
     drop_stash(ids)
     drop_stash(sets)
     return linked
@@ -299,19 +299,26 @@ def jaccard_components(
         drop_stash(held)
 
     close = _few_differences(num, den)
-    links, tried, comp = [], None, described.select("cid", F.col("cid").alias("comp"), F.lit(0).alias("degree"))
+    links, tried, comp = [], None, None
     for turn in range(star_rounds + 1):
-        now = rows.join(comp, "cid")
+        last = turn == star_rounds
+        now = rows.withColumns({"comp": F.col("cid"), "degree": F.lit(0)}) if comp is None else rows.join(comp, "cid")
         first = F.struct(-F.col("degree"), F.xxhash64(F.lit(turn), "cid"), "cid", "comp")
-        mark = [F.sum(F.shiftright(F.xxhash64(F.lit(i), "cid", "low"), 24)).alias(f"f{i}") for i in range(2)]
-        groups = now.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("greatest"), F.min(F.when(F.col("low"), first)).alias("p"), *mark)
-        # signatures whose members are all in one component are done, and of those with the same members one is enough
-        groups = groups.filter("least <> greatest and p is not null").groupBy("f0", "f1").agg(F.min(F.struct("sig", F.col("p.cid").alias("pivot"), F.col("p.comp").alias("home"))).alias("g")).select("g.*")
-        if turn < star_rounds:
-            pairs = now.join(groups, "sig").filter("comp <> home").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
+        told = [F.min("comp").alias("least"), F.max("comp").alias("greatest"), F.count("*").alias("m")]
+        told += [F.sum(F.shiftright(F.xxhash64(F.lit(i), "cid", "low"), 24)).alias(f"f{i}") for i in range(2)] if last else [F.min(F.when(F.col("low"), first)).alias("p")]
+        # signatures whose members are all in one component are done
+        groups = now.groupBy("sig").agg(*told).filter("least <> greatest")
+        if not last:
+            groups = groups.filter("p is not null").select("sig", "m", F.col("p.cid").alias("pivot"), F.col("p.comp").alias("home"))
+            mine = stash(now.select("sig", "cid", "low", "comp").join(groups, "sig"))
+            drop_stash(rows)
+            rows = mine.filter("m > 2").select("sig", "cid", "low")  # a pair alone is done with its pivot
+            rows._stash_path = mine._stash_path
+            pairs = mine.filter("comp <> home").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
             pairs = _described(_described(pairs, described, "a", "a"), described, "b", "b").filter(close).select("a", "b")
-        else:
-            now = stash(now.join(groups.select("sig"), "sig", "left_semi").select("sig", "cid", "low", "comp"))
+        else:  # of signatures with the same members one is enough
+            one = groups.groupBy("f0", "f1").agg(F.min("sig").alias("sig")).select("sig")
+            now = stash(now.join(one, "sig", "left_semi").select("sig", "cid", "low", "comp"))
             own = _described(now.filter("low").select("sig", F.col("cid").alias("a"), F.col("comp").alias("ca")), described, "a", "a")
             other = _described(now.select("sig", F.col("cid").alias("b"), F.col("comp").alias("cb"), "low"), described, "b", "b")
             met = own.join(other, "sig").filter((F.col("ca") != F.col("cb")) & (~F.col("low") | (F.col("a") < F.col("b"))) & close)
@@ -332,6 +339,8 @@ def jaccard_components(
         ends = linked.select(F.col("a").alias("cid")).union(linked.select("b")).groupBy("cid").agg(F.count("*").cast("int").alias("degree"))
         told = described.select("cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").join(ends, "cid", "left")
         comp = stash(told.select("cid", F.coalesce("component", "cid").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree")))
+    if comp is None:
+        comp = described.select("cid", F.col("cid").alias("comp"))
     out = stash(members.join(comp.select("cid", "comp"), "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cid").alias("component_id")))
     for held in (rows, described, members, *links):
         drop_stash(held)
