@@ -58,7 +58,7 @@ def test_exact_top_k_equals_brute_force(spark):
     rows = [(r.vec_id, [np.floor(np.float64(np.float32(x)) * 64) for x in r.embedding]) for r in df.collect() if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding)]
     want = brute(rows, 20, lambda a, b: int(np.dot(a, b)))
     got = {}
-    for r in ball_tree.exact_top_k(df, shard_rows=64, block_rows=4, leaf=8).orderBy("query_id", "rank").collect():
+    for r in ball_tree.exact_top_k(df, shard_rows=64, leaf=8).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == {q: v for q, v in want.items() if v}
     assert ball_tree.exact_top_k(df.limit(0)).count() == 0
@@ -67,8 +67,37 @@ def test_exact_top_k_equals_brute_force(spark):
 def test_ball_tree_prunes():
     rng = np.random.default_rng(0)
     points = np.concatenate([rng.normal(c, 0.1, (200, 4)) for c in (-5, 0, 5)])
-    _, _, visits = ball_tree.search_tree(points, ball_tree.ball_tree(points, 16), points[:20], np.full(20, -np.inf), 5)
-    assert visits < 20 * len(ball_tree.ball_tree(points, 16)[2]) / 2
+    tree, order = ball_tree.ball_tree(points, 16)
+    points = points[order]
+    same = ball_tree.numbered_tree(points, 16)
+    assert all(np.allclose(x, y) for x, y in zip(tree[:3], same[:3]))
+    place, score, bounded = ball_tree.search_tree(points, np.arange(600), tree, points[:20], np.full(20, -np.inf), 5)
+    assert bounded < 20 * len(tree.radii) / 2
+    assert np.allclose(score, -np.sort(-points[:20] @ points.T, axis=1)[:, :5])
+
+
+def test_vector_searches_of_repeated_ids_and_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(99)]
+    rows[40] = (40, [1e7, -3.0, 1e17, 2.0])
+    rows[41] = (41, [1e30, -1e30, 1.0, 1e9])
+    df = spark.createDataFrame(rows + [rows[20]] * 25 + [(60, [-9.0] * 4)], "vec_id long, embedding array<double>")
+    held = dict(rows)
+    held[60] = min(held[60], [-9.0] * 4)
+    cells = {i: [max(-(1 << 63), min((1 << 63) - 1, int(np.floor(x * 64)))) for x in v] for i, v in held.items()}
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    for shard_rows in (1000, 30):
+        got = {}
+        for r in ball_tree.exact_top_k(df, shard_rows=shard_rows, leaf=8).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        for q in range(0, 99, 20):
+            want = sorted((-clip(sum(a * b for a, b in zip(cells[q], w))), i) for i, w in cells.items() if i != q)[:20]
+            assert got[q] == [(i, -s) for s, i in want], q
+    found = {}
+    for r in ann_graph.nearest_neighbours(df.filter("vec_id not in (40, 41)"), shard_rows=30).collect():
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert all(len(v) == 20 and q not in v for q, v in found.items())
+    assert all(s == pytest.approx(float(np.dot(held[q], held[i])), rel=1e-12) for q, v in found.items() for i, s in v.items())
 
 
 def test_graph_recall(spark):
@@ -194,7 +223,7 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, n, num, kind):
             for band in range(len(edges) - 1):
                 top = edges[band + 1] - 1
                 most = (den - num) * (top + top * den // num) // (den + num)
-                out.append(((most + 2) // 2 + 2, kind, 1) if most else (0, 0, 0))
+                out.append(((most + 2) // 2 + 4, kind, 1, 1) if most else (0, 0, 0, 0))
             return out
 
         monkeypatch.setattr(jaccard_join, "allocate", forced)
