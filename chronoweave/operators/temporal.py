@@ -69,6 +69,72 @@ def fold_requests(requests: DataFrame, registry: DataFrame) -> DataFrame:
     return one.withColumn("ends_at", F.when(F.col("is_exclusive"), F.lead("valid_at").over(order)))
 
 
+def create_facts(facts: DataFrame, requests: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, history) after facts are asked for in their order of ``created_at`` and ``fact_id``.
+
+    A request whose triple is active raises that fact's confidence to the larger one; others are inserted. Under an
+    exclusive predicate a request expires every active fact of its subject and predicate, older in order, that has
+    another object and a validity overlapping its own, at its ``created_at``. ``facts`` and ``requests`` have the same
+    columns; ``registry`` (predicate, is_exclusive) is the vocabulary.
+    """
+    columns = facts.columns
+    triple = ["subject_id", "predicate", "object_id", "object_value"]
+    key = F.xxhash64(*triple)
+    order = F.struct("created_at", "fact_id")
+    asked = requests.withColumn("_key", key).groupBy("_key", *triple).agg(F.min_by(F.struct(*[c for c in columns if c not in triple]), order).alias("r"), F.max("confidence").alias("_most"), F.count("*").alias("_n"))
+    asked = asked.select("_key", *triple, "r.*", "_most", "_n")
+    open_ = active(facts).withColumn("_key", key)
+    same = F.expr(" and ".join(f"o.{c} <=> q.{c}" for c in triple))
+    held = open_.select("fact_id", "_key", *triple, F.col("confidence").alias("_was")).alias("o").join(asked.select("_key", *triple, "_most", "_n").alias("q"), (F.col("o._key") == F.col("q._key")) & same)
+    held = held.groupBy("o.fact_id").agg(F.max("q._most").alias("_most"), F.max("o._was").alias("_was"))
+    known = open_.select("_key", *triple).alias("o")
+    new = asked.alias("q").join(known, (F.col("o._key") == F.col("q._key")) & same, "left_anti").withColumn("confidence", F.col("_most"))
+    rows = facts.join(held.select("fact_id", "_most"), "fact_id", "left").withColumn("confidence", F.when(F.col("expired_at").isNull(), F.greatest("confidence", "_most")).otherwise(F.col("confidence")))
+    state = rows.select(columns).unionByName(new.select(columns))
+    # what a later request of an exclusive predicate overlaps goes
+    far, low = F.lit("9999-12-31").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")
+    exclusive = F.broadcast(registry.filter("is_exclusive").select("predicate"))
+    q = requests.join(exclusive, "predicate", "left_semi").select("subject_id", "predicate", F.coalesce("object_id", "object_value").alias("_qo"), F.coalesce("valid_at", low).alias("_from"), F.coalesce("invalid_at", far).alias("_to"), order.alias("_by"))
+    over = (F.coalesce("valid_at", low) < F.col("_to")) & (F.coalesce("invalid_at", far) > F.col("_from"))
+    later = (F.col("_by") > F.struct("created_at", "fact_id")) & (F.coalesce("object_id", "object_value") != F.col("_qo"))
+    gone = active(state).join(q, ["subject_id", "predicate"]).filter(over & later).groupBy("fact_id").agg(F.min("_by").alias("_by")).select("fact_id", F.col("_by.created_at").alias("_gone"))
+    state = state.join(gone, "fact_id", "left").withColumn("expired_at", F.coalesce("expired_at", "_gone")).select(columns)
+    event = lambda frame, kind: frame.select("fact_id", kind.alias("event_type"))
+    history = event(held, F.when(F.col("_most") > F.col("_was"), "confidence_raised").otherwise("revised"))
+    history = history.unionByName(event(new, F.lit("created"))).unionByName(event(gone, F.lit("superseded")))
+    return state, history
+
+
+def source_observations(table: DataFrame, seen: DataFrame) -> DataFrame:
+    """Upsert (fact_id, source_id, observed_at): counts add up, first_at is kept and last_at is the newest."""
+    new = seen.groupBy("fact_id", "source_id").agg(F.count("*").alias("_n"), F.min("observed_at").alias("_first"), F.max("observed_at").alias("_last"))
+    met = table.join(new, ["fact_id", "source_id"], "full_outer")
+    return met.select("fact_id", "source_id", (F.coalesce("observed", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("observed"), F.coalesce("first_at", "_first").alias("first_at"), F.greatest("last_at", "_last").alias("last_at"))
+
+
+def bridge_warnings(expired: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(fact_id, is_bridge) of facts about to expire: whether losing it splits the graph, by the (edge_id) bridges."""
+    b = bridges.select(F.col("edge_id").alias("fact_id"), F.lit(True).alias("_b")).distinct()
+    return expired.select("fact_id").join(b, "fact_id", "left").select("fact_id", F.coalesce("_b", F.lit(False)).alias("is_bridge"))
+
+
+def transition_log(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(fact_id, transition_type, delta_confidence) of every fact whose state changed; what expired loses all of it."""
+    b = before.select("fact_id", F.col("confidence").alias("_c"), F.col("expired_at").alias("_e"), F.col("invalid_at").alias("_i"), F.lit(True).alias("_b"))
+    met = after.join(b, "fact_id", "left")
+    gone, back = F.col("_e").isNull() & F.col("expired_at").isNotNull(), F.col("_e").isNotNull() & F.col("expired_at").isNull()
+    kind = (
+        F.when(F.col("_b").isNull(), "created")
+        .when(gone, "expired")
+        .when(back, "restored")
+        .when(F.col("_i").isNull() & F.col("invalid_at").isNotNull(), "invalidated")
+        .when(F.col("confidence") > F.col("_c"), "strengthened")
+        .when(F.col("confidence") < F.col("_c"), "weakened")
+    )
+    delta = F.when(F.col("_b").isNull() | back, F.col("confidence")).when(gone | (kind == "invalidated"), -F.col("_c")).otherwise(F.col("confidence") - F.col("_c"))
+    return met.select("fact_id", kind.alias("transition_type"), delta.alias("delta_confidence")).filter("transition_type is not null")
+
+
 def corroboration_event(raised: Column, new_source: Column) -> Column:
     """What a repeated observation writes in the history."""
     return F.when(raised, "confidence_raised").when(new_source, "revised").otherwise("none")

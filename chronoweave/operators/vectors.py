@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,38 +13,71 @@ from pyspark.sql import functions as F
 from chronoweave.functions.scalar import cosine
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """(query_id, id, similarity, rank) of the k most similar by cosine, ties to the smaller id; zero vectors have none.
+#: Rows of a block of queries or vectors.
+BLOCK_ROWS = 8192
 
-    ``queries`` (query_id, vector) is a list that the caller knows to fit a broadcast; vectors stay where they are,
-    every batch is one matrix product, and only a batch's best k are shuffled.
+
+def _blocks(rows: DataFrame, key: str, name: str, other: str, mine: int, others: int) -> DataFrame:
+    """One copy of each row for every block of the other side."""
+    return rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, id, similarity, rank) of the k most similar by cosine, ties to the smaller id.
+
+    Exact: blocks of ``queries`` (query_id, vector) meet blocks of ``vectors`` (id, vector), each pair is one matrix
+    product, and only a pair's best k are shuffled. Null vectors and those with null components are left out; a zero
+    vector is similar to none.
     """
-    asked = queries.select("query_id", "vector").collect()
-    ids = [r["query_id"] for r in asked]
-    q = np.array([r["vector"] for r in asked], np.float64).reshape(len(ids), -1)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    held = vectors.sparkSession.sparkContext.broadcast((ids, q))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q = held.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            v = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            size = np.linalg.norm(v, axis=1)
-            own = batch["id"].to_numpy()
-            order = np.argsort(own, kind="stable")
-            v, size, own = v[order], size[order], own[order]
-            s = np.where(size > 0, q @ v.T / np.maximum(size, 1e-300), -2.0)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(names)), top.shape[1])
-            yield pd.DataFrame({"query_id": np.array(names)[rows], "id": own[top.ravel()], "similarity": s[rows, top.ravel()]})
-
-    found = vectors.select("id", "vector").mapInPandas(best, "query_id long, id long, similarity double").filter(F.col("similarity") >= least)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    fine = F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull()), F.lit(False))
+    q, v = (x.select(c, "vector").filter(fine) for x, c in ((queries, "query_id"), (vectors, "id")))
+    many = [max(1, -(-x.count() // block_rows)) for x in (q, v)]
+    kinds = dict(q.dtypes) | dict(v.dtypes)
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+        if not len(asked) or not len(held):
+            return empty
+        a, b = (np.stack(x["vector"].to_numpy()).astype(np.float64) for x in (asked, held))
+        own = held["id"].to_numpy()
+        order = np.argsort(own, kind="stable")
+        b, own = b[order], own[order]
+        sizes = [np.linalg.norm(x, axis=1) for x in (a, b)]
+        s = a @ b.T / np.maximum(sizes[0], 1e-300)[:, None] / np.maximum(sizes[1], 1e-300)
+        s[sizes[0] == 0], s[:, sizes[1] == 0] = -2.0, -2.0
+        top = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(a)), top.shape[1])
+        found = pd.DataFrame({"query_id": asked["query_id"].to_numpy()[rows], "id": own[top.ravel()], "similarity": s[rows, top.ravel()]})
+        return found[found["similarity"] >= least]
+
+    sides = [_blocks(q, "query_id", "_q", "_v", many[0], many[1]), _blocks(v, "id", "_v", "_q", many[1], many[0])]
+    met = sides[0].groupBy("_q", "_v").cogroup(sides[1].groupBy("_q", "_v"))
+    found = met.applyInPandas(best, f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.round(F.col("similarity"), 12).desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def similar_pairs(vectors: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b of (id, vector) rows with a cosine of ``least`` or more; exact, by blocks."""
+    v = vectors.select("id", "vector").filter(F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull()), F.lit(False)))
+    many = max(1, -(-v.count() // block_rows))
+    kind = dict(v.dtypes)["id"]
+
+    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        x, y = (np.stack(f["vector"].to_numpy()).astype(np.float64) for f in (left, right))
+        sizes = [np.linalg.norm(f, axis=1) for f in (x, y)]
+        ids = [f["id"].to_numpy() for f in (left, right)]
+        s = x @ y.T / np.maximum(sizes[0], 1e-300)[:, None] / np.maximum(sizes[1], 1e-300)
+        s[sizes[0] == 0], s[:, sizes[1] == 0] = -2.0, -2.0
+        i, j = np.nonzero((s >= least) & (ids[0][:, None] < ids[1][None, :]))
+        return pd.DataFrame({"a": ids[0][i], "b": ids[1][j], "similarity": s[i, j]})
+
+    sides = [_blocks(v, "id", "_q", "_v", many, many), _blocks(v, "id", "_v", "_q", many, many)]
+    return sides[0].groupBy("_q", "_v").cogroup(sides[1].groupBy("_q", "_v")).applyInPandas(near, f"a {kind}, b {kind}, similarity double")
+
+
 def embed_column(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], text: str, out: str, prefix: str = "search_document: ", size: int = 64) -> DataFrame:
     """Add ``out``: vectors of prefixed texts, made in batches by the caller's function on the executors."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -83,6 +117,20 @@ class Adwin:
         self.delta, self.most = delta, most
         self.rows: list[list[tuple[int, float, float]]] = [[]]
 
+    def dump(self) -> str:
+        return json.dumps(self.rows)
+
+    @classmethod
+    def load(cls, text: str, delta: float) -> Adwin | None:
+        """The window that ``dump`` wrote, or none where the text is not one."""
+        try:
+            rows = [[(int(n), float(s), float(v)) for n, s, v in row] for row in json.loads(text)]
+        except (TypeError, ValueError):
+            return None
+        window = cls(delta)
+        window.rows = rows or [[]]
+        return window
+
     def add(self, x: float) -> bool:
         """Take a value; whether a change was found."""
         self.rows[0].append((1, x, 0.0))

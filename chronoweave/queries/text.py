@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoweave.operators import text as X
@@ -12,59 +13,119 @@ from chronoweave.registry import query
 from chronoweave.streaming import jobs
 
 
-@query("""SELECT doc_id, CAST(i AS INTEGER) AS unit, CAST(i * 64 AS INTEGER) AS start, CAST(least(i * 64 + 128, length(text)) AS INTEGER) AS "end", md5(substr(text, i * 64 + 1, 128)) AS h FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 128) / 64.0) AS INTEGER), 0) + 1)) AS i FROM documents WHERE length(text) > 0 AND length(text) < 3000) x""")
+_UNITS = "SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 128) / 64.0) AS INTEGER), 0) + 1)) AS i FROM documents WHERE length(text) > 0"
+
+
+@query(f"""SELECT doc_id, CAST(i AS INTEGER) AS unit, CAST(i * 64 AS INTEGER) AS start, CAST(least(i * 64 + 128, length(text)) AS INTEGER) AS "end", md5(substr(text, i * 64 + 1, 128)) AS h FROM ({_UNITS}) x""")
 def tx1_units(t):
-    found = X.units(t.documents.filter("length(text) < 3000"), "doc_id", "text")
-    return found.select("doc_id", "unit", "start", "end", F.md5(F.encode("content", "utf-8")).alias("h"))
+    return X.units(t.documents, "doc_id", "text").select("doc_id", "unit", "start", "end", F.md5(F.encode("content", "utf-8")).alias("h"))
 
 
-@query("""WITH u AS (SELECT doc_id, unnest(range(0, greatest(CAST(ceil((length(text) - 128) / 64.0) AS INTEGER), 0) + 1)) * 64 AS s, length(text) AS n FROM documents WHERE length(text) BETWEEN 1 AND 2999), f AS (SELECT doc_id, instr(text, ' the ') AS p FROM documents WHERE instr(text, ' the ') > 0)
-SELECT doc_id, count(*) AS units FROM f JOIN u USING (doc_id) WHERE s < p + 4 AND least(s + 128, n) > p - 1 GROUP BY 1""")
-def tx2_fn14_fact_units(t):
-    d = t.documents.filter("length(text) < 3000")
-    f = d.select("doc_id", F.instr("text", " the ").alias("p")).filter("p > 0")
-    return f.join(X.units(d, "doc_id", "text"), "doc_id").filter("start < p + 4 and end > p - 1").groupBy("doc_id").agg(F.count("*").alias("units"))
+_SOURCES = "SELECT doc_id, text, CASE WHEN doc_id % 9 = 0 THEN 'no such words' WHEN doc_id % 4 = 0 THEN ' th' ELSE substr(text, 151, 40) END AS source FROM documents"
 
 
-@query('SELECT conv_id, turn, CAST(floor((sum(length(coalesce(text, \'\'))) OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 600) AS BIGINT) AS "window" FROM conversations')
+@query(f"""WITH f AS ({_SOURCES}), p AS (SELECT *, strpos(text, source) AS p FROM f), l AS (SELECT doc_id, source, CASE WHEN source IS NOT NULL AND length(source) > 0 AND p > 0 AND strpos(substr(text, p + 1), source) = 0 THEN p - 1 END AS s FROM p),
+u AS (SELECT doc_id, i FROM ({_UNITS}) x)
+SELECT l.doc_id, CAST(u.i AS INTEGER) AS unit, CASE WHEN u.i IS NULL THEN 'window_fallback' ELSE 'offset_overlap' END AS match_kind FROM l LEFT JOIN u ON u.doc_id = l.doc_id AND l.s < u.i * 64 + 128 AND u.i * 64 < l.s + length(l.source) WHERE l.doc_id IN (SELECT doc_id FROM documents)""")
+def tx2_fn14_fact_units(t):
+    source = F.when(F.col("doc_id") % 9 == 0, "no such words").when(F.col("doc_id") % 4 == 0, " th").otherwise(F.substring("text", 151, 40))
+    facts = t.documents.select("doc_id", F.col("doc_id").alias("fact_id"), source.alias("source"))
+    return X.fact_units(t.documents, facts, "doc_id", "text").select("doc_id", "unit", "match_kind")
+
+
+@query("""WITH RECURSIVE l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, length(concat('[Session: ', conv_id, ']')) + 2 AS head, length(concat(upper(coalesce(role, '')), ': ', coalesce(text, ''))) AS line FROM conversations),
+w AS (SELECT conv_id, turn, r, head, 0::BIGINT AS win, CASE WHEN head + line > 600 THEN -(-line // (600 - head)) ELSE 1 END::BIGINT AS pieces, CASE WHEN head + line > 600 THEN head ELSE head + line + 2 END AS held, head + line <= 600 AS opened, CASE WHEN head + line > 600 THEN CAST(ceil(line / (600.0 - head)) AS BIGINT) ELSE 0 END AS nxt FROM l WHERE r = 1
+UNION ALL SELECT l.conv_id, l.turn, l.r, l.head, CASE WHEN l.head + l.line > 600 THEN w.nxt + w.opened::INT WHEN w.opened AND w.held + l.line + 2 > 600 THEN w.nxt + 1 ELSE w.nxt END,
+  CASE WHEN l.head + l.line > 600 THEN CAST(ceil(l.line / (600.0 - l.head)) AS BIGINT) ELSE 1 END,
+  CASE WHEN l.head + l.line > 600 THEN l.head WHEN w.opened AND w.held + l.line + 2 > 600 THEN l.head + l.line + 2 ELSE w.held + l.line + 2 END,
+  l.head + l.line <= 600,
+  CASE WHEN l.head + l.line > 600 THEN w.nxt + w.opened::INT + CAST(ceil(l.line / (600.0 - l.head)) AS BIGINT) WHEN w.opened AND w.held + l.line + 2 > 600 THEN w.nxt + 1 ELSE w.nxt END
+  FROM w JOIN l ON l.conv_id = w.conv_id AND l.r = w.r + 1)
+SELECT w.conv_id, w.turn, w.win AS "window", CASE WHEN l.head + l.line > 600 THEN CAST(ceil(l.line / (600.0 - l.head)) AS BIGINT) ELSE 1 END AS pieces FROM w JOIN l ON l.conv_id = w.conv_id AND l.r = w.r""")
 def tx3_turn_windows(t):
     return X.turn_windows(t.conversations, 600)
 
 
-@query()
-def tx4_tx5_paragraphs(t):
-    return X.paragraphs(t.documents, "doc_id", "text", 1000).select("doc_id", "piece", F.length("content").alias("n"))
+@query("""WITH RECURSIVE s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ps FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS r, len(ps) AS n FROM s WHERE length(text) > 800),
+w AS (SELECT doc_id, r, n, CAST(NULL AS VARCHAR) AS done, p AS now, p AS last FROM l WHERE r = 1
+UNION ALL SELECT l.doc_id, l.r, l.n, CASE WHEN w.now <> '' AND length(w.now) + length(l.p) + 1 > 800 THEN w.now END, CASE WHEN w.now <> '' AND length(w.now) + length(l.p) + 1 > 800 THEN CASE WHEN w.last <> '' THEN concat(w.last, chr(10), l.p) ELSE l.p END WHEN w.now <> '' THEN concat(w.now, chr(10), l.p) ELSE l.p END, l.p FROM w JOIN l ON l.doc_id = w.doc_id AND l.r = w.r + 1),
+o AS (SELECT doc_id, r, done AS content FROM w WHERE done IS NOT NULL UNION ALL SELECT doc_id, r + 1, now FROM w WHERE r = n AND now <> '' UNION ALL SELECT doc_id, 0, text FROM s WHERE length(text) <= 800)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS INTEGER) AS piece, length(content) AS n, md5(content) AS h FROM o""")
+def tx4_paragraphs(t):
+    return X.paragraphs(t.documents, "doc_id", "text", 800, "\n", "\n").select("doc_id", "piece", F.length("content").alias("n"), F.md5(F.encode("content", "utf-8")).alias("h"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS r, len(ps) AS n FROM s),
+h AS (SELECT *, length(p) < 50 AND regexp_matches(p, '^(Chapter|Letter|CHAPTER)\\s') AS head FROM l),
+w AS (SELECT doc_id, r, n, CAST(NULL AS VARCHAR) AS done, p AS now FROM h WHERE r = 1
+UNION ALL SELECT h.doc_id, h.r, h.n, CASE WHEN NOT h.head AND length(w.now) + length(h.p) >= 900 AND length(w.now) >= 120 THEN w.now END, CASE WHEN h.head OR length(w.now) + length(h.p) < 900 THEN concat(w.now, chr(10), chr(10), h.p) ELSE h.p END FROM w JOIN h ON h.doc_id = w.doc_id AND h.r = w.r + 1),
+o AS (SELECT doc_id, r, done AS c FROM w WHERE done IS NOT NULL UNION ALL SELECT doc_id, r + 1, now FROM w WHERE r = n AND length(now) >= 120),
+q AS (SELECT doc_id, row_number() OVER g - 1 AS piece, c, lag(c) OVER g AS before FROM o WINDOW g AS (PARTITION BY doc_id ORDER BY r)), k AS (SELECT *, CASE WHEN length(before) > 60 THEN right(before, 60) ELSE before END AS tail FROM q)
+SELECT doc_id, CAST(piece AS INTEGER) AS piece, md5(CASE WHEN piece = 0 THEN c ELSE concat(CASE WHEN strpos(tail, ' ') > 1 THEN substr(tail, strpos(tail, ' ') + 1) ELSE tail END, chr(10), chr(10), c) END) AS h FROM k""")
+def tx5_book_chunks(t):
+    return X.book_chunks(t.documents, "doc_id", "text", 120, 900, 60, "\n").select("doc_id", "piece", F.md5(F.encode("content", "utf-8")).alias("h"))
 
 
-@query("""SELECT DISTINCT doc_id, lower(s) AS subject, lower(r) AS relation, lower(o) AS object, CAST(0.7 AS DOUBLE) AS confidence FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(\\p{L}+) (of|in|to) (\\p{L}+)\\b', 1)) AS s, unnest(regexp_extract_all(text, '(?i)\\b(\\p{L}+) (of|in|to) (\\p{L}+)\\b', 2)) AS r, unnest(regexp_extract_all(text, '(?i)\\b(\\p{L}+) (of|in|to) (\\p{L}+)\\b', 3)) AS o FROM documents WHERE lang = 'en') x
+@query("""SELECT DISTINCT doc_id, lower(s) AS subject, lower(r) AS relation, lower(o) AS object, CAST(0.7 AS DOUBLE) AS confidence FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(\\p{L}+) (of|in|to|von|der|de|la) (\\p{L}+)', 1)) AS s, unnest(regexp_extract_all(text, '(?i)(\\p{L}+) (of|in|to|von|der|de|la) (\\p{L}+)', 2)) AS r, unnest(regexp_extract_all(text, '(?i)(\\p{L}+) (of|in|to|von|der|de|la) (\\p{L}+)', 3)) AS o FROM documents) x
 WHERE lower(s) NOT IN ('i', 'you', 'he', 'she', 'it', 'we', 'they', 'this', 'that', 'there') AND lower(o) NOT IN ('i', 'you', 'he', 'she', 'it', 'we', 'they', 'this', 'that', 'there')""")
 def tx6_relations(t):
-    return X.relations(t.documents.filter("lang = 'en'"), "doc_id", "text", ["of", "in", "to"])
+    return X.relations(t.documents, "doc_id", "text", ["of", "in", "to", "von", "der", "de", "la"])
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^\\s*(def|class|import|function) ') THEN 'code' WHEN regexp_matches(text, '(?im)^\\s*[-*] \\[[ x]\\]') THEN 'tasks' WHEN regexp_matches(text, 'https?://') THEN 'link' WHEN length(text) < 200 THEN 'note' ELSE 'document' END AS kind FROM documents""")
+_HAS = lambda marks: " OR ".join("contains(lower(text), '" + m.replace("'", "''") + "')" for m in marks)
+
+
+@query(f"""SELECT doc_id, CASE WHEN {_HAS(X.LINK_MARKS)} THEN 'link' WHEN {_HAS(X.TASK_MARKS)} THEN 'task' WHEN {_HAS(X.QUESTION_MARKS)} THEN 'question' ELSE 'thought' END AS kind,
+len(regexp_extract_all(text, 'https?://[^\\s<>"{{}}|\\\\^`\\[\\]]+')) AS urls, len(regexp_extract_all(text, '@([0-9A-Za-z_]+)')) AS mentions, len(regexp_extract_all(text, '#([0-9A-Za-z_]+)')) AS tags,
+len(list_distinct(list_concat(list_concat(regexp_extract_all(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), regexp_extract_all(text, '\\d{{1,2}}/\\d{{1,2}}/\\d{{2,4}}')), regexp_extract_all(text, '(?i)(today|tomorrow|yesterday|next week|last week|monday|tuesday|wednesday|thursday|friday|saturday|sunday)')))) AS dates,
+len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS words FROM documents""")
 def tx7_content_types(t):
-    return t.documents.select("doc_id", X.content_type(F.col("text")).alias("kind"))
+    marks = X.content_marks(F.col("text"))
+    size = lambda c: F.size(marks[c]).cast("long").alias(c)
+    return t.documents.select("doc_id", X.content_type(F.col("text")).alias("kind"), *[size(c) for c in ("urls", "mentions", "tags", "dates")], marks["words"].cast("long").alias("words"))
 
 
-@query()
+@query("""WITH m AS (SELECT doc_id, regexp_replace(text, '(?m)^([A-Z][^\\n]{0,60})$', '## \\1', 'g') AS text FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(ls) AS content, unnest(range(len(ls))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM m) x),
+h AS (SELECT *, CASE WHEN regexp_matches(content, '^#{1,6}\\s+.+$') THEN line END AS spot FROM l), g AS (SELECT *, max(spot) OVER (PARTITION BY doc_id ORDER BY line) AS under FROM h)
+SELECT g.doc_id, trim(regexp_replace(k.content, '^#+\\s+', ''), ' ') AS heading, count(*) AS lines FROM g LEFT JOIN l k ON k.doc_id = g.doc_id AND k.line = g.under WHERE g.spot IS NULL AND trim(g.content, ' ') <> '' GROUP BY 1, 2""")
 def tx8_win9_sections(t):
-    marked = t.documents.select("doc_id", F.regexp_replace("text", r"(?m)^(\p{Lu}[^\n]{0,40})$", "# $1").alias("text"))
+    marked = t.documents.select("doc_id", F.regexp_replace("text", r"(?m)^([A-Z][^\n]{0,60})$", "## $1").alias("text"))
     return X.sections(marked, "doc_id", "text").groupBy("doc_id", "heading").agg(F.count("*").alias("lines"))
 
 
-@query()
-def tx9_transcripts(t):
-    said = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda r: F.concat(r["role"], F.lit(": "), F.regexp_replace(r["text"], "\n", " "))), "\n").alias("text"))
-    return X.transcript_segments(said, "conv_id", "text").groupBy("conv_id", "speaker").agg(F.count("*").alias("segments"))
+@query("""WITH m AS (SELECT doc_id, concat('---', chr(10), 'title: T', doc_id, chr(10), 'lang: ', coalesce(lang, '?'), chr(10), '---', chr(10), '# Head ', doc_id, chr(10), 'see [[Page ', doc_id % 7, '|x]] and [a](http://x/', doc_id, ') #tag', doc_id % 3, chr(10)) AS text FROM documents)
+SELECT doc_id, concat('T', doc_id) AS title_key, concat('Head ', doc_id) AS title, concat('http://x/', doc_id) AS link, concat('Page ', doc_id % 7) AS wikilink, concat('tag', doc_id % 3) AS tag FROM m""")
+def tx8_markdown_marks(t):
+    head = F.concat(F.lit("---\ntitle: T"), "doc_id", F.lit("\nlang: "), F.coalesce("lang", F.lit("?")), F.lit("\n---\n# Head "), "doc_id", F.lit("\nsee [[Page "), F.col("doc_id") % 7, F.lit("|x]] and [a](http://x/"), "doc_id", F.lit(") #tag"), F.col("doc_id") % 3, F.lit("\n"))
+    d = t.documents.select("doc_id", head.alias("text"))
+    marks, pairs = X.markdown_marks(F.col("text")), X.front_matter(F.col("text"))[0]
+    first = lambda c: F.element_at(marks[c], 1)
+    return d.select("doc_id", F.element_at(F.filter(pairs, lambda p: p["key"] == "title"), 1)["value"].alias("title_key"), marks["title"].alias("title"), first("links").alias("link"), first("wikilinks").alias("wikilink"), first("tags").alias("tag"))
 
 
-@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain FROM pages")
+@query("""WITH c AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[\\s]+', ' ', 'g') AS said, conv_id % 3 AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r, coalesce(role, 'none') AS role FROM conversations)
+SELECT conv_id, CASE kind WHEN 0 THEN 'vtt' WHEN 1 THEN 'srt' ELSE 'diarized' END AS format, CASE kind WHEN 0 THEN role WHEN 1 THEN 'Unknown' ELSE 'Speaker ' || upper(substr(role, 1, 1)) END AS speaker, count(*) AS segments, CAST(max(CASE WHEN kind < 2 THEN r * 2 + 1.5 END) AS DOUBLE) AS end_s FROM c WHERE trim(said) <> '' AND r < 1800 GROUP BY ALL""")
+def tx9_transcripts(t):
+    """Conversations written as captions of both formats or with named lines, and read back as segments."""
+    at = lambda s: F.format_string("00:%02d:%02d", (s / 60).cast("int"), (s % 60).cast("int"))
+    r = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    c = t.conversations.select("conv_id", "turn", F.coalesce("role", F.lit("none")).alias("role"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("said"), r.alias("r")).filter("said <> '' and r < 1800")
+    start, kind = F.col("r") * 2, F.col("conv_id") % 3
+    block = F.when(kind == 0, F.concat(at(start), F.lit(".000 --> "), at(start + 1), F.lit(".500\n<v "), "role", F.lit("> "), "said"))
+    block = block.when(kind == 1, F.concat((F.col("r") + 1).cast("string"), F.lit("\n"), at(start), F.lit(",000 --> "), at(start + 1), F.lit(",500\n"), "said"))
+    block = block.otherwise(F.concat(F.lit("Speaker "), F.upper(F.substring("role", 1, 1)), F.lit(": "), "said"))
+    # one file a turn: a reader of whole conversations would hold each in one row
+    found = X.transcript_segments(c.select("conv_id", block.alias("text")), "conv_id", "text")
+    return found.groupBy("conv_id", "format", "speaker").agg(F.count("*").alias("segments"), F.max("end_s").alias("end_s"))
+
+
+@query("""SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain,
+nullif(trim(regexp_extract(regexp_extract(html, '(?is)(<meta\\b[^>]*\\b(?:name|property)\\s*=\\s*["'']description["''][^>]*>)', 1), '(?is)\\bcontent\\s*=\\s*["'']([^"'']*)["'']', 1)), '') AS description FROM pages""")
 def tx10_pages(t):
-    return t.pages.select("page_id", X.page_title(F.col("html")).alias("title"), F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("domain"))
+    return t.pages.select("page_id", X.page_title(F.col("html")).alias("title"), F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("domain"), X.page_meta(F.col("html"))["description"].alias("description"))
 
 
-@query()
+@query("""SELECT page_id, CAST(len(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?is)<nav\\b[^>]*>.*?</nav>', ' ', 'g'), '(?is)<header\\b[^>]*>.*?</header>', ' ', 'g'), '(?is)<footer\\b[^>]*>.*?</footer>', ' ', 'g'), '(?is)<aside\\b[^>]*>.*?</aside>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), ' ')) AS INTEGER) AS words FROM pages""")
 def tx10_page_text(t):
     return t.pages.select("page_id", F.size(F.split(X.page_text(F.col("html")), " ")).alias("words"))
 
@@ -91,8 +152,6 @@ def ev1_recall_precision(t):
 
 @query("SELECT round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM (SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN k END) AS r FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) x GROUP BY 1) y")
 def ev2_mrr(t):
-    from pyspark.sql import Window
-
     k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
     first = t.events.withColumn("k", k).groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("k"))).alias("r"))
     return first.agg(F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))

@@ -150,9 +150,9 @@ def test_text_structure(spark):
     docs = spark.createDataFrame([(1, "# A\none\n## B\ntwo\nthree")], "k long, t string")
     assert [(r.heading, r.content) for r in sections(docs, "k", "t").orderBy("line").collect()] == [("A", "one"), ("B", "two"), ("B", "three")]
     said = spark.createDataFrame([(1, "Ann: hello\nno label\nBob: bye")], "k long, t string")
-    assert [r.speaker for r in transcript_segments(said, "k", "t").orderBy("segment").collect()] == ["Ann", None, "Bob"]
+    assert [r.speaker for r in transcript_segments(said, "k", "t").orderBy("segment").collect()] == ["Ann", "Bob"]
     long = spark.createDataFrame([(1, "aaaa\nbbbb\ncccccccccccc\ndd")], "k long, t string")
-    assert [r.content for r in paragraphs(long, "k", "t", 10).orderBy("piece").collect()] == ["aaaa\nbbbb", "cccccccccccc", "dd"]
+    assert [r.content for r in paragraphs(long, "k", "t", 10, "\n", "\n").orderBy("piece").collect()] == ["aaaa\nbbbb", "bbbb\ncccccccccccc", "cccccccccccc\ndd"]
 
 
 def test_json_readers(spark, tmp_path):
@@ -168,10 +168,57 @@ def test_streams(spark, tmp_path):
     rows.repartition(3).write.parquet(str(tmp_path / "facts"))
     called = []
     stream = jobs.read_folder(spark, str(tmp_path / "facts"), rows.schema, 1)
-    jobs.due_recomputes(stream, {"topology": 100, "stats": 20}, lambda kind, n: called.append(kind), str(tmp_path / "c")).awaitTermination()
+    ledger = str(tmp_path / "ledger")
+    jobs.due_recomputes(stream, {"topology": 100, "stats": 20}, lambda kind, n: called.append(kind), ledger, str(tmp_path / "c")).awaitTermination()
     assert "stats" in called and "topology" in called
     turns = spark.createDataFrame([(1, "user"), (1, "user"), (1, "assistant"), (2, "system")], "conv_id long, role string")
     turns.write.parquet(str(tmp_path / "turns"))
     found = jobs.new_speakers(jobs.read_folder(spark, str(tmp_path / "turns"), turns.schema))
     found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_counts_outlive_a_restart(spark, tmp_path):
+    """40 facts before a restart and 70 after it reach a threshold of 100 that neither run reaches alone."""
+    called, folder = [], str(tmp_path / "facts")
+    for n in (40, 70):
+        spark.range(n).repartition(1).write.mode("append").parquet(folder)
+        stream = jobs.read_folder(spark, folder, spark.range(1).schema)
+        jobs.due_recomputes(stream, {"topology": 100}, lambda kind, n: called.append((kind, n)), str(tmp_path / "ledger"), str(tmp_path / "c")).awaitTermination()
+    assert called == [("topology", 110)]
+
+
+def test_every_n_runs_outlive_a_restart(spark, tmp_path):
+    called, folder = [], str(tmp_path / "facts")
+    for at in range(6):
+        spark.range(3).repartition(1).write.mode("append").parquet(folder)
+        stream = jobs.read_folder(spark, folder, spark.range(1).schema)
+        jobs.every_n_runs(stream, {"gardener": 2, "decay": 3}, lambda kind, run: called.append((kind, run)), str(tmp_path / "ledger"), str(tmp_path / "c"), cooldown=0).awaitTermination()
+    assert called == [("gardener", 2), ("decay", 3), ("gardener", 4), ("gardener", 6), ("decay", 6)]
+
+
+def test_drift_stream_keeps_state_and_resets(spark, tmp_path):
+    schema, folder = "entity string, cluster string, at long, value double", str(tmp_path / "seen")
+    found = []
+    for first, value in ((0, 0.1), (60, 0.9)):
+        rows = [(e, "c1" if e == "a" or first == 0 else "c2", i, value) for e in ("a", "b") for i in range(first, first + 60)]
+        spark.createDataFrame(rows, schema).repartition(1).write.mode("append").parquet(folder)
+        stream = jobs.read_folder(spark, folder, spark.createDataFrame([], schema).schema)
+        jobs.drift_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        found.append({(r.entity, r.kind) for r in spark.read.parquet(str(tmp_path / "out")).collect()})
+    assert found == [set(), {("a", "change"), ("b", "reset")}]
+
+
+def test_supersession_on_arrival(spark, tmp_path):
+    """A back-dated fact that overlaps nothing supersedes nothing; one that overlaps expires what is there."""
+    schema = "fact_id string, subject_id string, predicate string, object_id string, object_value string, valid_at timestamp, invalid_at timestamp, created_at timestamp, expired_at timestamp, confidence double"
+    row = lambda i, o, start, end, made: f"('{i}', 's', 'lives_in', '{o}', null, timestamp '{start}', {end and f"timestamp '{end}'" or 'null'}, timestamp '{made}', null, 0.5D)"
+    folder, store = str(tmp_path / "facts"), str(tmp_path / "store")
+    registry = spark.createDataFrame([("lives_in", True)], "predicate string, is_exclusive boolean")
+    for values in (row("f1", "paris", "2020-01-01", None, "2024-01-01"), row("f2", "rome", "2010-01-01", "2015-01-01", "2024-01-02"), row("f3", "oslo", "2021-01-01", None, "2024-01-03") + ", " + row("f4", "oslo", "2021-01-01", None, "2024-01-04")):
+        names = [c.split()[0] for c in schema.split(", ")]
+        spark.sql(f"select * from values {values} as t({', '.join(names)})").select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")]).repartition(1).write.mode("append").parquet(folder)
+        stream = jobs.read_folder(spark, folder, spark.createDataFrame([], schema).schema)
+        jobs.supersede(stream, registry, store, str(tmp_path / "c")).awaitTermination()
+    state = {r.fact_id: r.expired_at is None for r in jobs.latest_version(spark, store).collect()}
+    assert state == {"f1": False, "f2": True, "f3": True}
