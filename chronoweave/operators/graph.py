@@ -66,23 +66,26 @@ def paths(edges: DataFrame, pairs: DataFrame, depth: int, most: int) -> DataFram
 def core_numbers(edges: DataFrame) -> DataFrame:
     """(v, core): coreness, parallel edges counted, by peeling in bulk.
 
-    At a level k all vertices of degree k or less go at once, and with them every vertex of degree k + 1 that a chain of
-    such vertices joins to one of them, since each of these loses an edge in turn: a long path goes in one round.
+    At a level k all vertices of degree k or less go at once. A level that takes several rounds is peeled by chains: with
+    these vertices goes every vertex of degree k + 1 that a chain of such vertices joins to one of them, since each of
+    these loses an edge in turn, so a long path goes in one round.
     """
     arcs = stash(both_ways(edges).filter("src <> dst"))
     left = stash(arcs.select(F.col("src").alias("v")).distinct())
-    out, k = [], 0
+    out, k, turns = [], 0, 0
     while True:
         degree = stash(left.join(arcs.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d")), "v", "left").select("v", F.coalesce("d", F.lit(0)).alias("d")))
         low = degree.agg(F.min("d")).first()[0]
         if low is None:
             break
-        k = max(k, low)
-        near = degree.filter(F.col("d") <= k + 1)
-        inner = arcs.join(near.select(F.col("v").alias("src")), "src", "left_semi").join(near.select(F.col("v").alias("dst")), "dst", "left_semi")
-        chains = connected_components(inner.select("src", "dst").union(near.select("v", F.col("v").alias("w"))))
-        doomed = near.join(chains.withColumnRenamed("node", "v"), "v").withColumn("least", F.min("d").over(Window.partitionBy("component")))
-        gone = stash(doomed.filter(F.col("least") <= k).select("v", F.lit(k).cast("long").alias("core")))
+        k, turns = max(k, low), turns + 1 if low <= k else 1
+        doomed = degree.filter(F.col("d") <= k)
+        if turns > 4:
+            near = degree.filter(F.col("d") <= k + 1)
+            inner = arcs.join(near.select(F.col("v").alias("src")), "src", "left_semi").join(near.select(F.col("v").alias("dst")), "dst", "left_semi")
+            chains = connected_components(inner.select("src", "dst").union(near.select("v", F.col("v").alias("w"))))
+            doomed = near.join(chains.withColumnRenamed("node", "v"), "v").withColumn("least", F.min("d").over(Window.partitionBy("component"))).filter(F.col("least") <= k)
+        gone = stash(doomed.select("v", F.lit(k).cast("long").alias("core")))
         out.append(gone)
         held = left, arcs, degree
         left = stash(left.join(gone, "v", "left_anti"))
@@ -186,3 +189,33 @@ def communities(edges: DataFrame, rounds: int = 24, levels: int = 6) -> DataFram
         name = now.select("v", "community")
         arcs = stash(arcs.join(name.toDF("src", "cs"), "src").join(name.toDF("dst", "cd"), "dst").groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")))
     return of.select("v", F.min("v").over(Window.partitionBy("node")).alias("community"))
+
+
+def all_edges(facts: DataFrame, same_as: DataFrame) -> DataFrame:
+    """(kind, id, src, dst) of fact edges and identity links (id, src, dst), in order of kind and id."""
+    both = facts.withColumn("kind", F.lit("fact")).unionByName(same_as.withColumn("kind", F.lit("same_as")))
+    return both.select("kind", "id", "src", "dst").orderBy("kind", "id")
+
+
+def capped(rows: DataFrame, key: str, order: list, most: int) -> DataFrame:
+    """At most ``most`` rows of every key, in a stated total order."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= most).drop("_r")
+
+
+def topology_findings(edges: DataFrame, vertices: DataFrame, hubs: int = 10) -> DataFrame:
+    """(v, degree, kind): isolate, island (outside the largest component), hub (the largest degrees), leaf or inner."""
+    d = degrees(edges, vertices)
+    parts = connected_components(edges.filter("src <> dst")).withColumnRenamed("node", "v")
+    main = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component", F.lit(True).alias("_main"))
+    top = d.orderBy(F.desc("degree"), "v").limit(hubs).select("v", F.lit(True).alias("_hub"))
+    met = d.join(parts.join(F.broadcast(main), "component", "left"), "v", "left").join(F.broadcast(top), "v", "left")  # one row and ``hubs`` rows
+    kind = F.when(F.col("degree") == 0, "isolate").when(F.col("_main").isNull(), "island").when(F.col("_hub"), "hub").when(F.col("degree") <= 2, "leaf").otherwise("inner")
+    return met.select("v", "degree", kind.alias("kind"))
+
+
+def topology_snapshot(edges: DataFrame, vertices: DataFrame, rounds: int | None = None) -> DataFrame:
+    """One row a vertex: component and its size, degree, coreness, PageRank; null component and core 0 for isolates."""
+    parts = connected_components(edges.filter("src <> dst")).withColumnRenamed("node", "v")
+    size = parts.groupBy("component").agg(F.count("*").alias("component_size"))
+    met = degrees(edges, vertices).join(parts.join(size, "component"), "v", "left").join(core_numbers(edges), "v", "left").join(pagerank(edges, vertices, rounds=rounds).withColumnRenamed("rank", "pagerank"), "v", "left")
+    return met.select("v", "component", F.coalesce("component_size", F.lit(1)).alias("component_size"), "degree", F.coalesce("core", F.lit(0)).alias("core"), "pagerank")

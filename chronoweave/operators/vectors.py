@@ -38,7 +38,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, blo
         empty = pd.DataFrame({"query_id": [], "id": [], "similarity": []})
         if not len(asked) or not len(held):
             return empty
-        a, b = (np.stack(x["vector"].to_numpy()).astype(np.float64) for x in (asked, held))
+        a, b = np.stack(asked["_a"].to_numpy()).astype(np.float64), np.stack(held["_b"].to_numpy()).astype(np.float64)
         own = held["id"].to_numpy()
         order = np.argsort(own, kind="stable")
         b, own = b[order], own[order]
@@ -50,8 +50,10 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, blo
         found = pd.DataFrame({"query_id": asked["query_id"].to_numpy()[rows], "id": own[top.ravel()], "similarity": s[rows, top.ravel()]})
         return found[found["similarity"] >= least]
 
-    sides = [_blocks(q, "query_id", "_q", "_v", many[0], many[1]), _blocks(v, "id", "_v", "_q", many[1], many[0])]
-    met = sides[0].groupBy("_q", "_v").cogroup(sides[1].groupBy("_q", "_v"))
+    # new names for both sides: they may come from one table
+    left = _blocks(q.select("query_id", F.col("vector").alias("_a")), "query_id", "_q", "_v", many[0], many[1])
+    right = _blocks(v.select("id", F.col("vector").alias("_b")), "id", "_w", "_r", many[1], many[0])
+    met = left.groupBy("_q", "_v").cogroup(right.groupBy("_r", "_w"))
     found = met.applyInPandas(best, f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.round(F.col("similarity"), 12).desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -66,16 +68,17 @@ def similar_pairs(vectors: DataFrame, least: float, block_rows: int = BLOCK_ROWS
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        x, y = (np.stack(f["vector"].to_numpy()).astype(np.float64) for f in (left, right))
+        x, y = np.stack(left["_a"].to_numpy()).astype(np.float64), np.stack(right["_b"].to_numpy()).astype(np.float64)
         sizes = [np.linalg.norm(f, axis=1) for f in (x, y)]
-        ids = [f["id"].to_numpy() for f in (left, right)]
+        ids = [left["_i"].to_numpy(), right["_j"].to_numpy()]
         s = x @ y.T / np.maximum(sizes[0], 1e-300)[:, None] / np.maximum(sizes[1], 1e-300)
         s[sizes[0] == 0], s[:, sizes[1] == 0] = -2.0, -2.0
         i, j = np.nonzero((s >= least) & (ids[0][:, None] < ids[1][None, :]))
         return pd.DataFrame({"a": ids[0][i], "b": ids[1][j], "similarity": s[i, j]})
 
-    sides = [_blocks(v, "id", "_q", "_v", many, many), _blocks(v, "id", "_v", "_q", many, many)]
-    return sides[0].groupBy("_q", "_v").cogroup(sides[1].groupBy("_q", "_v")).applyInPandas(near, f"a {kind}, b {kind}, similarity double")
+    one = _blocks(v.select(F.col("id").alias("_i"), F.col("vector").alias("_a")), "_i", "_q", "_v", many, many)
+    two = _blocks(v.select(F.col("id").alias("_j"), F.col("vector").alias("_b")), "_j", "_w", "_r", many, many)
+    return one.groupBy("_q", "_v").cogroup(two.groupBy("_r", "_w")).applyInPandas(near, f"a {kind}, b {kind}, similarity double")
 
 
 def embed_column(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], text: str, out: str, prefix: str = "search_document: ", size: int = 64) -> DataFrame:
@@ -107,6 +110,74 @@ def unit_hits(hits: DataFrame, units: DataFrame) -> DataFrame:
     return hits.join(units, "id").groupBy("query_id", "parent").agg(F.max("similarity").alias("score"), F.count("*").alias("units"))
 
 
+def centroids(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, centre): the mean vector of each group, summed by component before anything is gathered."""
+    parts = rows.select(key, F.posexplode(vector).alias("_i", "_x")).groupBy(key, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    return parts.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("centre"))  # as long as a vector
+
+
+def retrieval_failed(hits: DataFrame, least: float = 0.5) -> DataFrame:
+    """(query_id, failed): whether a query's best hit is below ``least``."""
+    return hits.groupBy("query_id").agg((F.max("similarity") < least).alias("failed"))
+
+
+def expand_anchors(anchors: DataFrame, facts: DataFrame, weights: dict[str, float], depth: int, most: int) -> DataFrame:
+    """(query_id, fact_id, predicate_weight, hop): facts within ``depth`` steps of a query's anchors (query_id, entity_id).
+
+    The best ``most`` of a query by the weight of their predicate, then by hop. A fact is one step from both its ends.
+    """
+    table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    f = facts.filter("object_id is not null").select("fact_id", F.coalesce(F.element_at(table, F.col("predicate")), F.lit(0.4)).alias("predicate_weight"), "subject_id", "object_id")
+    arcs = f.select(F.col("subject_id").alias("_at"), F.col("object_id").alias("_to"), "fact_id", "predicate_weight").union(f.select("object_id", "subject_id", "fact_id", "predicate_weight"))
+    front, found = anchors.select("query_id", F.col("entity_id").alias("_at")).distinct(), None
+    for hop in range(1, depth + 1):
+        step = front.join(arcs, "_at").select("query_id", "_to", "fact_id", "predicate_weight", F.lit(hop).alias("hop"))
+        found = step.drop("_to") if found is None else found.union(step.drop("_to"))
+        front = step.select("query_id", F.col("_to").alias("_at")).distinct()
+    best = found.groupBy("query_id", "fact_id", "predicate_weight").agg(F.min("hop").alias("hop"))
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("predicate_weight"), "hop", "fact_id"))
+    return best.withColumn("_r", r).filter(F.col("_r") <= most).drop("_r")
+
+
+def rerank(evidence: DataFrame) -> DataFrame:
+    """Add ``score`` to (similarity, predicate_weight, hop) rows: 0.7, 0.2 and 0.1 / hop."""
+    return evidence.withColumn("score", 0.7 * F.coalesce("similarity", F.lit(0.0)) + 0.2 * F.col("predicate_weight") + 0.1 / F.col("hop"))
+
+
+def drift_events(rows: DataFrame, least: float = 0.3) -> DataFrame:
+    """Add what a drift of (entity, target, magnitude) asks for."""
+    return rows.withColumn("action", F.when(F.col("magnitude") >= least, "reconcile").otherwise("none"))
+
+
+def pending_drift(events: DataFrame, most: int = 3) -> DataFrame:
+    """Events without a run that were tried fewer than ``most`` times."""
+    return events.filter((F.col("attempts") < most) & F.col("run_id").isNull())
+
+
+def drift_outcomes(tried: DataFrame, most: int = 3) -> DataFrame:
+    """Add ``state`` by the answer's code: done, failed for good (400, 404), exhausted at the last attempt, or retry."""
+    state = F.when(F.col("code") == 200, "done").when(F.col("code").isin(400, 404), "failed")
+    return tried.withColumn("state", state.when(F.col("attempts") + 1 >= most, "exhausted").otherwise("retry"))
+
+
+def newest(events: DataFrame, most: int) -> DataFrame:
+    """The ``most`` newest events of every entity."""
+    r = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("at"), "event_id"))
+    return events.withColumn("_r", r).filter(F.col("_r") <= most).drop("_r")
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows by a hash of key and seed: the same ones in every run."""
+    return rows.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
+def similarity_spread(left: DataFrame, right: DataFrame, key: str, vector: str) -> DataFrame:
+    """(pairs, mean, p10, p90) of cosines between two samples of a stated size, a row with itself left out."""
+    a, b = left.select(F.col(key).alias("a"), F.col(vector).alias("va")), right.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
+    s = a.join(F.broadcast(b), F.col("a") != F.col("b")).select(cosine(F.col("va"), F.col("vb")).alias("s"))
+    return s.agg(F.count("*").alias("pairs"), F.round(F.avg("s"), 6).alias("mean"), *[F.round(F.percentile("s", p), 6).alias(n) for p, n in ((0.1, "p10"), (0.9, "p90"))])
+
+
 class Adwin:
     """Adaptive windowing over bounded values: cuts the window's old part when its mean differs from the new part's.
 
