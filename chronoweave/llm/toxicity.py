@@ -30,7 +30,7 @@ FOLDS = 5
 MARGINS = (1.0, 2.0, 3.0)
 #: Counting takes the words, and scoring the texts, in so many turns; a turn's shuffle is gone before the next.
 COUNT_TURNS = 6
-SCORE_TURNS = 6
+SCORE_TURNS = 12
 #: What the table holds of a word or pair; its ratio follows from the totals of all.
 HELD = [("key", np.uint64), ("toxic", np.uint32), ("ordinary", np.uint32), ("backoff", np.float32)]
 SUMS = [f"s{o}{m}" for o in (1, 2) for m in range(len(MARGINS) + 1)]
@@ -161,7 +161,7 @@ def _by_part(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part").applyInArrow(pack, "part long, " + ", ".join(f"{c} binary" for c, _ in HELD))
 
 
-def counted(train: DataFrame, parts: int) -> tuple[list[DataFrame], list[dict[str, tuple[float, float, float]]]]:
+def counted(train: DataFrame, parts: int, turns: int = COUNT_TURNS) -> tuple[list[DataFrame], list[dict[str, tuple[float, float, float]]]]:
     """Stashed (part, HELD) of every word and pair of the (toxic, text) rows, and the totals of words and of pairs.
 
     ``backoff`` is a word's number of distinct contexts, and of a pair that of its second word times the uses of the
@@ -185,8 +185,8 @@ def counted(train: DataFrame, parts: int) -> tuple[list[DataFrame], list[dict[st
             yield rows_of(batch, _key(word.view(np.uint64), before.view(np.uint64)), contexts * (first / uses))
 
     tables, one, two, contexts = [], Counter(), Counter(), 0
-    for turn in range(COUNT_TURNS):
-        counts = stash(pair_counts(train, turn, COUNT_TURNS))
+    for turn in range(turns):
+        counts = stash(pair_counts(train, turn, turns))
         _free(spark)
         words = stash(counts.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("contexts")))
         one.update(_tally(words))
@@ -291,7 +291,7 @@ def _read(table) -> np.ndarray:
     return _features(np.stack([table.column(c).to_numpy() for c in SUMS], axis=1) / np.maximum(n, 1)[:, None], n)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", count_turns: int = COUNT_TURNS, score_turns: int = SCORE_TURNS) -> DataFrame:
     """A toxicity score for every whole text, learnt from ``labels`` (id, label) outside the held-out fold.
 
     The fold is crc32(id as text) mod 5: 0 is held out, 1 calibrates, the rest are counted. All their labelled texts
@@ -309,10 +309,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = marks.filter(fold_of("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     small = marks.count() <= 1_000_000  # 16 MB
     marks = F.broadcast(marks) if small else marks
-    tables, totals = counted(docs.join(marks, "doc_id").filter(fold > 1), parts)
+    tables, totals = counted(docs.join(marks, "doc_id").filter(fold > 1), parts, count_turns)
     table, turns = _union(tables), []
-    for turn in range(SCORE_TURNS):
-        mine = docs.filter(F.pmod("text_key", F.lit(SCORE_TURNS)) == turn)
+    for turn in range(score_turns):
+        mine = docs.filter(F.pmod("text_key", F.lit(score_turns)) == turn)
         turns.append(stash(text_sums(mine, table, totals, parts)))
         _free(spark)
     for held in tables:

@@ -123,13 +123,13 @@ def test_toxicity(spark):
     texts = [t + " vileword awfulword vileword" if x else t for t, x in zip(texts, toxic)]
     df = docs_of(spark, texts + ODD)
     labels = spark.createDataFrame([(i, int(x)) for i, x in enumerate(toxic)] + [(0, 1), (None, 1), (5, None)], "doc_id long, toxic int")
-    rows = toxicity.score_toxicity(df, labels).collect()
+    rows = toxicity.score_toxicity(df, labels, count_turns=2, score_turns=2).collect()
     assert len(rows) == len(texts) + len(ODD) and all(0 <= r.score <= 1 for r in rows)
     held = [r for r in rows if r.doc_id < 400 and r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert np.mean([r.predicted == toxic[r.doc_id] for r in held]) > 0.95
-    assert {r.score for r in toxicity.score_toxicity(df, labels.limit(0)).collect()} == {0.5}
-    assert toxicity.score_toxicity(df.limit(0), labels).count() == 0
+    assert {r.score for r in toxicity.score_toxicity(df, labels.limit(0), count_turns=1, score_turns=1).collect()} == {0.5}
+    assert toxicity.score_toxicity(df.limit(0), labels, count_turns=1, score_turns=1).count() == 0
 
 
 def test_toxicity_tells_an_expression_from_its_words(spark):
@@ -143,7 +143,7 @@ def test_toxicity_tells_an_expression_from_its_words(spark):
         texts.append(" ".join(t))
     labels = spark.createDataFrame([(i, int(x)) for i, x in enumerate(toxic)], "doc_id long, toxic int")
     df = docs_of(spark, texts)
-    rows = toxicity.score_toxicity(df.unionAll(df.filter("doc_id < 50")), labels).collect()
+    rows = toxicity.score_toxicity(df.unionAll(df.filter("doc_id < 50")), labels, count_turns=3, score_turns=2).collect()
     assert len(rows) == 650 and all(len({r.score for r in rows if r.doc_id == i}) == 1 for i in range(50))
     assert np.mean([r.predicted == toxic[r.doc_id] for r in rows if r.held_out]) > 0.95
 
