@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.functions.scalar import overlap, trigrams
+from chronoweave.functions.scalar import cosine, overlap, trigrams
+from chronoweave.operators.vectors import similar_pairs
 
 #: The weights of the nine signals of a pair score.
 WEIGHTS = {
@@ -14,14 +16,19 @@ WEIGHTS = {
 }
 
 
-def similar_names(left: DataFrame, right: DataFrame, least: float = 0.3, most_common: int = 1000) -> DataFrame:
-    """(a, b, similarity) of (id, name) rows whose trigram sets overlap enough, blocked on the shared rarest trigrams.
+def similar_names(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
+    """(a, b, similarity) of (a, b) name classes whose trigram sets overlap enough, blocked on the rarest shared trigrams.
 
-    Two sets with an overlap of ``least`` share one of the first ``(1 - least) * n + 1`` trigrams of either, by rarity, so
-    only that prefix of each set is joined.
+    ``left`` and ``right`` have (id, name); rows of one lower-cased name form a class, named by its smallest id, so that
+    a name that many rows share is compared once. Two sets with an overlap of ``least`` share one of the first
+    ``(1 - least) * n + 1`` trigrams of either, by rarity, so only that prefix of each set is joined.
     """
-    l = left.select(F.col("id").alias("a"), trigrams(F.col("name")).alias("ta"))
-    r = right.select(F.col("id").alias("b"), trigrams(F.col("name")).alias("tb"))
+
+    def classes(rows: DataFrame, key: str, grams: str) -> DataFrame:
+        one = rows.groupBy(F.lower("name").alias("name")).agg(F.min("id").alias(key))
+        return one.select(key, trigrams(F.col("name")).alias(grams))
+
+    l, r = classes(left, "a", "ta"), classes(right, "b", "tb")
     freq = l.select(F.explode("ta").alias("g")).union(r.select(F.explode("tb"))).groupBy("g").agg(F.count("*").alias("n"))
 
     def prefix(rows: DataFrame, key: str, grams: str) -> DataFrame:
@@ -85,6 +92,163 @@ def merge_entities(facts: DataFrame, mapping: DataFrame) -> tuple[DataFrame, Dat
     return ranked.filter("_r is null or _r = 1").drop("_r"), ranked.filter("_r > 1").select("fact_id")
 
 
+def merge_candidates(centroids: DataFrame, mentions: DataFrame, resolved: DataFrame, least: float = 0.4, sure: float = 0.7, least_mentions: int = 2) -> DataFrame:
+    """(a, b, similarity, status) of entity pairs worth a look: both mentioned often enough, similar, and not resolved.
+
+    ``centroids`` (entity_id, centre), ``mentions`` (entity_id, n), ``resolved`` (a, b); all similar pairs are found.
+    """
+    often = mentions.filter(F.col("n") >= least_mentions).select("entity_id")
+    v = centroids.join(often, "entity_id", "left_semi").select(F.col("entity_id").alias("id"), F.col("centre").alias("vector"))
+    met = similar_pairs(v, least).join(resolved.select("a", "b"), ["a", "b"], "left_anti")
+    return met.withColumn("status", F.when(F.col("similarity") >= sure, "candidate").otherwise("staging"))
+
+
+def pair_signals(pairs: DataFrame, centroids: DataFrame, memories: DataFrame, facts: DataFrame, clusters: DataFrame, signatures: DataFrame, drifted: DataFrame, ranks: DataFrame, cuts: DataFrame, components: DataFrame) -> DataFrame:
+    """The nine signals of the pairs (a, b), null where nothing is known of a side.
+
+    ``centroids`` (entity_id, centre), ``memories`` (entity_id, memory_id), ``facts`` as usual, ``clusters`` (entity_id,
+    cluster, probability), ``signatures`` (entity_id, signature), ``drifted`` (entity_id) of the recent past, ``ranks``
+    (entity_id, pagerank), ``cuts`` (entity_id, is_cut), ``components`` (entity_id, component).
+    """
+    met = set_overlap(memories, pairs, "entity_id", "memory_id", "memories")
+    out = facts.filter("expired_at is null").select(F.col("subject_id").alias("e"), F.concat_ws("|", "predicate", F.coalesce("object_id", F.lit(""))).alias("m"))
+    met = set_overlap(out, met, "e", "m", "facts")
+    held = centroids.select("entity_id", "centre").join(clusters, "entity_id", "full_outer").join(signatures, "entity_id", "full_outer").join(ranks, "entity_id", "full_outer").join(cuts, "entity_id", "full_outer").join(components, "entity_id", "full_outer")
+    held = held.join(drifted.select("entity_id", F.lit(True).alias("drifted")).distinct(), "entity_id", "full_outer")
+    for side in ("a", "b"):
+        met = met.join(held.toDF(side, *[f"_{side}_{c}" for c in held.columns[1:]]), side, "left")
+    a, b = (lambda c: F.col(f"_a_{c}")), (lambda c: F.col(f"_b_{c}"))
+    top = ranks.agg(F.max("pagerank").alias("_top"))
+    both = lambda c: a(c).isNotNull() & b(c).isNotNull()
+    met = met.crossJoin(F.broadcast(top))  # one row
+    signals = {
+        "centroid": cosine(a("centre"), b("centre")),
+        "cluster": F.when(both("cluster") & (a("cluster") == b("cluster")) & (a("cluster") != -1), F.least(a("probability"), b("probability"))),
+        "signature": cosine(a("signature"), b("signature")),
+        "drift": F.when(a("drifted") | b("drifted"), 1.0),
+        "centrality": F.when(both("pagerank") & (F.col("_top") > 0), F.least(a("pagerank"), b("pagerank")) / F.col("_top")),
+        "articulation": F.when(a("is_cut").isNotNull() | b("is_cut").isNotNull(), F.when(F.coalesce(a("is_cut"), F.lit(False)) | F.coalesce(b("is_cut"), F.lit(False)), 0.5).otherwise(0.0)),
+        "component": F.when(both("component"), F.when(a("component") == b("component"), 1.0).otherwise(0.0)),
+    }
+    return met.select("a", "b", "memories", "facts", *[x.alias(c) for c, x in signals.items()])
+
+
+#: The weights of the six signals of pairs across components.
+CROSS_WEIGHTS = {"cluster": 0.30, "drift_a": 0.15, "drift_b": 0.15, "role": 0.20, "centrality": 0.10, "articulation": 0.10}
+
+
+def cross_weights(overrides: dict[str, float] | None = None) -> dict[str, float]:
+    """Weights of the nine signals for pairs across components: overrides are scaled to a sum of 1 unless that is near 0."""
+    raw = CROSS_WEIGHTS | (overrides or {})
+    total = sum(raw.values())
+    if abs(total) >= 1e-3:
+        raw = {k: w / total for k, w in raw.items()}
+    named = {"cluster": "cluster", "signature": "role", "centrality": "centrality", "articulation": "articulation"}
+    return WEIGHTS | {s: raw[k] for s, k in named.items()} | {"drift": raw["drift_a"] + raw["drift_b"]}
+
+
+def upsert_candidates(held: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidates (a, b, score, status, source, detections) after new detections (a, b, score, source).
+
+    A resolved pair keeps its state; another's score is the new one and its status is staging or candidate again; the
+    source of a sweep across clusters is not overwritten by another.
+    """
+    new = found.groupBy("a", "b").agg(F.max_by("score", F.struct("score", "source")).alias("_score"), F.max_by("source", F.struct("score", "source")).alias("_source"), F.count("*").alias("_n"))
+    met = held.join(new, ["a", "b"], "full_outer")
+    locked = F.coalesce(F.col("status") == "resolved", F.lit(False))
+    fresh = F.col("_n").isNotNull() & ~locked
+    return met.select(
+        "a",
+        "b",
+        F.when(fresh, F.col("_score")).otherwise(F.col("score")).alias("score"),
+        F.when(fresh, F.when(F.col("_score") >= 0.7, "candidate").otherwise("staging")).otherwise(F.col("status")).alias("status"),
+        F.when(fresh & (F.coalesce("source", F.lit("")) != "cross_cluster"), F.col("_source")).otherwise(F.col("source")).alias("source"),
+        (F.coalesce("detections", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("detections"),
+    )
+
+
+def resolve_candidates(candidates: DataFrame, decisions: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(a, b, status, resolution, hazard) after decisions (a, b, resolution, reason): one of a pair counts, with a reason.
+
+    ``hazard`` tells whether a side is a cut vertex (entity_id), whose merge may split or join parts of the graph.
+    """
+    ok = decisions.filter(F.length(F.trim("reason")) > 0).groupBy("a", "b").agg(F.min("resolution").alias("_to"))
+    met = candidates.join(ok, ["a", "b"], "left")
+    for side in ("a", "b"):
+        met = met.join(cuts.select(F.col("entity_id").alias(side), F.lit(True).alias(f"_{side}")).distinct(), side, "left")
+    take = F.col("_to").isNotNull() & (F.col("status") != "resolved")
+    hazard = F.coalesce("_a", F.lit(False)) | F.coalesce("_b", F.lit(False))
+    return met.select("a", "b", F.when(take, "resolved").otherwise(F.col("status")).alias("status"), F.when(take, F.col("_to")).alias("resolution"), hazard.alias("hazard"))
+
+
+#: Other names of the entity types.
+TYPE_NAMES = {
+    "person": ["person", "people", "individual"],
+    "company": ["company", "organization", "organisation", "org", "business"],
+    "place": ["place", "location", "city", "country", "region", "geo"],
+    "project": ["project", "initiative"],
+    "concept": ["concept", "technology", "tool", "framework", "skill", "tech"],
+    "product": ["product", "service"],
+    "team": ["team", "group", "department"],
+}
+
+
+def entity_type(name: Column) -> Column:
+    """The common name of an entity type; an unknown one in lower case."""
+    low = F.lower(name)
+    found = F.lit(None).cast("string")
+    for kind, names in TYPE_NAMES.items():
+        found = F.when(low.isin(names), kind).otherwise(found)
+    return F.coalesce(found, low)
+
+
+def name_likeness(pairs: DataFrame, left: str, right: str, out: str) -> DataFrame:
+    """Add the Jaro-Winkler likeness of two name columns, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaro_winkler(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+
+    return pairs.withColumn(out, likeness(F.col(left), F.col(right)))
+
+
+def jaro_winkler(a: str, b: str) -> float:
+    """Likeness of two strings from 0 to 1: matching characters, transpositions, and a bonus for a common start."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    near = max(max(len(a), len(b)) // 2 - 1, 0)
+    taken, mine = [False] * len(b), []
+    for i, c in enumerate(a):
+        spot = next((j for j in range(max(0, i - near), min(len(b), i + near + 1)) if not taken[j] and b[j] == c), None)
+        if spot is not None:
+            taken[spot] = True
+            mine.append(c)
+    if not mine:
+        return 0.0
+    theirs = [c for c, hit in zip(b, taken) if hit]
+    m, turned = len(mine), sum(x != y for x, y in zip(mine, theirs)) / 2
+    jaro = (m / len(a) + m / len(b) + (m - turned) / m) / 3
+    start = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
+    return jaro + start * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+
+
+def predicate_likeness(pairs: DataFrame, synonyms: dict[str, str]) -> DataFrame:
+    """Add ``score`` to (pa, pb, type_a, type_b, cosine) rows: 0.5 cosine, 0.3 types, 0.1 names, 0.1 synonyms.
+
+    Types are (subject, object) structs: 1 when both are the same, 0.5 when one is. Two predicates are synonyms when the
+    map leads them to one name.
+    """
+    table = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv]) if synonyms else F.create_map(F.lit(""), F.lit(""))
+    head = lambda c: F.coalesce(F.element_at(table, F.col(c)), F.col(c))
+    same = [F.col("type_a")[c] == F.col("type_b")[c] for c in ("s", "o")]
+    types = F.when(same[0] & same[1], 1.0).when(same[0] | same[1], 0.5).otherwise(0.0)
+    known = F.element_at(table, F.col("pa")).isNotNull() | F.element_at(table, F.col("pb")).isNotNull()
+    met = name_likeness(pairs, "pa", "pb", "names")
+    return met.withColumn("score", 0.5 * F.col("cosine") + 0.3 * types + 0.1 * F.col("names") + 0.1 * F.when((head("pa") == head("pb")) & known, 1.0).otherwise(0.0))
+
+
 def cross_component_pairs(entities: DataFrame, least_size: int = 2) -> DataFrame:
     """(a, b) of entities in one cluster but in different components of enough members: an equi-join on the cluster."""
     size = entities.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= least_size)

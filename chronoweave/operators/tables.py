@@ -65,6 +65,13 @@ def page(rows: DataFrame, order: Sequence[Column], limit: int, offset: int = 0)
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def optional_filters(rows: DataFrame, equal: dict[str, object], at: str | None = None, since: str | None = None) -> DataFrame:
+    """Rows with the given values; a value or an instant that is None is no filter."""
+    for name, value in equal.items():
+        rows = rows if value is None else rows.filter(F.col(name) == value)
+    return rows if at is None or since is None else rows.filter(F.col(at) >= F.lit(since).cast("timestamp"))
+
+
 def read_question_sets(spark, path: str) -> DataFrame:
     """(question_id, question_type, session, date, turn, role, content, has_answer) from nested benchmark JSON."""
     turn = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType()), T.StructField("has_answer", T.BooleanType())])

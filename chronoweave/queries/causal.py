@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators import causal as C
 from chronoweave.operators import temporal as BT
+from chronoweave.plans.stash import stash
 from chronoweave.registry import query
 
 
@@ -17,16 +18,31 @@ def ca1_check_edges(t):
     return C.check_edges(lost, t.causal_events)[1].select("edge_id", "reason")
 
 
-@query("""SELECT edge_id, round(CASE WHEN edge_id % 3 = 0 THEN least(1.0, strength + 0.05 * (1 + (edge_id % 2))) ELSE strength END, 9) AS strength, corroboration_count + CASE WHEN edge_id % 3 = 0 THEN 1 + (edge_id % 2) ELSE 0 END AS n FROM causal_edges""")
+_SEEN = """k AS MATERIALIZED (SELECT event_id, concat(subject_id, '|', predicate) AS k FROM causal_events), o AS MATERIALIZED (SELECT edge_id, cause_event_id AS c, effect_event_id AS f, strength AS s, concat(x.k, '>', y.k) AS m FROM causal_edges JOIN k x ON x.event_id = cause_event_id JOIN k y ON y.event_id = effect_event_id WHERE expired_at IS NULL),
+w AS MATERIALIZED (SELECT event_id + 1000000 AS edge_id, event_id AS c, CASE WHEN event_id % 2 = 0 THEN n1 ELSE n2 END AS f FROM (SELECT event_id, lead(event_id) OVER z AS n1, lead(event_id, 2) OVER z AS n2 FROM events WINDOW z AS (PARTITION BY user_id ORDER BY ts, event_id)) q WHERE event_id % 3 = 0),
+a AS MATERIALIZED (SELECT w.*, concat(x.k, '>', y.k) AS m FROM w JOIN k x ON x.event_id = c JOIN k y ON y.event_id = f), ex AS (SELECT c, f, min(edge_id) AS e FROM o GROUP BY 1, 2), al AS (SELECT m, edge_id AS e FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY s DESC, edge_id) AS r FROM o) q WHERE r = 1),
+t AS MATERIALIZED (SELECT a.*, coalesce(ex.e, al.e) AS e FROM a LEFT JOIN ex ON ex.c = a.c AND ex.f = a.f LEFT JOIN al ON al.m = a.m)"""
+
+
+def _seen(t):
+    z = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    n = t.events.select("event_id", F.lead("event_id").over(z).alias("n1"), F.lead("event_id", 2).over(z).alias("n2")).filter("event_id % 3 = 0")
+    to = F.when(F.col("event_id") % 2 == 0, F.col("n1")).otherwise(F.col("n2"))
+    return n.select((F.col("event_id") + 1000000).alias("edge_id"), F.col("event_id").alias("cause_event_id"), to.alias("effect_event_id"), F.lit(0.3).alias("strength")).filter("effect_event_id is not null")
+
+
+@query(f"WITH {_SEEN}, n AS (SELECT e, count(*) AS n FROM t WHERE e IS NOT NULL GROUP BY 1) SELECT edge_id, round(CASE WHEN n.n > 0 THEN least(1.0, strength + 0.05 * n.n) ELSE strength END, 9) AS strength, corroboration_count + coalesce(n.n, 0) AS n FROM causal_edges LEFT JOIN n ON n.e = edge_id UNION ALL SELECT min(edge_id), round(least(1.0, 0.3 + 0.05 * (count(*) - 1)), 9), count(*) FROM t WHERE e IS NULL GROUP BY m")
 def ca2_corroborate(t):
-    e = t.causal_edges
-    new = e.filter("edge_id % 3 = 0").select("cause_event_id", "effect_event_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("edge_id") % 2)))
-    return C.corroborate(e, new).select("edge_id", F.round("strength", 9).alias("strength"), F.col("corroboration_count").alias("n"))
+    """Observations of the next event, an edge that is there, or of the one after it, which only an edge of one meaning can match."""
+    held, fresh = C.corroborate_or_insert(t.causal_edges, _seen(t), t.causal_events)
+    columns = ["edge_id", F.round("strength", 9).alias("strength"), F.col("corroboration_count").cast("long").alias("n")]
+    return held.select(*columns).unionByName(fresh.select(*columns))
 
 
-@query("SELECT edge_id, 'expired' AS event_type, strength AS previous FROM causal_edges WHERE expired_at IS NULL AND strength < 0.02")
+@query("SELECT edge_id, 'expired' AS event_type, strength AS previous, 'weak' AS reasoning FROM causal_edges WHERE expired_at IS NULL AND strength < 0.02 AND edge_id % 5 <> 0")
 def ca3_expire_edges(t):
-    return t.causal_edges.filter("expired_at is null and strength < 0.02").select("edge_id", F.lit("expired").alias("event_type"), F.col("strength").alias("previous"))
+    weak = t.causal_edges.filter("strength < 0.02").select("edge_id", F.lit("2024-03-01").cast("timestamp").alias("at"), F.when(F.col("edge_id") % 5 == 0, " ").otherwise("weak").alias("reason"))
+    return C.expire_edges(t.causal_edges, weak)[1]
 
 
 @query("""SELECT edge_id, CASE WHEN corroboration_count > 1 THEN 'weakened' ELSE 'expired' END AS outcome, round(CASE WHEN corroboration_count > 1 THEN greatest(0.1, strength * pow(0.8, n)) END, 9) AS strength
@@ -38,9 +54,10 @@ def ca4_cascade(t):
     return out.withColumn("strength", F.round("strength", 9))
 
 
-@query("""SELECT edge_id, CASE WHEN strength * 0.95 < 0.1 THEN 'expired' ELSE 'decayed' END AS outcome, round(greatest(0.1, strength * 0.95), 9) AS strength FROM causal_edges WHERE expired_at IS NULL AND corroboration_count <= 1 AND created_at < TIMESTAMP '2024-03-01' - INTERVAL 30 DAY""")
+@query("""SELECT edge_id, CASE WHEN strength * 0.95 < 0.1 THEN 'expired' ELSE 'decayed' END AS outcome, round(greatest(0.1, strength * 0.95), 9) AS strength FROM causal_edges WHERE expired_at IS NULL AND corroboration_count <= 1 AND created_at < TIMESTAMP '2024-03-01' - INTERVAL 30 DAY AND cause_event_id % 4 <> 0""")
 def ca5_decay(t):
-    return C.decay(t.causal_edges, F.lit("2024-03-01").cast("timestamp")).withColumn("strength", F.round("strength", 9))
+    edges = t.causal_edges.withColumn("inferred_by", F.when(F.col("cause_event_id") % 4 == 0, "user").otherwise("llm"))
+    return C.decay(edges, F.lit("2024-03-01").cast("timestamp"), source="llm").withColumn("strength", F.round("strength", 9))
 
 
 _TRACE = """WITH RECURSIVE w AS (SELECT event_id AS seed, event_id, 0 AS depth, CAST(NULL AS DOUBLE) AS strength, [event_id] AS path FROM causal_events WHERE event_id % 40 = 0
@@ -80,14 +97,22 @@ def ca10_im4_citing(t):
 
 
 _CHAINS = """WITH RECURSIVE c AS (SELECT [edge_id] AS edges, [cause_event_id, effect_event_id] AS evs, effect_event_id AS fin FROM causal_edges WHERE expired_at IS NULL AND created_at >= TIMESTAMP '2024-01-01'
-UNION ALL SELECT list_append(c.edges, e.edge_id), list_append(c.evs, e.effect_event_id), e.effect_event_id FROM c JOIN causal_edges e ON e.cause_event_id = c.fin WHERE e.expired_at IS NULL AND len(c.edges) < 4 AND NOT list_contains(c.edges, e.edge_id)),
-k AS (SELECT * FROM c WHERE len(edges) >= 2),
-n AS (SELECT edges, string_agg(predicate, '>' ORDER BY i) AS template FROM (SELECT edges, unnest(evs) AS event_id, unnest(range(len(evs))) AS i FROM k) x JOIN causal_events USING (event_id) GROUP BY 1)
+UNION ALL SELECT list_append(c.edges, e.edge_id), list_append(c.evs, e.effect_event_id), e.effect_event_id FROM c JOIN causal_edges e ON e.cause_event_id = c.fin WHERE e.expired_at IS NULL AND len(c.edges) < 6 AND NOT list_contains(c.edges, e.edge_id)),
+k AS MATERIALIZED (SELECT * FROM c WHERE len(edges) >= 2), v AS MATERIALIZED (SELECT event_id, concat(CASE WHEN right(subject_id, 1) = '7' THEN 'company' ELSE 'person' END, ':', CASE WHEN predicate IN ('click', 'view') THEN 'browse' ELSE predicate END) AS node FROM causal_events),
+n AS MATERIALIZED (SELECT edges, string_agg(node, '>' ORDER BY i) AS template FROM (SELECT edges, unnest(evs) AS event_id, unnest(range(len(evs))) AS i FROM k) x JOIN v USING (event_id) GROUP BY 1),
+p AS MATERIALIZED (SELECT template, count(*) AS instances FROM n GROUP BY 1 HAVING count(*) >= 3),
+st AS MATERIALIZED (SELECT edge_id, template, i AS position FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY template, i) AS r FROM (SELECT template, unnest(edges) AS edge_id, unnest(range(len(edges))) AS i FROM n WHERE template IN (SELECT template FROM p)) q) y WHERE r = 1)
 """
+CATEGORIES = {"click": "browse", "view": "browse"}
+
+
+def _nodes(t):
+    kinds = t.causal_events.select("subject_id").distinct().withColumn("entity_type", F.when(F.right("subject_id", F.lit(1)) == "7", "company").otherwise("person"))
+    return C.event_nodes(t.causal_events, kinds, CATEGORIES)
 
 
 def _named(t):
-    return C.templates(C.chains(t.causal_edges, F.lit("2024-01-01").cast("timestamp")), t.causal_events)
+    return stash(C.templates(C.chains(t.causal_edges, F.lit("2024-01-01").cast("timestamp")), _nodes(t)))
 
 
 @query(_CHAINS + "SELECT len(edges) AS size, count(*) AS n, min(edges[1]) AS lo FROM k GROUP BY 1")
@@ -96,11 +121,25 @@ def pt1_chains(t):
     return found.groupBy(F.size("edges").alias("size")).agg(F.count("*").alias("n"), F.min(F.element_at("edges", 1)).alias("lo"))
 
 
-@query(_CHAINS + "SELECT template, count(*) AS instances FROM n GROUP BY 1 HAVING count(*) >= 3")
+@query(_CHAINS + "SELECT template, instances FROM p")
 def pt2_pt3_patterns(t):
     return C.patterns(_named(t))
 
 
+@query(_CHAINS + ", h AS (SELECT template, CASE WHEN instances >= 40 THEN 'canonical' ELSE 'candidate' END AS status FROM p WHERE instances >= 20), g AS (SELECT template, avg(strength) AS s FROM (SELECT template, unnest(edges) AS edge_id FROM n WHERE template IN (SELECT template FROM p)) q JOIN causal_edges USING (edge_id) GROUP BY 1) SELECT template, instances, round(s, 6) AS avg_strength, coalesce(status, 'staging') AS status FROM p JOIN g USING (template) LEFT JOIN h USING (template)")
+def pt3_agg10_upsert(t):
+    """Known patterns, here those of twenty chains or more, keep their status and get new counts and averages."""
+    named = _named(t)
+    held = C.patterns(named, 20).withColumn("status", F.when(F.col("instances") >= 40, "canonical").otherwise("candidate"))
+    return C.upsert_patterns(held, named, t.causal_edges).withColumn("avg_strength", F.round("avg_strength", 6))
+
+
+@query(_CHAINS + "SELECT edge_id, template, position FROM st")
+def pt3_win7_stamps(t):
+    named = _named(t)
+    return C.stamp_edges(named, C.patterns(named))
+
+
 @query("""SELECT user_id, status, CASE WHEN status = 'staging' AND idle >= 14 THEN 'rejected' WHEN status = 'canonical' AND idle >= 30 THEN 'provisional' WHEN status = 'provisional' AND idle >= 30 THEN 'candidate'
 WHEN status = 'staging' AND n >= 5 THEN 'candidate' WHEN status = 'candidate' AND n >= 10 AND act >= 3 THEN 'provisional' WHEN status = 'provisional' AND act >= 5 THEN 'canonical' ELSE status END AS next
 FROM (SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'staging' WHEN 1 THEN 'candidate' WHEN 2 THEN 'provisional' ELSE 'canonical' END AS status, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS act, user_id % 40 AS idle FROM events GROUP BY 1) x""")
@@ -111,31 +150,36 @@ def pt4_lifecycle(t):
     return C.promote(rows).select("user_id", "status", "next")
 
 
-@query("""WITH e AS (SELECT edge_id, a.predicate AS pa, b.predicate AS pb FROM causal_edges JOIN causal_events a ON a.event_id = cause_event_id JOIN causal_events b ON b.event_id = effect_event_id WHERE causal_edges.expired_at IS NULL)
-SELECT edge_id, concat(pa, '>', pb) AS template FROM e WHERE concat(pa, '>', pb) IN (SELECT concat(pa, '>', pb) FROM e GROUP BY 1 HAVING count(*) >= 300)""")
-def pt5_match_edges(t):
-    e = t.causal_edges.filter("expired_at is null").select("edge_id", "cause_event_id", "effect_event_id")
-    p = t.causal_events.select("event_id", "predicate")
-    pair = e.join(p.toDF("cause_event_id", "pa"), "cause_event_id").join(p.toDF("effect_event_id", "pb"), "effect_event_id").select("edge_id", F.concat_ws(">", "pa", "pb").alias("template"))
-    known = pair.groupBy("template").count().filter("count >= 300").select("template")  # at most the square of the predicates
-    return pair.join(F.broadcast(known), "template", "left_semi").select("edge_id", "template")
+@query(_CHAINS + """, ok AS (SELECT template FROM p WHERE instances >= 20), wi AS (SELECT pair, template, position FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY template, position) AS r FROM (SELECT template, i - 1 AS position, concat(ns[i], '>', ns[i + 1]) AS pair FROM (SELECT template, string_split(template, '>') AS ns FROM ok) q, LATERAL (SELECT unnest(range(1, len(ns))) AS i) u) x) y WHERE r = 1)
+SELECT edge_id, template, position FROM causal_edges JOIN v a ON a.event_id = cause_event_id JOIN v b ON b.event_id = effect_event_id JOIN wi ON pair = concat(a.node, '>', b.node) WHERE expired_at IS NULL""")
+def pt5_join11_match_edges(t):
+    """Edges against neighbouring nodes of the patterns with twenty chains or more."""
+    return C.match_edges(t.causal_edges, _nodes(t), C.patterns(_named(t), 20))
 
 
-@query("""WITH k AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 60), v AS (SELECT count(DISTINCT event_type) AS n FROM events)
-SELECT user_id, (SELECT n FROM v) - count(*) AS missing, round(avg_share, 6) AS confidence FROM (SELECT user_id, event_type, count(*) OVER (PARTITION BY user_id)::DOUBLE / (SELECT n FROM v) AS avg_share FROM k) x GROUP BY user_id, avg_share HAVING count(*) = (SELECT n FROM v) - 1""")
+@query(_CHAINS + """, g AS (SELECT subject_id AS entity, template, len(string_split(template, '>')) - 1 AS n, list(DISTINCT position) AS ps, avg(strength) AS s FROM st JOIN causal_edges USING (edge_id) JOIN causal_events ON event_id = cause_event_id WHERE expired_at IS NULL GROUP BY 1, 2),
+h AS (SELECT entity, template, list_filter(range(n), lambda x: NOT list_contains(ps, x))[1] AS missing, s * (n - 1) / n AS confidence FROM g WHERE n > 1 AND len(ps) = n - 1)
+SELECT entity, template, missing, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(confidence, 9) DESC, template) AS r FROM h) x WHERE r <= 10""")
 def pt6_ghost_links(t):
-    all_kinds = t.events.agg(F.count_distinct("event_type").alias("n"))
-    held = t.events.filter("value > 60").groupBy("user_id").agg(F.count_distinct("event_type").alias("k"))
-    met = held.crossJoin(F.broadcast(all_kinds)).filter("k = n - 1")
-    return met.select("user_id", (F.col("n") - F.col("k")).alias("missing"), F.round(F.col("k") / F.col("n"), 6).alias("confidence"))
+    named = _named(t)
+    kept = C.patterns(named)
+    found = C.ghost_links(C.stamp_edges(named, kept), t.causal_edges, t.causal_events, kept)
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+_OPEN = "fo AS MATERIALIZED (SELECT fact_id, subject_id, predicate, object_value AS v, confidence FROM facts WHERE predicate = 'has_status' AND expired_at IS NULL AND (invalid_at IS NULL OR right(fact_id, 1) = '3'))"
 
 
-@query("""SELECT a.fact_id AS a, b.fact_id AS b, CASE WHEN greatest(a.confidence, b.confidence) >= 0.8 THEN 'high' ELSE 'medium' END AS severity FROM facts a JOIN facts b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.fact_id < b.fact_id AND a.object_id <> b.object_id
-WHERE a.predicate = 'owns' AND a.expired_at IS NULL AND b.expired_at IS NULL AND a.invalid_at IS NULL AND b.invalid_at IS NULL AND CAST(substr(a.object_id, 2) AS INTEGER) < 20 AND CAST(substr(b.object_id, 2) AS INTEGER) < 20""")
+def _open_facts(t):
+    """Facts of one predicate, those of a last digit 3 with their end taken away: several may hold at once."""
+    return t.facts.withColumn("invalid_at", F.when(F.right("fact_id", F.lit(1)) != "3", F.col("invalid_at")))
+
+
+@query(f"WITH {_OPEN} SELECT a.fact_id AS a, b.fact_id AS b, CASE WHEN greatest(a.confidence, b.confidence) >= 0.8 THEN 'high' ELSE 'medium' END AS severity FROM fo a JOIN fo b ON a.subject_id = b.subject_id AND a.fact_id < b.fact_id AND a.v <> b.v")
 def ct1_opposing_objects(t):
-    exclusive = t.spark.createDataFrame([("lives_in",), ("has_status",)], "predicate string")
-    f = t.facts.filter("predicate in ('owns', 'lives_in') and not (predicate = 'owns' and cast(substring(object_id, 2) as int) >= 20)")
-    return C.opposing_objects(f, exclusive)
+    """``owns`` and the places are predicates that may hold many objects or are kept exclusive on arrival."""
+    registry = t.spark.createDataFrame([("lives_in",), ("located_in",), ("part_of",), ("owns",)], "predicate string")
+    return C.opposing_objects(_open_facts(t), registry)
 
 
 @query("""SELECT DISTINCT event_id, CASE WHEN strength > 0.5 THEN 'high' ELSE 'low' END AS severity FROM events JOIN causal_edges ON event_id = cause_event_id WHERE event_type = 'error' AND expired_at IS NULL""")
@@ -158,17 +202,57 @@ def ct4_impossible_order(t):
     return C.impossible_order(turned, t.causal_events)
 
 
-@query("SELECT 'cyclic' AS kind, count(*) AS n FROM causal_edges WHERE expired_at IS NULL AND edge_id % 5 = 0 AND edge_id % 2 = 0 UNION ALL SELECT 'impossible', count(*) FROM causal_edges e JOIN causal_events a ON a.event_id = cause_event_id JOIN causal_events b ON b.event_id = effect_event_id WHERE e.expired_at IS NULL AND b.occurred_at > a.occurred_at")
+@query(f"""WITH {_OPEN}, f AS (SELECT 'opposing' AS kind, a.fact_id AS a, b.fact_id AS b FROM fo a JOIN fo b ON a.subject_id = b.subject_id AND a.fact_id < b.fact_id AND a.v <> b.v
+UNION SELECT 'expired_cited', CAST(event_id AS VARCHAR), severity FROM (SELECT DISTINCT event_id, CASE WHEN strength > 0.5 THEN 'high' ELSE 'low' END AS severity FROM events JOIN causal_edges ON event_id = cause_event_id WHERE event_type = 'error' AND expired_at IS NULL) x
+UNION SELECT 'cyclic', CAST(edge_id AS VARCHAR), CAST(edge_id + 1000000 AS VARCHAR) FROM causal_edges WHERE expired_at IS NULL AND edge_id % 5 = 0
+UNION SELECT 'impossible', CAST(edge_id AS VARCHAR), CAST(edge_id AS VARCHAR) FROM causal_edges e JOIN causal_events a ON a.event_id = cause_event_id JOIN causal_events b ON b.event_id = effect_event_id WHERE e.expired_at IS NULL AND b.occurred_at > a.occurred_at
+UNION SELECT 'succession', x.fact_id, x.nxt FROM (SELECT fact_id, lead(fact_id) OVER w AS nxt, object_value AS v, lead(object_value) OVER w AS nv FROM facts WHERE predicate = 'has_status' WINDOW w AS (PARTITION BY subject_id ORDER BY valid_at, created_at, fact_id)) x WHERE x.nxt IS NOT NULL AND v <> nv)
+SELECT kind, count(*) AS n FROM f WHERE NOT (kind = 'opposing' AND right(a, 1) = '1') GROUP BY 1""")
 def ct5_all_rules(t):
-    found = ct3_two_cycles(t).select(F.lit("cyclic").alias("kind"), F.col("a").alias("id")).unionByName(ct4_impossible_order(t).select(F.lit("impossible").alias("kind"), F.col("edge_id").alias("id")))
-    open_rows = t.causal_edges.filter("edge_id % 2 = 1").select(F.lit("cyclic").alias("kind"), F.col("edge_id").alias("id"))
-    return found.join(open_rows, ["kind", "id"], "left_anti").groupBy("kind").agg(F.count("*").alias("n"))
+    """All rules in one table, without the pairs that are open already."""
+    chain = BT.validity_chain(t.facts.filter("predicate = 'has_status'")).select("subject_id", "fact_id", "object_value", "valid_at", "created_at")
+    order = Window.partitionBy("subject_id").orderBy("valid_at", "created_at", "fact_id")
+    moved = chain.select(F.col("fact_id").alias("a"), F.lead("fact_id").over(order).alias("b"), "object_value", F.lead("object_value").over(order).alias("nv")).filter("b is not null and object_value <> nv")
+    rules = {
+        "opposing": ct1_opposing_objects(t),
+        "expired_cited": ct2_expired_but_cited(t).select(F.col("event_id").alias("a"), F.col("severity").alias("b")),
+        "cyclic": ct3_two_cycles(t),
+        "impossible": ct4_impossible_order(t).select(F.col("edge_id").alias("a"), F.col("edge_id").alias("b")),
+        "succession": moved,
+    }
+    held = ct1_opposing_objects(t).filter(F.right("a", F.lit(1)) == "1").select(F.lit("opposing").alias("kind"), "a", "b")
+    return C.all_findings(rules, held).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_DECIDED = """d AS (SELECT contradiction_id, fact_a, fact_b, resolved_at, CASE CAST(substr(contradiction_id, 3) AS BIGINT) % 6 WHEN 0 THEN 'expire_a' WHEN 1 THEN 'invalidate_b' WHEN 2 THEN 'expire_both' WHEN 3 THEN 'dismissed' WHEN 4 THEN 'both_valid' ELSE 'no such' END AS resolution, CASE WHEN right(contradiction_id, 1) = '2' THEN 'short' ELSE 'two statuses at the same time' END AS reason, CASE WHEN right(contradiction_id, 1) = '9' THEN ' ' ELSE 'false-positive' END AS tag FROM contradictions),
+o AS (SELECT *, CASE WHEN resolution = 'no such' THEN 'unknown_resolution' WHEN length(reason) < 20 THEN 'short_reason' WHEN resolution = 'dismissed' AND trim(tag) = '' THEN 'no_tag' WHEN resolved_at IS NOT NULL THEN 'already_resolved' ELSE 'resolved' END AS outcome FROM d)"""
+
+
+def _decisions(t):
+    n = F.substring("contradiction_id", 3, 20).cast("long") % 6
+    kind = F.when(n == 0, "expire_a").when(n == 1, "invalidate_b").when(n == 2, "expire_both").when(n == 3, "dismissed").when(n == 4, "both_valid").otherwise("no such")
+    last = F.right("contradiction_id", F.lit(1))
+    return t.contradictions.select("contradiction_id", kind.alias("resolution"), F.when(last == "2", "short").otherwise("two statuses at the same time").alias("reason"), F.when(last == "9", " ").otherwise("false-positive").alias("tag"), F.lit("2024-01-01").cast("timestamp").alias("at"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN length(o_orderpriority) < 6 THEN 'reason_too_short' WHEN o_orderstatus = 'P' THEN 'dismissed' WHEN o_orderstatus = 'F' THEN 'expire_a' ELSE 'invalidate_b' END AS request FROM orders")
-def ct6_ct7_resolve(t):
-    kind = F.when(F.length("o_orderpriority") < 6, "reason_too_short").when(F.col("o_orderstatus") == "P", "dismissed").when(F.col("o_orderstatus") == "F", "expire_a").otherwise("invalidate_b")
-    return t.orders.select(F.col("o_orderkey").alias("id"), kind.alias("request"))
+@query(f"WITH {_DECIDED} SELECT contradiction_id, resolution, outcome FROM o")
+def ct6_resolve_outcomes(t):
+    return C.resolve_contradictions(t.contradictions, _decisions(t))[0]
+
+
+@query(f"WITH {_DECIDED} SELECT contradiction_id, CASE resolution WHEN 'invalidate_b' THEN fact_b ELSE fact_a END AS target, CASE resolution WHEN 'invalidate_b' THEN 'invalidate' ELSE 'expire' END AS change FROM o WHERE outcome = 'resolved' AND resolution IN ('expire_a', 'invalidate_b', 'expire_both') UNION ALL SELECT contradiction_id, fact_b, 'expire' FROM o WHERE outcome = 'resolved' AND resolution = 'expire_both'")
+def ct6_resolve_requests(t):
+    return C.resolve_contradictions(t.contradictions, _decisions(t))[1]
+
+
+@query("""WITH f AS (SELECT concat('x', contradiction_id) AS found_id, kind, least(fact_a, fact_b) AS a, greatest(fact_a, fact_b) AS b FROM contradictions WHERE confidence > 0.5), h AS (SELECT kind, least(fact_a, fact_b) AS a, greatest(fact_a, fact_b) AS b, min(contradiction_id) AS o FROM contradictions WHERE resolved_at IS NULL AND right(contradiction_id, 1) <> '4' GROUP BY 1, 2, 3), m AS (SELECT kind, a, b, min(found_id) AS f FROM f GROUP BY 1, 2, 3)
+SELECT found_id, coalesce(o, m.f) AS contradiction_id, o IS NULL AND found_id = m.f AS is_new FROM f JOIN m USING (kind, a, b) LEFT JOIN h USING (kind, a, b)""")
+def ct7_record(t):
+    """Findings from outside: the open row of the same pair, or a new one."""
+    c = t.contradictions
+    found = c.filter("confidence > 0.5").select(F.concat(F.lit("x"), "contradiction_id").alias("found_id"), "kind", F.col("fact_b").alias("a"), F.col("fact_a").alias("b"))
+    held = c.filter(F.right("contradiction_id", F.lit(1)) != "4").select("contradiction_id", "kind", F.col("fact_a").alias("a"), F.col("fact_b").alias("b"), "resolved_at")
+    return C.record_contradictions(held, found)
 
 
 @query("""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN a.object_value = b.object_value THEN 'same' WHEN a.valid_at < coalesce(b.invalid_at, TIMESTAMP '9999-12-31') AND coalesce(a.invalid_at, TIMESTAMP '9999-12-31') > b.valid_at THEN 'contradiction' ELSE 'succession' END AS verdict
@@ -203,15 +287,35 @@ def im1_im2_direct_dependents(t):
     return roots.join(ends, "e").filter("root <> fact_id").groupBy("root").agg(F.count_distinct("fact_id").alias("dependents"))
 
 
-@query(_REACH + """, d AS (SELECT root, edge_id, min(depth) AS depth FROM w GROUP BY 1, 2)
-SELECT root, sum(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) AS critical, sum(CASE WHEN severity = 'moderate' THEN 1 ELSE 0 END) AS moderate, sum(CASE WHEN severity = 'low' THEN 1 ELSE 0 END) AS low
-FROM (SELECT root, CASE WHEN depth = 1 AND corroboration_count <= 1 THEN 'critical' WHEN depth <= 2 THEN 'moderate' ELSE 'low' END AS severity FROM d JOIN causal_edges USING (edge_id)) x GROUP BY 1""")
-def im6_im7_agg18_severity(t):
-    near = C.reach(t.causal_edges, _roots(t), 3).join(t.causal_edges.select("edge_id", "corroboration_count"), "edge_id")
-    severity = F.when((F.col("depth") == 1) & (F.col("corroboration_count") <= 1), "critical").when(F.col("depth") <= 2, "moderate").otherwise("low")
-    return near.withColumn("severity", severity).groupBy("root").pivot("severity", ["critical", "moderate", "low"]).count().na.fill(0)
+@query(_CHAINS + """, ro AS (SELECT event_id AS root FROM causal_events WHERE event_id % 100 = 0), al AS (SELECT template, count(*) AS n FROM st GROUP BY 1), to_ AS (SELECT root, template, count(DISTINCT edge_id) AS touching FROM ro JOIN causal_edges ON cause_event_id = root OR effect_event_id = root JOIN st USING (edge_id) GROUP BY 1, 2)
+SELECT root, template, touching, n - touching AS outside, len(string_split(template, '>')) - 1 AS need FROM to_ JOIN al USING (template)""")
+def im5_pattern_impact(t):
+    named = _named(t)
+    kept = C.patterns(named)
+    return C.pattern_impact(C.stamp_edges(named, kept), t.causal_edges, _roots(t), kept)
 
 
-@query("SELECT event_id, rank() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events WHERE event_type = 'purchase'")
+@query(_REACH + """, d AS (SELECT root, edge_id, min(depth) AS depth FROM w GROUP BY 1, 2), oc AS (SELECT effect_event_id AS f, count(*) AS n FROM causal_edges WHERE expired_at IS NULL GROUP BY 1),
+tr AS (SELECT root, CASE WHEN depth = 1 THEN CASE WHEN k = 0 THEN 'high' WHEN k <= 2 THEN 'medium' ELSE 'low' END WHEN depth = 2 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT d.root, d.depth, oc.n - (e.cause_event_id = d.root)::INT AS k FROM d JOIN causal_edges e USING (edge_id) JOIN oc ON oc.f = e.effect_event_id) x),
+ci AS (SELECT root, CASE WHEN e.edge_id % 2 = 1 THEN CASE WHEN corroboration_count >= 3 THEN 'critical' ELSE 'high' END WHEN strength >= 0.7 THEN 'high' ELSE 'medium' END AS severity FROM r JOIN causal_edges e ON cause_event_id = root WHERE e.expired_at IS NULL),
+al AS (SELECT * FROM tr UNION ALL SELECT * FROM ci)
+SELECT root, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low FROM al GROUP BY 1""")
+def im6_im7_agg18_severity(t):
+    """Transitive edges and citations of every root; an edge of an odd number cites its cause alone."""
+    e, roots = t.causal_edges, _roots(t)
+    causes = e.filter("expired_at is null").groupBy("effect_event_id").agg(F.count("*").alias("all_causes"))
+    near = C.reach(e, roots, 3).join(e.select("edge_id", "cause_event_id", "effect_event_id"), "edge_id").join(causes, "effect_event_id")
+    none = lambda kind, *names: {n: F.lit(None).cast(kind) for n in names}
+    moved = near.select("root", F.lit("transitive").alias("relationship"), "depth", (F.col("all_causes") - (F.col("cause_event_id") == F.col("root")).cast("int")).alias("other_causes")).withColumns(none("double", "strength") | none("long", "corroboration_count", "other_sources"))
+    cited = e.filter("expired_at is null").join(roots.select("root", F.col("event_id").alias("cause_event_id")), "cause_event_id")
+    cited = cited.select("root", F.lit("citation").alias("relationship"), "strength", F.col("corroboration_count").cast("long").alias("corroboration_count"), F.when(F.col("edge_id") % 2 == 1, 0).otherwise(1).cast("long").alias("other_sources")).withColumns(none("int", "depth") | none("long", "other_causes"))
+    nodes = moved.unionByName(cited).withColumns(none("long", "outside", "need") | {"node_type": F.lit("causal_edge")})
+    return nodes.withColumn("severity", C.impact_severity()).groupBy("root").pivot("severity", ["critical", "high", "medium", "low"]).count().na.fill(0)
+
+
+@query(_CHAINS + "SELECT template, edge_id, position, row_number() OVER (PARTITION BY template, position ORDER BY edge_id) AS nth FROM st")
 def flt23_instances_in_order(t):
-    return t.events.filter("event_type = 'purchase'").select("event_id", F.rank().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("position"))
+    """The edges of every pattern by their place in it."""
+    named = _named(t)
+    nth = F.row_number().over(Window.partitionBy("template", "position").orderBy("edge_id"))
+    return C.stamp_edges(named, C.patterns(named)).withColumn("nth", nth)

@@ -6,10 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalar as S
+from chronoweave.operators import graph as G
 from chronoweave.operators import resolution as R
 from chronoweave.operators import tables as TB
 from chronoweave.operators import temporal as BT
+from chronoweave.operators import text as X
+from chronoweave.operators import vectors as V
 from chronoweave.operators.components import connected_components
+from chronoweave.plans.stash import stash
 from chronoweave.registry import query
 
 
@@ -18,29 +22,39 @@ def er1_exact_dedup(t):
     return t.entities.groupBy(F.lower("canonical_name").alias("name"), "entity_type").agg(F.min("entity_id").alias("entity_id"), F.count("*").alias("n"))
 
 
-@query("""WITH w AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, unnest(string_split(lower(n_name), ' ')) AS w FROM nation), g AS (SELECT DISTINCT id, substr('  ' || w || ' ', i, 3) AS t FROM w, LATERAL (SELECT unnest(range(1, length(w) + 2)) AS i) u), c AS (SELECT id, count(*) AS n FROM g GROUP BY 1)
-SELECT a.id AS a, b.id AS b, round(count(*)::DOUBLE / (ca.n + cb.n - count(*)), 6) AS similarity FROM g a JOIN g b ON a.t = b.t JOIN c ca ON ca.id = a.id JOIN c cb ON cb.id = b.id GROUP BY a.id, b.id, ca.n, cb.n HAVING count(*)::DOUBLE / (ca.n + cb.n - count(*)) >= 0.3""")
+@query("""WITH n AS MATERIALIZED (SELECT lower(canonical_name) AS name, min(entity_id) AS id FROM entities WHERE entity_type IN ('place', 'project') GROUP BY 1), w AS (SELECT id, unnest(string_split(regexp_replace(name, '[^a-z0-9]+', ' ', 'g'), ' ')) AS w FROM n), g AS MATERIALIZED (SELECT DISTINCT id, substr('  ' || w || ' ', i, 3) AS t FROM w, LATERAL (SELECT unnest(range(1, length(w) + 2)) AS i) u WHERE w <> ''), c AS (SELECT id, count(*) AS n FROM g GROUP BY 1)
+SELECT a.id AS a, b.id AS b, round(count(*)::DOUBLE / (ca.n + cb.n - count(*)), 6) AS similarity FROM g a JOIN g b ON a.t = b.t JOIN c ca ON ca.id = a.id JOIN c cb ON cb.id = b.id GROUP BY a.id, b.id, ca.n, cb.n HAVING count(*)::DOUBLE / (ca.n + cb.n - count(*)) >= 0.5""")
 def er2_fn1_similar_names(t):
-    n = t.nation.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
-    return R.similar_names(n, n).withColumn("similarity", F.round("similarity", 6))
+    """Places and projects; people and companies here are numbered names, all alike."""
+    n = t.entities.filter(F.col("entity_type").isin("place", "project")).select(F.col("entity_id").alias("id"), F.col("canonical_name").alias("name"))
+    return R.similar_names(n, n, 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
-def _pairs(t):
-    """Pairs of vectors under one label whose ids are near: a bounded number for each vector."""
-    e = t.embeddings.filter("vec_id < 200").select("vec_id", "label", "embedding")
-    a = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
-    b = e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    return a.join(b, "label").filter("a < b and b - a < 40")
+_CENTRES = "ce AS MATERIALIZED (SELECT entity_id, list(m ORDER BY i) AS v FROM (SELECT entity_id, i, avg(e) AS m FROM (SELECT entity_id, unnest(embedding)::DOUBLE AS e, unnest(range(1, 65)) AS i FROM mentions) y GROUP BY 1, 2) x GROUP BY 1), me AS (SELECT entity_id, count(*) AS n FROM memory_entities GROUP BY 1)"
+_CANDIDATES = f"{_CENTRES}, ca AS MATERIALIZED (SELECT a.entity_id AS a, b.entity_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM ce a JOIN ce b ON a.entity_id < b.entity_id JOIN me x ON x.entity_id = a.entity_id AND x.n >= 2 JOIN me y ON y.entity_id = b.entity_id AND y.n >= 2 WHERE list_cosine_similarity(a.v, b.v) >= 0.4 AND right(a.entity_id, 1) <> right(b.entity_id, 1))"
+
+
+def _centres(t):
+    return V.centroids(t.mentions, "entity_id", "embedding")
+
+
+def _candidates(t):
+    """Similar entities with two mentions or more; pairs of one last digit are resolved already."""
+    often = t.memory_entities.groupBy("entity_id").agg(F.count("*").alias("n"))
+    last = t.entities.select("entity_id", F.right("entity_id", F.lit(1)).alias("d"))
+    centres = _centres(t)
+    met = R.merge_candidates(centres, often, t.spark.createDataFrame([], "a string, b string"))
+    ends = met.join(last.toDF("a", "da"), "a").join(last.toDF("b", "db"), "b")
+    return met.join(ends.filter("da = db").select("a", "b"), ["a", "b"], "left_anti")
 
 
-@query("""WITH q AS (SELECT vec_id AS mention, embedding AS m FROM embeddings WHERE vec_id % 25 = 1), c AS (SELECT vec_id AS entity, embedding AS e FROM embeddings WHERE vec_id % 2 = 0), s AS (SELECT mention, entity, list_cosine_similarity(m::DOUBLE[], e::DOUBLE[]) AS s, row_number() OVER (PARTITION BY mention ORDER BY list_cosine_similarity(m::DOUBLE[], e::DOUBLE[]) DESC, entity DESC) AS r FROM q, c)
+@query("""WITH q AS (SELECT vec_id AS mention, embedding AS m FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT mention, vec_id AS entity, list_cosine_similarity(m::DOUBLE[], embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY mention ORDER BY round(list_cosine_similarity(m::DOUBLE[], embedding::DOUBLE[]), 12) DESC, vec_id) AS r FROM q, embeddings WHERE vec_id % 20 <> 0)
 SELECT mention, CASE WHEN s > 0.75 THEN entity END AS entity, CASE WHEN s > 0.92 THEN 'merged' WHEN s > 0.75 THEN 'verify' ELSE 'created' END AS outcome FROM s WHERE r = 1""")
 def er3_er4_resolve_mentions(t):
-    e = t.embeddings
-    q = e.filter("vec_id % 25 = 1").select(F.col("vec_id").alias("mention"), F.col("embedding").alias("m"))
-    c = e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("entity"), F.col("embedding").alias("e"))
-    scored = q.join(c).select("mention", "entity", S.cosine(F.col("m"), F.col("e")).alias("similarity"))
-    return R.resolve_mentions(scored)
+    """The stated queries, ids divisible by 20, as mentions and all other vectors as entities."""
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    best = V.knn(v.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), v.filter("id % 20 <> 0"), 1)
+    return R.resolve_mentions(best.select(F.col("query_id").alias("mention"), F.col("id").alias("entity"), "similarity"))
 
 
 @query("SELECT memory_id, entity_id FROM memory_entities GROUP BY 1, 2")
@@ -49,9 +63,10 @@ def er5_link_mentions(t):
     return TB.insert_absent(held, t.memory_entities, ["memory_id", "entity_id"])
 
 
-@query("SELECT entity_id, canonical_name AS alias, 'place' AS owner FROM entities WHERE entity_type = 'place' AND canonical_name ILIKE '%land%'")
+@query("SELECT entity_id, alias, canonical_name AS owner FROM aliases JOIN entities USING (entity_id) WHERE alias ILIKE '%rica%' OR alias ILIKE 'nation_1%'")
 def er6_alias_search(t):
-    return t.entities.filter("entity_type = 'place'").filter(F.col("canonical_name").ilike("%land%")).select("entity_id", F.col("canonical_name").alias("alias"), F.col("entity_type").alias("owner"))
+    met = t.aliases.filter(F.col("alias").ilike("%rica%") | F.col("alias").ilike("nation_1%"))
+    return met.join(t.entities.select("entity_id", F.col("canonical_name").alias("owner")), "entity_id")
 
 
 @query("SELECT stream_id, speaker_key, entity_id, CASE speaker_key WHEN 'assistant' THEN 'assistant' ELSE 'person' END AS entity_type FROM participants")
@@ -61,23 +76,61 @@ def er7_st7_speakers(t):
     return c.select("stream_id", "speaker_key", F.concat(F.lit("K"), F.col("stream_id").cast("string"), F.lit(":"), F.col("speaker_key")).alias("entity_id"), kind.alias("entity_type"))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.7 THEN 'candidate' ELSE 'staging' END AS status FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id - a.vec_id < 40
-WHERE a.vec_id < 200 AND b.vec_id < 200 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4""")
+@query(f"WITH {_CANDIDATES} SELECT a, b, CASE WHEN s >= 0.7 THEN 'candidate' ELSE 'staging' END AS status FROM ca")
 def er8_merge_candidates(t):
-    s = S.cosine(F.col("va"), F.col("vb"))
-    return _pairs(t).withColumn("s", s).filter("s >= 0.4").select("a", "b", F.when(F.col("s") >= 0.7, "candidate").otherwise("staging").alias("status"))
+    return _candidates(t).select("a", "b", "status")
+
+
+_TYPED = "te AS MATERIALIZED (SELECT subject_id AS src, object_id AS dst FROM facts WHERE expired_at IS NULL AND predicate IN ('lives_in', 'located_in', 'part_of')), tb AS MATERIALIZED (SELECT src, dst FROM te UNION ALL SELECT dst, src FROM te), td AS MATERIALIZED (SELECT src AS v, count(*) AS d FROM tb GROUP BY 1), tn AS (SELECT count(*)::DOUBLE AS n FROM td), t0 AS (SELECT v, 1 / (SELECT n FROM tn) AS r FROM td), " + ", ".join(
+    f"t{i} AS MATERIALIZED (SELECT tb.dst AS v, 0.15 / (SELECT n FROM tn) + 0.85 * sum(r / td.d) AS r FROM t{i - 1} JOIN td USING (v) JOIN tb ON tb.src = v GROUP BY 1)" for i in range(1, 9)
+)
+_SIGNALS = f"""{_CANDIDATES}, {_TYPED},
+mm AS MATERIALIZED (SELECT DISTINCT entity_id, memory_id FROM memory_entities), mn AS (SELECT entity_id, count(*) AS n FROM mm GROUP BY 1), mk AS (SELECT a, b, count(*) AS k FROM ca JOIN mm x ON x.entity_id = a JOIN mm y ON y.entity_id = b AND y.memory_id = x.memory_id GROUP BY 1, 2),
+ff AS MATERIALIZED (SELECT DISTINCT subject_id AS e, concat(predicate, '|', coalesce(object_id, '')) AS m FROM facts WHERE expired_at IS NULL AND subject_id IN (SELECT a FROM ca UNION SELECT b FROM ca)), fn AS (SELECT e, count(*) AS n FROM ff GROUP BY 1), fk AS (SELECT a, b, count(*) AS k FROM ca JOIN ff x ON x.e = a JOIN ff y ON y.e = b AND y.m = x.m GROUP BY 1, 2),
+sg AS (SELECT subject_id AS e, [sum((predicate = 'owns')::INT)::DOUBLE, sum((predicate = 'located_in')::INT)::DOUBLE, sum((predicate = 'part_of')::INT)::DOUBLE] AS v FROM facts WHERE expired_at IS NULL AND predicate IN ('owns', 'located_in', 'part_of') GROUP BY 1),
+dr AS (SELECT DISTINCT entity_id FROM mentions JOIN ce USING (entity_id) WHERE 1 - list_cosine_similarity(embedding::DOUBLE[], v) > 0.95),
+cu AS (SELECT DISTINCT tb.src AS entity_id FROM tb JOIN td ON td.v = tb.dst WHERE td.d = 1),
+si AS (SELECT ca.a, ca.b, ca.s AS centroid, coalesce(mk.k, 0)::DOUBLE / (ma.n + mb.n - coalesce(mk.k, 0)) AS memories, coalesce(fk.k, 0)::DOUBLE / nullif(coalesce(fa.n, 0) + coalesce(fb.n, 0) - coalesce(fk.k, 0), 0) AS facts,
+  CASE WHEN xa.cluster = xb.cluster THEN least(xa.probability, xb.probability) END AS cluster, list_cosine_similarity(ga.v, gb.v) AS signature, CASE WHEN a IN (SELECT entity_id FROM dr) OR b IN (SELECT entity_id FROM dr) THEN 1.0 END AS drift,
+  least(ra.r, rb.r) / (SELECT max(r) FROM t8) AS centrality, CASE WHEN a IN (SELECT entity_id FROM cu) OR b IN (SELECT entity_id FROM cu) THEN 0.5 ELSE 0.0 END AS articulation, CASE WHEN pa.component = pb.component THEN 1.0 ELSE 0.0 END AS component
+  FROM ca LEFT JOIN mk USING (a, b) LEFT JOIN fk USING (a, b) JOIN mn ma ON ma.entity_id = a JOIN mn mb ON mb.entity_id = b LEFT JOIN fn fa ON fa.e = a LEFT JOIN fn fb ON fb.e = b LEFT JOIN entity_clusters xa ON xa.entity_id = a LEFT JOIN entity_clusters xb ON xb.entity_id = b
+  LEFT JOIN sg ga ON ga.e = a LEFT JOIN sg gb ON gb.e = b LEFT JOIN t8 ra ON ra.v = a LEFT JOIN t8 rb ON rb.v = b LEFT JOIN regions_of pa ON pa.entity_id = a LEFT JOIN regions_of pb ON pb.entity_id = b)"""
+
+
+def _weighed(weights):
+    top = " + ".join(f"{w!r} * coalesce({s}, 0)" for s, w in weights.items())
+    return f"({top}) / ({' + '.join(f'CASE WHEN {s} IS NULL THEN 0 ELSE {w!r} END' for s, w in weights.items())})"
+
+
+def _signals(t, pairs):
+    places = G.entity_edges(t.facts.filter("predicate in ('lives_in', 'located_in', 'part_of')"))
+    degree = G.both_ways(places).groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
+    ranks = G.pagerank(places, degree.select("v"), rounds=8).toDF("entity_id", "pagerank")
+    # a vertex with a neighbour that has no other edge is a cut vertex
+    hung = G.both_ways(places).join(degree.filter("d = 1").select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("entity_id"), F.lit(True).alias("c")).distinct()
+    cuts = degree.select(F.col("v").alias("entity_id")).join(hung, "entity_id", "left").select("entity_id", F.coalesce("c", F.lit(False)).alias("is_cut"))
+    kinds = t.facts.filter("expired_at is null and predicate in ('owns', 'located_in', 'part_of')").groupBy(F.col("subject_id").alias("entity_id")).pivot("predicate", ["owns", "located_in", "part_of"]).count().na.fill(0)
+    signature = kinds.select("entity_id", F.array(*[F.col(c).cast("double") for c in ("owns", "located_in", "part_of")]).alias("signature"))
+    centres = _centres(t)
+    away = t.mentions.join(centres, "entity_id").filter(1 - S.cosine(F.col("embedding"), F.col("centre")) > 0.95).select("entity_id").distinct()
+    return R.pair_signals(pairs, centres, t.memory_entities, t.facts, t.entity_clusters, signature, away, ranks, cuts, t.regions_of)
+
+
+@query(f"WITH {_SIGNALS} SELECT a, b, " + ", ".join(f"round({s}, 6) AS {s}" for s in R.WEIGHTS) + f", round({_weighed(R.WEIGHTS)}, 6) AS score FROM si")
+def er9_er10_join13_pair_scores(t):
+    """All nine signals of the merge candidates and their mean by weight."""
+    found = _signals(t, _candidates(t).select("a", "b"))
+    return found.select("a", "b", *[F.round(s, 6).alias(s) for s in R.WEIGHTS], F.round(R.combined_score(), 6).alias("score"))
 
 
-@query("""WITH p AS (SELECT a.s_suppkey AS x, b.s_suppkey AS y, concat('S', a.s_suppkey::VARCHAR) AS a, concat('S', b.s_suppkey::VARCHAR) AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey),
-f AS (SELECT DISTINCT subject_id AS s, object_id AS o FROM facts WHERE predicate = 'owns'), n AS (SELECT s, count(*) AS n FROM f GROUP BY 1), k AS (SELECT p.a, p.b, count(*) AS k FROM p JOIN f g ON g.s = p.a JOIN f h ON h.s = p.b AND h.o = g.o GROUP BY 1, 2)
-SELECT a, b, round(coalesce(k, 0)::DOUBLE / (na.n + nb.n - coalesce(k, 0)), 6) AS facts, round((0.15 * coalesce(k, 0)::DOUBLE / (na.n + nb.n - coalesce(k, 0)) + 0.05) / 0.2, 6) AS score FROM p LEFT JOIN k USING (a, b) JOIN n na ON na.s = a JOIN n nb ON nb.s = b""")
-def er9_er10_join13_pair_scores(t):
-    s = t.supplier.select("s_nationkey", F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("e"), "s_suppkey")
-    pairs = s.toDF("s_nationkey", "a", "ka").join(s.toDF("s_nationkey", "b", "kb"), "s_nationkey").filter("ka < kb").select("a", "b")
-    owned = t.facts.filter("predicate = 'owns'").select(F.col("subject_id").alias("e"), F.col("object_id").alias("m"))
-    met = R.set_overlap(owned, pairs, "e", "m", "facts").withColumn("component", F.lit(1.0))
-    missing = {c: F.lit(None).cast("double") for c in R.WEIGHTS if c not in ("facts", "component")}
-    return met.withColumns(missing).select("a", "b", F.round("facts", 6).alias("facts"), F.round(R.combined_score(), 6).alias("score"))
+_CROSS = R.cross_weights({"role": 0.4})
+
+
+@query(f"WITH {_SIGNALS} SELECT a, b, round({_weighed(_CROSS)}, 6) AS score FROM si WHERE component = 0")
+def er17_cross_weights(t):
+    """Pairs across components under the weights of such pairs, one of them overridden and all scaled."""
+    found = _signals(t, _candidates(t).select("a", "b")).filter("component = 0")
+    return found.select("a", "b", F.round(R.combined_score(_CROSS), 6).alias("score"))
 
 
 @query("SELECT label, CASE WHEN n < 50 THEN 0.075 ELSE 0.15 END AS centroid, CASE WHEN label <= 1 THEN 0.0 ELSE 0.15 END AS cluster, round(0.05 + (0.15 - CASE WHEN n < 50 THEN 0.075 ELSE 0.15 END + 0.15 - CASE WHEN label <= 1 THEN 0.0 ELSE 0.15 END) * 0.05 / 0.7, 9) AS component FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) x")
@@ -87,36 +140,75 @@ def er11_adapt_weights(t):
     return g.select("label", w["centroid"].alias("centroid"), w["cluster"].alias("cluster"), F.round(w["component"], 9).alias("component"))
 
 
-@query("SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 3 <> 0")
+@query(f"WITH {_CANDIDATES}, x AS (SELECT entity_id AS a, memory_id FROM memory_entities WHERE memory_id % 60 = 0) SELECT a, b FROM ca WHERE a NOT IN (SELECT a FROM x) AND b NOT IN (SELECT a FROM x)")
 def er12_join4_resolved_filter(t):
-    o = t.orders.filter("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
-    return o.join(o.filter("b % 3 = 0"), ["a", "b"], "left_anti")
+    """Candidates neither side of which was resolved, by the memories that say so."""
+    done = t.memory_entities.filter("memory_id % 60 = 0").select("entity_id").distinct()
+    met = _candidates(t).select("a", "b")
+    return met.join(done.toDF("a"), "a", "left_anti").join(done.toDF("b"), "b", "left_anti").select("a", "b")
 
 
-@query("SELECT o_custkey AS k, CASE WHEN min(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END) = 'F' THEN 'resolved' WHEN count(*) FILTER (WHERE o_orderkey % 2 = 1) > 0 THEN 'rescored' ELSE 'kept' END AS status, count(*) AS detections FROM orders GROUP BY 1")
+@query(f"""WITH {_CANDIDATES}, h AS (SELECT a, b, s / 2 AS score, CASE WHEN right(a, 1) = '1' THEN 'resolved' ELSE 'staging' END AS status, CASE WHEN right(b, 1) = '2' THEN 'cross_cluster' ELSE 'sweep' END AS source FROM ca WHERE right(a, 1) IN ('1', '2', '3')), n AS (SELECT a, b, s, 'drift' AS source FROM ca WHERE right(b, 1) NOT IN ('4', '5'))
+SELECT coalesce(h.a, n.a) AS a, coalesce(h.b, n.b) AS b, round(CASE WHEN n.a IS NULL OR status = 'resolved' THEN h.score ELSE n.s END, 6) AS score, CASE WHEN n.a IS NULL OR status = 'resolved' THEN status WHEN n.s >= 0.7 THEN 'candidate' ELSE 'staging' END AS status,
+CASE WHEN n.a IS NULL OR status = 'resolved' OR h.source = 'cross_cluster' THEN h.source ELSE n.source END AS source, (h.a IS NOT NULL)::BIGINT + (n.a IS NOT NULL)::BIGINT AS detections FROM h FULL JOIN n ON n.a = h.a AND n.b = h.b""")
 def er13_candidate_upsert(t):
-    old = t.orders.filter("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderstatus").alias("s"), F.count("*").alias("n"))
-    new = t.orders.filter("o_orderkey % 2 = 1").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("m"))
-    both = old.join(new, "k", "full_outer")
-    status = F.when(F.col("s") == "F", "resolved").when(F.col("m").isNotNull(), "rescored").otherwise("kept")
-    return both.select("k", status.alias("status"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("detections"))
+    c = stash(_candidates(t))
+    end = lambda x: F.right(x, F.lit(1))
+    held = c.filter(end("a").isin("1", "2", "3")).select("a", "b", (F.col("similarity") / 2).alias("score"), F.when(end("a") == "1", "resolved").otherwise("staging").alias("status"), F.when(end("b") == "2", "cross_cluster").otherwise("sweep").alias("source"), F.lit(1).cast("long").alias("detections"))
+    new = c.filter(~end("b").isin("4", "5")).select("a", "b", F.col("similarity").alias("score"), F.lit("drift").alias("source"))
+    return R.upsert_candidates(held, new).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH e AS (SELECT s_suppkey AS id, s_nationkey AS component, s_suppkey % 7 AS cluster FROM supplier), z AS (SELECT component FROM e GROUP BY 1 HAVING count(*) >= 2), x AS (SELECT * FROM e WHERE component IN (SELECT component FROM z)),
-p AS (SELECT a.id AS a, b.id AS b, a.component AS ca, b.component AS cb, row_number() OVER (PARTITION BY a.component, b.component ORDER BY b.id - a.id, a.id, b.id) AS r FROM x a JOIN x b ON a.cluster = b.cluster AND a.component < b.component)
-SELECT a, b FROM p WHERE r <= 2""")
+_ACROSS = f"""{_CENTRES}, en AS (SELECT entity_id, component, cluster FROM regions_of JOIN entity_clusters USING (entity_id)), zz AS (SELECT component FROM regions_of GROUP BY 1 HAVING count(*) >= 2),
+sw AS (SELECT a.entity_id AS a, b.entity_id AS b, a.component AS ca, b.component AS cb, round(list_cosine_similarity(x.v, y.v), 9) AS s FROM en a JOIN en b ON a.cluster = b.cluster AND a.component < b.component JOIN ce x ON x.entity_id = a.entity_id JOIN ce y ON y.entity_id = b.entity_id WHERE a.component IN (SELECT component FROM zz) AND b.component IN (SELECT component FROM zz)),
+sp AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY ca, cb ORDER BY s DESC, a, b) AS r FROM sw WHERE s >= 0.3) x WHERE r <= 5)"""
+
+
+def _scored(t, pairs):
+    c = _centres(t)
+    met = pairs.join(c.toDF("a", "va"), "a").join(c.toDF("b", "vb"), "b")
+    return met.withColumn("s", F.round(S.cosine(F.col("va"), F.col("vb")), 9)).drop("va", "vb")
+
+
+def _sweep(t):
+    e = t.regions_of.join(t.entity_clusters.select("entity_id", "cluster"), "entity_id")
+    sizes = t.regions_of.groupBy("component").agg(F.count("*").alias("n")).filter("n >= 2").select("component")
+    met = _scored(t, R.cross_component_pairs(e.join(sizes, "component", "left_semi"), 1)).filter("s >= 0.3")
+    r = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("s"), "a", "b"))
+    return met.withColumn("r", r).filter("r <= 5").select("a", "b")
+
+
+@query(f"WITH {_ACROSS} SELECT a, b FROM sp")
 def er14_er16_cross_component(t):
-    e = t.supplier.select(F.col("s_suppkey").alias("entity_id"), F.col("s_nationkey").alias("component"), (F.col("s_suppkey") % 7).alias("cluster"))
-    r = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.col("b") - F.col("a"), "a", "b"))
-    return R.cross_component_pairs(e).withColumn("r", r).filter("r <= 2").select("a", "b")
+    """The best five pairs of every two components, of one cluster and similar enough."""
+    return _sweep(t)
+
+
+_DRIFT = f"""{_ACROSS}, tg AS (SELECT entity_id, label AS target FROM (SELECT entity_id, label, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, label) AS r FROM (SELECT m.entity_id, m.label, count(*) AS n FROM mentions m JOIN entity_clusters k ON k.entity_id = m.entity_id AND k.cluster <> m.label GROUP BY 1, 2) x) y WHERE r = 1),
+dp AS (SELECT a, b FROM (SELECT g.entity_id AS a, e.entity_id AS b, row_number() OVER (PARTITION BY g.entity_id ORDER BY round(list_cosine_similarity(x.v, y.v), 9) DESC, e.entity_id) AS r FROM tg g JOIN en o ON o.entity_id = g.entity_id JOIN en e ON e.cluster = g.target AND e.component <> o.component JOIN ce x ON x.entity_id = g.entity_id JOIN ce y ON y.entity_id = e.entity_id) z WHERE r <= 10)"""
+
 
+def _drift_pairs(t):
+    """An entity whose mentions drift to another cluster, with the ten nearest members of it in other components."""
+    n = t.mentions.join(t.entity_clusters.select("entity_id", "cluster"), "entity_id").filter("cluster <> label").groupBy("entity_id", "label").agg(F.count("*").alias("n"))
+    target = n.groupBy("entity_id").agg(F.min(F.struct(-F.col("n"), F.col("label"))).alias("m")).select("entity_id", F.col("m.label").alias("cluster"))
+    e = t.regions_of.join(t.entity_clusters.select("entity_id", "cluster"), "entity_id")
+    d = target.join(t.regions_of, "entity_id").join(e.select("entity_id"), "entity_id", "left_semi").toDF("a", "cluster", "ca")
+    met = _scored(t, d.join(e.select(F.col("entity_id").alias("b"), "cluster", F.col("component").alias("cb")), "cluster").filter("ca <> cb"))
+    r = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
+    return met.withColumn("r", r).filter("r <= 10").select("a", "b")
 
-@query("SELECT d.s_suppkey AS a, m.s_suppkey AS b FROM supplier d JOIN supplier m ON m.s_suppkey % 7 = d.s_suppkey % 5 AND m.s_nationkey <> d.s_nationkey WHERE d.s_suppkey % 10 = 0")
+
+@query(f"WITH {_DRIFT} SELECT a, b FROM dp")
 def er15_drift_pairs(t):
-    s = t.supplier
-    d = s.filter("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("ca"), (F.col("s_suppkey") % 5).alias("cluster"))
-    m = s.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("cb"), (F.col("s_suppkey") % 7).alias("cluster"))
-    return d.join(m, "cluster").filter("ca <> cb").select("a", "b")
+    return _drift_pairs(t)
+
+
+@query(f"WITH {_DRIFT} SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT a, b FROM sp UNION ALL SELECT a, b FROM dp) x")
+def er16_policy_union(t):
+    """Both policies, every pair once."""
+    both = _sweep(t).unionByName(_drift_pairs(t))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 @query("SELECT max(o_orderdate) >= (SELECT max(l_shipdate) FROM lineitem) AS fresh FROM orders")
@@ -134,16 +226,19 @@ def er19_merge_entities(t):
     return facts.select("subject_id", "object_id", "fact_id", "confidence")
 
 
-@query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey < 100 AND l_partkey <> l_suppkey")
+@query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey")
 def er20_same_as_links(t):
-    return t.lineitem.filter("l_partkey < 100 and l_partkey <> l_suppkey").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
+    return t.lineitem.filter("l_partkey <> l_suppkey").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'resolved' ELSE o_orderstatus END AS status FROM orders JOIN customer ON c_custkey = o_custkey")
+@query(f"WITH {_CANDIDATES}, d AS (SELECT a, b FROM ca WHERE s >= 0.6 AND right(a, 1) <> '7'), c AS (SELECT DISTINCT subject_id AS e FROM facts WHERE predicate = 'part_of') SELECT a, b, CASE WHEN d.a IS NOT NULL THEN 'resolved' WHEN s >= 0.7 THEN 'candidate' ELSE 'staging' END AS status, CASE WHEN d.a IS NOT NULL THEN CASE WHEN s >= 0.8 THEN 'merged' ELSE 'distinct' END END AS resolution, a IN (SELECT e FROM c) OR b IN (SELECT e FROM c) AS hazard FROM ca LEFT JOIN d USING (a, b)")
 def er21_er22_resolve_candidates(t):
-    flag = t.customer.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), F.lit("resolved").alias("_s"))
-    known = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
-    return known.join(flag, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), F.coalesce("_s", "o_orderstatus").alias("status"))
+    """Decisions with a reason close candidates; nations, which part_of joins to regions, are hazards."""
+    c = stash(_candidates(t))
+    reason = F.when(F.right("a", F.lit(1)) == "7", " ").otherwise("same mentions")
+    asked = c.filter("similarity >= 0.6").select("a", "b", F.when(F.col("similarity") >= 0.8, "merged").otherwise("distinct").alias("resolution"), reason.alias("reason"))
+    cuts = t.facts.filter("predicate = 'part_of'").select(F.col("subject_id").alias("entity_id"))
+    return R.resolve_candidates(c, asked, cuts)
 
 
 @query("SELECT predicate, CASE predicate WHEN 'owns' THEN 'possesses' WHEN 'lives_in' THEN 'resides_in' ELSE predicate END AS canonical, count(*) AS n FROM facts GROUP BY 1, 2")
@@ -174,18 +269,40 @@ def on4_nearest_canonical(t):
     return s.groupBy("vec_id").agg(F.max("m").alias("m")).select("vec_id", F.col("m.c").alias("nearest"), (F.col("m.s") < 0.5).alias("novel"))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id - a.vec_id < 40 WHERE a.vec_id < 200 AND b.vec_id < 200 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.6 AND (a.vec_id + b.vec_id) % 5 <> 0""")
+_PAIRS = "p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS truth FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3)"
+
+
+def _pairs(t):
+    """All pairs of vectors with a cosine of 0.3 or more."""
+    return V.similar_pairs(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.3).select("a", "b")
+
+
+@query(f"WITH {_PAIRS} SELECT a, b FROM p WHERE (a + b) % 5 <> 0")
 def on5_synonym_pairs(t):
-    p = _pairs(t).withColumn("s", S.cosine(F.col("va"), F.col("vb"))).filter("s >= 0.6").select("a", "b")
-    inverse = p.filter("(a + b) % 5 = 0")
+    p = _pairs(t)
+    inverse = t.embeddings.select(F.col("vec_id").alias("a")).join(p, "a").filter("(a + b) % 5 = 0").select("a", "b")
     return p.join(inverse, ["a", "b"], "left_anti")
 
 
-@query("""WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND abs(b.vec_id - a.vec_id) < 40 WHERE a.vec_id < 200 AND b.vec_id < 200 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.6), r AS (SELECT a AS root, a AS node FROM l UNION SELECT r.root, l.b FROM r JOIN l ON l.a = r.node)
-SELECT node, min(root) AS component FROM r GROUP BY 1""")
+@query(f"WITH RECURSIVE {_PAIRS}, l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT a AS root, a AS node FROM l UNION SELECT r.root, l.b FROM r JOIN l ON l.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY 1")
 def on6_threshold_groups(t):
-    p = _pairs(t).withColumn("s", S.cosine(F.col("va"), F.col("vb"))).filter("s >= 0.6").select("a", "b")
-    return connected_components(p, "a", "b")
+    return connected_components(_pairs(t), "a", "b")
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT a AS root, a AS node FROM l UNION SELECT r.root, l.b FROM r JOIN l ON l.a = r.node), g AS (SELECT node, min(root) AS c FROM r GROUP BY 1), x AS (SELECT vec_id, label, coalesce(c, vec_id) AS c FROM embeddings LEFT JOIN g ON node = vec_id),
+n AS (SELECT (SELECT sum(k * (k - 1) / 2) FROM (SELECT count(*) AS k FROM x GROUP BY c) q) AS guess, (SELECT sum(k * (k - 1) / 2) FROM (SELECT count(*) AS k FROM x GROUP BY label) q) AS truth, (SELECT sum(k * (k - 1) / 2) FROM (SELECT count(*) AS k FROM x GROUP BY c, label) q) AS hits)
+SELECT round(hits / guess, 6) AS precision, round(hits / truth, 6) AS recall, round(2 * hits / (guess + truth), 6) AS f1 FROM n""")
+def on6_group_quality(t):
+    """Pairwise precision, recall and F1 of the groups against labels, from the sizes of groups alone."""
+    g = connected_components(_pairs(t), "a", "b").withColumnRenamed("node", "vec_id")
+    x = t.embeddings.select("vec_id", "label").join(g, "vec_id", "left").select("label", F.coalesce("component", "vec_id").alias("c"))
+
+    def pairs(*keys):
+        k = F.col("k") * (F.col("k") - 1) / 2
+        return x.groupBy(*keys).agg(F.count("*").alias("k")).agg(F.sum(k).alias("n"))
+
+    row = pairs("c").withColumnRenamed("n", "guess").crossJoin(pairs("label").withColumnRenamed("n", "truth")).crossJoin(pairs("c", "label").withColumnRenamed("n", "hits"))  # single rows
+    return row.select(F.round(F.try_divide("hits", "guess"), 6).alias("precision"), F.round(F.try_divide("hits", "truth"), 6).alias("recall"), F.round(2 * F.col("hits") / (F.col("guess") + F.col("truth")), 6).alias("f1"))
 
 
 @query("SELECT object_id AS subject_id, 'owned_by' AS predicate, subject_id AS object_id FROM facts WHERE predicate = 'owns' AND expired_at IS NULL")
@@ -205,38 +322,75 @@ def agg16_cl3_cluster_distances(t):
     return intra.crossJoin(pairs.agg(F.round(F.avg(1 - S.cosine(F.col("ca"), F.col("cb"))), 6).alias("inter")))
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice >= 300000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
-def flt16_flt17_flt18_filtered_page(t):
-    o = t.orders.filter(F.col("o_orderstatus").isin("F", "P") & (F.col("o_totalprice") >= 300000))
-    return TB.page(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), "o_totalprice"), [F.desc("o_totalprice"), F.col("id")], 50).drop("o_totalprice")
+@query(f"WITH {_CANDIDATES} SELECT a, b, round(s, 6) AS score FROM ca JOIN regions_of x ON x.entity_id = a JOIN regions_of y ON y.entity_id = b WHERE x.component <> y.component ORDER BY round(s, 9) DESC, a, b LIMIT 50")
+def flt16_cross_component_page(t):
+    c = _candidates(t).join(t.regions_of.toDF("a", "ca"), "a").join(t.regions_of.toDF("b", "cb"), "b").filter("ca <> cb")
+    return TB.page(c, [F.round("similarity", 9).desc(), F.col("a"), F.col("b")], 50).select("a", "b", F.round("similarity", 6).alias("score"))
+
 
+@query(f"WITH {_CANDIDATES}, x AS (SELECT a, b FROM ca WHERE s < 0.7) SELECT x.a, x.b, (SELECT string_agg(alias, ';' ORDER BY alias) FROM aliases WHERE entity_id = x.a) AS aliases_a, (SELECT string_agg(alias, ';' ORDER BY alias) FROM aliases WHERE entity_id = x.b) AS aliases_b FROM x")
+def flt17_reconciliation_context(t):
+    """Open candidates with all aliases of both sides."""
+    names = t.aliases.groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_list("alias")), ";").alias("n"))  # a few a name
+    c = _candidates(t).filter("status = 'staging'").select("a", "b")
+    return c.join(names.toDF("a", "aliases_a"), "a", "left").join(names.toDF("b", "aliases_b"), "b", "left")
 
-@query("SELECT DISTINCT p_brand AS pattern, l_suppkey AS entity FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 45")
+
+@query("SELECT contradiction_id, kind, fact_a, fact_b FROM contradictions WHERE resolved_at IS NULL AND kind = 'opposing' AND detected_at >= TIMESTAMP '1997-01-01'")
+def flt18_open_contradictions(t):
+    """Contradictions by state, kind and date, each filter optional."""
+    return TB.optional_filters(t.contradictions.filter("resolved_at is null"), {"kind": "opposing", "subject_id": None}, "detected_at", "1997-01-01").select("contradiction_id", "kind", "fact_a", "fact_b")
+
+
+@query("SELECT DISTINCT p_brand AS pattern, l_suppkey AS entity FROM lineitem JOIN part ON p_partkey = l_partkey")
 def flt24_patterns_of_entities(t):
-    p = t.part.filter("p_size > 45").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("pattern"))
+    p = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("pattern"))
     return t.lineitem.join(p, "l_partkey").select("pattern", F.col("l_suppkey").alias("entity")).distinct()
 
 
 @query("""WITH c AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.source = b.source AND a.n_chars = b.n_chars AND a.doc_id < b.doc_id), g AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id)
 SELECT (SELECT count(*) FROM c) AS candidates, (SELECT count(*) FROM g) AS truth, (SELECT count(*) FROM c JOIN g USING (a, b)) AS hits""")
 def ev7_candidate_quality(t):
-    d = t.documents.select("doc_id", "source", "n_chars", F.xxhash64("text").alias("h"), F.md5(F.encode("text", "utf-8")).alias("m"))
+    """Pairs of one source and length against pairs of one text, counted from group sizes: no pair is made."""
+    d = t.documents.select("source", "n_chars", F.xxhash64("text").alias("h"), F.md5(F.encode("text", "utf-8")).alias("m"))
 
-    def pairs(*keys):
-        a = d.select(F.col("doc_id").alias("a"), *keys)
-        return a.join(d.select(F.col("doc_id").alias("b"), *keys), list(keys)).filter("a < b").select("a", "b")
+    def pairs(name, *keys):
+        known = d.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("k"))
+        return known.agg(F.coalesce(F.sum((F.col("k") * (F.col("k") - 1) / 2).cast("long")), F.lit(0)).alias(name))
 
-    c, g = pairs("source", "n_chars"), pairs("h", "m")
-    count = lambda x, n: x.agg(F.count("*").alias(n))
-    return count(c, "candidates").crossJoin(count(g, "truth")).crossJoin(count(c.join(g, ["a", "b"]), "hits"))
+    return pairs("candidates", "source", "n_chars").crossJoin(pairs("truth", "h", "m")).crossJoin(pairs("hits", "source", "n_chars", "h", "m"))  # single rows
 
 
-@query("""SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(substr(benchmark.text, 1, 60)))""")
+@query("""SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text)) WHERE length(benchmark.text) > 0""")
 def ev5_ev6_citation_hits(t):
-    """Documents that cite a benchmark item: the items are a short reference list, and its size is checked."""
-    b = t.benchmark.select("item_id", F.lower(F.substring("text", 1, 60)).alias("needle"))
-    b = F.broadcast(b) if b.count() <= 10_000 else b
-    return t.documents.join(b, F.contains(F.lower("text"), F.col("needle"))).select("doc_id", "item_id")
+    """Documents that hold a whole benchmark item."""
+    return X.citations(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
+
+
+@query("""WITH t AS (SELECT entity_id, entity_type, lower(canonical_name) AS name FROM entities), x AS (SELECT concat(o.entity_id, 'x') AS guess, substr(lower(canonical_name), 1, 5) AS name, CASE entity_type WHEN 'place' THEN 'Country' WHEN 'company' THEN 'organization' WHEN 'person' THEN 'individual' ELSE 'tool' END AS kind FROM entities o WHERE entity_type = 'place')
+SELECT guess, entity_id, CASE kind WHEN 'Country' THEN 'place' ELSE 'other' END = entity_type AS type_agrees FROM x JOIN t ON contains(t.name, x.name) WHERE entity_type IN ('place', 'project')""")
+def ev6_entity_matches(t):
+    """Guessed names found inside known ones, and whether the types agree under their common names."""
+    guess = t.entities.filter("entity_type = 'place'").select(F.concat("entity_id", F.lit("x")).alias("guess"), F.substring(F.lower("canonical_name"), 1, 5).alias("name"), F.lit("Country").alias("kind"))
+    known = t.entities.filter(F.col("entity_type").isin("place", "project")).select("entity_id", "entity_type", F.lower("canonical_name").alias("full"))
+    met = known.join(F.broadcast(guess), F.contains("full", F.col("name")))  # places are the nations and regions
+    return met.select("guess", "entity_id", (R.entity_type(F.col("kind")) == R.entity_type(F.col("entity_type"))).alias("type_agrees"))
+
+
+@query("SELECT entity_type, count(*) AS n, CASE entity_type WHEN 'company' THEN 'company' ELSE entity_type END AS common FROM (SELECT CASE entity_type WHEN 'company' THEN 'Organisation' WHEN 'person' THEN 'PEOPLE' WHEN 'project' THEN 'initiative' ELSE 'City' END AS given, entity_type FROM entities) x GROUP BY 1")
+def fn22_entity_types(t):
+    given = F.when(F.col("entity_type") == "company", "Organisation").when(F.col("entity_type") == "person", "PEOPLE").when(F.col("entity_type") == "project", "initiative").otherwise("City")
+    return t.entities.withColumn("common", R.entity_type(given)).groupBy("entity_type", "common").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT DISTINCT p_type AS pa, p_brand AS m FROM part), x AS (SELECT a.pa, b.pa AS pb, count(*) AS k FROM p a JOIN p b ON a.m = b.m AND a.pa < b.pa GROUP BY 1, 2)
+SELECT pa, pb, round(0.5 * k / 25 + 0.3 * CASE WHEN left(pa, 1) = left(pb, 1) THEN 1.0 ELSE 0.5 END + 0.1 * jaro_winkler_similarity(pa, pb) + 0.1 * CASE WHEN pa = 'LARGE' AND pb = 'PROMO' THEN 1 ELSE 0 END, 6) AS score FROM x""")
+def fn21_predicate_likeness(t):
+    """Part types as predicates; the share of brands that two have in common stands as their cosine."""
+    p = t.part.select(F.col("p_type").alias("p"), F.col("p_brand").alias("m")).distinct()
+    met = p.toDF("pa", "m").join(p.toDF("pb", "m"), "m").filter("pa < pb").groupBy("pa", "pb").agg((F.count("*") / 25).alias("cosine"))
+    kind = lambda c: F.struct(F.substring(c, 1, 1).alias("s"), F.lit("thing").alias("o"))
+    return R.predicate_likeness(met.withColumns({"type_a": kind("pa"), "type_b": kind("pb")}), {"PROMO": "LARGE"}).select("pa", "pb", F.round("score", 6).alias("score"))
 
 
 @query("SELECT event_type AS verb, CASE event_type WHEN 'purchase' THEN 'purchase' ELSE event_type END AS base, count(*) AS n FROM events GROUP BY 1, 2")

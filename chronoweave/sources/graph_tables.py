@@ -46,6 +46,26 @@ UNION ALL SELECT vec_id, concat('N', CAST(vec_id % 25 AS VARCHAR(20))) FROM embe
     "participants": """
 SELECT DISTINCT conv_id AS stream_id, role AS speaker_key, concat('K', CAST(conv_id AS VARCHAR(20)), ':', role) AS entity_id
 FROM conversations WHERE role IN ('user', 'assistant')""",
+    "aliases": """
+SELECT entity_id, canonical_name AS alias FROM entities
+UNION SELECT entity_id, lower(replace(canonical_name, ' ', '_')) FROM entities
+UNION SELECT entity_id, substr(canonical_name, 1, 4) FROM entities WHERE entity_type = 'place'""",
+    "mentions": """
+SELECT entity_id, vec_id AS memory_id, label, embedding FROM memory_entities JOIN embeddings ON vec_id = memory_id""",
+    "entity_clusters": """
+SELECT entity_id, label AS cluster, CAST(n AS DOUBLE) / total AS probability FROM (
+  SELECT entity_id, label, n, sum(n) OVER (PARTITION BY entity_id) AS total, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, label) AS r
+  FROM (SELECT entity_id, label, count(*) AS n FROM mentions GROUP BY entity_id, label) x) y WHERE r = 1""",
+    "regions_of": """
+SELECT concat('S', CAST(s_suppkey AS VARCHAR(20))) AS entity_id, n_regionkey AS component FROM supplier JOIN nation ON n_nationkey = s_nationkey
+UNION ALL SELECT concat('N', CAST(n_nationkey AS VARCHAR(20))), n_regionkey FROM nation""",
+    "contradictions": """
+SELECT fact_id AS contradiction_id, fact_id AS fact_a, prior AS fact_b, CASE WHEN expired_at IS NULL THEN 'opposing' ELSE 'expired_cited' END AS kind,
+  confidence, created_at AS detected_at, CASE WHEN ends IS NOT NULL AND ends < TIMESTAMP '1996-01-01 00:00:00' THEN ends END AS resolved_at, subject_id
+FROM (SELECT *, lag(fact_id) OVER w AS prior, lag(object_value) OVER w AS was, invalid_at AS ends FROM facts WHERE predicate = 'has_status'
+      WINDOW w AS (PARTITION BY subject_id ORDER BY valid_at, fact_id)) x WHERE was <> object_value""",
+    "reports": """
+SELECT event_id AS report_id, CAST(event_id % 1000 AS VARCHAR(20)) AS invocation_id, event_type AS mode, concat('U', CAST(user_id AS VARCHAR(20))) AS entity_id, ts AS created_at, value AS score FROM events""",
 }
 
 
@@ -59,13 +79,19 @@ class Tables:
         if name in BASE:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         text = VIEWS[name]
-        used = {t: getattr(self, t) for t in BASE if re.search(rf"\b{t}\b", text)}
-        return self.spark.sql(re.sub(r"\b(FROM) (" + "|".join(used) + r")\b", r"\1 {\2}", text), **used)
+        used = {t: getattr(self, t) for t in [*BASE, *VIEWS] if re.search(rf"\b(FROM|JOIN) {t}\b", text)}
+        return self.spark.sql(re.sub(r"\b(FROM|JOIN) (" + "|".join(used) + r")\b", r"\1 {\2}", text), **used)
 
 
 def with_views(sql: str) -> str:
     """``sql`` for the oracle with the views that it names as common table expressions before its own."""
-    named = [f"{v} AS ({VIEWS[v]})" for v in VIEWS if re.search(rf"\b{v}\b", sql)]
+    wanted, todo = set(), [sql]
+    while todo:
+        text = todo.pop()
+        new = {v for v in VIEWS if v not in wanted and re.search(rf"\b{v}\b", text)}
+        wanted |= new
+        todo += [VIEWS[v] for v in new]
+    named = [f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in VIEWS if v in wanted]
     if not named:
         return sql
     if m := re.match(r"\s*WITH (RECURSIVE )?", sql):
