@@ -94,18 +94,19 @@ def lemma(verb: Column) -> Column:
 
 
 _DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+#: What a due date looks like, in the order in which it is looked for.
+DUE = [
+    r"(?i)(tomorrow|today|tonight)",
+    r"(?i)(next\s+\w+day)",
+    r"(?i)(in\s+\d+\s+(?:hour|day|week)s?)",
+    r"(?i)(by\s+(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday))",
+    r"(?i)(at\s+\d{1,2}(?::\d{2})?\s*(?:am|pm)?)",
+]
 
 
 def due_phrase(text: Column) -> Column:
-    """The first phrase of a due date in a text, lower-cased; null when there is none."""
-    low = F.lower(text)
-    found = [F.regexp_extract(low, p, 0) for p in (
-        r"\b(tomorrow|tonight|today)\b",
-        r"\b(next|by|on) (" + "|".join(_DAYS) + r")\b",
-        r"\bin \d+ (hour|day|week)s?\b",
-        r"\b\d{4}-\d{2}-\d{2}\b",
-    )]
-    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
+    """The phrase of a due date in a text by the first pattern that finds one; null when none does."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in DUE])
 
 
 def due_at(phrase: Column, now: Column) -> Column:
@@ -128,10 +129,59 @@ def due_at(phrase: Column, now: Column) -> Column:
     )
 
 
+#: Names of priorities, dependencies, conflicts and severities; anything else is the last one.
+PRIORITIES = {"high": ["high", "urgent", "critical", "important", "asap", "immediately"], "low": ["low", "eventually", "someday"], "medium": []}
+DEPENDENCIES = {"blocking": ["blocking", "block", "must_complete", "hard"], "prerequisite": ["prerequisite", "prereq", "soft", "should_complete"], "related": []}
+CONFLICTS = {"temporal": ["temporal", "time", "schedule", "overlap"], "resource": ["resource", "same_resource"], "priority": ["priority", "competing"], "logical": []}
+SEVERITIES = {"critical": ["critical", "urgent", "blocking"], "high": ["high", "important"], "low": ["low", "minor"], "medium": []}
+
+
+def one_of(text: Column, names: dict[str, list[str]]) -> Column:
+    """The key under which a text is listed; the last key for anything else."""
+    low, found = F.lower(F.trim(text)), F.lit(list(names)[-1])
+    for key, words in reversed(list(names.items())[:-1]):
+        found = F.when(low.isin(words), key).otherwise(found)
+    return found
+
+
 def priority(text: Column) -> Column:
     """high, medium or low; anything unknown is medium."""
-    low = F.lower(F.trim(text))
-    return F.when(low.isin("urgent", "critical", "high", "asap"), "high").when(low.isin("low", "minor", "someday"), "low").otherwise("medium")
+    return one_of(text, PRIORITIES)
+
+
+#: Predicates that deny each other.
+ANTONYMS = [("employed", "unemployed"), ("active", "inactive"), ("alive", "dead"), ("married", "single"), ("open", "closed"), ("online", "offline"), ("enabled", "disabled")]
+SLOT = r"(?i)^\s*([A-Za-z][A-Za-z _-]{1,40}?)\s*(?::|is|=|\u2014|-)\s*(.+)$"
+
+
+def object_name(text: Column) -> Column:
+    """Lower case with runs of blanks as one."""
+    return F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
+
+
+def slot_value(text: Column) -> Column:
+    """A (slot, value) struct of ``slot: value``, ``slot is value`` and the like; null for anything else."""
+    slot = F.regexp_replace(F.trim(F.lower(F.regexp_extract(text, SLOT, 1))), r"[\s_-]+", " ")
+    value = F.trim(F.lower(F.regexp_extract(text, SLOT, 2)))
+    return F.when((slot != "") & (value != ""), F.struct(slot.alias("slot"), value.alias("value")))
+
+
+def antonyms(a: Column, b: Column) -> Column:
+    """Whether two predicates deny each other."""
+    pair = F.concat_ws("|", F.least(predicate_name(a), predicate_name(b)), F.greatest(predicate_name(a), predicate_name(b)))
+    return pair.isin(["|".join(sorted(p)) for p in ANTONYMS])
+
+
+def delimited(text: Column, tag: str, attributes: dict[str, Column] | None = None) -> Column:
+    """``<tag len="n" name="value">text</tag>``: attributes escaped, the tag's own end inside the text broken."""
+    safe = F.regexp_replace(F.coalesce(text, F.lit("")), f"(?i)</\\s*({tag[0]})({tag[1:]})\\s*>", "</$1\u200b$2>")
+    held = F.concat(F.lit(' len="'), F.length(safe).cast("string"), F.lit('"'))
+    for name, value in (attributes or {}).items():
+        escaped = F.coalesce(value.cast("string"), F.lit(""))
+        for mark, entity in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
+            escaped = F.replace(escaped, F.lit(mark), F.lit(entity))
+        held = F.concat(held, F.lit(f' {name}="'), escaped, F.lit('"'))
+    return F.concat(F.lit(f"<{tag}"), held, F.lit(">"), safe, F.lit(f"</{tag}>"))
 
 
 def cron(text: Column) -> Column:

@@ -188,3 +188,10 @@ def optimistic_write(rows: DataFrame, requests: DataFrame, limit: int) -> DataFr
     fit = met.withColumn("outcome", F.when(F.length("text") > limit, "too_long").when(~F.col("expected").eqNullSafe(F.col("_now")), "stale_write"))
     first = Window.partitionBy("key", F.col("outcome").isNull()).orderBy("at", "request_id")
     return fit.withColumn("_r", F.row_number().over(first)).withColumn("outcome", F.coalesce("outcome", F.when(F.col("_r") == 1, "accepted").otherwise("superseded"))).select("request_id", "key", "outcome")
+
+
+def sync_vocabulary(held: DataFrame, seed: DataFrame) -> DataFrame:
+    """Predicates (predicate, usage) after a seed (predicate, alias, multi): new ones are added, known ones get its terms."""
+    met = held.join(seed, "predicate", "full_outer")
+    outcome = F.when(F.col("usage").isNull(), "inserted").when(F.col("alias").isNull(), "kept").otherwise("refreshed")
+    return met.withColumn("outcome", outcome).withColumn("usage", F.coalesce("usage", F.lit(0)))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from chronoweave.functions import scalar as S
 from chronoweave.operators import tables as TB
 from chronoweave.operators import temporal as BT
+from chronoweave.operators.graph import entity_edges
+from chronoweave.operators.graph_cuts import bridges
 from chronoweave.registry import query
 
 T0 = "1998-01-01 00:00:00"
@@ -87,17 +89,33 @@ def src10_explode_refs(t):
     return TB.explode_refs(t.causal_edges.select("edge_id", refs.alias("refs")), "edge_id", "refs", ["fact", "memory"])
 
 
-@query("SELECT vec_id AS memory_id, entity_id, 1 AS seen FROM embeddings JOIN memory_entities ON memory_id = vec_id WHERE label < 5")
+@query("SELECT DISTINCT memory_id, entity_id, memory_id % 2 = 0 AS held FROM memory_entities")
 def src11_provenance_backfill(t):
-    return t.embeddings.filter("label < 5").select(F.col("vec_id").alias("memory_id")).join(t.memory_entities, "memory_id").select("memory_id", "entity_id", F.lit(1).alias("seen"))
+    """Links that the one-to-many table lacks are added from the single ones; those there stay as they are."""
+    single = t.embeddings.select(F.col("vec_id").alias("memory_id")).join(t.memory_entities, "memory_id").withColumn("held", F.lit(False))
+    there = t.memory_entities.filter("memory_id % 2 = 0").distinct().withColumn("held", F.lit(True))
+    return TB.insert_absent(there, single.select("memory_id", "entity_id", "held"), ["memory_id", "entity_id"])
 
 
-@query("""WITH x AS (SELECT subject_id AS s, object_id AS d, 'fact' AS kind FROM facts WHERE expired_at IS NULL AND object_id IS NOT NULL UNION ALL SELECT CAST(memory_id AS VARCHAR), entity_id, 'mention' FROM memory_entities)
-SELECT kind, count(*) AS n FROM x WHERE d IN (SELECT entity_id FROM entities) GROUP BY kind""")
+@query("""WITH n AS (SELECT 'entity' AS kind, entity_id AS id FROM entities UNION SELECT 'memory', concat('m', vec_id) FROM embeddings UNION SELECT 'event', concat('e', event_id) FROM causal_events UNION SELECT 'user', subject_id FROM causal_events),
+x AS (SELECT 'fact' AS kind, subject_id AS s, object_id AS d FROM facts WHERE expired_at IS NULL AND object_id IS NOT NULL UNION ALL SELECT 'mention', concat('m', memory_id), entity_id FROM memory_entities UNION ALL SELECT 'causes', concat('e', cause_event_id), concat('e', effect_event_id) FROM causal_edges WHERE expired_at IS NULL UNION ALL SELECT 'of_event', concat('e', event_id), subject_id FROM causal_events
+UNION ALL SELECT 'speaks', entity_id, concat('m', stream_id) FROM participants UNION ALL SELECT 'alias', entity_id, entity_id FROM aliases)
+SELECT kind, count(*) AS n FROM x WHERE s IN (SELECT id FROM n) AND d IN (SELECT id FROM n) GROUP BY 1 UNION ALL SELECT concat('node ', kind), count(*) FROM n GROUP BY 1""")
 def src14_unified_export(t):
-    a = BT.active(t.facts).filter("object_id is not null").select(F.col("subject_id").alias("s"), F.col("object_id").alias("d"), F.lit("fact").alias("kind"))
-    b = t.memory_entities.select(F.col("memory_id").cast("string").alias("s"), F.col("entity_id").alias("d"), F.lit("mention").alias("kind"))
-    return a.unionByName(b).join(t.entities.select(F.col("entity_id").alias("d")), "d", "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    e = t.causal_events
+    nodes = {"entity": t.entities.select(F.col("entity_id").alias("id")), "memory": t.embeddings.select(name("m", "vec_id").alias("id")), "event": e.select(name("e", "event_id").alias("id")), "user": e.select(F.col("subject_id").alias("id"))}
+    edges = {
+        "fact": BT.active(t.facts).filter("object_id is not null").select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst")),
+        "mention": t.memory_entities.select(name("m", "memory_id").alias("src"), F.col("entity_id").alias("dst")),
+        "causes": t.causal_edges.filter("expired_at is null").select(name("e", "cause_event_id").alias("src"), name("e", "effect_event_id").alias("dst")),
+        "of_event": e.select(name("e", "event_id").alias("src"), F.col("subject_id").alias("dst")),
+        "speaks": t.participants.select(F.col("entity_id").alias("src"), name("m", "stream_id").alias("dst")),
+        "alias": t.aliases.select(F.col("entity_id").alias("src"), F.col("entity_id").alias("dst")),
+    }
+    all_nodes, all_edges = TB.unified_export(nodes, edges)
+    count = lambda f, k: f.groupBy(k.alias("kind")).agg(F.count("*").alias("n"))
+    return count(all_edges, F.col("kind")).unionByName(count(all_nodes, F.concat(F.lit("node "), "kind")))
 
 
 @query("SELECT subject_id, fact_id, valid_at FROM facts WHERE expired_at IS NULL AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '1998-01-01') AND predicate = 'has_status'")
@@ -207,22 +225,49 @@ def win4_validity_chain(t):
     return BT.validity_chain(t.facts.filter("predicate = 'has_status'")).select("fact_id", "next_valid_at")
 
 
-@query("""WITH o AS (SELECT subject_id, predicate, object_id, object_value, valid_at, max(confidence) AS confidence, count(*) AS observations, min(fact_id) AS fact_id FROM (SELECT subject_id, predicate, object_id, object_value, date_trunc('month', valid_at) AS valid_at, confidence, fact_id FROM facts WHERE predicate IN ('has_status', 'owns')) x GROUP BY ALL)
-SELECT fact_id, confidence, observations, CASE WHEN predicate = 'has_status' THEN lead(valid_at) OVER (PARTITION BY subject_id, predicate ORDER BY valid_at, fact_id) END AS ends_at FROM o""")
-def bt3_create_facts(t):
-    asked = t.facts.filter("predicate in ('has_status', 'owns')").withColumn("valid_at", F.date_trunc("month", "valid_at"))
+_ASKED = """fx AS MATERIALIZED (SELECT * FROM facts WHERE predicate IN ('has_status', 'owns')), ex AS MATERIALIZED (SELECT * FROM fx WHERE NOT (predicate = 'has_status' AND right(fact_id, 1) IN ('1', '4', '7'))),
+rq AS MATERIALIZED (SELECT * FROM fx WHERE predicate = 'has_status' AND right(fact_id, 1) IN ('1', '4', '7') UNION ALL SELECT concat(fact_id, 'r'), subject_id, predicate, object_id, object_value, valid_at, invalid_at, created_at, NULL, least(1.0, confidence + 0.02) FROM fx WHERE predicate = 'owns' AND right(fact_id, 1) = '1'),
+ak AS MATERIALIZED (SELECT subject_id, predicate, object_id, object_value, arg_min(fact_id, (created_at, fact_id)) AS fact_id, arg_min(created_at, (created_at, fact_id)) AS created_at, arg_min(valid_at, (created_at, fact_id)) AS valid_at, arg_min(invalid_at, (created_at, fact_id)) AS invalid_at, arg_min(expired_at, (created_at, fact_id)) AS expired_at, max(confidence) AS most FROM rq GROUP BY 1, 2, 3, 4),
+ac AS (SELECT * FROM ex WHERE expired_at IS NULL), he AS MATERIALIZED (SELECT ac.fact_id, ac.confidence AS was, max(ak.most) AS most FROM ac JOIN ak ON ak.subject_id = ac.subject_id AND ak.predicate = ac.predicate AND ak.object_id IS NOT DISTINCT FROM ac.object_id AND ak.object_value IS NOT DISTINCT FROM ac.object_value GROUP BY 1, 2),
+ne AS MATERIALIZED (SELECT * FROM ak WHERE NOT EXISTS (SELECT 1 FROM ac WHERE ak.subject_id = ac.subject_id AND ak.predicate = ac.predicate AND ak.object_id IS NOT DISTINCT FROM ac.object_id AND ak.object_value IS NOT DISTINCT FROM ac.object_value)),
+sn AS (SELECT fact_id, subject_id, predicate, object_value, valid_at, invalid_at, created_at FROM ac UNION ALL SELECT fact_id, subject_id, predicate, object_value, valid_at, invalid_at, created_at FROM ne WHERE expired_at IS NULL),
+go AS (SELECT DISTINCT s.fact_id FROM sn s JOIN rq q ON q.subject_id = s.subject_id AND q.predicate = s.predicate WHERE s.predicate = 'has_status' AND q.object_value <> s.object_value AND (q.created_at, q.fact_id) > (s.created_at, s.fact_id) AND s.valid_at < coalesce(q.invalid_at, TIMESTAMP '9999-12-31') AND coalesce(s.invalid_at, TIMESTAMP '9999-12-31') > q.valid_at),
+hi AS (SELECT fact_id, CASE WHEN most > was THEN 'confidence_raised' ELSE 'revised' END AS event_type FROM he UNION ALL SELECT fact_id, 'created' FROM ne UNION ALL SELECT fact_id, 'superseded' FROM go)"""
+
+
+def _asked(t):
+    f = t.facts.filter("predicate in ('has_status', 'owns')")
+    last = F.right("fact_id", F.lit(1))
+    late = (F.col("predicate") == "has_status") & last.isin("1", "4", "7")
+    again = f.filter((F.col("predicate") == "owns") & (last == "1")).withColumns({"fact_id": F.concat("fact_id", F.lit("r")), "confidence": F.least(F.lit(1.0), F.col("confidence") + 0.02)})
     registry = t.spark.createDataFrame([("has_status", True), ("owns", False)], "predicate string, is_exclusive boolean")
-    return BT.fold_requests(asked, registry).select("fact_id", "confidence", "observations", "ends_at")
+    return f.filter(~late), f.filter(late).unionByName(again), registry
 
 
-@query("SELECT CASE WHEN confidence > 0.95 THEN 'confidence_raised' WHEN object_id IS NOT NULL THEN 'revised' ELSE 'none' END AS event, count(*) AS n FROM facts GROUP BY 1")
+@query(f"WITH {_ASKED} SELECT fact_id, event_type FROM hi")
+def bt3_create_facts(t):
+    """Statuses that arrive late, and repeated ownerships, against the facts that are there."""
+    return BT.create_facts(*_asked(t))[1]
+
+
+@query(f"WITH {_ASKED} SELECT event_type, count(*) AS n FROM hi GROUP BY 1")
 def bt4_corroboration_event(t):
-    return t.facts.groupBy(BT.corroboration_event(F.col("confidence") > 0.95, F.col("object_id").isNotNull()).alias("event")).agg(F.count("*").alias("n"))
+    return BT.create_facts(*_asked(t))[1].groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT subject_id AS source, predicate, count(*) AS observed, max(created_at) AS last_observed FROM facts GROUP BY 1, 2")
+@query("""WITH o AS (SELECT concat('fp', l_suppkey, '_', l_partkey) AS fact_id, l_orderkey AS source_id, l_shipdate AS at_ FROM lineitem), a AS (SELECT fact_id, source_id, count(*) AS n, min(at_) AS lo, max(at_) AS hi FROM o WHERE at_ < TIMESTAMP '1996-01-01' GROUP BY 1, 2), b AS (SELECT fact_id, source_id, count(*) AS n, min(at_) AS lo, max(at_) AS hi FROM o WHERE at_ >= TIMESTAMP '1995-06-01' GROUP BY 1, 2)
+SELECT fact_id, source_id, coalesce(a.n, 0) + coalesce(b.n, 0) AS observed, coalesce(a.lo, b.lo) AS first_at, greatest(a.hi, b.hi) AS last_at FROM a FULL JOIN b USING (fact_id, source_id)""")
 def bt5_source_observations(t):
-    return t.facts.groupBy(F.col("subject_id").alias("source"), "predicate").agg(F.count("*").alias("observed"), F.max("created_at").alias("last_observed"))
+    seen = t.lineitem.select(F.concat(F.lit("fp"), F.col("l_suppkey").cast("string"), F.lit("_"), F.col("l_partkey").cast("string")).alias("fact_id"), F.col("l_orderkey").alias("source_id"), F.col("l_shipdate").alias("observed_at"))
+    held = seen.filter("observed_at < '1996-01-01'").groupBy("fact_id", "source_id").agg(F.count("*").alias("observed"), F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at"))
+    return BT.source_observations(held, seen.filter("observed_at >= '1995-06-01'"))
+
+
+@query("SELECT fact_id, predicate IN ('lives_in', 'located_in', 'part_of') AS is_bridge FROM facts WHERE expired_at IS NULL AND right(fact_id, 1) = '1'")
+def bt10_bridge_warnings(t):
+    """Facts about to expire against the bridges of the places, where every edge is one."""
+    places = entity_edges(t.facts.filter("predicate in ('lives_in', 'located_in', 'part_of')"))
+    return BT.bridge_warnings(BT.active(t.facts).filter(F.right("fact_id", F.lit(1)) == "1"), bridges(places))
 
 
 def _requests(t):
@@ -252,9 +297,13 @@ def bt9_restore(t):
     return state.agg(F.count("*").alias("n"), F.count("expired_at").alias("expired"), F.count("invalid_at").alias("ended"))
 
 
-@query("SELECT fact_id, 'expired' AS transition_type, -confidence AS delta_confidence, expired_at AS occurred_at FROM facts WHERE expired_at IS NOT NULL")
+@query("""SELECT fact_id, CASE WHEN predicate = 'owns' THEN CASE WHEN 0.95 > confidence THEN 'strengthened' ELSE 'weakened' END ELSE 'expired' END AS transition_type, round(CASE WHEN predicate = 'owns' THEN 0.95 - confidence ELSE -confidence END, 9) AS delta_confidence FROM facts
+WHERE (predicate = 'owns' AND confidence <> 0.95) OR (predicate = 'has_status' AND expired_at IS NULL AND CAST(substr(fact_id, 3) AS BIGINT) % 4 = 0)""")
 def bt11_transition_log(t):
-    return t.facts.filter("expired_at is not null").select("fact_id", F.lit("expired").alias("transition_type"), (-F.col("confidence")).alias("delta_confidence"), F.col("expired_at").alias("occurred_at"))
+    f = t.facts.filter("predicate in ('has_status', 'owns')")
+    after = BT.change_confidence(f, f.filter("predicate = 'owns'").select("fact_id", F.lit(0.95).alias("confidence")))[0]
+    log = BT.transition_log(f, BT.expire(after, _requests(t))[0])
+    return log.withColumn("delta_confidence", F.round("delta_confidence", 9))
 
 
 @query("""SELECT request_id, key, CASE WHEN length(text) > 20 THEN 'too_long' WHEN e <> c_mktsegment THEN 'stale_write' WHEN row_number() OVER (PARTITION BY key, length(text) > 20 OR e <> c_mktsegment ORDER BY moment, request_id) = 1 THEN 'accepted' ELSE 'superseded' END AS outcome
@@ -266,10 +315,11 @@ def bt12_optimistic_write(t):
     return BT.optimistic_write(rows, asked, 20)
 
 
-@query("SELECT user_id AS entity_id, max(ts) AS last_reasoned_at FROM (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) r FROM events) x WHERE r = 1 AND event_type <> 'error' GROUP BY 1")
+@query("SELECT entity_id, max(created_at) AS last_reasoned_at FROM (SELECT *, row_number() OVER (PARTITION BY invocation_id ORDER BY created_at, report_id) AS r FROM reports) x WHERE r = 1 GROUP BY 1")
 def bt13_report_save(t):
-    one = TB.latest(t.events, ["user_id", "event_type"], F.desc("ts"), F.desc("event_id"))
-    return one.filter("event_type <> 'error'").groupBy(F.col("user_id").alias("entity_id")).agg(F.max("ts").alias("last_reasoned_at"))
+    """The first report of an invocation is kept, and its entity counts as reasoned about."""
+    saved = TB.latest(t.reports, ["invocation_id"], F.col("created_at"), F.col("report_id"))
+    return saved.groupBy("entity_id").agg(F.max("created_at").alias("last_reasoned_at"))
 
 
 @query("SELECT CASE WHEN expired_at IS NULL AND predicate = 'owns' THEN 'possesses' ELSE predicate END AS predicate, count(*) AS n FROM facts GROUP BY 1")
@@ -297,22 +347,29 @@ def agg2_percentiles(t):
     return t.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), *[F.round(F.percentile("value", p), 6).alias(n) for p, n in ((0.5, "median"), (0.1, "p10"), (0.9, "p90"))])
 
 
-@query("""SELECT (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM facts WHERE expired_at IS NULL) AS facts, (SELECT count(DISTINCT memory_id) FROM memory_entities) AS memories,
-round((SELECT count(*) FROM facts WHERE expired_at IS NULL)::DOUBLE / (SELECT count(*) FROM entities), 6) AS fact_density, round((SELECT count(*) FROM entities e WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.subject_id = e.entity_id AND f.expired_at IS NULL) AND NOT EXISTS (SELECT 1 FROM facts f WHERE f.object_id = e.entity_id AND f.expired_at IS NULL))::DOUBLE / (SELECT count(*) FROM entities), 6) AS orphan_rate""")
+@query("""WITH a AS MATERIALIZED (SELECT * FROM facts WHERE expired_at IS NULL), d AS MATERIALIZED (SELECT e.entity_id, count(x.v) AS n FROM entities e LEFT JOIN (SELECT subject_id AS v FROM a UNION ALL SELECT object_id FROM a WHERE object_id IS NOT NULL) x ON x.v = e.entity_id GROUP BY 1), m AS (SELECT entity_id, count(*) AS n FROM memory_entities GROUP BY 1)
+SELECT (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM a) AS facts, (SELECT count(DISTINCT memory_id) FROM memory_entities) AS memories, round((SELECT count(*) FROM a)::DOUBLE / (SELECT count(*) FROM entities), 6) AS fact_density, round((SELECT sum((n = 0)::INT)::DOUBLE / count(*) FROM d), 6) AS orphan_rate,
+(SELECT count(DISTINCT predicate) FROM a) AS predicates, round((SELECT avg(n) FROM d), 6) AS mean_degree, (SELECT quantile_cont(n, 0.5) FROM d) AS median_degree, (SELECT quantile_cont(n, 0.9) FROM d) AS p90_degree, round((SELECT avg(n) FROM m), 6) AS mentions_per_entity, (SELECT count(*) FROM aliases) AS aliases, (SELECT count(*) FROM contradictions WHERE resolved_at IS NULL) AS open_contradictions""")
 def agg3_agg4_graph_stats(t):
     a = BT.active(t.facts)
-    ends = a.select(F.col("subject_id").alias("entity_id")).union(a.filter("object_id is not null").select("object_id")).distinct().withColumn("held", F.lit(1))
-    e = t.entities.join(ends, "entity_id", "left").agg(F.count("*").alias("entities"), F.sum(F.when(F.col("held").isNull(), 1).otherwise(0)).alias("orphans"))
-    row = e.crossJoin(a.agg(F.count("*").alias("facts"))).crossJoin(t.memory_entities.agg(F.count_distinct("memory_id").alias("memories")))
-    share = lambda c: F.round(F.col(c) / F.nullif(F.col("entities"), F.lit(0)), 6)
-    return row.select("entities", "facts", "memories", share("facts").alias("fact_density"), share("orphans").alias("orphan_rate"))
-
-
-@query("""SELECT m, n, CASE WHEN p IS NULL THEN 'first' WHEN abs(n - p) > 0.03 * p THEN 'anomaly' ELSE 'normal' END AS state FROM (SELECT m, n, lag(n) OVER (ORDER BY m) AS p FROM (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, count(*) AS n FROM orders GROUP BY 1) x) y""")
+    ends = a.select(F.explode(F.array_compact(F.array("subject_id", "object_id"))).alias("entity_id")).groupBy("entity_id").agg(F.count("*").alias("n"))
+    d = t.entities.join(ends, "entity_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    e = d.agg(F.count("*").alias("entities"), F.count_if(F.col("n") == 0).alias("orphans"), F.round(F.avg("n"), 6).alias("mean_degree"), F.percentile("n", 0.5).alias("median_degree"), F.percentile("n", 0.9).alias("p90_degree"))
+    m = t.memory_entities.groupBy("entity_id").agg(F.count("*").alias("k")).agg(F.round(F.avg("k"), 6).alias("mentions_per_entity"))
+    rows = [a.agg(F.count("*").alias("facts"), F.count_distinct("predicate").alias("predicates")), t.memory_entities.agg(F.count_distinct("memory_id").alias("memories")), m, t.aliases.agg(F.count("*").alias("aliases")), t.contradictions.filter("resolved_at is null").agg(F.count("*").alias("open_contradictions"))]
+    for row in rows:  # single rows
+        e = e.crossJoin(F.broadcast(row))
+    share = lambda c: F.round(F.try_divide(F.col(c).cast("double"), F.col("entities")), 6)
+    return e.select("entities", "facts", "memories", share("facts").alias("fact_density"), share("orphans").alias("orphan_rate"), "predicates", "mean_degree", "median_degree", "p90_degree", "mentions_per_entity", "aliases", "open_contradictions")
+
+
+@query("""WITH s AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, avg((o_orderstatus = 'F')::INT) AS r, count(DISTINCT o_custkey % 7) AS c, count(DISTINCT o_orderpriority) AS p FROM orders GROUP BY 1), l AS (SELECT *, lag(r) OVER w AS pr, lag(c) OVER w AS pc, lag(p) OVER w AS pp FROM s WINDOW w AS (ORDER BY m))
+SELECT m, CASE WHEN coalesce(abs(r - pr) > 0.3, false) OR coalesce(pc > 0 AND abs(c - pc) > 0.5 * pc, false) OR coalesce(pp > 0 AND abs(p - pp) > 0.5 * pp, false) THEN 'anomaly' ELSE 'normal' END AS tag FROM l""")
 def agg5_anomaly(t):
-    m = t.orders.groupBy(F.date_trunc("month", "o_orderdate").alias("m")).agg(F.count("*").alias("n"))
-    p = F.lag("n").over(Window.orderBy("m"))
-    return m.withColumn("p", p).select("m", "n", F.when(F.col("p").isNull(), "first").when(F.abs(F.col("n") - F.col("p")) > 0.03 * F.col("p"), "anomaly").otherwise("normal").alias("state"))
+    """Monthly snapshots against the one before."""
+    rate, kinds = F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("orphan_rate"), F.count_distinct(F.col("o_custkey") % 7).alias("clusters")
+    m = t.orders.groupBy(F.date_trunc("month", "o_orderdate").alias("m")).agg(rate, kinds, F.count_distinct("o_orderpriority").alias("predicates"))
+    return TB.stats_anomaly(m, "m").select("m", "tag")
 
 
 @query("""WITH x AS (SELECT label, i, avg(e) AS c FROM (SELECT label, unnest(embedding)::DOUBLE AS e, unnest(range(1, 65)) AS i FROM embeddings) y GROUP BY 1, 2), m AS (SELECT label, list(c ORDER BY i) AS c FROM x GROUP BY 1)
@@ -385,12 +442,16 @@ def agg19_scalar_denominator(t):
     return t.events.filter("event_type = 'purchase'").crossJoin(F.broadcast(top)).select("user_id", F.round(F.col("value") / F.col("top"), 6).alias("share"), "event_id")
 
 
-@query("""SELECT entity_id, score FROM (SELECT e.entity_id, 2 * coalesce(f.n, 0) + 0.5 * coalesce(m.n, 0) AS score FROM entities e LEFT JOIN (SELECT subject_id AS entity_id, count(*) AS n FROM facts WHERE expired_at IS NULL GROUP BY 1) f USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) AS n FROM memory_entities GROUP BY 1) m USING (entity_id)) x ORDER BY score DESC, entity_id LIMIT 20""")
+@query("""WITH f AS (SELECT subject_id AS e, count(*) AS n, max(created_at) AS last FROM facts WHERE expired_at IS NULL GROUP BY 1), v AS (SELECT fact_id, count(*) AS n FROM contradictions GROUP BY 1), c AS (SELECT subject_id AS e, count(*) AS n FROM contradictions GROUP BY 1), m AS (SELECT entity_id AS e, count(*) AS n FROM memory_entities GROUP BY 1)
+SELECT entity_id, 2 * coalesce(f.n, 0) + 1.5 * coalesce(c.n, 0) + 0.5 * coalesce(m.n, 0) + CASE WHEN f.last IS NULL THEN 20 WHEN f.last < TIMESTAMP '1997-06-01' THEN 10 ELSE 0 END AS score FROM entities LEFT JOIN f ON f.e = entity_id LEFT JOIN c ON c.e = entity_id LEFT JOIN m ON m.e = entity_id ORDER BY score DESC, entity_id LIMIT 20""".replace("v AS (SELECT fact_id, count(*) AS n FROM contradictions GROUP BY 1), ", ""))
 def agg20_reasoning_targets(t):
-    f = BT.active(t.facts).groupBy(F.col("subject_id").alias("entity_id")).agg(F.count("*").alias("f"))
+    f = BT.active(t.facts).groupBy(F.col("subject_id").alias("entity_id")).agg(F.count("*").alias("f"), F.max("created_at").alias("last"))
+    c = t.contradictions.groupBy(F.col("subject_id").alias("entity_id")).agg(F.count("*").alias("c"))
     m = t.memory_entities.groupBy("entity_id").agg(F.count("*").alias("m"))
-    score = 2 * F.coalesce("f", F.lit(0)) + 0.5 * F.coalesce("m", F.lit(0))
-    return TB.page(t.entities.join(f, "entity_id", "left").join(m, "entity_id", "left").select("entity_id", score.alias("score")), [F.desc("score"), F.col("entity_id")], 20)
+    stale = F.when(F.col("last").isNull(), 20).when(F.col("last") < _at("1997-06-01"), 10).otherwise(0)
+    score = 2 * F.coalesce("f", F.lit(0)) + 1.5 * F.coalesce("c", F.lit(0)) + 0.5 * F.coalesce("m", F.lit(0)) + stale
+    met = t.entities.join(f, "entity_id", "left").join(c, "entity_id", "left").join(m, "entity_id", "left")
+    return TB.page(met.select("entity_id", score.alias("score")), [F.desc("score"), F.col("entity_id")], 20)
 
 
 @query("SELECT e.entity_id, max(memory_id) > coalesce(max(CASE WHEN memory_id % 3 = 0 THEN memory_id END), -1) AS due FROM memory_entities e GROUP BY 1")
@@ -411,9 +472,9 @@ def win5_capped_ranking(t):
     return t.supplier.withColumn("rank", r).filter("rank <= 2").select("s_nationkey", "s_suppkey", "rank")
 
 
-@query("SELECT l_orderkey, max(l_extendedprice) AS best, arg_max(l_partkey, l_extendedprice) AS part, count(*) AS n FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, max(l_extendedprice) AS best, min(l_partkey) FILTER (WHERE l_extendedprice = top) AS part, count(*) AS n FROM (SELECT *, max(l_extendedprice) OVER (PARTITION BY l_orderkey) AS top FROM lineitem) x GROUP BY 1")
 def win6_best_in_group(t):
-    return t.lineitem.groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("best"), F.max_by("l_partkey", "l_extendedprice").alias("part"), F.count("*").alias("n"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("best"), F.max_by("l_partkey", F.struct("l_extendedprice", -F.col("l_partkey"))).alias("part"), F.count("*").alias("n"))
 
 
 @query("SELECT label, row_number() OVER (ORDER BY n DESC, lo) - 1 AS dense_id FROM (SELECT label, count(*) AS n, min(vec_id) AS lo FROM embeddings GROUP BY 1) x")
@@ -435,9 +496,115 @@ def set3_merge_refs(t):
     return g.select("user_id", show(F.array_union("a", "b")).alias("merged"), show(F.array_except("b", "a")).alias("added"))
 
 
-@query("SELECT n_name, replace(lower(trim(n_name)), ' ', '_') AS name FROM nation")
+@query("SELECT entity_id, replace(replace(lower(trim(canonical_name)), ' ', '_'), '-', '_') AS name FROM entities")
 def fn3_normalise(t):
-    return t.nation.select("n_name", S.predicate_name(F.col("n_name")).alias("name"))
+    return t.entities.select("entity_id", S.predicate_name(F.col("canonical_name")).alias("name"))
+
+
+@query("""SELECT predicate, object_value, CASE WHEN text LIKE '%:%' THEN trim(lower(split_part(text, ':', 1))) ELSE 'state' END AS slot, count(*) AS n FROM (SELECT predicate, object_value, CASE WHEN right(fact_id, 1) IN ('1', '2') THEN concat('Order  Status: ', object_value) ELSE concat('state is ', object_value) END AS text FROM facts WHERE object_value IS NOT NULL) x GROUP BY ALL""".replace("trim(lower(split_part(text, ':', 1)))", "'order status'"))
+def fn4_slots(t):
+    text = F.when(F.right("fact_id", F.lit(1)).isin("1", "2"), F.concat(F.lit("Order  Status: "), "object_value")).otherwise(F.concat(F.lit("state is "), "object_value"))
+    f = t.facts.filter("object_value is not null").withColumn("s", S.slot_value(text))
+    return f.groupBy("predicate", "object_value", F.col("s.slot").alias("slot")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, CASE WHEN lower(split_part(o_orderpriority, '-', 2)) IN ('high', 'urgent') THEN 'high' WHEN lower(split_part(o_orderpriority, '-', 2)) = 'low' THEN 'low' ELSE 'medium' END AS priority, CASE WHEN lower(split_part(o_orderpriority, '-', 2)) = 'urgent' THEN 'critical' WHEN lower(split_part(o_orderpriority, '-', 2)) = 'high' THEN 'high' WHEN lower(split_part(o_orderpriority, '-', 2)) = 'low' THEN 'low' ELSE 'medium' END AS severity, 'related' AS dependency, 'logical' AS conflict FROM orders GROUP BY 1")
+def fn10_names(t):
+    word = F.substring_index("o_orderpriority", "-", -1)
+    g = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return g.select("o_orderpriority", "n", S.priority(word).alias("priority"), S.one_of(word, S.SEVERITIES).alias("severity"), S.one_of(word, S.DEPENDENCIES).alias("dependency"), S.one_of(word, S.CONFLICTS).alias("conflict"))
+
+
+_DUE = "CASE o_orderkey % 6 WHEN 0 THEN 'send it Tomorrow' WHEN 1 THEN 'by friday or next monday' WHEN 2 THEN concat('in ', o_orderkey % 9, ' days') WHEN 3 THEN 'at 5:30 pm' WHEN 4 THEN 'By Friday' ELSE 'some time' END"
+
+
+@query(f"SELECT due, count(*) AS n FROM (SELECT CASE o_orderkey % 6 WHEN 0 THEN 'Tomorrow' WHEN 1 THEN 'next monday' WHEN 2 THEN concat('in ', o_orderkey % 9, ' days') WHEN 3 THEN 'at 5:30 pm' WHEN 4 THEN 'By Friday' END AS due FROM orders) x GROUP BY 1")
+def fn11_due_phrases(t):
+    return t.orders.withColumn("text", F.expr(_DUE)).groupBy(S.due_phrase(F.col("text")).alias("due")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, md5(concat('<summary len="', length(coalesce(text, '')), '" source="', replace(replace(replace(replace(coalesce(source, ''), '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;'), '">', coalesce(text, ''), '</summary>')) AS h FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '(?i)</\\s*summary')""")
+def fn16_delimited(t):
+    body = t.documents.filter(F.col("text").isNull() | ~F.col("text").rlike(r"(?i)</\s*summary"))
+    return body.select("doc_id", F.md5(F.encode(S.delimited(F.col("text"), "summary", {"source": F.col("source")}), "utf-8")).alias("h"))
+
+
+@query("SELECT user_id, len(k) AS n, list_contains(k, 'error') AS has_error, NOT list_contains(k, 'click') AS no_click, list_sort(list_append(list_filter(k, lambda x: x <> 'view'), 'seen'))::VARCHAR AS changed FROM (SELECT user_id, list(DISTINCT event_type) AS k FROM events GROUP BY 1) x")
+def fn17_arrays(t):
+    k = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("k"))  # the few types
+    changed = F.sort_array(F.array_append(F.array_remove("k", "view"), F.lit("seen")))
+    return k.select("user_id", F.size("k").cast("long").alias("n"), F.array_contains("k", "error").alias("has_error"), (~F.array_contains("k", "click")).alias("no_click"), F.concat(F.lit("["), F.concat_ws(", ", changed), F.lit("]")).alias("changed"))
+
+
+@query("SELECT row_number() OVER () AS position, o_orderkey FROM orders")
+def win2_input_order(t):
+    return TB.input_order(t.orders.select("o_orderkey"), "position").select("position", "o_orderkey")
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value, event_id) AS r FROM events) x WHERE r = 1")
+def win3_first_per_key(t):
+    return TB.latest(t.events, ["user_id", "event_type"], F.col("value"), F.col("event_id")).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT count(*) AS drift FROM (SELECT edge_id, 'fact' AS ref_type, CAST(cause_event_id AS VARCHAR) AS ref_id FROM causal_edges UNION SELECT edge_id, 'memory', CAST(effect_event_id AS VARCHAR) FROM causal_edges WHERE edge_id % 2 = 0) x WHERE edge_id % 7 = 0 OR ref_type = 'memory'")
+def join10_agg21_missing_refs(t):
+    """References inside the JSON column that the side index, here of facts and without every seventh edge, lacks."""
+    ref = lambda kind, c: F.struct(F.lit(kind).alias("type"), F.col(c).cast("string").alias("id"))
+    refs = F.to_json(F.when(F.col("edge_id") % 2 == 0, F.array(ref("fact", "cause_event_id"), ref("memory", "effect_event_id"), ref("note", "edge_id"))).otherwise(F.array(ref("fact", "cause_event_id"))))
+    index = t.causal_edges.filter("edge_id % 7 <> 0").select("edge_id", F.lit("fact").alias("ref_type"), F.col("cause_event_id").cast("string").alias("ref_id"))
+    return TB.missing_refs(t.causal_edges.select("edge_id", refs.alias("refs")), index, "edge_id", "refs", ["memory", "fact", "entity"]).agg(F.count("*").alias("drift"))
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS same_as, count(*) FILTER (WHERE event_type = 'click') AS merges, count(*) FILTER (WHERE event_type = 'purchase') AS facts, count(*) FILTER (WHERE event_type = 'signup') AS summaries, 0::BIGINT AS islands FROM events GROUP BY 1")
+def agg23_report_counts(t):
+    """A report of every user's events, read back by its sections."""
+    line = {"view": "- a SAME_AS b", "click": "* a merged into b", "purchase": "- fact", "signup": "- text", "error": "- lost"}
+    said = F.create_map(*[F.lit(x) for kv in line.items() for x in kv])
+    heads = {"view": "1### Consolidations", "click": "1### Consolidations", "purchase": "2### Facts created", "signup": "3### Summaries Updated", "error": "4### Other"}
+    head = F.create_map(*[F.lit(x) for kv in heads.items() for x in kv])
+    rows = t.events.select("user_id", F.element_at(head, F.col("event_type")).alias("h"), F.element_at(said, F.col("event_type")).alias("l"))
+    parts = rows.groupBy("user_id", "h").agg(F.array_join(F.sort_array(F.collect_list("l")), "\n").alias("ls"))
+    text = parts.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("h", "ls"))), lambda x: F.concat(F.substring(x["h"], 2, 100), F.lit("\n"), x["ls"])), "\n").alias("text"))
+    return TB.report_counts(text, "user_id", "text")
+
+
+@query("SELECT mode, report_id, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY created_at DESC, report_id) AS r FROM reports WHERE score >= 50) x WHERE r <= 10")
+def flt20_reports_by_mode(t):
+    """The newest reports of every mode above a score."""
+    r = F.row_number().over(Window.partitionBy("mode").orderBy(F.desc("created_at"), "report_id"))
+    return TB.optional_filters(t.reports.filter("score >= 50"), {"mode": None}).withColumn("r", r).filter("r <= 10").select("mode", "report_id", "entity_id")
+
+
+@query("SELECT entity_id, CAST(floor((epoch(TIMESTAMP '2024-02-01') - epoch(TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * min(memory_id))) / 60) AS BIGINT) AS age_minutes FROM memory_entities WHERE entity_id NOT IN (SELECT subject_id FROM facts WHERE predicate = 'owns') AND entity_id NOT IN (SELECT object_id FROM facts WHERE predicate = 'owns' AND object_id IS NOT NULL) GROUP BY 1 HAVING age_minutes > 44630")
+def flt14_aged_orphans(t):
+    """Mentioned entities that own nothing and nobody owns, a minute being a memory's number."""
+    at = (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("memory_id").cast("int"))).alias("at")
+    return TB.aged_orphans(t.memory_entities.select("entity_id", at), t.facts.filter("predicate = 'owns'"), _at("2024-02-01"), 44630)
+
+
+@query("""WITH f AS (SELECT subject_id AS e, predicate, coalesce(object_value, object_id) AS v, fact_id, CASE predicate WHEN 'lives_in' THEN 'Location' WHEN 'located_in' THEN 'Location' WHEN 'part_of' THEN 'Structure' WHEN 'owns' THEN 'Relations' ELSE 'Other' END AS c FROM facts WHERE expired_at IS NULL), fr AS (SELECT *, row_number() OVER (PARTITION BY e, c ORDER BY fact_id) AS r, count(*) OVER (PARTITION BY e, c) AS n FROM f),
+fb AS (SELECT e, c, concat(chr(10), '**', c, ':**', chr(10), string_agg(concat(chr(8226), ' ', predicate, ': ', coalesce(v, '?')), chr(10) ORDER BY r), CASE WHEN n > 5 THEN concat(chr(10), '  _...and ', n - 5, ' more_') ELSE '' END) AS b FROM fr WHERE r <= 5 GROUP BY e, c, n), fs AS (SELECT e, string_agg(b, chr(10) ORDER BY c) AS s FROM fb GROUP BY 1),
+al AS (SELECT entity_id AS e, string_agg(alias, ', ' ORDER BY alias) AS s FROM aliases GROUP BY 1), nb AS (SELECT subject_id AS e, canonical_name AS nm, entity_type AS ty, row_number() OVER (PARTITION BY subject_id ORDER BY canonical_name, entity_type) AS r FROM (SELECT DISTINCT subject_id, object_id FROM facts WHERE expired_at IS NULL AND object_id IS NOT NULL) q JOIN entities ON entity_id = object_id), ns AS (SELECT e, string_agg(concat(nm, ' (', ty, ')'), ', ' ORDER BY r) AS s FROM nb WHERE r <= 8 GROUP BY 1),
+mr AS (SELECT entity_id AS e, text, row_number() OVER (PARTITION BY entity_id ORDER BY memory_id DESC) AS r FROM memory_entities JOIN documents ON doc_id = memory_id WHERE text IS NOT NULL), ms AS (SELECT e, string_agg(concat(chr(8226), ' ', CASE WHEN length(text) > 80 THEN concat(substr(text, 1, 80), '...') ELSE text END), chr(10) ORDER BY r) AS s FROM mr WHERE r <= 3 GROUP BY 1),
+p AS (SELECT entity_id, concat_ws(chr(10), concat('**', canonical_name, '** (', entity_type, ')', coalesce(concat(chr(10), '_aka: ', al.s, '_'), '')), fs.s, CASE WHEN ns.s IS NOT NULL THEN concat(chr(10), '**Connected:** ', ns.s) END, CASE WHEN ms.s IS NOT NULL THEN concat(chr(10), '**Recent mentions:**', chr(10), ms.s) END) AS t FROM entities LEFT JOIN al ON al.e = entity_id LEFT JOIN fs ON fs.e = entity_id LEFT JOIN ns ON ns.e = entity_id LEFT JOIN ms ON ms.e = entity_id)
+SELECT entity_id, md5(CASE WHEN length(t) > 4000 THEN concat(substr(t, 1, 3980), chr(10), chr(10), '_...truncated_') ELSE t END) AS h FROM p""")
+def flt12_profile_texts(t):
+    f = BT.active(t.facts)
+    near = f.filter("object_id is not null").select("subject_id", "object_id").distinct().join(t.entities.withColumnRenamed("entity_id", "object_id"), "object_id")
+    near = near.select(F.col("subject_id").alias("entity_id"), F.col("canonical_name").alias("name"), "entity_type")
+    said = t.memory_entities.join(t.documents.filter("text is not null").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content")), "memory_id")
+    values = f.select(F.col("subject_id").alias("entity_id"), "predicate", F.coalesce("object_value", "object_id").alias("value"), "fact_id")
+    found = TB.profile_texts(t.entities, t.aliases, values, near, said.select("entity_id", "memory_id", "content"), CATEGORIES)
+    return found.select("entity_id", F.md5(F.encode("profile", "utf-8")).alias("h"))
+
+
+@query("""WITH s AS (SELECT predicate, count(*) AS n FROM facts GROUP BY 1), v AS (SELECT * FROM (VALUES ('owns', 'possesses', true), ('lives_in', 'resides_in', false), ('works_at', 'employed_by', false)) x(predicate, alias, multi))
+SELECT coalesce(s.predicate, v.predicate) AS predicate, v.alias, CASE WHEN s.predicate IS NULL THEN 'inserted' WHEN v.predicate IS NULL THEN 'kept' ELSE 'refreshed' END AS outcome, coalesce(n, 0) AS usage FROM s FULL JOIN v USING (predicate)""")
+def on8_vocabulary_sync(t):
+    """The predicates in use, brought in line with a seed vocabulary."""
+    seed = t.spark.createDataFrame([("owns", "possesses", True), ("lives_in", "resides_in", False), ("works_at", "employed_by", False)], "predicate string, alias string, multi boolean")
+    held = t.facts.groupBy("predicate").agg(F.count("*").alias("usage"))
+    return BT.sync_vocabulary(held, seed).select("predicate", "alias", "outcome", "usage")
 
 
 @query("SELECT event_id, greatest(0.0, least(10.0, value)) AS v FROM events")
