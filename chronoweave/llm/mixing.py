@@ -121,6 +121,7 @@ def mix_sources(
     targets = stash(source_targets(sized, weights, cap))
 
     placed = stash(running_start(sized, ["source"], ["doc_id", "size"], F.col("size"), "start", max(1024, sized.count() // BUCKET_ROWS)))
+    drop_stash(sized)
     block = F.lit(block_words)
     per = targets.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
     per = per.withColumn("share", F.col("target") * F.col("blocks") / F.col("source_size")).filter("share > 0")
@@ -144,7 +145,4 @@ def mix_sources(
     found = placed.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
     goal = targets.select(F.col("source").alias("_of"), "source_size", "target")
     found = found.drop("_source", "_start").join(goal, F.col("source").eqNullSafe(F.col("_of")), "left")
-    out = stash(found.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken")))
-    for held in (sized, targets, placed, counts):
-        drop_stash(held)
-    return out
+    return found.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
