@@ -213,11 +213,12 @@ def join5_theta_self_join(t):
     return a.join(b, "subject_id").filter("a < b and va <> vb").select("a", "b")
 
 
-@query("""WITH n AS (SELECT fact_id AS new_id, subject_id, predicate, valid_at AS f, coalesce(invalid_at, TIMESTAMP '9999-12-31') AS t FROM facts WHERE predicate = 'has_status' AND CAST(substr(fact_id, 3) AS INTEGER) % 10 = 0)
+@query("""WITH n AS (SELECT fact_id AS new_id, subject_id, predicate, valid_at AS f, TIMESTAMP '9999-12-31' AS t FROM facts WHERE predicate = 'has_status' AND CAST(substr(fact_id, 3) AS INTEGER) % 10 = 0)
 SELECT new_id, fact_id FROM facts JOIN n USING (subject_id, predicate) WHERE expired_at IS NULL AND fact_id <> new_id AND coalesce(valid_at, TIMESTAMP '0001-01-01') < n.t AND coalesce(invalid_at, TIMESTAMP '9999-12-31') > n.f""")
 def bt2_join6_superseding(t):
     f = t.facts.filter("predicate = 'has_status'")
-    return BT.superseded_by(f, f.filter("cast(substring(fact_id, 3) as int) % 10 = 0"))
+    new = f.filter("cast(substring(fact_id, 3) as int) % 10 = 0").withColumn("invalid_at", F.lit(None).cast("timestamp"))  # open-ended
+    return BT.superseded_by(f, new)
 
 
 @query("SELECT fact_id, lead(valid_at) OVER (PARTITION BY subject_id, predicate ORDER BY valid_at, created_at, fact_id) AS next_valid_at FROM facts WHERE predicate = 'has_status'")

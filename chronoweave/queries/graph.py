@@ -167,7 +167,10 @@ def dr1_drift_magnitude(t):
 
 @query()
 def dr2_drift_changes(t):
-    return V.drift_changes(t.events.select(F.col("user_id").alias("entity"), F.col("event_id").alias("at"), F.col("value")))
+    """The daily mean of a user's values, folded before it is grouped: a row a user and day."""
+    day = F.unix_date(F.to_date("ts"))
+    sweeps = t.events.groupBy(F.col("user_id").alias("entity"), day.alias("at")).agg(F.least(F.lit(1.0), F.avg("value") / 100).alias("value"))
+    return V.drift_changes(sweeps, delta=0.5)
 
 
 @query(f"WITH {_KNN} SELECT query_id, id // 5 AS parent, round(max(s), 6) AS score, count(*) AS units FROM k WHERE rank <= 25 GROUP BY 1, 2")
