@@ -12,6 +12,7 @@ from chronoweave.operators import tables as TB
 from chronoweave.operators import temporal as BT
 from chronoweave.operators import text as X
 from chronoweave.operators import vectors as V
+from chronoweave.operators.clustering import density_clusters
 from chronoweave.operators.components import connected_components
 from chronoweave.plans.stash import stash
 from chronoweave.registry import query
@@ -403,3 +404,9 @@ def fn20_lemma(t):
 def st8_patrol(t):
     last = t.events.groupBy("user_id").agg(F.max("ts").alias("last"))
     return last.select("user_id", F.when(F.col("last") < F.lit("2024-01-08").cast("timestamp"), "due").otherwise("fresh").alias("state"))
+
+
+@query()
+def cl1_cl4_density_clusters(t):
+    """All vectors by density; their labels are not used."""
+    return density_clusters(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), levels=6)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators import causal, graph, resolution, tables, temporal, vectors
+from chronoweave.operators.clustering import cluster_stats, density_clusters
 from chronoweave.operators.components import connected_components
 from chronoweave.operators.text import paragraphs, sections, transcript_segments, units
 from chronoweave.streaming import jobs
@@ -222,3 +223,36 @@ def test_supersession_on_arrival(spark, tmp_path):
         jobs.supersede(stream, registry, store, str(tmp_path / "c")).awaitTermination()
     state = {r.fact_id: r.expired_at is None for r in jobs.latest_version(spark, store).collect()}
     assert state == {"f1": False, "f2": True, "f3": True}
+
+
+def test_density_clusters(spark):
+    rng = np.random.default_rng(2)
+    middles = np.eye(8)[:3]
+    rows = [(g * 100 + i, [float(x) for x in middles[g] + rng.normal(0, 0.05, 8)]) for g, n in enumerate((30, 20, 12)) for i in range(n)]
+    rows += [(900 + i, [float(x) for x in v]) for i, v in enumerate(np.eye(8)[5:] - 0.3)] + [(990, None)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    found = {r.id: r for r in density_clusters(df, levels=6).collect()}
+    assert len(found) == len(rows) and found[990].cluster == -1
+    for g, n in enumerate((30, 20, 12)):
+        mine = [found[g * 100 + i].cluster for i in range(n)]
+        assert max(mine.count(c) for c in set(mine) - {-1}) >= 0.9 * n
+    heads = [max(set(m), key=m.count) for m in ([found[g * 100 + i].cluster for i in range(n)] for g, n in enumerate((30, 20, 12)))]
+    assert sorted(heads) == [0, 1, 2] and all(0 <= r.probability <= 1 for r in found.values())
+    few = density_clusters(df.limit(3))
+    assert [r.cluster for r in few.collect()] == [-1] * 3 and density_clusters(df.limit(0)).count() == 0
+    stats = cluster_stats(spark.createDataFrame([(7,)], "entities long"), spark.createDataFrame([(1, 0), (2, 0), (3, -1)], "id long, cluster int")).first()
+    assert (stats.entities, stats.clusters, stats.noise) == (7, 1, 1)
+
+
+def test_names_and_weights(spark):
+    assert resolution.jaro_winkler("MARTHA", "MARHTA") == pytest.approx(0.9611, abs=1e-4)
+    assert resolution.jaro_winkler("", "x") == 0 and resolution.jaro_winkler("a", "a") == 1
+    w = resolution.cross_weights({"role": 0.6})
+    assert w["signature"] == pytest.approx(0.6 / 1.4) and w["centroid"] == resolution.WEIGHTS["centroid"]
+    near_zero = {k: 0.0 for k in resolution.CROSS_WEIGHTS}
+    assert resolution.cross_weights(near_zero)["cluster"] == 0
+    text = spark.createDataFrame([("a </Summary> b", 'x "y" <z>')], "t string, a string")
+    from chronoweave.functions import scalar
+
+    assert text.select(scalar.delimited(F.col("t"), "summary", {"src": F.col("a")}).alias("d")).first().d == '<summary len="15" src="x &quot;y&quot; &lt;z&gt;">a </S​ummary> b</summary>'
+    assert [r.d for r in spark.createDataFrame([("Budget is 5k",), ("nothing",)], "t string").select(scalar.slot_value(F.col("t")).alias("d")).collect()] == [("budget", "5k"), None]
