@@ -135,10 +135,54 @@ def tx11_first_sentences(t):
     return t.documents.select("doc_id", F.array_join(F.slice(F.split("text", r"\. "), 1, 3), ". ").alias("summary"))
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('click', 'purchase', 'view') THEN event_type ELSE 'other' END AS kind, greatest(0.0, least(1.0, value / 50)) AS confidence FROM events WHERE value / 50 >= 0.6")
-def tx12_tx13_tx14_validation(t):
-    kind = F.when(F.col("event_type").isin("click", "purchase", "view"), F.col("event_type")).otherwise("other")
-    return t.events.filter("value / 50 >= 0.6").select("event_id", kind.alias("kind"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 50)).alias("confidence"))
+_KIND = "CASE event_type WHEN 'view' THEN 'link' WHEN 'click' THEN 'task' WHEN 'purchase' THEN 'search' WHEN 'signup' THEN 'question' ELSE 'noise' END"
+
+
+@query(f"""WITH i AS (SELECT user_id, type, greatest(0.0, least(1.0, c)) AS c FROM (SELECT user_id, {_KIND} AS type, max(value) / 400 AS c FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2) x WHERE type <> 'noise'), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, type) AS k FROM i), p AS (SELECT u.user_id, coalesce(CASE WHEN u.user_id % 2 = 0 THEN 'task' END, r.type, 'thought') AS p, coalesce(r.c, 0.5) AS top FROM (SELECT DISTINCT user_id FROM events WHERE event_id % 3 = 0) u LEFT JOIN r ON r.user_id = u.user_id AND k = 1)
+SELECT user_id, p AS "primary", round(top, 6) AS top, CASE WHEN p = 'search' THEN 'search' WHEN user_id % 5 = 0 THEN 'process-link' ELSE concat('process-', p) END AS workflow FROM p""".replace("CASE WHEN p = 'search' THEN 'search' WHEN user_id % 5 = 0 THEN 'process-link'", "CASE WHEN user_id % 5 = 0 THEN 'process-link' WHEN p = 'search' THEN 'search'"))
+def tx12_intents(t):
+    """A user's kinds of events as a classification with unknown intents among them."""
+    e = t.events.filter("event_id % 3 = 0").withColumn("type", F.expr(_KIND)).groupBy("user_id", "type").agg((F.max("value") / 400).alias("confidence"))
+    rows = e.groupBy("user_id").agg(F.collect_list(F.struct("type", "confidence")).alias("intents"))  # the few kinds
+    rows = rows.withColumns({"primary": F.when(F.col("user_id") % 2 == 0, "task").otherwise("nonsense"), "workflow": F.when(F.col("user_id") % 5 == 0, "process-link").otherwise("nonsense")})
+    found = X.valid_intents(rows, "user_id")
+    return found.select("user_id", "primary", F.round(F.element_at("intents", 1)["confidence"], 6).alias("top"), "workflow")
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN ' short ' ELSE concat('send order ', o_orderkey) END AS a, lower(split_part(o_orderpriority, '-', 2)) AS p, CAST(o_totalprice AS DOUBLE) / 299999 AS c FROM orders), h AS (SELECT o_orderkey, trim(a) AS a, p, greatest(0.0, least(1.0, c)) AS c FROM r), w AS (SELECT *, CASE WHEN length(a) < 10 THEN 'too_short' WHEN c < 0.6 THEN 'low_confidence' END AS why FROM h)
+SELECT o_orderkey, CASE WHEN why IS NULL THEN a ELSE '' END AS action, CASE WHEN why IS NOT NULL THEN 'low' WHEN p IN ('high', 'urgent') THEN 'high' WHEN p = 'low' THEN 'low' ELSE 'medium' END AS priority, round(CASE WHEN why = 'too_short' THEN 0.0 ELSE c END, 6) AS confidence, why AS rejection FROM w""")
+def tx13_tasks(t):
+    action = F.when(F.col("o_orderkey") % 7 == 0, " short ").otherwise(F.concat(F.lit("send order "), F.col("o_orderkey").cast("string")))
+    rows = t.orders.select("o_orderkey", action.alias("action"), F.substring_index("o_orderpriority", "-", -1).alias("priority"), (F.col("o_totalprice").cast("double") / 299999).alias("confidence"))
+    return X.valid_tasks(rows, "o_orderkey").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'other' END AS type, round(greatest(0.0, least(1.0, value / 100)), 6) AS confidence FROM events")
+def tx14_mentions(t):
+    rows = t.events.select("event_id", F.upper("event_type").alias("type"), (F.col("value") / 100).alias("confidence"))
+    return X.valid_mentions(rows, ["view", "click"]).withColumn("confidence", F.round("confidence", 6))
+
+
+_SWEEP = " UNION ALL ".join(f"SELECT {size} AS config, doc_id, i AS unit, i * {size // 2} AS st, least(i * {size // 2} + {size}, n) AS en, substr(text, i * {size // 2} + 1, {size}) AS c FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, greatest(CAST(ceil((length(text) - {size}) / {size / 2}) AS INTEGER), 0) + 1)) AS i FROM documents WHERE length(text) > 0) x{size}" for size in (128, 256))
+
+
+@query(f"""WITH u AS MATERIALIZED ({_SWEEP}), n AS MATERIALIZED (SELECT doc_id AS needle, doc_id, 40 AS a, 90 AS z, substr(text, 41, 50) AS q FROM documents WHERE doc_id % 20 = 0 AND length(text) >= 200), w AS MATERIALIZED (SELECT DISTINCT needle, unnest(string_split(q, ' ')) AS w FROM n), k AS (SELECT needle, count(*) AS n FROM w GROUP BY 1),
+x AS MATERIALIZED (SELECT DISTINCT config, doc_id, unit, unnest(string_split(c, ' ')) AS w FROM u), s AS (SELECT config, needle, doc_id, unit, count(*)::DOUBLE / k.n AS score FROM w JOIN x USING (w) JOIN k USING (needle) GROUP BY config, needle, doc_id, unit, k.n), r AS (SELECT *, row_number() OVER (PARTITION BY config, needle ORDER BY score DESC, doc_id, unit) AS rank FROM s),
+g AS (SELECT config, needle, u.doc_id, unit FROM n JOIN u ON u.doc_id = n.doc_id WHERE greatest(0, least(en, z) - greatest(st, a)) >= 50), b AS (SELECT config, needle, min(rank) AS rank, max(score) AS score FROM r JOIN g USING (config, needle, doc_id, unit) WHERE rank <= 50 GROUP BY 1, 2)
+SELECT config, count(*) AS needles, round(avg(coalesce(rank <= 1, false)::INT), 6) AS recall_1, round(avg(coalesce(rank <= 3, false)::INT), 6) AS recall_3, round(avg(coalesce(rank <= 5, false)::INT), 6) AS recall_5, round(avg(score), 6) AS mean_score FROM (SELECT DISTINCT config, needle FROM g) q LEFT JOIN b USING (config, needle) GROUP BY 1""")
+def ev3_unit_sweep(t):
+    """Two unit sizes against needles of the stated queries' documents, ranked by the share of a needle's words."""
+    d = t.documents.select("doc_id", "text")
+    cut = [X.units(d, "doc_id", "text", size, size // 2).withColumn("config", F.lit(size)) for size in (128, 256)]
+    u = cut[0].unionByName(cut[1])
+    n = d.filter("doc_id % 20 = 0 and length(text) >= 200").select(F.col("doc_id").alias("needle"), "doc_id", F.lit(40).alias("first"), F.lit(90).alias("last"), F.substring("text", 41, 50).alias("q"))
+    w = n.select("needle", F.explode(F.array_distinct(F.split("q", " "))).alias("w"))
+    k = w.groupBy("needle").agg(F.count("*").alias("n"))
+    x = u.select("config", "doc_id", "unit", F.explode(F.array_distinct(F.split("content", " "))).alias("w"))
+    s = w.join(x, "w").groupBy("config", "needle", "doc_id", "unit").agg(F.count("*").alias("k")).join(k, "needle").withColumn("score", F.col("k") / F.col("n"))
+    r = F.row_number().over(Window.partitionBy("config", "needle").orderBy(F.desc("score"), "doc_id", "unit"))
+    gold = X.needle_units(n.drop("q"), u.drop("content"), "doc_id")
+    return X.sweep_scores(s.withColumn("rank", r).filter("rank <= 50"), gold, ["doc_id", "unit"])
 
 
 @query("""WITH p AS (SELECT doc_id, quality = 1 AS truth, length(text) > 300 AS guess FROM labels JOIN documents USING (doc_id))
