@@ -106,12 +106,13 @@ DUE = [
 
 def due_phrase(text: Column) -> Column:
     """The phrase of a due date in a text by the first pattern that finds one; null when none does."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in DUE])
+    more = [r"\b(\d{4}-\d{2}-\d{2})\b", r"(?i)\b(on\s+(?:" + "|".join(_DAYS) + r"))\b"]  # dates written out, and days
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in [*DUE, *more]])
 
 
 def due_at(phrase: Column, now: Column) -> Column:
     """The instant a due phrase means, seen from ``now``: mornings at 9:00, tonight at 17:00; null when it means none."""
-    day = F.date_trunc("day", now)
+    phrase, day = F.lower(phrase), F.date_trunc("day", now)
     n = F.coalesce(F.nullif(F.regexp_extract(phrase, r"^in (\d+) ", 1), F.lit("")).cast("int"), F.lit(0))
     unit = F.regexp_extract(phrase, r"^in \d+ (hour|day|week)", 1)
     name = F.regexp_extract(phrase, r"(" + "|".join(_DAYS) + r")$", 1)
