@@ -26,14 +26,22 @@ LEAST_LANGUAGE = 0.4
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the ordinal classifier, fitted on the rated ones, takes for poor."""
+    """Drop documents that the ordinal classifier, fitted on the rated ones, takes for poor.
+
+    A null or empty text is scored like any other; without ratings every document scores the same. Repeated rows stay
+    or go together, null ids do no harm, an empty table stays empty, and columns beyond those of documents are dropped.
+    """
     ship(spark)
     model = fit_quality(docs, ratings(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return score_quality(docs.select(*COLUMNS), model).filter(F.col("tail") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters and those that no learnt language fits."""
+    """Drop documents without letters, null texts among them, and those that no learnt language fits.
+
+    Without a labelled text nothing is kept but what the model scores high enough. Repeated rows stay or go together;
+    an empty table stays empty, and columns beyond those of documents are dropped.
+    """
     ship(spark)
     scored = predict_language(docs.select(*COLUMNS), fit_language(docs))
     return scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
@@ -60,7 +68,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Repeat or drop documents so that sources have their target shares.
 
     A document stands floor(taken / size + u) times, u in [0, 1) by its id: as often as the mix takes its words on
-    average. Documents without words go; documents without an id stay as they are.
+    average. Documents without words go; documents without an id stay as they are. Rows that share an id are counted
+    together and stand as often as each other. An empty table stays empty.
     """
     ship(spark)
     docs = docs.select(*COLUMNS)
@@ -73,7 +82,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 1024 ids."""
+    """Pack what is left into sequences of 1024 ids.
+
+    A null or empty text is packed as its end mark alone; repeated rows are documents of their own, and an empty table
+    gives no sequences.
+    """
     ship(spark)
     return pack(docs, public_tokenizers.path(VOCABULARY))
 
