@@ -51,7 +51,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     rolled = np.zeros(len(hashes), np.uint64)
     for j in range(n):
         rolled *= _STEP
-        rolled[: len(hashes) - j] += hashes[j:]
+        rolled[: max(len(hashes) - j, 0)] += hashes[j:]
     text = np.repeat(np.arange(len(count)), count)
     keep = np.arange(len(hashes)) + n <= bounds[1:][text]
     for d in np.flatnonzero((count > 0) & (count < n)):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm import ann_graph, ball_tree, jaccard_join, packing, toxicity
 from chronoweave.llm.chat_format import chat_format
 from chronoweave.llm.language_id import fit_language, predict_language
-from chronoweave.llm.mixing import mix_sources
+from chronoweave.llm.mixing import mix_sources, permuted, source_targets
 from chronoweave.llm.pretoken import load_vocabulary
 from chronoweave.llm.quality import fit_quality, score_quality
 from chronoweave.llm.token_counts import token_counts
@@ -382,3 +382,46 @@ def test_pipeline(spark):
             assert not any(sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i))
     pieces = kept.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
     assert pieces <= 1024
+
+
+def test_long_spans_hash_like_short_ones(monkeypatch):
+    """Windows and pieces of any size give the hash that one pass gives."""
+    from chronoweave.llm import textbytes
+
+    rng = np.random.default_rng(0)
+    data = np.frombuffer(b" ".join(bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (3, 1, 400, 3, 90, 7)) + b" abc abc", np.uint8)
+    starts, ends, _ = textbytes.word_spans(data, np.array([0, len(data)]))
+    want = textbytes.span_hashes(data, starts, ends)
+    assert want[-1] == want[-2] and len(set(want.tolist())) == len(want) - 1
+    for window in (2, 5, 64, 399, 400, 401):
+        monkeypatch.setattr(textbytes, "WINDOW", window)
+        assert (textbytes.span_hashes(data, starts, ends) == want).all()
+
+
+def test_permutations_are_whole(spark):
+    for n in (1, 2, 7, 100):
+        rows = spark.range(n).select(permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit("x")).alias("p")).collect()
+        assert sorted(r.p for r in rows) == list(range(n))
+
+
+def test_targets_by_raising_the_level(spark):
+    """Water-filling against a level that is raised in small steps."""
+    sizes = {"a": 500, "b": 40, "c": 900, None: 60}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    found = {r.source: r.target for r in source_targets(df, (5, 2, 1), 3).collect()}
+    weight = dict(zip(["a", "b", "c", None], (5, 2, 1, 5)))
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * n, level * weight[s]) for s, n in sizes.items()) < 1500 else (low, level)
+    assert found == pytest.approx({s: min(3 * n, level * weight[s]) for s, n in sizes.items()})
+
+
+def test_a_text_beyond_a_chunk(spark):
+    """A text of over 3 MB is one document: its words, shingles and mix are those of the whole."""
+    long = " ".join(f"w{i % 5000}x{i}" for i in range(300_000))
+    df = docs_of(spark, [long, long + " end", "short one"])
+    assert len(long) > 3 << 20
+    rows = {r.doc_id: r for r in jaccard_join.jaccard_components(df, 5, 80, 100).collect()}
+    assert rows[0].n_shingles == 299_996 and rows[1].component_id == 0 and rows[2].component_id == 2
+    assert {r.doc_id: r.size for r in mix_sources(df).collect()} == {0: 300_000, 1: 300_001, 2: 2}
