@@ -11,6 +11,7 @@ length-normalised log-likelihood ratios of both orders, calibrated on training t
 from __future__ import annotations
 
 import gc
+import time
 from collections import Counter
 from collections.abc import Iterator
 
@@ -63,10 +64,11 @@ def fold_of(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def _free(spark) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that are done."""
+def _free(spark, seconds: float = 1.5) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that are done; it works in the background, hence the wait."""
     gc.collect()
     spark.sparkContext._jvm.java.lang.System.gc()
+    time.sleep(seconds)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
