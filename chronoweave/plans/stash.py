@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside delete their shuffle files as they end. What they return must be written, not cached."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, held)
+
+
 def stash(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return a frame that reads it back."""
+    """Write ``df`` once as Parquet in the shared folder and return a frame that reads it back.
+
+    The shuffle files of its plan go with the write.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with freed_shuffles(spark):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
