@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.functions import scalar as S
 from chronoweave.plans.stash import stash
 
 
@@ -274,19 +275,23 @@ def impossible_order(edges: DataFrame, events: DataFrame) -> DataFrame:
     return edges.filter("expired_at is null").join(c, "cause_event_id").join(e, "effect_event_id").filter("_c > _e").select("edge_id", F.round(F.col("_c") - F.col("_e"), 3).alias("inversion_s"))
 
 
-def classify_pair(multi: list[str], functional: list[str], antonyms: list[tuple[str, str]]) -> Column:
-    """Rules over (pa, pb, oa, ob, overlaps) of two facts of one subject, in order; what none decides needs review."""
-    both = F.concat_ws("|", F.least("pa", "pb"), F.greatest("pa", "pb"))
-    opposite = both.isin(["|".join(sorted(p)) for p in antonyms]) if antonyms else F.lit(False)
-    same = F.col("pa") == F.col("pb")
-    slotted = F.contains("oa", F.lit(":")) & F.contains("ob", F.lit(":"))  # slot:value, one value a slot at a time
+def classify_pair(multi: list[str], functional: list[str]) -> Column:
+    """Rules over (pa, pb, oa, ob, overlaps) of two facts of one subject, in order; what none decides needs review.
+
+    Predicates and objects are compared by their normal forms. Equal facts are the same; predicates that deny each other
+    contradict while both hold; a predicate of many values is compatible with itself; one of a single value contradicts
+    while both hold; two values of one slot (``slot: value``) contradict at any time; single values in turn succeed.
+    """
+    pa, pb = S.predicate_name(F.col("pa")), S.predicate_name(F.col("pb"))
+    same = pa == pb
+    one, two = S.slot_value(F.col("oa")), S.slot_value(F.col("ob"))
     return (
-        F.when(same & (F.lower("oa") == F.lower("ob")), "same")
-        .when(opposite & (F.lower("oa") == F.lower("ob")), "contradiction")
-        .when(same & F.col("overlaps") & slotted & (F.substring_index("oa", ":", 1) == F.substring_index("ob", ":", 1)), "contradiction")
-        .when(same & F.col("pa").isin(multi), "compatible")
-        .when(same & F.col("pa").isin(functional) & F.col("overlaps"), "contradiction")
-        .when(same & F.col("pa").isin(functional), "succession")
+        F.when(same & (S.object_name(F.col("oa")) == S.object_name(F.col("ob"))), "same")
+        .when(S.antonyms(F.col("pa"), F.col("pb")) & F.col("overlaps"), "contradiction")
+        .when(same & pa.isin(multi), "compatible")
+        .when(same & pa.isin(functional) & F.col("overlaps"), "contradiction")
+        .when(same & (one["slot"] == two["slot"]) & (one["value"] != two["value"]), "contradiction")
+        .when(same & pa.isin(functional), "succession")
         .otherwise("needs_review")
     )
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.intervals import FAR, LOW, micros, overlapping
+from chronoweave.plans.stash import stash
+
 
 def at(instant: str) -> Column:
     return F.lit(instant).cast("timestamp")
@@ -43,12 +46,11 @@ def superseded_by(facts: DataFrame, new: DataFrame) -> DataFrame:
 
     An old fact without a start overlaps every new one that begins before it ends; half-open neighbours do not overlap.
     """
-    far = F.lit("9999-12-31").cast("timestamp")
-    low = F.lit("0001-01-01").cast("timestamp")
-    n = new.select(F.col("fact_id").alias("new_id"), "subject_id", "predicate", F.coalesce("valid_at", low).alias("_from"), F.coalesce("invalid_at", far).alias("_to"))
-    o = active(facts)
-    overlap = (F.coalesce("valid_at", low) < F.col("_to")) & (F.coalesce("invalid_at", far) > F.col("_from")) & (F.col("fact_id") != F.col("new_id"))
-    return o.join(n, ["subject_id", "predicate"]).filter(overlap).select("new_id", "fact_id")
+    keys = ["subject_id", "predicate"]
+    span = [micros(F.col("valid_at"), LOW).alias("from"), micros(F.col("invalid_at"), FAR).alias("to")]
+    n = new.select(*keys, F.col("fact_id").alias("id"), *span)
+    o = active(facts).select(*keys, F.col("fact_id").alias("id"), *span)
+    return overlapping(n, o, keys).toDF("new_id", "fact_id").filter("fact_id <> new_id")
 
 
 def validity_chain(facts: DataFrame) -> DataFrame:
@@ -92,12 +94,13 @@ def create_facts(facts: DataFrame, requests: DataFrame, registry: DataFrame) ->
     rows = facts.join(held.select("fact_id", "_most"), "fact_id", "left").withColumn("confidence", F.when(F.col("expired_at").isNull(), F.greatest("confidence", "_most")).otherwise(F.col("confidence")))
     state = rows.select(columns).unionByName(new.select(columns))
     # what a later request of an exclusive predicate overlaps goes
-    far, low = F.lit("9999-12-31").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")
-    exclusive = F.broadcast(registry.filter("is_exclusive").select("predicate"))
-    q = requests.join(exclusive, "predicate", "left_semi").select("subject_id", "predicate", F.coalesce("object_id", "object_value").alias("_qo"), F.coalesce("valid_at", low).alias("_from"), F.coalesce("invalid_at", far).alias("_to"), order.alias("_by"))
-    over = (F.coalesce("valid_at", low) < F.col("_to")) & (F.coalesce("invalid_at", far) > F.col("_from"))
-    later = (F.col("_by") > F.struct("created_at", "fact_id")) & (F.coalesce("object_id", "object_value") != F.col("_qo"))
-    gone = active(state).join(q, ["subject_id", "predicate"]).filter(over & later).groupBy("fact_id").agg(F.min("_by").alias("_by")).select("fact_id", F.col("_by.created_at").alias("_gone"))
+    exclusive = F.broadcast(registry.filter("is_exclusive").select("predicate"))  # the vocabulary
+    span = [micros(F.col("valid_at"), LOW).alias("from"), micros(F.col("invalid_at"), FAR).alias("to")]
+    value, by = F.coalesce("object_id", "object_value"), order
+    q = stash(requests.join(exclusive, "predicate", "left_semi").select("subject_id", "predicate", F.col("fact_id").alias("id"), *span, value.alias("_qo"), by.alias("_by")))
+    o = stash(active(state).join(exclusive, "predicate", "left_semi").select("subject_id", "predicate", F.col("fact_id").alias("id"), *span, value.alias("_o"), by.alias("_own")))
+    met = overlapping(q, o, ["subject_id", "predicate"]).join(q.select(F.col("id").alias("left_id"), "_qo", "_by"), "left_id").join(o.select(F.col("id").alias("right_id"), "_o", "_own"), "right_id")
+    gone = met.filter("_by > _own and _o <> _qo").groupBy(F.col("right_id").alias("fact_id")).agg(F.min("_by").alias("_by")).select("fact_id", F.col("_by.created_at").alias("_gone"))
     state = state.join(gone, "fact_id", "left").withColumn("expired_at", F.coalesce("expired_at", "_gone")).select(columns)
     event = lambda frame, kind: frame.select("fact_id", kind.alias("event_type"))
     history = event(held, F.when(F.col("_most") > F.col("_was"), "confidence_raised").otherwise("revised"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators import causal as C
 from chronoweave.operators import temporal as BT
+from chronoweave.operators.intervals import FAR, LOW, micros, overlapping
 from chronoweave.plans.stash import stash
 from chronoweave.registry import query
 
@@ -255,14 +256,16 @@ def ct7_record(t):
     return C.record_contradictions(held, found)
 
 
-@query("""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN a.object_value = b.object_value THEN 'same' WHEN a.valid_at < coalesce(b.invalid_at, TIMESTAMP '9999-12-31') AND coalesce(a.invalid_at, TIMESTAMP '9999-12-31') > b.valid_at THEN 'contradiction' ELSE 'succession' END AS verdict
-FROM facts a JOIN facts b ON a.subject_id = b.subject_id AND a.fact_id < b.fact_id WHERE a.predicate = 'has_status' AND b.predicate = 'has_status') x GROUP BY 1""")
+@query("""WITH s AS MATERIALIZED (SELECT fact_id, subject_id, valid_at AS f, coalesce(invalid_at + INTERVAL 60 DAY, TIMESTAMP '9999-12-31') AS t, object_value AS v, concat(CASE WHEN fact_id LIKE '%1' THEN 'Status is ' ELSE 'status: ' END, object_value) AS o FROM facts WHERE predicate = 'has_status')
+SELECT a.fact_id AS a, b.fact_id AS b, CASE WHEN lower(a.o) = lower(b.o) THEN 'same' WHEN a.v <> b.v THEN 'contradiction' ELSE 'needs_review' END AS verdict FROM s a JOIN s b ON a.subject_id = b.subject_id AND a.fact_id < b.fact_id AND a.f < b.t AND a.t > b.f""")
 def ct8_pair_rules(t):
-    f = t.facts.filter("predicate = 'has_status'").withColumn("invalid_at", F.coalesce("invalid_at", F.lit("9999-12-31").cast("timestamp")))
-    a = f.select("subject_id", F.col("fact_id").alias("a"), F.col("predicate").alias("pa"), F.col("object_value").alias("oa"), F.col("valid_at").alias("fa"), F.col("invalid_at").alias("ta"))
-    b = f.select("subject_id", F.col("fact_id").alias("b"), F.col("predicate").alias("pb"), F.col("object_value").alias("ob"), F.col("valid_at").alias("fb"), F.col("invalid_at").alias("tb"))
-    pairs = a.join(b, "subject_id").filter("a < b").withColumn("overlaps", (F.col("fa") < F.col("tb")) & (F.col("ta") > F.col("fb")))
-    return pairs.groupBy(C.classify_pair(["owns"], ["has_status", "lives_in"], [("likes", "dislikes")]).alias("verdict")).agg(F.count("*").alias("n"))
+    """All pairs of statuses, each held 60 days beyond its end, that overlap; half of them say the slot in other words."""
+    words = F.concat(F.when(F.col("fact_id").endswith("1"), "Status is ").otherwise("status: "), "object_value")
+    f = stash(t.facts.filter("predicate = 'has_status'").select("subject_id", F.col("fact_id").alias("id"), words.alias("o"), micros(F.col("valid_at"), LOW).alias("from"), micros(F.expr("invalid_at + interval 60 days"), FAR).alias("to")))
+    pairs = overlapping(f, f, ["subject_id"]).toDF("a", "b").filter("a < b")
+    pairs = pairs.join(f.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(f.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
+    pairs = pairs.withColumns({"pa": F.lit("has_status"), "pb": F.lit("has status"), "overlaps": F.lit(True)})
+    return pairs.select("a", "b", C.classify_pair(["owns"], ["lives_in"]).alias("verdict"))
 
 
 _REACH = """WITH RECURSIVE r AS (SELECT event_id AS root FROM causal_events WHERE event_id % 100 = 0), w AS (SELECT root, edge_id, cause_event_id AS c, effect_event_id AS f, 1 AS depth FROM causal_edges JOIN r ON cause_event_id = root OR effect_event_id = root WHERE expired_at IS NULL

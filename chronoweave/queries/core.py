@@ -213,8 +213,8 @@ def join5_theta_self_join(t):
     return a.join(b, "subject_id").filter("a < b and va <> vb").select("a", "b")
 
 
-@query("""WITH n AS (SELECT fact_id AS new_id, subject_id, predicate, valid_at AS f, TIMESTAMP '9999-12-31' AS t FROM facts WHERE predicate = 'has_status' AND CAST(substr(fact_id, 3) AS INTEGER) % 10 = 0)
-SELECT new_id, fact_id FROM facts JOIN n USING (subject_id, predicate) WHERE expired_at IS NULL AND fact_id <> new_id AND coalesce(valid_at, TIMESTAMP '0001-01-01') < n.t AND coalesce(invalid_at, TIMESTAMP '9999-12-31') > n.f""")
+@query("""WITH o AS MATERIALIZED (SELECT fact_id, subject_id, coalesce(valid_at, TIMESTAMP '0001-01-01') AS f, coalesce(invalid_at, TIMESTAMP '9999-12-31') AS t FROM facts WHERE predicate = 'has_status' AND expired_at IS NULL), n AS MATERIALIZED (SELECT fact_id AS new_id, subject_id, valid_at AS nf FROM facts WHERE predicate = 'has_status' AND CAST(substr(fact_id, 3) AS INTEGER) % 10 = 0)
+SELECT new_id, fact_id FROM o JOIN n USING (subject_id) WHERE fact_id <> new_id AND t > nf""")
 def bt2_join6_superseding(t):
     f = t.facts.filter("predicate = 'has_status'")
     new = f.filter("cast(substring(fact_id, 3) as int) % 10 = 0").withColumn("invalid_at", F.lit(None).cast("timestamp"))  # open-ended

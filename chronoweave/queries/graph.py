@@ -79,7 +79,7 @@ def gr11_join9_paths(t):
     return G.paths(_places(t), pairs, 3, 10)
 
 
-@query(f"WITH {_E}, n AS (SELECT 'N3' AS v UNION SELECT dst FROM b WHERE src = 'N3') SELECT src, dst, edge_id FROM e WHERE src IN (SELECT v FROM n) AND dst IN (SELECT v FROM n)")
+@query(f"WITH {_E}, n AS MATERIALIZED (SELECT 'N3' AS v UNION SELECT dst FROM b WHERE src = 'N3') SELECT src, dst, edge_id FROM e JOIN n x ON x.v = e.src JOIN n y ON y.v = e.dst")
 def gr12_subgraph(t):
     seeds = t.spark.createDataFrame([("N3",)], "seed string")
     return G.subgraph(_edges(t), seeds, 1).select("src", "dst", "edge_id")
