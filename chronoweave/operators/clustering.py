@@ -1,11 +1,11 @@
-"""Density clustering on cosine distance, level by level: no tree of all points is held anywhere."""
+"""Density clustering on cosine distance by a spanning forest, its single-linkage tree and the condensed tree."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators.components import connected_components
+from chronoweave.operators.linkage import TASK_EDGES, single_linkage, spanning_forest
 from chronoweave.operators.vectors import knn
 from chronoweave.plans.stash import drop_stash, stash
 
@@ -23,74 +23,111 @@ def reach_edges(vectors: DataFrame, min_samples: int, neighbours: int) -> tuple[
     return stash(met.select("a", "b", F.greatest("d", "ca", "cb").alias("w"))), core
 
 
-def density_clusters(vectors: DataFrame, min_size: int = 5, min_samples: int = 5, neighbours: int = 15, levels: int = 10) -> DataFrame:
+def _settle(links: DataFrame) -> DataFrame:
+    """(node, head) of (node, up) links, ``up`` null at heads: pointers are followed twice as far in every round."""
+    now = stash(links.select("node", F.coalesce("up", "node").alias("head")))
+    while True:
+        new = stash(now.join(now.select(F.col("node").alias("head"), F.col("head").alias("next")), "head").select("node", F.col("next").alias("head"), (F.col("next") != F.col("head")).alias("moved")))
+        drop_stash(now)
+        now = new
+        if now.filter("moved").isEmpty():
+            return now.select("node", "head")
+
+
+def condensed(points: DataFrame, tree: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
+    """((node, cluster, gone), (cluster, parent, born, own)) of a single-linkage tree, see ``density_clusters``.
+
+    A cluster is named by its topmost merge. ``gone`` is the density at which a point leaves its cluster, ``born`` the
+    one at which a cluster leaves its parent, ``own`` the cluster's stability.
+    """
+    density = 1 / F.greatest("w", F.lit(1e-12))
+    t = tree.select("*", (F.col("n_left") + F.col("n_right")).alias("n"), ((F.col("n_left") >= min_size) & (F.col("n_right") >= min_size)).alias("split"), density.alias("at"))
+    below = t.select(F.col("left").alias("node"), F.col("node").alias("parent"), "split", "at").unionByName(t.select(F.col("right").alias("node"), F.col("node").alias("parent"), "split", "at"))
+    big = t.filter(F.col("n") >= min_size).select("node", "n", F.col("split").alias("splits"), "at")
+    met = stash(big.join(below.select("node", "parent", F.col("split").alias("head"), F.col("at").alias("born")), "node", "left"))
+    head = _settle(met.select("node", F.when(F.coalesce("head", F.lit(True)), F.lit(None)).otherwise(F.col("parent")).alias("up")))
+    head = stash(head.toDF("node", "cluster"))
+    # points leave at their first merge of min_size points; a smaller merge has few steps to go
+    at = points.select("node", F.col("node").alias("now"))
+    out = None
+    for _ in range(min_size):
+        step = stash(at.join(below.select(F.col("node").alias("now"), "parent"), "now").join(t.select(F.col("node").alias("parent"), "n", "at"), "parent").select("node", F.col("parent").alias("now"), "n", "at"))
+        there = step.filter(F.col("n") >= min_size).select("node", F.col("now").alias("merge"), F.col("at").alias("gone"))
+        out = there if out is None else out.unionByName(there)
+        at = step.filter(F.col("n") < min_size).select("node", "now")
+        if at.isEmpty():
+            break
+    left = stash(out.join(head.toDF("merge", "cluster"), "merge").select("node", "cluster", "gone"))
+    tops = met.join(head, "node").filter(F.col("node") == F.col("cluster")).select("cluster", F.col("parent").alias("node"), F.coalesce("born", F.lit(0.0)).alias("born"))
+    clusters = stash(tops.join(head.select("node", F.col("cluster").alias("parent")), "node", "left").select("cluster", "parent", "born"))
+    ends = met.filter("splits").join(head, "node").select("cluster", F.col("n").cast("double").alias("k"), "at")
+    leaves = left.groupBy("cluster", F.col("gone").alias("at")).agg(F.count("*").cast("double").alias("k")).select("cluster", "k", "at")
+    mass = ends.unionByName(leaves).join(clusters, "cluster").groupBy("cluster").agg(F.sum(F.col("k") * (F.col("at") - F.col("born"))).alias("own"))
+    # a point that stays to a split leaves with its own side, so only what is lost before counts for the parent
+    return left, stash(clusters.join(mass, "cluster", "left").select("cluster", "parent", "born", F.coalesce("own", F.lit(0.0)).alias("own")))
+
+
+def stable(clusters: DataFrame) -> DataFrame:
+    """(cluster, chosen): for every cluster the most stable one that is chosen at or above it, if there is one.
+
+    From the leaves up, a cluster is as stable as it is itself or as the best below it are together; the root of all is
+    never chosen. A round a level of the condensed tree.
+    """
+    roots = clusters.filter("parent is null")
+    only = roots.count() == 1
+    rows = clusters.select("cluster", "parent", F.when(F.col("parent").isNull() & F.lit(only), F.lit(-1.0)).otherwise(F.col("own")).alias("own"))
+    kids = rows.filter("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.count("*").alias("kids"))
+    waits = stash(rows.join(kids, "cluster", "left").select("cluster", "parent", "own", F.coalesce("kids", F.lit(0)).alias("kids"), F.lit(0.0).alias("below")))
+    done = None
+    while not waits.isEmpty():
+        ready = stash(waits.filter("kids = 0").select("cluster", "parent", F.greatest("own", "below").alias("best"), (F.col("own") >= F.col("below")).alias("takes")))
+        done = ready if done is None else done.unionByName(ready)
+        up = ready.groupBy(F.col("parent").alias("cluster")).agg(F.count("*").alias("k"), F.sum("best").alias("b"))
+        waits = stash(waits.filter("kids > 0").join(up, "cluster", "left").select("cluster", "parent", "own", (F.col("kids") - F.coalesce("k", F.lit(0))).alias("kids"), (F.col("below") + F.coalesce("b", F.lit(0.0))).alias("below")))
+    if done is None:
+        return clusters.select("cluster", F.col("cluster").alias("chosen"))
+    front, told = stash(done.filter("parent is null").select("cluster", F.when(F.col("takes"), F.col("cluster")).alias("chosen"))), None
+    while not front.isEmpty():
+        told = front if told is None else told.unionByName(front)
+        next_ = done.join(front.select(F.col("cluster").alias("parent"), F.col("chosen").alias("above")), "parent")
+        front = stash(next_.select("cluster", F.coalesce("above", F.when(F.col("takes"), F.col("cluster"))).alias("chosen")))
+    return told
+
+
+def density_clusters(vectors: DataFrame, min_size: int = 5, min_samples: int = 5, neighbours: int = 15, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, cluster, probability) of (id, vector) rows; noise has cluster -1 and probability 0.
 
-    The clusters are the most stable components of the graph of mutual reachability as its distance limit falls:
-    a component lives from the limit at which it separates to the one at which it splits or has fewer than
-    ``min_size`` points, its stability is the sum over its points of the gain in density, 1 / limit, and it is chosen if
-    no set of components inside it is more stable. Limits are ``levels`` quantiles of the distances, so the result is
-    that of all distances rounded up to them. All points together are no cluster. Clusters are numbered by size, then by
-    smallest id; the probability is the core distance of a cluster's densest point over the point's own.
-    Fewer than ``min_size`` points are all noise; an empty table gives an empty table. Vectors that are null or hold
-    nulls are noise.
+    The graph of the ``neighbours`` nearest by mutual reachability has a minimum spanning forest; cutting its edges from
+    the longest down gives the single-linkage tree. A merge of two sides of ``min_size`` points or more is a split into
+    two clusters, smaller sides are points that leave theirs. A cluster's stability is the sum over its points of the
+    density (1 / distance) at which they leave less that at which it was born; it is chosen if no clusters inside it
+    are together more stable. All points together are no cluster; parts that no edge joins part at density 0. Clusters are
+    numbered by size, then by smallest id; a probability is the density at which a point leaves over the largest at
+    which one leaves the cluster itself, at most 1. Fewer than ``min_size`` points are all noise; an empty table gives
+    an empty table. Vectors that are null or hold nulls are noise. With all others as neighbours the tree is exact.
     """
     ids = vectors.select("id")
     noise = ids.select("id", F.lit(-1).cast("int").alias("cluster"), F.lit(0.0).alias("probability"))
     if vectors.count() < min_size:
         return noise
     edges, core = reach_edges(vectors, min_samples, neighbours)
-    cuts = edges.agg(F.percentile_approx("w", [(i + 1) / levels for i in range(levels)], 10_000)).first()[0]
-    if not cuts:
+    forest = spanning_forest(edges, task_edges)
+    drop_stash(edges)
+    if forest.isEmpty():
+        return noise
+    points, tree = single_linkage(core, forest, task_edges)
+    left, clusters = condensed(points, tree, min_size)
+    if clusters.isEmpty():
         return noise
-    cuts = sorted(set(cuts))
-    label = stash(core.select("id", F.col("id").alias("label")))
-    now, maps, nodes = edges, [], []
-    size = label.groupBy("label").agg(F.count("*").alias("n"))
-    for i, cut in enumerate(cuts):
-        # the graph of the labels so far: what is within the limit joins, the rest goes on
-        joined = connected_components(now.filter(F.col("w") <= cut).select("a", "b"), "a", "b").toDF("label", "parent")
-        step = stash(size.select("label", "n").join(joined, "label", "left").select("label", F.coalesce("parent", "label").alias("parent"), "n"))
-        maps.append(step)
-        size = stash(step.groupBy(F.col("parent").alias("label")).agg(F.sum("n").alias("n")))
-        big = size.filter(F.col("n") >= min_size)
-        mass = F.col("n") * (1 / cut - (1 / cuts[i + 1] if i + 1 < len(cuts) else 0.0))
-        if nodes:
-            inner = nodes[-1].join(step.select("label", "parent"), "label").groupBy(F.col("parent").alias("label")).agg(F.count("*").alias("kids"), F.sum("best").alias("below"), F.max("own").alias("kid_own"), F.max("sub").alias("kid_sub"))
-            met = big.join(inner, "label", "left").withColumn("kids", F.coalesce("kids", F.lit(0)))
-            own = F.when(F.col("kids") == 1, F.col("kid_own")).otherwise(0.0) + mass
-            sub = F.when(F.col("kids") == 1, F.col("kid_sub")).when(F.col("kids") > 1, F.col("below")).otherwise(0.0)
-        else:
-            met, own, sub = big.withColumn("kids", F.lit(0)), mass, F.lit(0.0)
-        rows = met.select("label", "n", "kids", own.alias("own"), sub.alias("sub"))
-        nodes.append(stash(rows.withColumn("best", F.greatest("own", "sub"))))
-        lower = now.join(step.select(F.col("label").alias("a"), F.col("parent").alias("pa")), "a").join(step.select(F.col("label").alias("b"), F.col("parent").alias("pb")), "b")
-        now = stash(lower.filter("pa <> pb").groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.min("w").alias("w")))
-
-    # from the widest limit down: a component is chosen, or its parts are looked at
-    total = core.count()
-    open_ = nodes[-1].select("label", (F.col("n") == total).alias("root"))
-    picks = []
-    for i in range(len(cuts) - 1, -1, -1):
-        met = nodes[i].join(open_, "label")
-        take = ~F.col("root") & (F.col("own") >= F.col("sub"))
-        picks.append((i, stash(met.filter(take).select("label"))))
-        if i:
-            kids = maps[i].select("label", F.col("parent").alias("up")).join(met.filter(~take).select(F.col("label").alias("up"), "root", "kids"), "up")
-            open_ = stash(kids.select("label", (F.col("root") & (F.col("kids") <= 1)).alias("root")))
-    found = None
-    at = label.select("id", F.col("label").alias("now"))
-    chosen = dict(picks)
-    for i, step in enumerate(maps):
-        at = stash(at.join(step.select(F.col("label").alias("now"), "parent"), "now").select("id", F.col("parent").alias("now")))
-        mine = at.join(chosen[i].select(F.col("label").alias("now")), "now").select("id", F.concat_ws("-", F.lit(str(i)), F.col("now").cast("string")).alias("name"))
-        found = mine if found is None else found.unionByName(mine)
-    found = found.join(core, "id")
-    per = found.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.min("core").alias("dense"))
-    named = per.select("name", "dense", (F.row_number().over(Window.orderBy(F.desc("n"), "lo")) - 1).cast("int").alias("cluster"))  # a row a cluster
-    told = stash(found.join(named, "name").select("id", "cluster", (F.col("dense") / F.col("core")).alias("probability")))
-    for held in (edges, label, *maps, *nodes):
-        drop_stash(held)
+    chosen = stash(stable(clusters).filter("chosen is not null"))
+    death = left.groupBy(F.col("cluster").alias("chosen")).agg(F.max("gone").alias("leaves"))
+    splits = clusters.filter("parent is not null").groupBy(F.col("parent").alias("chosen")).agg(F.max("born").alias("parts"))
+    found = left.join(chosen, "cluster").join(points, "node").join(death, "chosen", "left").join(splits, "chosen", "left")
+    most = F.greatest("leaves", "parts")
+    found = stash(found.select("id", "chosen", F.least(F.col("gone") / most, F.lit(1.0)).alias("probability")))
+    per = found.groupBy("chosen").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
+    named = per.select("chosen", (F.row_number().over(Window.orderBy(F.desc("n"), "lo")) - 1).cast("int").alias("cluster"))  # a row a cluster
+    told = found.join(named, "chosen").select("id", "cluster", "probability")
     return ids.join(told, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
 
 

@@ -409,4 +409,4 @@ def st8_patrol(t):
 @query()
 def cl1_cl4_density_clusters(t):
     """All vectors by density; their labels are not used."""
-    return density_clusters(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), levels=6)
+    return density_clusters(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))

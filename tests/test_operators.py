@@ -231,7 +231,7 @@ def test_density_clusters(spark):
     rows = [(g * 100 + i, [float(x) for x in middles[g] + rng.normal(0, 0.05, 8)]) for g, n in enumerate((30, 20, 12)) for i in range(n)]
     rows += [(900 + i, [float(x) for x in v]) for i, v in enumerate(np.eye(8)[5:] - 0.3)] + [(990, None)]
     df = spark.createDataFrame(rows, "id long, vector array<double>")
-    found = {r.id: r for r in density_clusters(df, levels=6).collect()}
+    found = {r.id: r for r in density_clusters(df).collect()}
     assert len(found) == len(rows) and found[990].cluster == -1
     for g, n in enumerate((30, 20, 12)):
         mine = [found[g * 100 + i].cluster for i in range(n)]
