@@ -1,17 +1,19 @@
-"""Operator 3: toxicity by class-conditional Kneser-Ney models of words and of pairs of neighbouring words.
+"""Operator 3: toxicity by class-conditional Kneser-Ney models of words and of the word that follows another.
 
 Labelled training texts give, for each (word before, word), its count in toxic and in ordinary texts, under whole 64-bit
-hashes and in as many rows as the texts have pairs. A class's probability of a word or pair is its discounted count plus
-the discounted mass spread by a backoff that both classes share, so a rare expression is not judged by one class alone.
-The shared backoff of a word is its exact share of the distinct contexts of both classes; that of a pair is the same for
-its second word, times how often its first word is a context. A text's score is a logistic function of its
-length-normalised log-likelihood ratios of both orders, calibrated on training texts whose counts are left out.
+hashes and in as many rows as the texts have pairs; a text starts and ends with a mark. In class c
+
+    P(w)     = (max(c(w) - D1, 0) + D1 N1+(c) Pcont(w)) / c()
+    P(w | h) = (max(c(h, w) - D2, 0) + D2 N1+(h .) P(w)) / c(h), or P(w) if h is not known in the class
+
+and Pcont, the share of all distinct contexts, is one for both classes, so a rare expression is not judged by one class
+alone. The log-likelihood ratio of the pairs splits into what the history, the word and the pair add to it, so each is
+looked up on its own. A text's score is a logistic function of its length-normalised ratios of both orders and of its
+length, calibrated on training texts whose counts are left out.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,25 +28,36 @@ from chronoweave.plans.stash import drop_stash, stash
 #: Most calibration rows (a few numbers each) that reach the driver; beyond it rows are taken by hash.
 CALIBRATION_ROWS = 100_000
 FOLDS = 5
-#: A word or pair whose ratio is below a margin counts as equally likely in both classes there. It keeps what a language
-#: or a topic shifts a little for every word from hiding the few expressions that only one class uses.
+#: A word whose ratio is below a margin counts as equally likely in both classes there. It keeps what a language or a
+#: topic shifts a little for every word from hiding the few words that only one class uses.
 MARGINS = (1.0, 2.0, 3.0)
 #: Counting takes the words, and scoring the texts, in so many turns; a turn's shuffle is gone before the next.
-COUNT_TURNS = 6
-SCORE_TURNS = 12
-#: What the table holds of a word or pair; its ratio follows from the totals of all.
-HELD = [("key", np.uint64), ("toxic", np.uint32), ("ordinary", np.uint32), ("backoff", np.float32)]
-SUMS = [f"s{o}{m}" for o in (1, 2) for m in range(len(MARGINS) + 1)]
+COUNT_TURNS = 4
+SCORE_TURNS = 6
+#: About so many keys of the table, and bytes of text, for each part that the questions of the texts are dealt to.
+PART_KEYS = 1_500_000
+PART_BYTES = 24 << 20
+#: What the table holds: of a word the ratio and that of its history, of a pair what it adds to both.
+HELD = [("key", np.uint64), ("ratio", np.float32), ("history", np.float32)]
+SUMS = ["s0", "s1", "s2", "s3", "pairs"]
+#: Hashes of the marks at a text's ends.
+START, END = np.uint64(0), np.uint64(1)
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, hash of the word before or 0, bounds of the texts). Words are runs of letters, digits and bytes beyond ASCII."""
+    """(word, word before, bounds of the texts) of every word and of the end mark of each text that has words.
+
+    Words are hashes of runs of letters, digits and bytes beyond ASCII, A-Z lower-cased.
+    """
     low = LOWER[data]
     starts, ends, bounds = word_spans(low, offsets, PUNCTUATION)
     word = span_hashes(low, starts, ends)
+    some = np.flatnonzero(np.diff(bounds))
+    word = np.insert(word, bounds[some + 1], END)
+    bounds = bounds + np.append(0, np.cumsum(np.diff(bounds) > 0))
     before = np.zeros_like(word)
     before[1:] = word[:-1]
-    before[bounds[:-1][bounds[1:] > bounds[:-1]]] = 0
+    before[bounds[some]] = START
     return word, before, bounds
 
 
@@ -64,13 +77,6 @@ def fold_of(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def _free(spark, seconds: float = 1.5) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that are done; it works in the background, hence the wait."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-    time.sleep(seconds)
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:
@@ -107,53 +113,55 @@ def pair_counts(train: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
     return rows.groupBy("before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def first_counts(train: DataFrame) -> DataFrame:
-    """(before, uses): how often each word, or the start of a text (0), stands before another word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
-                before, uses = np.unique(_words(data, offsets)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(before.view(np.int64)), pa.array(uses)], ["before", "uses"])
-
-    return train.select("text").mapInArrow(run, "before long, uses long").groupBy("before").agg(F.sum("uses").alias("uses"))
-
-
 CLASSES = ("toxic", "ordinary")
 
 
 def _tally(counts: DataFrame) -> Counter:
-    """Occurrences, types, and expressions that occur once and twice, of each class."""
+    """Occurrences, types, and expressions that occur once and twice, of each class; and all types."""
     tests = (("types", "> 0"), ("ones", "= 1"), ("twos", "= 2"))
-    row = counts.agg(*[F.sum(c).alias(f"n_{c}") for c in CLASSES], *[F.count_if(F.expr(f"{c} {test}")).alias(f"{k}_{c}") for c in CLASSES for k, test in tests]).first()
+    row = counts.agg(F.count("*").alias("types"), *[F.sum(c).alias(f"n_{c}") for c in CLASSES], *[F.count_if(F.expr(f"{c} {test}")).alias(f"{k}_{c}") for c in CLASSES for k, test in tests]).first()
     return Counter({k: v or 0 for k, v in row.asDict().items()})
 
 
-def _totals(tally: Counter) -> dict[str, tuple[float, float, float]]:
-    """Of each class: (occurrences, discount, mass freed by it)."""
-    out = {}
-    for c in CLASSES:
-        discount = float(np.clip(tally[f"ones_{c}"] / max(tally[f"ones_{c}"] + 2 * tally[f"twos_{c}"], 1), 0.1, 0.95))
-        out[c] = (max(float(tally[f"n_{c}"]), 1.0), discount, max(discount * tally[f"types_{c}"], 1e-3))
-    return out
+def discount(tally: Counter, c: str) -> float:
+    return float(np.clip(tally[f"ones_{c}"] / max(tally[f"ones_{c}"] + 2 * tally[f"twos_{c}"], 1), 0.1, 0.95))
 
 
-def _log_ratio(toxic: np.ndarray, ordinary: np.ndarray, backoff: np.ndarray, totals) -> np.ndarray:
-    """log P(expression | toxic) - log P(expression | ordinary)."""
-    logs = []
-    for c, counts in (("toxic", toxic), ("ordinary", ordinary)):
-        n, discount, mass = totals[c]
-        logs.append(np.log((np.maximum(counts - discount, 0) + mass * backoff) / n))
-    return (logs[0] - logs[1]).astype(np.float32)
+class Model:
+    """The totals of the counts, from which a word's or a pair's own counts give its probabilities."""
 
+    def __init__(self, words: Counter, pairs: Counter):
+        self.words, self.pairs = words, pairs
+        self.d1, self.d2 = ({c: discount(x, c) for c in CLASSES} for x in (words, pairs))
 
-def _unseen(totals) -> float:
-    """The ratio of what neither class has: the backoff is the same for both."""
-    return float(np.log(totals["toxic"][2] / totals["toxic"][0]) - np.log(totals["ordinary"][2] / totals["ordinary"][0]))
+    def word(self, c: str, count: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """P(w); both numbers are 0 for a word that training did not see."""
+        shared = (contexts + 1) / (self.pairs["types"] + self.words["types"] + 1)
+        free = self.d1[c] * max(self.words[f"types_{c}"], 1)
+        return (np.maximum(count - self.d1[c], 0) + free * shared) / max(self.words[f"n_{c}"], 1)
+
+    def history(self, c: str, uses: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The weight of P(w) after a word, by its uses and the number of different words after it."""
+        return np.where(uses > 0, self.d2[c] * kinds / np.maximum(uses, 1), 1.0)
+
+    def word_ratio(self, toxic: np.ndarray, ordinary: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        return np.log(self.word("toxic", toxic, contexts)) - np.log(self.word("ordinary", ordinary, contexts))
+
+    def history_ratio(self, uses: dict[str, np.ndarray], kinds: dict[str, np.ndarray]) -> np.ndarray:
+        return np.log(self.history("toxic", uses["toxic"], kinds["toxic"])) - np.log(self.history("ordinary", uses["ordinary"], kinds["ordinary"]))
+
+    def pair_extra(self, pair: dict[str, np.ndarray], word: dict[str, np.ndarray], contexts: np.ndarray, uses: dict[str, np.ndarray], kinds: dict[str, np.ndarray]) -> np.ndarray:
+        """What a pair's ratio has beyond those of its history and its word."""
+        out = 0.0
+        for c, sign in (("toxic", 1), ("ordinary", -1)):
+            lower = self.history(c, uses[c], kinds[c]) * self.word(c, word[c], contexts)
+            own = np.where(uses[c] > 0, np.maximum(pair[c] - self.d2[c], 0) / np.maximum(uses[c], 1), 0.0) + lower
+            out = out + sign * (np.log(own) - np.log(lower))
+        return out
 
 
 def _by_part(rows: DataFrame) -> DataFrame:
-    """(part, HELD): the rows of (part, HELD) as arrays sorted by key, a row for each part."""
+    """(part, HELD): the rows of (part, HELD) as arrays sorted by key, a row a part: there are as many parts as bound it."""
 
     def pack(table: pa.Table) -> pa.Table:
         held = {c: table.column(c).to_numpy() for c, _ in HELD}
@@ -163,53 +171,62 @@ def _by_part(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part").applyInArrow(pack, "part long, " + ", ".join(f"{c} binary" for c, _ in HELD))
 
 
-def counted(train: DataFrame, parts: int, turns: int = COUNT_TURNS) -> tuple[list[DataFrame], list[dict[str, tuple[float, float, float]]]]:
-    """Stashed (part, HELD) of every word and pair of the (toxic, text) rows, and the totals of words and of pairs.
-
-    ``backoff`` is a word's number of distinct contexts, and of a pair that of its second word times the uses of the
-    first; the totals turn both into shares.
-    """
-    spark = train.sparkSession
-    firsts = stash(first_counts(train))
-    uses = float(firsts.agg(F.sum("uses")).first()[0] or 1)
-    shape = "part long, key long, toxic long, ordinary long, backoff double"
-
-    def rows_of(batch: pa.RecordBatch, key: np.ndarray, backoff: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(_part(key, parts)), pa.array(key.view(np.int64)), batch.column("toxic"), batch.column("ordinary"), pa.array(backoff)], ["part", *[c for c, _ in HELD]])
+def counted(train: DataFrame, least_parts: int = 12, turns: int = COUNT_TURNS) -> tuple[list[DataFrame], Model, int]:
+    """Stashed (part, HELD) of every word, history and pair of the (toxic, text) rows, the model, and the parts."""
+    counts, words, befores, one, two = [], [], [], Counter(), Counter()
+    for turn in range(turns):
+        mine = stash(pair_counts(train, turn, turns))
+        by_word = stash(mine.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("contexts")))
+        befores.append(stash(mine.groupBy("before").agg(*[F.sum(c).alias(f"uses_{c}") for c in CLASSES], *[F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in CLASSES])))
+        one.update(_tally(by_word))
+        two.update(_tally(mine))
+        counts.append(mine)
+        words.append(by_word)
+    model = Model(one, two)
+    parts = max(least_parts, -(-(one["types"] + two["types"]) // PART_KEYS))
+    sums = ["uses_toxic", "uses_ordinary", "kinds_toxic", "kinds_ordinary"]
+    history = stash(_union(befores).groupBy("before").agg(*[F.sum(c).alias(c) for c in sums]))
+    shape = "part long, key long, ratio double, history double"
+
+    def row_of(key: np.ndarray, ratio: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(_part(key, parts)), pa.array(key.view(np.int64)), pa.array(ratio), pa.array(before)], ["part", *[c for c, _ in HELD]])
+
+    def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).to_numpy(zero_copy_only=False)
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield rows_of(batch, _key(batch.column("word").to_numpy().view(np.uint64)), batch.column("contexts").to_numpy().astype(float))
+            key = column(batch, "node").view(np.uint64)
+            ratio = model.word_ratio(*(column(batch, c).astype(float) for c in ("toxic", "ordinary", "contexts")))
+            uses, kinds = ({c: column(batch, f"{k}_{c}").astype(float) for c in CLASSES} for k in ("uses", "kinds"))
+            yield row_of(_key(key), np.where(key == START, 0.0, ratio), model.history_ratio(uses, kinds))
 
     def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before, word, contexts, first = (batch.column(c).to_numpy() for c in ("before", "word", "contexts", "uses"))
-            yield rows_of(batch, _key(word.view(np.uint64), before.view(np.uint64)), contexts * (first / uses))
-
-    tables, one, two, contexts = [], Counter(), Counter(), 0
-    for turn in range(turns):
-        counts = stash(pair_counts(train, turn, turns))
-        _free(spark)
-        words = stash(counts.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("contexts")))
-        one.update(_tally(words))
-        two.update(_tally(counts))
-        contexts += words.agg(F.sum("contexts")).first()[0] or 0
-        tables.append(stash(_by_part(words.mapInArrow(of_words, shape))))
-        met = counts.join(words.select("word", "contexts"), "word").join(firsts, "before").select("before", "word", "ordinary", "toxic", "contexts", "uses")
+            before, word = (column(batch, c).view(np.uint64) for c in ("before", "word"))
+            pair, lower = ({c: column(batch, f"{k}_{c}").astype(float) for c in CLASSES} for k in ("pair", "word"))
+            uses, kinds = ({c: column(batch, f"{k}_{c}").astype(float) for c in CLASSES} for k in ("uses", "kinds"))
+            extra = model.pair_extra(pair, lower, column(batch, "contexts").astype(float), uses, kinds)
+            yield row_of(_key(word, before), extra, np.zeros(len(word)))
+
+    every = _union(words)
+    met = every.withColumnRenamed("word", "node").join(history.withColumnRenamed("before", "node"), "node", "full_outer").na.fill(0)
+    tables = [stash(_by_part(met.mapInArrow(of_words, shape)))]
+    for mine, by_word in zip(counts, words):
+        pairs = mine.select("before", "word", *[F.col(c).alias(f"pair_{c}") for c in CLASSES])
+        met = pairs.join(by_word.select("word", "contexts", *[F.col(c).alias(f"word_{c}") for c in CLASSES]), "word").join(history, "before")
         tables.append(stash(_by_part(met.mapInArrow(of_pairs, shape))))
-        drop_stash(counts)
-        drop_stash(words)
-        del met, counts, words
-        _free(spark)
-    drop_stash(firsts)
-    return tables, [_totals(one) | {"contexts": max(contexts, 1)}, _totals(two) | {"contexts": max(contexts, 1)}]
+        drop_stash(mine)
+    for done in (*words, *befores, history):
+        drop_stash(done)
+    return tables, model, parts
 
 
-def text_sums(docs: DataFrame, table: DataFrame, totals: list[dict], parts: int) -> DataFrame:
-    """(text_key, n, SUMS): words, and summed ratios and excesses of words and pairs, of the (text_key, text) rows.
+def text_sums(docs: DataFrame, table: DataFrame, model: Model, parts: int) -> DataFrame:
+    """(text_key, n, SUMS) of the (text_key, text) rows: words with the end mark, the summed ratios of the words and
+    their excesses over the margins, and the summed ratios of the pairs. Texts without words have no row.
 
     What a chunk of texts asks of one part is one row: distinct keys, and for each of them the texts it stands in.
-    Texts without words have no row.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,49 +239,48 @@ def text_sums(docs: DataFrame, table: DataFrame, totals: list[dict], parts: int)
                     if not len(word):
                         continue
                     text = np.repeat(np.arange(b - a, dtype=np.uint16), np.diff(bounds))
-                    key = np.concatenate([_key(word), _key(word, before)])
+                    begun = np.flatnonzero(np.diff(bounds)).astype(np.uint16)
+                    key = np.concatenate([_key(word), _key(np.full(len(begun), START)), _key(word, before)])
                     order = np.argsort(key, kind="stable")
-                    key, text = key[order], np.concatenate([text, text])[order]
+                    key, text = key[order], np.concatenate([text, begun, text])[order]
                     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                    runs = np.diff(np.append(first, len(key))).astype(np.uint32)
-                    part = _part(key[first], parts)
-                    cuts = np.searchsorted(part, np.arange(parts + 1))
                     ends = np.append(first, len(key))
-                    rows = [(p, key[first[i:j]], runs[i:j], text[ends[i] : ends[j]]) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+                    runs = np.diff(ends).astype(np.uint32)
+                    cuts = np.searchsorted(_part(key[first], parts), np.arange(parts + 1))
                     name = names[a:b].tobytes()
-                    for p, k, r, d in rows:
-                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *(pa.array([x], pa.binary()) for x in (name, k.tobytes(), r.tobytes(), d.tobytes()))], ["part", "names", "keys", "runs", "texts"])
+                    for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+                        if j > i:
+                            cells = (name, key[first[i:j]].tobytes(), runs[i:j].tobytes(), text[ends[i] : ends[j]].tobytes())
+                            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *(pa.array([x], pa.binary()) for x in cells)], ["part", "names", "keys", "runs", "texts"])
 
-    kinds = len(MARGINS) + 1
-    unseen = [_unseen(x) for x in totals]
+    unseen = float(model.word_ratio(*(np.zeros(1) for _ in range(3)))[0])
+    start = int(_key(np.array([START]))[0])
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        known, toxic, ordinary, backoff = (np.frombuffer(b"".join(held.column(c).to_pylist()), t) for c, t in HELD)
-        ratios = np.zeros(len(known), np.float32)
-        for order, mine in enumerate((known & np.uint64(1) == 0, known & np.uint64(1) == 1)):
-            ratios[mine] = _log_ratio(toxic[mine], ordinary[mine], backoff[mine] / totals[order]["contexts"], totals[order])
+        known, ratios, histories = (np.frombuffer(b"".join(held.column(c).to_pylist()), t) for c, t in HELD)
         by = np.argsort(known, kind="stable")  # a row for each turn of counting
-        known, ratios = known[by], ratios[by]
+        known, ratios, histories = known[by], ratios[by], histories[by]
         out = []
         for row in range(asked.num_rows):
             names, key, runs, text = (np.frombuffer(asked.column(c)[row].as_py(), t) for c, t in (("names", np.int64), ("keys", np.uint64), ("runs", np.uint32), ("texts", np.uint16)))
-            pair = (key & np.uint64(1)).astype(np.int64)
-            ratio = np.array(unseen)[pair]
+            pair = key & np.uint64(1) == 1
+            ratio, history = np.where(pair | (key == start), 0.0, unseen), np.zeros(len(key))
             if len(known):
                 spot = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                ratio = np.where(known[spot] == key, ratios[spot], ratio)
-            cell = text.astype(np.int64) * 2 + np.repeat(pair, runs)
-            n = np.bincount(cell, minlength=2 * len(names)).reshape(-1, 2)
-            sums = np.stack([np.bincount(cell, np.repeat(x, runs), 2 * len(names)).reshape(-1, 2) for x in (ratio, *(np.maximum(ratio - m, 0) for m in MARGINS))], axis=2).reshape(-1, 2 * kinds)
-            some = np.flatnonzero(n.sum(axis=1))
-            out.append((names[some], n[some, 0], sums[some].astype(np.float32)))
+                met = known[spot] == key
+                ratio, history = np.where(met, ratios[spot], ratio), np.where(met, histories[spot], 0.0)
+            own = np.where(pair, 0.0, ratio)
+            parts_ = [(~pair & (key != start)).astype(float), own, *(np.maximum(own - m, 0) for m in MARGINS), ratio + history]
+            sums = np.stack([np.bincount(text, np.repeat(x, runs), len(names)) for x in parts_], axis=1)
+            some = np.flatnonzero(np.bincount(text, minlength=len(names)))
+            out.append((names[some], sums[some]))
         if not out:
-            return pa.table({"text_key": pa.array([], pa.int64()), "n": pa.array([], pa.int64())} | {c: pa.array([], pa.float32()) for c in SUMS})
-        names, n, sums = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"text_key": names, "n": n} | {c: np.ascontiguousarray(sums[:, i]) for i, c in enumerate(SUMS)})
+            return pa.table({"text_key": pa.array([], pa.int64()), "n": pa.array([], pa.int64())} | {c: pa.array([], pa.float64()) for c in SUMS})
+        names, sums = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"text_key": names, "n": sums[:, 0].astype(np.int64)} | {c: np.ascontiguousarray(sums[:, 1 + i]) for i, c in enumerate(SUMS)})
 
     asked = docs.select("text_key", "text").mapInArrow(ask, "part long, names binary, keys binary, runs binary, texts binary")
-    met = asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(answer, "text_key long, n long, " + ", ".join(f"{c} float" for c in SUMS))
+    met = asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(answer, "text_key long, n long, " + ", ".join(f"{c} double" for c in SUMS))
     return met.groupBy("text_key").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in SUMS])
 
 
@@ -282,15 +298,11 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _features(means: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Length-normalised ratios, by length and by its root; ``means`` has a column for each order and margin."""
-    return np.hstack([np.ones((len(n), 1)), 10 * means, means * np.sqrt(n)[:, None]])
-
-
 def _read(table) -> np.ndarray:
-    """The features of an Arrow table's (n, SUMS) columns."""
+    """The features of an Arrow table's (n, SUMS) columns: length-normalised ratios, also by the length's root, and length."""
     n = table.column("n").to_numpy()
-    return _features(np.stack([table.column(c).to_numpy() for c in SUMS], axis=1) / np.maximum(n, 1)[:, None], n)
+    means = np.stack([table.column(c).to_numpy() for c in SUMS], axis=1) / np.maximum(n, 1)[:, None]
+    return np.hstack([np.ones((len(n), 1)), 10 * means, means * np.sqrt(n)[:, None], np.log1p(n)[:, None] / 5])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", count_turns: int = COUNT_TURNS, score_turns: int = SCORE_TURNS) -> DataFrame:
@@ -302,8 +314,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     a text without words; a null id is not held out and not learnt from; without labels the score is 0.5. Repeated
     rows and further columns do no harm; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("doc_id", "text"))
     fold = fold_of("doc_id")
@@ -311,12 +321,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = marks.filter(fold_of("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     small = marks.count() <= 1_000_000  # 16 MB
     marks = F.broadcast(marks) if small else marks
-    tables, totals = counted(docs.join(marks, "doc_id").filter(fold > 1), parts, count_turns)
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    tables, model, parts = counted(docs.join(marks, "doc_id").filter(fold > 1), max(12, -(-size // (PART_BYTES * score_turns))), count_turns)
     table, turns = _union(tables), []
     for turn in range(score_turns):
         mine = docs.filter(F.pmod("text_key", F.lit(score_turns)) == turn)
-        turns.append(stash(text_sums(mine, table, totals, parts)))
-        _free(spark)
+        turns.append(stash(text_sums(mine, table, model, parts)))
     for held in tables:
         drop_stash(held)
     sums = _union(turns)
@@ -327,7 +337,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     part = rows.join(marks, "doc_id").filter(fold == 1)
     held = max(1, -(-part.count() // CALIBRATION_ROWS))
     told = part.filter(F.pmod(F.xxhash64("doc_id"), F.lit(held)) == 0).select("toxic", "n", *SUMS).toArrow()
-    weights = np.zeros(2 * len(SUMS) + 1)
+    weights = np.zeros(2 * len(SUMS) + 2)
     if told.num_rows:
         weights = _fit_logistic(_read(told), (told.column("toxic").to_numpy() > 0).astype(float))
 

@@ -148,15 +148,40 @@ def test_toxicity_tells_an_expression_from_its_words(spark):
     assert np.mean([r.predicted == toxic[r.doc_id] for r in rows if r.held_out]) > 0.95
 
 
-def test_pair_counts_are_exact(spark):
+def test_toxicity_equals_plain_kneser_ney(spark, monkeypatch):
     rng = random.Random(6)
-    texts = [" ".join(str(rng.randrange(60)) for _ in range(rng.randrange(40))) for _ in range(300)]
-    want = Counter((a, b) for t in texts for a, b in zip([None, *t.split()], t.split()))
-    train = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "toxic int, text string")
-    rows = [r for k in range(3) for r in toxicity.pair_counts(train, k, 3).collect()]
-    assert sorted(r.ordinary + r.toxic for r in rows) == sorted(want.values())
-    contexts = Counter(b for _, b in want)
-    assert sorted(Counter(r.word for r in rows).values()) == sorted(contexts.values())
+    texts = [" ".join(str(rng.randrange(40)) for _ in range(rng.randrange(30))) for _ in range(200)] + ["", "...", "one " * 5000]
+    toxic = [rng.random() < 0.4 for _ in texts]
+    asked = texts[::3] + ["never seen", "1 never 2", None]
+    pairs = lambda t: list(zip(["<s>", *t.split()], [*t.split(), "</s>"])) if t and t.strip(".") else []
+    c = {k: Counter(p for t, x in zip(texts, toxic) if x == k for p in pairs(t)) for k in (True, False)}
+    w = {k: Counter() for k in c}
+    uses, kinds = {k: Counter() for k in c}, {k: Counter() for k in c}
+    for k in c:
+        for (h, x), n in c[k].items():
+            w[k][x] += n
+            uses[k][h] += n
+            kinds[k][h] += 1
+    types = set(c[True]) | set(c[False])
+    contexts = Counter(x for _, x in types)
+    d = lambda held: min(max((ones := sum(n == 1 for n in held.values())) / max(ones + 2 * sum(n == 2 for n in held.values()), 1), 0.1), 0.95)
+    one = lambda k, x: (max(w[k][x] - d(w[k]), 0) + d(w[k]) * len(w[k]) * (contexts[x] + 1) / (len(types) + len(contexts) + 1)) / sum(w[k].values())
+    two = lambda k, h, x: (max(c[k][h, x] - d(c[k]), 0) + d(c[k]) * kinds[k][h] * one(k, x)) / uses[k][h] if uses[k][h] else one(k, x)
+    want = {}
+    for i, t in enumerate(asked):
+        ratio = [np.log(one(True, x) / one(False, x)) for _, x in pairs(t)]
+        both = [np.log(two(True, h, x) / two(False, h, x)) for h, x in pairs(t)]
+        if ratio:
+            want[i] = [len(ratio), sum(ratio), *(sum(max(r - m, 0) for r in ratio) for m in toxicity.MARGINS), sum(both)]
+    train = spark.createDataFrame([(int(x), t) for x, t in zip(toxic, texts)], "toxic int, text string")
+    monkeypatch.setattr(toxicity, "PART_KEYS", 100)
+    tables, model, parts = toxicity.counted(train, 3, 2)
+    assert parts > 5
+    docs = spark.createDataFrame(list(enumerate(asked)), "text_key long, text string")
+    got = {r.text_key: [r.n, *(r[s] for s in toxicity.SUMS)] for r in toxicity.text_sums(docs, toxicity._union(tables), model, parts).collect()}
+    assert set(got) == set(want)
+    for i in want:
+        assert got[i] == pytest.approx(want[i], rel=1e-4, abs=1e-4), asked[i]
 
 
 def test_token_counts_equal_the_library(spark):
