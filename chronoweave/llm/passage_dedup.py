@@ -204,10 +204,12 @@ def passage_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text
     marks = estimated_repeats(grams, cells)
     drop_stash(grams)
     suspects = stash(suspect_windows(docs, marks, width))
+    # Written, so that the join below has two plain shuffles, of which Spark can split a large partition.
     least = suspects.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h1", "h2", "least")
+    least = stash(least)
     gone = suspects.join(least, ["h1", "h2"]).filter("least < doc_id").select(*ROW, "place").distinct()
     places = stash(gone.groupBy(*ROW).agg(F.collect_list("place").alias("places")))  # at most one a word of a text
-    for done in (marks, suspects):
+    for done in (marks, suspects, least):
         drop_stash(done)
     cut = stash(_cut(docs, places, width).distinct())
     drop_stash(places)
