@@ -125,7 +125,42 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
             edges[owners[mine]] = robust_prune(points, owners[mine], np.concatenate([held[mine], back[mine]], axis=1), degree, alpha)
         at += size
         size = min(batch, size * 2)
-    return edges, medoid
+    return all_reached(points, edges, medoid), medoid
+
+
+def reached(edges: np.ndarray, start: int) -> np.ndarray:
+    """Which of the nodes (and the padding) a walk along the edges from ``start`` comes to."""
+    seen = np.zeros(len(edges), bool)
+    seen[-1] = seen[start] = True
+    front = np.array([start])
+    while len(front):
+        near = np.unique(edges[front])
+        front = near[~seen[near]]
+        seen[front] = True
+    return seen
+
+
+def all_reached(points: np.ndarray, edges: np.ndarray, start: int) -> np.ndarray:
+    """``edges`` with a further slot, as often as needed, until every node is reached from ``start``.
+
+    Pruning may drop the last edge into a node. Each node not reached gets an edge from its nearest reached one; of those
+    with the same nearest, the nearest of all, and the others have a nearer one in the next round.
+    """
+    n = len(points)
+    while not (seen := reached(edges, start)).all():
+        lost, held = np.flatnonzero(~seen), np.flatnonzero(seen[:-1])
+        squares = (points[held] ** 2).sum(axis=1)
+        near, away = np.empty(len(lost), np.int64), np.empty(len(lost))
+        for i in range(0, len(lost), 512):
+            d = squares - 2 * points[lost[i : i + 512]] @ points[held].T
+            near[i : i + 512] = held[d.argmin(axis=1)]
+            away[i : i + 512] = d.min(axis=1) + (points[lost[i : i + 512]] ** 2).sum(axis=1)
+        order = np.lexsort((lost, away, near))
+        first = order[np.flatnonzero(np.append(True, np.diff(near[order]) != 0))]
+        slot = np.full((n + 1, 1), n, np.int64)
+        slot[near[first], 0] = lost[first]
+        edges = np.hstack([edges, slot])
+    return edges
 
 
 def _build(table: pa.Table) -> pa.Table:
@@ -161,7 +196,10 @@ def _finder(k: int, beam: int):
             for i in range(0, len(queries), 512):
                 mine = queries[i : i + 512]
                 near = np.hstack([mine, np.zeros((len(mine), 1))]).astype(np.float32)
-                found, _ = beam_search(points, squares, edges, medoid, near, max(beam, 2 * k))
+                if len(points) <= max(beam, 2 * k):  # the beam would hold all of them
+                    found = np.broadcast_to(np.arange(len(points)), (len(mine), len(points)))
+                else:
+                    found, _ = beam_search(points, squares, edges, medoid, near, max(beam, 2 * k))
                 score = np.einsum("qnd,qd->qn", exact[found], mine)
                 parts.append(top_rows(index.column("ids"), found, score, ids[i : i + 512], k))
             return pa.concat_tables(parts)
