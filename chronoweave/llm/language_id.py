@@ -130,7 +130,9 @@ def fit_language(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
     rows = rows.filter("doc_id is not null and lang is not null and length(text) > 0").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 1)
 
     chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    held = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_windows, "doc_id long, lang string, windows array<binary>").toArrow().sort_by("doc_id")
+    # of rows that share a sampled id, the one of the least text
+    taken = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.text", "r.lang")
+    held = taken.mapInArrow(_sample_windows, "doc_id long, lang string, windows array<binary>").toArrow().sort_by("doc_id")
     pairs = [(np.frombuffer(w, np.uint8), lang) for lang, ws in zip(held.column("lang").to_pylist(), held.column("windows").to_pylist()) for w in ws]
     langs = sorted({lang for _, lang in pairs}) or ["und"]
     net = ByteConvNet(langs)
@@ -159,9 +161,12 @@ def predict_language(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id",
     """
     docs = docs.drop("lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(net)
-    names = [*docs.columns, "_pred"]
+    pred = "_pred"
+    while pred in {c.lower() for c in docs.columns}:
+        pred += "_"
+    names = [*docs.columns, pred]
     place = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_pred", T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
@@ -178,4 +183,4 @@ def predict_language(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id",
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = docs.mapInArrow(run, schema)
-    return rows.select(*docs.columns, F.when(letters, F.col("_pred.lang")).otherwise("und").alias("lang_pred"), F.when(letters, F.col("_pred.score")).otherwise(0.0).alias("score"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(letters, F.col(f"{pred}.lang")).otherwise("und").alias("lang_pred"), F.when(letters, F.col(f"{pred}.score")).otherwise(0.0).alias("score"))

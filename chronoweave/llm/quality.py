@@ -113,6 +113,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_co
     rated = rated.groupBy("doc_id").agg(F.max("grade").alias("grade"))
     taken = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(taken), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("grade").alias("grade"))  # one row a sampled id
     held = _vectors(texts).toArrow()
     features, values = held.column("features").combine_chunks(), held.column("values").combine_chunks()
     sizes = np.array([len(x) for x in features], np.int64) if len(held) else np.zeros(0, np.int64)

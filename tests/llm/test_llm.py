@@ -450,3 +450,31 @@ def test_a_text_beyond_a_chunk(spark):
     rows = {r.doc_id: r for r in jaccard_join.jaccard_components(df, 5, 80, 100).collect()}
     assert rows[0].n_shingles == 299_996 and rows[1].component_id == 0 and rows[2].component_id == 2
     assert {r.doc_id: r.size for r in mix_sources(df).collect()} == {0: 300_000, 1: 300_001, 2: 2}
+
+
+def test_every_node_is_reached():
+    rng = np.random.default_rng(11)
+    for seed in range(300):
+        n, dim = int(rng.integers(2, 150)), int(rng.integers(2, 9))
+        x = rng.normal(size=(n, dim)) * np.exp(rng.normal(0, 1.5, (n, 1))) + (rng.integers(0, 3, (n, 1)) * 4 if seed % 2 else 0)
+        points = ann_graph.lifted(x)
+        edges, medoid = ann_graph.build_graph(points, degree=int(rng.integers(3, 33)))
+        assert ann_graph.reached(edges, medoid).all()
+
+
+@pytest.mark.parametrize("n", [2, 15, 20, 21])
+def test_small_tables_give_all_candidates(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, [float(x) for x in rng.normal(size=2) * np.exp(rng.normal(0, 2))]) for i in range(n)]
+    got = ann_graph.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = brute(rows, 20, lambda a, b: float(np.dot(a, b)))
+    for q, near in want.items():
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [i for i, _ in near]
+
+
+def test_language_keeps_reserved_names_and_samples_an_id_once(spark):
+    texts = ["the cat and the dog", "der Hund und die Katze"] * 30
+    rows = [(i, t, ["en", "de"][i % 2], "p") for i, t in enumerate(texts)] + [(0, "the cat and the dog", "en", "p")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _pred string")
+    out = predict_language(df, fit_language(df)).collect()
+    assert len(out) == len(rows) and {r._pred for r in out} == {"p"} and np.mean([r.lang_pred == r.lang for r in out]) > 0.9
