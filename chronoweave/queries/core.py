@@ -9,7 +9,7 @@ from chronoweave.functions import scalar as S
 from chronoweave.operators import tables as TB
 from chronoweave.operators import temporal as BT
 from chronoweave.operators.graph import entity_edges
-from chronoweave.operators.graph_cuts import bridges
+from chronoweave.operators.blocks import bridges
 from chronoweave.registry import query
 
 T0 = "1998-01-01 00:00:00"

@@ -9,7 +9,8 @@ from chronoweave.functions import scalar as S
 from chronoweave.operators import graph as G
 from chronoweave.operators import vectors as V
 from chronoweave.operators.components import connected_components
-from chronoweave.operators.graph_cuts import betweenness, bridges, cut_vertices, sampled_sources
+from chronoweave.operators.blocks import bridges, cut_vertices
+from chronoweave.operators.graph_cuts import betweenness, sampled_sources
 from chronoweave.registry import query
 
 
