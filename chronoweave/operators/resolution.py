@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.scalar import cosine, overlap, trigrams
 from chronoweave.operators.vectors import similar_pairs
+from chronoweave.plans.stash import drop_stash, stash
 
 #: The weights of the nine signals of a pair score.
 WEIGHTS = {
@@ -92,6 +93,51 @@ def merge_entities(facts: DataFrame, mapping: DataFrame) -> tuple[DataFrame, Dat
     return ranked.filter("_r is null or _r = 1").drop("_r"), ranked.filter("_r > 1").select("fact_id")
 
 
+def closed_mapping(mapping: DataFrame) -> DataFrame:
+    """(source, survivor) with each source's last survivor: chains of merges are followed twice as far each round.
+
+    A source that is mapped more than once goes to the least of its survivors; a ring of merges is refused.
+    """
+    now = stash(mapping.filter("source <> survivor").groupBy("source").agg(F.min("survivor").alias("survivor")))
+    rounds = now.count().bit_length() + 1  # more than the longest chain needs
+    for _ in range(rounds):
+        far = now.select(F.col("source").alias("survivor"), F.col("survivor").alias("then"))
+        new = stash(now.join(far, "survivor", "left").select("source", F.coalesce("then", "survivor").alias("survivor"), F.col("then").isNotNull().alias("moved")))
+        drop_stash(now)
+        now = new.select("source", "survivor")
+        now._stash_path = new._stash_path
+        if new.filter("moved").isEmpty():
+            return now
+    raise ValueError("the merges form a ring")
+
+
+def merge_cascade(mapping: DataFrame, facts: DataFrame, aliases: DataFrame, memories: DataFrame, events: DataFrame, same_as: DataFrame) -> dict[str, DataFrame]:
+    """All that hangs on entities after the merges (source, survivor), which may form chains.
+
+    ``facts`` are re-pointed on both sides, without the relations to itself and the duplicates that appear (returned as
+    ``expired``); ``aliases`` (entity_id, alias) and ``memories`` (memory_id, entity_id) once each; ``events`` (entity_id,
+    ...) all of them; ``same_as`` (a, b) links in canonical order, once each and none to itself. ``history`` (source,
+    survivor) tells where each merged entity went.
+    """
+    m = closed_mapping(mapping)
+    kept, expired = merge_entities(facts, m)
+
+    def moved(rows: DataFrame, column: str) -> DataFrame:
+        met = rows.join(m.toDF(column, "_to"), column, "left")
+        return met.withColumn(column, F.coalesce("_to", column)).select(rows.columns)
+
+    links = moved(moved(same_as.select("a", "b").distinct(), "a"), "b").filter("a <> b")
+    return {
+        "facts": kept,
+        "expired": expired,
+        "aliases": moved(aliases.select("entity_id", "alias"), "entity_id").distinct(),
+        "memories": moved(memories.select("memory_id", "entity_id"), "entity_id").distinct(),
+        "events": moved(events, "entity_id"),
+        "same_as": links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+        "history": m,
+    }
+
+
 def merge_candidates(centroids: DataFrame, mentions: DataFrame, resolved: DataFrame, least: float = 0.4, sure: float = 0.7, least_mentions: int = 2) -> DataFrame:
     """(a, b, similarity, status) of entity pairs worth a look: both mentioned often enough, similar, and not resolved.
 

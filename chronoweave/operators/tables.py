@@ -128,8 +128,9 @@ def profile_texts(entities: DataFrame, aliases: DataFrame, facts: DataFrame, nea
     counts = f.groupBy("entity_id", "category").agg(F.count("*").alias("n"))
     lines = top(f, ["entity_id", "category"], [F.col("fact_id")], 5, F.concat(F.lit("\u2022 "), "predicate", F.lit(": "), F.coalesce("value", F.lit("?"))), "lines", "\n").join(counts, ["entity_id", "category"])
     block = F.concat(F.lit("\n**"), "category", F.lit(":**\n"), "lines", F.when(F.col("n") > 5, F.concat(F.lit("\n  _...and "), (F.col("n") - 5).cast("string"), F.lit(" more_"))).otherwise(""))
-    shown = top(lines.withColumn("block", block), ["entity_id"], [F.col("category")], 100, F.col("block"), "facts", "\n")
-    names = top(aliases, ["entity_id"], [F.col("alias")], 100, F.col("alias"), "aka", ", ")
+    shown = top(lines.withColumn("block", block), ["entity_id"], [F.col("category")], len(set(categories.values())) + 1, F.col("block"), "facts", "\n")
+    # more aliases than characters cannot be shown
+    names = top(aliases, ["entity_id"], [F.col("alias")], limit, F.col("alias"), "aka", ", ")
     others = top(near, ["entity_id"], [F.col("name"), F.col("entity_type")], 8, F.concat("name", F.lit(" ("), "entity_type", F.lit(")")), "near", ", ")
     said = F.when(F.length("content") > 80, F.concat(F.substring("content", 1, 80), F.lit("..."))).otherwise(F.col("content"))
     recent = top(memories, ["entity_id"], [F.desc("memory_id")], 3, F.concat(F.lit("\u2022 "), said), "recent", "\n")

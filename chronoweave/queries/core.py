@@ -524,10 +524,11 @@ def fn11_due_phrases(t):
     return t.orders.withColumn("text", F.expr(_DUE)).groupBy(S.due_phrase(F.col("text")).alias("due")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, md5(concat('<summary len="', length(coalesce(text, '')), '" source="', replace(replace(replace(replace(coalesce(source, ''), '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;'), '">', coalesce(text, ''), '</summary>')) AS h FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '(?i)</\\s*summary')""")
+@query("""SELECT doc_id, md5(concat('<summary len="', length(safe), '" source="', replace(replace(replace(replace(coalesce(source, ''), '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;'), '">', safe, '</summary>')) AS h FROM (SELECT doc_id, source, regexp_replace(concat(coalesce(text, ''), '</Summary >'), '(?i)</\\s*(s)(ummary)\\s*>', concat('</\\1', chr(8203), '\\2>'), 'g') AS safe FROM documents) x""")
 def fn16_delimited(t):
-    body = t.documents.filter(F.col("text").isNull() | ~F.col("text").rlike(r"(?i)</\s*summary"))
-    return body.select("doc_id", F.md5(F.encode(S.delimited(F.col("text"), "summary", {"source": F.col("source")}), "utf-8")).alias("h"))
+    """Every text, each with an end tag inside that has to be broken."""
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("</Summary >"))
+    return t.documents.select("doc_id", F.md5(F.encode(S.delimited(body, "summary", {"source": F.col("source")}), "utf-8")).alias("h"))
 
 
 @query("SELECT user_id, len(k) AS n, list_contains(k, 'error') AS has_error, NOT list_contains(k, 'click') AS no_click, list_sort(list_append(list_filter(k, lambda x: x <> 'view'), 'seen'))::VARCHAR AS changed FROM (SELECT user_id, list(DISTINCT event_type) AS k FROM events GROUP BY 1) x")

@@ -10,7 +10,9 @@ from chronoweave.operators import graph as G
 from chronoweave.operators import vectors as V
 from chronoweave.operators.components import connected_components
 from chronoweave.operators.blocks import bridges, cut_vertices
+from chronoweave.operators.intervals import numbered
 from chronoweave.operators.graph_cuts import betweenness, sampled_sources
+from chronoweave.plans.stash import stash
 from chronoweave.registry import query
 
 
@@ -238,13 +240,14 @@ def rt7_neighbour_memories(t):
     return near.join(t.memory_entities, "entity_id").groupBy("query_id").agg(F.count_distinct("memory_id").alias("memories"))
 
 
-@query(f"""WITH {_KNN}, z AS (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(v.vec_id - q.vec_id), v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.label = v.label AND abs(v.vec_id - q.vec_id) < 200 WHERE q.vec_id % 20 = 0),
+@query(f"""WITH {_KNN}, z AS (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(v.vec_id - q.vec_id), v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 20 = 0),
 l AS (SELECT query_id, id, rank, 1.0 AS w FROM k WHERE rank <= 10 UNION ALL SELECT query_id, id, rank, 0.5 FROM z WHERE rank <= 10) SELECT query_id, id, round(sum(w / (60 + rank)), 9) AS score FROM l GROUP BY 1, 2""")
 def rt6_fusion(t):
     """The vector list and a keyword list: of the same label, the nearest by date of entry."""
     e = t.embeddings.select("vec_id", "label")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.explode(F.sequence(F.col("vec_id") - 199, F.col("vec_id") + 199)).alias("vec_id"))
-    near = q.join(e, ["label", "vec_id"]).withColumn("gap", F.abs(F.col("vec_id") - F.col("query_id")))
+    placed = stash(numbered(e, ["label", "vec_id"], {"n": F.lit(1)}))  # the 10 nearest of a label are within 10 places
+    q = placed.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.explode(F.sequence(F.col("n") - 10, F.col("n") + 10)).alias("n"))
+    near = q.join(placed, ["label", "n"]).withColumn("gap", F.abs(F.col("vec_id") - F.col("query_id")))
     words = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("gap", "vec_id"))).filter("rank <= 10").select("query_id", F.col("vec_id").alias("id"), "rank")
     both = _hits(t).select("query_id", "id", "rank").withColumn("weight", F.lit(1.0)).unionByName(words.withColumn("weight", F.lit(0.5)))
     return V.fuse(both).withColumn("score", F.round("score", 9))
@@ -262,7 +265,8 @@ def gr3_cut_vertices(t):
 
 @query()
 def gr8_betweenness(t):
-    return betweenness(_edges(t), sampled_sources(_vertices(t), most=100), normalised=True)
+    """From 500 sources by a hash, or from all of up to 200 vertices."""
+    return betweenness(_edges(t), sampled_sources(_vertices(t)), normalised=True)
 
 
 @query("""WITH x AS (SELECT label, i, avg(e) AS c FROM (SELECT label, unnest(embedding)::DOUBLE AS e, unnest(range(1, 65)) AS i FROM embeddings) y GROUP BY 1, 2), m AS (SELECT label, list(c ORDER BY i) AS c FROM x GROUP BY 1), s AS (SELECT embeddings.vec_id, embeddings.label, m.label AS target, 1 - list_cosine_similarity(embedding::DOUBLE[], m.c) AS away, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], m.c), 12) DESC, m.label) AS r FROM embeddings JOIN m ON m.label <> embeddings.label), o AS (SELECT vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], m.c) AS own FROM embeddings JOIN m USING (label))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalar as S
@@ -23,12 +25,12 @@ def er1_exact_dedup(t):
     return t.entities.groupBy(F.lower("canonical_name").alias("name"), "entity_type").agg(F.min("entity_id").alias("entity_id"), F.count("*").alias("n"))
 
 
-@query("""WITH n AS MATERIALIZED (SELECT lower(canonical_name) AS name, min(entity_id) AS id FROM entities WHERE entity_type IN ('place', 'project') GROUP BY 1), w AS (SELECT id, unnest(string_split(regexp_replace(name, '[^a-z0-9]+', ' ', 'g'), ' ')) AS w FROM n), g AS MATERIALIZED (SELECT DISTINCT id, substr('  ' || w || ' ', i, 3) AS t FROM w, LATERAL (SELECT unnest(range(1, length(w) + 2)) AS i) u WHERE w <> ''), c AS (SELECT id, count(*) AS n FROM g GROUP BY 1)
-SELECT a.id AS a, b.id AS b, round(count(*)::DOUBLE / (ca.n + cb.n - count(*)), 6) AS similarity FROM g a JOIN g b ON a.t = b.t JOIN c ca ON ca.id = a.id JOIN c cb ON cb.id = b.id GROUP BY a.id, b.id, ca.n, cb.n HAVING count(*)::DOUBLE / (ca.n + cb.n - count(*)) >= 0.5""")
+@query("""WITH n AS MATERIALIZED (SELECT lower(canonical_name) AS name, min(entity_id) AS id FROM entities GROUP BY 1), w AS (SELECT id, unnest(string_split(regexp_replace(name, '[^a-z0-9]+', ' ', 'g'), ' ')) AS w FROM n), g AS MATERIALIZED (SELECT DISTINCT id, substr('  ' || w || ' ', i, 3) AS t FROM w, LATERAL (SELECT unnest(range(1, length(w) + 2)) AS i) u WHERE w <> ''), c AS (SELECT id, count(*) AS n FROM g GROUP BY 1)
+SELECT a.id AS a, b.id AS b, round(count(*)::DOUBLE / (ca.n + cb.n - count(*)), 6) AS similarity FROM g a JOIN g b ON a.t = b.t JOIN c ca ON ca.id = a.id JOIN c cb ON cb.id = b.id GROUP BY a.id, b.id, ca.n, cb.n HAVING count(*)::DOUBLE / (ca.n + cb.n - count(*)) >= 0.8""")
 def er2_fn1_similar_names(t):
-    """Places and projects; people and companies here are numbered names, all alike."""
-    n = t.entities.filter(F.col("entity_type").isin("place", "project")).select(F.col("entity_id").alias("id"), F.col("canonical_name").alias("name"))
-    return R.similar_names(n, n, 0.5).withColumn("similarity", F.round("similarity", 6))
+    """All entities; numbered names are alike when they differ in their last digits."""
+    n = t.entities.select(F.col("entity_id").alias("id"), F.col("canonical_name").alias("name"))
+    return R.similar_names(n, n, 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 _CENTRES = "ce AS MATERIALIZED (SELECT entity_id, list(m ORDER BY i) AS v FROM (SELECT entity_id, i, avg(e) AS m FROM (SELECT entity_id, unnest(embedding)::DOUBLE AS e, unnest(range(1, 65)) AS i FROM mentions) y GROUP BY 1, 2) x GROUP BY 1), me AS (SELECT entity_id, count(*) AS n FROM memory_entities GROUP BY 1)"
@@ -227,6 +229,28 @@ def er19_merge_entities(t):
     return facts.select("subject_id", "object_id", "fact_id", "confidence")
 
 
+_CASCADE = """c AS MATERIALIZED (SELECT s_suppkey AS k, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nxt, last_value(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM supplier),
+m AS MATERIALIZED (SELECT concat('S', k) AS source, concat('S', z) AS survivor FROM c WHERE nxt IS NOT NULL),
+fa AS (SELECT *, row_number() OVER (PARTITION BY s, predicate, o ORDER BY confidence DESC NULLS LAST, created_at DESC, fact_id) AS r FROM (SELECT fact_id, coalesce(x.survivor, subject_id) AS s, predicate, coalesce(y.survivor, object_id, object_value) AS o, confidence, created_at FROM facts LEFT JOIN m x ON x.source = subject_id LEFT JOIN m y ON y.source = object_id WHERE expired_at IS NULL AND predicate IN ('owns', 'located_in')) z WHERE s <> o)"""
+
+
+@query(f"""WITH {_CASCADE} SELECT 'fact' AS kind, s AS entity, fact_id AS item FROM fa WHERE r = 1
+UNION ALL SELECT DISTINCT 'alias', coalesce(survivor, entity_id), alias FROM aliases LEFT JOIN m ON source = entity_id WHERE entity_id LIKE 'S%'
+UNION ALL SELECT DISTINCT 'memory', coalesce(survivor, entity_id), memory_id::VARCHAR FROM memory_entities LEFT JOIN m ON source = entity_id
+UNION ALL SELECT 'event', coalesce(survivor, concat('S', user_id)), event_id::VARCHAR FROM events LEFT JOIN m ON source = concat('S', user_id)
+UNION ALL SELECT DISTINCT 'same_as', least(coalesce(x.survivor, a), coalesce(y.survivor, b)), greatest(coalesce(x.survivor, a), coalesce(y.survivor, b)) FROM (SELECT DISTINCT concat('S', l_suppkey) AS a, concat('S', l_partkey) AS b FROM lineitem) l LEFT JOIN m x ON x.source = a LEFT JOIN m y ON y.source = b WHERE coalesce(x.survivor, a) <> coalesce(y.survivor, b)
+UNION ALL SELECT 'history', survivor, source FROM m""")
+def er19_cascade(t):
+    """Each supplier merged into the next one of its nation: chains whose last one keeps everything of the others."""
+    s = t.supplier.select("s_suppkey", F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("next")).filter("next is not null")
+    name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
+    events = t.events.select("event_id", name("user_id").alias("entity_id"))
+    links = t.lineitem.select(name("l_suppkey").alias("a"), name("l_partkey").alias("b"))
+    out = R.merge_cascade(s.select(name("s_suppkey").alias("source"), name("next").alias("survivor")), t.facts.filter("expired_at is null and predicate in ('owns', 'located_in')"), t.aliases.filter("entity_id like 'S%'"), t.memory_entities, events, links)
+    rows = [("fact", "facts", "subject_id", "fact_id"), ("alias", "aliases", "entity_id", "alias"), ("memory", "memories", "entity_id", "memory_id"), ("event", "events", "entity_id", "event_id"), ("same_as", "same_as", "a", "b"), ("history", "history", "survivor", "source")]
+    return reduce(DataFrame.unionAll, [out[frame].select(F.lit(kind).alias("kind"), F.col(entity).alias("entity"), F.col(item).cast("string").alias("item")) for kind, frame, entity, item in rows])
+
+
 @query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey")
 def er20_same_as_links(t):
     return t.lineitem.filter("l_partkey <> l_suppkey").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
@@ -369,11 +393,11 @@ def ev5_ev6_citation_hits(t):
 
 
 @query("""WITH t AS (SELECT entity_id, entity_type, lower(canonical_name) AS name FROM entities), x AS (SELECT concat(o.entity_id, 'x') AS guess, substr(lower(canonical_name), 1, 5) AS name, CASE entity_type WHEN 'place' THEN 'Country' WHEN 'company' THEN 'organization' WHEN 'person' THEN 'individual' ELSE 'tool' END AS kind FROM entities o WHERE entity_type = 'place')
-SELECT guess, entity_id, CASE kind WHEN 'Country' THEN 'place' ELSE 'other' END = entity_type AS type_agrees FROM x JOIN t ON contains(t.name, x.name) WHERE entity_type IN ('place', 'project')""")
+SELECT guess, entity_id, CASE kind WHEN 'Country' THEN 'place' ELSE 'other' END = entity_type AS type_agrees FROM x JOIN t ON contains(t.name, x.name)""")
 def ev6_entity_matches(t):
     """Guessed names found inside known ones, and whether the types agree under their common names."""
     guess = t.entities.filter("entity_type = 'place'").select(F.concat("entity_id", F.lit("x")).alias("guess"), F.substring(F.lower("canonical_name"), 1, 5).alias("name"), F.lit("Country").alias("kind"))
-    known = t.entities.filter(F.col("entity_type").isin("place", "project")).select("entity_id", "entity_type", F.lower("canonical_name").alias("full"))
+    known = t.entities.select("entity_id", "entity_type", F.lower("canonical_name").alias("full"))
     met = known.join(F.broadcast(guess), F.contains("full", F.col("name")))  # places are the nations and regions
     return met.select("guess", "entity_id", (R.entity_type(F.col("kind")) == R.entity_type(F.col("entity_type"))).alias("type_agrees"))
 

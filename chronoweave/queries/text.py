@@ -104,12 +104,12 @@ def tx8_markdown_marks(t):
 
 
 @query("""WITH c AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[\\s]+', ' ', 'g') AS said, conv_id % 3 AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r, coalesce(role, 'none') AS role FROM conversations)
-SELECT conv_id, CASE kind WHEN 0 THEN 'vtt' WHEN 1 THEN 'srt' ELSE 'diarized' END AS format, CASE kind WHEN 0 THEN role WHEN 1 THEN 'Unknown' ELSE 'Speaker ' || upper(substr(role, 1, 1)) END AS speaker, count(*) AS segments, CAST(max(CASE WHEN kind < 2 THEN r * 2 + 1.5 END) AS DOUBLE) AS end_s FROM c WHERE trim(said) <> '' AND r < 1800 GROUP BY ALL""")
+SELECT conv_id, CASE kind WHEN 0 THEN 'vtt' WHEN 1 THEN 'srt' ELSE 'diarized' END AS format, CASE kind WHEN 0 THEN role WHEN 1 THEN 'Unknown' ELSE 'Speaker ' || upper(substr(role, 1, 1)) END AS speaker, count(*) AS segments, CAST(max(CASE WHEN kind < 2 THEN r * 2 + 1.5 END) AS DOUBLE) AS end_s FROM c WHERE trim(said) <> '' GROUP BY ALL""")
 def tx9_transcripts(t):
     """Conversations written as captions of both formats or with named lines, and read back as segments."""
-    at = lambda s: F.format_string("00:%02d:%02d", (s / 60).cast("int"), (s % 60).cast("int"))
+    at = lambda s: F.format_string("%02d:%02d:%02d", (s / 3600).cast("int"), (s % 3600 / 60).cast("int"), (s % 60).cast("int"))
     r = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    c = t.conversations.select("conv_id", "turn", F.coalesce("role", F.lit("none")).alias("role"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("said"), r.alias("r")).filter("said <> '' and r < 1800")
+    c = t.conversations.select("conv_id", "turn", F.coalesce("role", F.lit("none")).alias("role"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("said"), r.alias("r")).filter("said <> ''")
     start, kind = F.col("r") * 2, F.col("conv_id") % 3
     block = F.when(kind == 0, F.concat(at(start), F.lit(".000 --> "), at(start + 1), F.lit(".500\n<v "), "role", F.lit("> "), "said"))
     block = block.when(kind == 1, F.concat((F.col("r") + 1).cast("string"), F.lit("\n"), at(start), F.lit(",000 --> "), at(start + 1), F.lit(",500\n"), "said"))

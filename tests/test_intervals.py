@@ -58,3 +58,13 @@ def test_pair_rules(spark):
     df = spark.createDataFrame(rows, "pa string, oa string, pb string, ob string, overlaps boolean, want string")
     for r in df.withColumn("got", C.classify_pair(["owns"], ["lives_in"])).collect():
         assert r.got == r.want, r
+
+
+def test_merges_in_chains(spark):
+    from chronoweave.operators.resolution import closed_mapping
+
+    rows = [(str(i), str(i + 1)) for i in range(40)] + [("x", "5"), ("y", "y"), ("5", "6")]
+    got = {r.source: r.survivor for r in closed_mapping(spark.createDataFrame(rows, "source string, survivor string")).collect()}
+    assert got == {str(i): "40" for i in range(40)} | {"x": "40"}
+    with pytest.raises(ValueError, match="ring"):
+        closed_mapping(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "source string, survivor string"))
