@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from chronoweave.operators.components import connected_components
 from chronoweave.operators.blocks import bridges, cut_vertices
 from chronoweave.operators.intervals import numbered
 from chronoweave.operators.graph_cuts import betweenness, sampled_sources
-from chronoweave.plans.stash import stash
+from chronoweave.plans.stash import shared_dir, stash
 from chronoweave.registry import query
+from chronoweave.streaming import jobs
 
 
 def _edges(t):
@@ -168,12 +171,30 @@ def dr1_drift_magnitude(t):
     return met.select(F.col("vec_id").alias("entity"), F.round("d", 6).alias("drift"), F.when(F.col("d") >= 0.3, "reconcile").otherwise("none").alias("action"))
 
 
+def hourly_sweeps(t):
+    """(entity, cluster, at, value): hourly means of each event type, raised by 0.3 from the middle of the time on."""
+    hour = F.floor(F.unix_timestamp("ts") / 3600)
+    rows = t.events.groupBy(F.col("event_type").alias("entity"), hour.alias("at")).agg(F.least(F.lit(0.7), F.avg("value") / 200).alias("value"))
+    span = rows.agg(((F.min("at") + F.max("at")) / 2).alias("middle"))  # one row
+    return rows.crossJoin(F.broadcast(span)).select("entity", F.lit("a").alias("cluster"), "at", (F.col("value") + F.when(F.col("at") >= F.col("middle"), 0.3).otherwise(0.0)).alias("value"), (F.col("at") >= F.col("middle")).alias("late"))
+
+
 @query()
 def dr2_drift_changes(t):
-    """The daily mean of a user's values, folded before it is grouped: a row a user and day."""
-    day = F.unix_date(F.to_date("ts"))
-    sweeps = t.events.groupBy(F.col("user_id").alias("entity"), day.alias("at")).agg(F.least(F.lit(1.0), F.avg("value") / 100).alias("value"))
-    return V.drift_changes(sweeps, delta=0.5)
+    """The mean of every event type shifts once; a row for each sweep that finds it."""
+    return V.drift_changes(hourly_sweeps(t))
+
+
+@query()
+def st4_drift_stream(t):
+    """The same sweeps as a stream that is stopped in the middle: windows go on from their state."""
+    rows, base = hourly_sweeps(t).drop("late"), f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    halves = stash(hourly_sweeps(t))
+    for late in (False, True):
+        halves.filter(F.col("late") == late).drop("late").write.mode("append").parquet(f"{base}/in")
+        found = jobs.drift_stream(jobs.read_folder(t.spark, f"{base}/in", rows.schema, 1000))
+        found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(found.schema).parquet(f"{base}/out")
 
 
 @query(f"WITH {_KNN} SELECT query_id, id // 5 AS parent, round(max(s), 6) AS score, count(*) AS units FROM k WHERE rank <= 25 GROUP BY 1, 2")

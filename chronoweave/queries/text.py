@@ -229,7 +229,16 @@ def st1_streamed_units(t):
     return found.groupBy("doc_id").agg(F.count("*").cast("int").alias("units"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("""WITH e AS MATERIALIZED (SELECT event_type, ts, time_bucket(INTERVAL 1 HOUR, ts) AS start, event_id % 50 = 0 AS late FROM events), w AS (SELECT (SELECT max(ts) FROM e WHERE NOT late) - INTERVAL 10 MINUTE AS w1, (SELECT max(ts) FROM e) - INTERVAL 10 MINUTE AS w2)
+SELECT start, event_type, count(*) AS n FROM e, w WHERE start + INTERVAL 1 HOUR <= w2 AND (NOT late OR start + INTERVAL 1 HOUR > w1) GROUP BY 1, 2""")
 def st6_event_windows(t):
-    """The windowed counts that the stream keeps, over the whole table."""
-    return jobs.event_counts(t.events, "1 hour", "10 minutes")
+    """Windows that a stream closes; one event in fifty arrives after all others, and counts only where its window is open.
+
+    The stream stops and starts again from its checkpoint before the late events come.
+    """
+    base, events = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}", t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    for late in (False, True):
+        events.filter((F.col("event_id") % 50 == 0) == late).write.mode("append").parquet(f"{base}/in")
+        found = jobs.event_counts(jobs.read_folder(t.spark, f"{base}/in", events.schema, 100_000), "1 hour", "10 minutes")
+        found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(found.schema).parquet(f"{base}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -52,3 +52,9 @@ def test_query(spark, duck, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(df.columns)
     assert rows_of(df.columns, rows) == rows_of(names, found.fetchall())
+
+
+def test_a_drift_stream_equals_its_batch(spark):
+    batch = QUERIES["dr2_drift_changes"](spark, DATA).collect()
+    stream = [r for r in QUERIES["st4_drift_stream"](spark, DATA).collect() if r.kind == "change"]
+    assert batch and sorted((r.entity, r["at"]) for r in stream) == sorted((r.entity, r["at"]) for r in batch)
