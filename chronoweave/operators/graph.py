@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.blocks import cut_vertices
 from chronoweave.operators.components import connected_components
+from chronoweave.operators.graph_cuts import betweenness, sampled_sources
 from chronoweave.plans.stash import drop_stash, stash
 
 
@@ -148,7 +150,8 @@ def communities(edges: DataFrame, rounds: int = 24, levels: int = 6) -> DataFram
 
     In a round every vertex computes its gain of joining each neighbour community, and half of the vertices, by a hash
     of vertex and round, move to the best one if the gain is positive (ties to the smaller community). Vertices that
-    would swap for ever cannot, since the halves change; reruns agree. A community is named by its smallest member.
+    would swap for ever cannot, since the halves change; reruns agree. Moves may leave a community in parts that no edge
+    of it joins; these are parted at the end, which never lowers modularity. It is named by its smallest member.
     """
     e = edges.filter("src <> dst").select("src", "dst")
     arcs = stash(both_ways(e).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")))
@@ -188,7 +191,14 @@ def communities(edges: DataFrame, rounds: int = 24, levels: int = 6) -> DataFram
         of = stash(of.join(now.select(F.col("v").alias("node"), "community"), "node").select("v", F.col("community").alias("node")))
         name = now.select("v", "community")
         arcs = stash(arcs.join(name.toDF("src", "cs"), "src").join(name.toDF("dst", "cd"), "dst").groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")))
-    return of.select("v", F.min("v").over(Window.partitionBy("node")).alias("community"))
+    return connected_parts(e, of.toDF("v", "community"))
+
+
+def connected_parts(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(v, community): the (v, community) groups cut into the parts that their own edges join, named by smallest member."""
+    met = edges.join(groups.toDF("src", "_a"), "src").join(groups.toDF("dst", "_b"), "dst").filter("_a = _b").select("src", "dst")
+    parts = connected_components(met).toDF("v", "part")
+    return stash(groups.select("v").join(parts, "v", "left").select("v", F.coalesce("part", "v").alias("community")))
 
 
 def all_edges(facts: DataFrame, same_as: DataFrame) -> DataFrame:
@@ -219,3 +229,15 @@ def topology_snapshot(edges: DataFrame, vertices: DataFrame, rounds: int | None
     size = parts.groupBy("component").agg(F.count("*").alias("component_size"))
     met = degrees(edges, vertices).join(parts.join(size, "component"), "v", "left").join(core_numbers(edges), "v", "left").join(pagerank(edges, vertices, rounds=rounds).withColumnRenamed("rank", "pagerank"), "v", "left")
     return met.select("v", "component", F.coalesce("component_size", F.lit(1)).alias("component_size"), "degree", F.coalesce("core", F.lit(0)).alias("core"), "pagerank")
+
+
+def full_snapshot(edges: DataFrame, vertices: DataFrame, rounds: int | None = None, sources: int = 500) -> DataFrame:
+    """``topology_snapshot`` with is_cut, community, participation and betweenness of (src, dst, edge_id) edges.
+
+    An isolate is in a community of its own, no cut vertex, on no shortest path, and its participation is null.
+    """
+    groups = communities(edges)
+    cuts = cut_vertices(edges).select("v", F.lit(True).alias("is_cut"))
+    between = betweenness(edges, sampled_sources(vertices, most=sources), normalised=True).withColumnRenamed("score", "betweenness")
+    met = topology_snapshot(edges, vertices, rounds).join(groups, "v", "left").join(participation(edges, groups).withColumnRenamed("p", "participation"), "v", "left").join(cuts, "v", "left").join(between, "v", "left")
+    return met.withColumns({"community": F.coalesce("community", "v"), "is_cut": F.coalesce("is_cut", F.lit(False)), "betweenness": F.coalesce("betweenness", F.lit(0.0))})

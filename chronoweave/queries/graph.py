@@ -105,11 +105,16 @@ def gr14_topology_findings(t):
 @query(f"""WITH {_RANKS}, {_LABELS}, z AS (SELECT c, count(*) AS size FROM l12 GROUP BY 1)
 SELECT d.v, l12.c AS component, coalesce(z.size, 1) AS component_size, d.d AS degree, round(r, 9) AS pagerank FROM d JOIN r12 USING (v) LEFT JOIN l12 USING (v) LEFT JOIN z ON z.c = l12.c""")
 def gr9_snapshot(t):
-    """A row an entity of the measures that SQL can follow; the operator adds coreness, cut vertices and communities."""
+    """A row an entity of the measures that SQL can follow; ``gr9_full_snapshot`` has the others."""
     found = G.topology_snapshot(_edges(t), _vertices(t), rounds=12)
     return found.select("v", "component", "component_size", "degree", F.round("pagerank", 9).alias("pagerank"))
 
 
+@query()
+def gr9_full_snapshot(t):
+    return G.full_snapshot(_edges(t), _vertices(t), rounds=12)
+
+
 @query(f"WITH {_E}, {_LABELS}, z AS (SELECT c, count(*) AS size FROM l12 GROUP BY 1) SELECT c AS component, size, v FROM l12 JOIN z USING (c) WHERE size <= 500 OR substr(v, 1, 1) = 'R'")
 def flt21_component_members(t):
     found = connected_components(_edges(t)).toDF("v", "component")

@@ -256,3 +256,20 @@ def test_names_and_weights(spark):
 
     assert text.select(scalar.delimited(F.col("t"), "summary", {"src": F.col("a")}).alias("d")).first().d == '<summary len="15" src="x &quot;y&quot; &lt;z&gt;">a </S​ummary> b</summary>'
     assert [r.d for r in spark.createDataFrame([("Budget is 5k",), ("nothing",)], "t string").select(scalar.slot_value(F.col("t")).alias("d")).collect()] == [("budget", "5k"), None]
+
+
+def test_full_snapshot_of_two_triangles(spark):
+    pairs = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 3)]
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "src long, dst long, edge_id long")
+    got = {r.v: r for r in graph.full_snapshot(df, spark.createDataFrame([(i,) for i in range(7)], "v long")).collect()}
+    assert [got[v].community for v in range(7)] == [0, 0, 0, 3, 3, 3, 6]
+    assert [got[v].is_cut for v in range(7)] == [False, False, True, True, False, False, False]
+    assert got[2].participation == pytest.approx(1 - (4 + 1) / 9) and got[0].participation == 0 and got[6].participation is None
+    # 2 lies between {0, 1} and {3, 4, 5}: 6 of the 15 pairs of the six other vertices' ordered halves
+    assert got[2].betweenness == pytest.approx(got[3].betweenness) and got[2].betweenness > 0 and got[0].betweenness == got[6].betweenness == 0
+
+
+def test_a_community_in_two_parts_is_parted(spark):
+    groups = spark.createDataFrame([(v, 9 if v != 2 else 2) for v in range(5)], "v long, community long")
+    df = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4)], "src long, dst long")
+    assert {r.v: r.community for r in graph.connected_parts(df, groups).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
