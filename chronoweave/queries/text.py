@@ -33,19 +33,29 @@ def tx2_fn14_fact_units(t):
     return X.fact_units(t.documents, facts, "doc_id", "text").select("doc_id", "unit", "match_kind")
 
 
-@query("""WITH RECURSIVE l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, length(concat('[Session: ', conv_id, ']')) + 2 AS head, length(concat(upper(coalesce(role, '')), ': ', coalesce(text, ''))) AS line FROM conversations),
+_WINDOWS = """WITH RECURSIVE l AS (SELECT conv_id, turn, concat(upper(coalesce(role, '')), ': ', coalesce(text, '')) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, length(concat('[Session: ', conv_id, ']')) + 2 AS head, length(concat(upper(coalesce(role, '')), ': ', coalesce(text, ''))) AS line FROM conversations),
 w AS (SELECT conv_id, turn, r, head, 0::BIGINT AS win, CASE WHEN head + line > 600 THEN -(-line // (600 - head)) ELSE 1 END::BIGINT AS pieces, CASE WHEN head + line > 600 THEN head ELSE head + line + 2 END AS held, head + line <= 600 AS opened, CASE WHEN head + line > 600 THEN CAST(ceil(line / (600.0 - head)) AS BIGINT) ELSE 0 END AS nxt FROM l WHERE r = 1
 UNION ALL SELECT l.conv_id, l.turn, l.r, l.head, CASE WHEN l.head + l.line > 600 THEN w.nxt + w.opened::INT WHEN w.opened AND w.held + l.line + 2 > 600 THEN w.nxt + 1 ELSE w.nxt END,
   CASE WHEN l.head + l.line > 600 THEN CAST(ceil(l.line / (600.0 - l.head)) AS BIGINT) ELSE 1 END,
   CASE WHEN l.head + l.line > 600 THEN l.head WHEN w.opened AND w.held + l.line + 2 > 600 THEN l.head + l.line + 2 ELSE w.held + l.line + 2 END,
   l.head + l.line <= 600,
   CASE WHEN l.head + l.line > 600 THEN w.nxt + w.opened::INT + CAST(ceil(l.line / (600.0 - l.head)) AS BIGINT) WHEN w.opened AND w.held + l.line + 2 > 600 THEN w.nxt + 1 ELSE w.nxt END
-  FROM w JOIN l ON l.conv_id = w.conv_id AND l.r = w.r + 1)
+  FROM w JOIN l ON l.conv_id = w.conv_id AND l.r = w.r + 1)"""
+
+
+@query(f"""{_WINDOWS}
 SELECT w.conv_id, w.turn, w.win AS "window", CASE WHEN l.head + l.line > 600 THEN CAST(ceil(l.line / (600.0 - l.head)) AS BIGINT) ELSE 1 END AS pieces FROM w JOIN l ON l.conv_id = w.conv_id AND l.r = w.r""")
 def tx3_turn_windows(t):
     return X.turn_windows(t.conversations, 600)
 
 
+@query(f"""{_WINDOWS}, z AS (SELECT w.*, l.body, concat('[Session: ', w.conv_id, ']', chr(10), chr(10)) AS top, l.head + l.line > 600 AS big FROM w JOIN l ON l.conv_id = w.conv_id AND l.r = w.r)
+SELECT conv_id, win AS "window", CAST(count(*) AS INTEGER) AS turns, md5(concat(min(top), string_agg(body, chr(10) || chr(10) ORDER BY r))) AS h FROM z WHERE NOT big GROUP BY 1, 2
+UNION ALL SELECT conv_id, win + i, 1, md5(concat(top, substr(body, CAST(i * (600 - head) + 1 AS BIGINT), CAST(600 - head AS BIGINT)))) FROM (SELECT *, unnest(range(0, CAST(ceil(length(body) / (600.0 - head)) AS BIGINT))) AS i FROM z WHERE big) x""")
+def tx3_window_texts(t):
+    return X.window_texts(t.conversations, 600).select("conv_id", "window", "turns", F.md5(F.encode("content", "utf-8")).alias("h"))
+
+
 @query("""WITH RECURSIVE s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ps FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS r, len(ps) AS n FROM s WHERE length(text) > 800),
 w AS (SELECT doc_id, r, n, CAST(NULL AS VARCHAR) AS done, p AS now, p AS last FROM l WHERE r = 1
 UNION ALL SELECT l.doc_id, l.r, l.n, CASE WHEN w.now <> '' AND length(w.now) + length(l.p) + 1 > 800 THEN w.now END, CASE WHEN w.now <> '' AND length(w.now) + length(l.p) + 1 > 800 THEN CASE WHEN w.last <> '' THEN concat(w.last, chr(10), l.p) ELSE l.p END WHEN w.now <> '' THEN concat(w.now, chr(10), l.p) ELSE l.p END, l.p FROM w JOIN l ON l.doc_id = w.doc_id AND l.r = w.r + 1),
