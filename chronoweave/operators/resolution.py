@@ -293,12 +293,3 @@ def predicate_likeness(pairs: DataFrame, synonyms: dict[str, str]) -> DataFrame:
     known = F.element_at(table, F.col("pa")).isNotNull() | F.element_at(table, F.col("pb")).isNotNull()
     met = name_likeness(pairs, "pa", "pb", "names")
     return met.withColumn("score", 0.5 * F.col("cosine") + 0.3 * types + 0.1 * F.col("names") + 0.1 * F.when((head("pa") == head("pb")) & known, 1.0).otherwise(0.0))
-
-
-def cross_component_pairs(entities: DataFrame, least_size: int = 2) -> DataFrame:
-    """(a, b) of entities in one cluster but in different components of enough members: an equi-join on the cluster."""
-    size = entities.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= least_size)
-    e = entities.join(size, "component", "left_semi")
-    a = e.select("cluster", F.col("entity_id").alias("a"), F.col("component").alias("ca"))
-    b = e.select("cluster", F.col("entity_id").alias("b"), F.col("component").alias("cb"))
-    return a.join(b, "cluster").filter("ca < cb").select("a", "b", "ca", "cb")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalar as S
+from chronoweave.operators import bridges as B
 from chronoweave.operators import graph as G
 from chronoweave.operators import resolution as R
 from chronoweave.operators import tables as TB
@@ -167,24 +168,23 @@ sw AS (SELECT a.entity_id AS a, b.entity_id AS b, a.component AS ca, b.component
 sp AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY ca, cb ORDER BY s DESC, a, b) AS r FROM sw WHERE s >= 0.3) x WHERE r <= 5)"""
 
 
-def _scored(t, pairs):
-    c = _centres(t)
-    met = pairs.join(c.toDF("a", "va"), "a").join(c.toDF("b", "vb"), "b")
-    return met.withColumn("s", F.round(S.cosine(F.col("va"), F.col("vb")), 9)).drop("va", "vb")
+def _bridging(t):
+    """Entities of regions with their clusters; one has a core number of 1 or more exactly if it has an arc."""
+    arcs = t.facts.filter("expired_at is null and object_id is not null and subject_id <> object_id")
+    ends = arcs.select(F.col("subject_id").alias("entity_id")).union(arcs.select("object_id")).groupBy("entity_id").agg(F.lit(1).alias("k_core"))
+    sizes = t.regions_of.groupBy("component").agg(F.count("*").alias("component_size"))
+    topology = t.regions_of.join(sizes, "component").join(ends, "entity_id", "left")
+    return B.bridge_entities(topology, t.entity_clusters, t.participants).filter("cluster is not null")
 
 
 def _sweep(t):
-    e = t.regions_of.join(t.entity_clusters.select("entity_id", "cluster"), "entity_id")
-    sizes = t.regions_of.groupBy("component").agg(F.count("*").alias("n")).filter("n >= 2").select("component")
-    met = _scored(t, R.cross_component_pairs(e.join(sizes, "component", "left_semi"), 1)).filter("s >= 0.3")
-    r = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("s"), "a", "b"))
-    return met.withColumn("r", r).filter("r <= 5").select("a", "b")
+    return B.cross_component_best(_bridging(t), _centres(t))
 
 
 @query(f"WITH {_ACROSS} SELECT a, b FROM sp")
 def er14_er16_cross_component(t):
     """The best five pairs of every two components, of one cluster and similar enough."""
-    return _sweep(t)
+    return _sweep(t).select("a", "b")
 
 
 _DRIFT = f"""{_ACROSS}, tg AS (SELECT entity_id, label AS target FROM (SELECT entity_id, label, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, label) AS r FROM (SELECT m.entity_id, m.label, count(*) AS n FROM mentions m JOIN entity_clusters k ON k.entity_id = m.entity_id AND k.cluster <> m.label GROUP BY 1, 2) x) y WHERE r = 1),
@@ -195,23 +195,24 @@ def _drift_pairs(t):
     """An entity whose mentions drift to another cluster, with the ten nearest members of it in other components."""
     n = t.mentions.join(t.entity_clusters.select("entity_id", "cluster"), "entity_id").filter("cluster <> label").groupBy("entity_id", "label").agg(F.count("*").alias("n"))
     target = n.groupBy("entity_id").agg(F.min(F.struct(-F.col("n"), F.col("label"))).alias("m")).select("entity_id", F.col("m.label").alias("cluster"))
-    e = t.regions_of.join(t.entity_clusters.select("entity_id", "cluster"), "entity_id")
-    d = target.join(t.regions_of, "entity_id").join(e.select("entity_id"), "entity_id", "left_semi").toDF("a", "cluster", "ca")
-    met = _scored(t, d.join(e.select(F.col("entity_id").alias("b"), "cluster", F.col("component").alias("cb")), "cluster").filter("ca <> cb"))
-    r = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
-    return met.withColumn("r", r).filter("r <= 10").select("a", "b")
+    return B.drift_best(target.withColumnRenamed("cluster", "target"), _bridging(t), _centres(t))
 
 
 @query(f"WITH {_DRIFT} SELECT a, b FROM dp")
 def er15_drift_pairs(t):
-    return _drift_pairs(t)
+    return _drift_pairs(t).select("a", "b")
 
 
 @query(f"WITH {_DRIFT} SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT a, b FROM sp UNION ALL SELECT a, b FROM dp) x")
 def er16_policy_union(t):
     """Both policies, every pair once."""
-    both = _sweep(t).unionByName(_drift_pairs(t))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return B.bridge_pairs(_sweep(t), _drift_pairs(t)).select("a", "b")
+
+
+@query(f"WITH {_DRIFT}, al AS (SELECT a, b, s, false AS d FROM sw JOIN sp USING (a, b) UNION ALL SELECT least(a, b), greatest(a, b), round(list_cosine_similarity(x.v, y.v), 9), true FROM dp JOIN ce x ON x.entity_id = a JOIN ce y ON y.entity_id = b) SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(s), 6) AS score, bool_or(d) AS drift_driven FROM al GROUP BY 1, 2")
+def er14_er15_bridge_pairs(t):
+    """The pairs of both policies with their scores; what a drift drives stays marked though the sweep has it too."""
+    return B.bridge_pairs(_sweep(t), _drift_pairs(t)).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT max(o_orderdate) >= (SELECT max(l_shipdate) FROM lineitem) AS fresh FROM orders")
