@@ -73,24 +73,45 @@ def assistant_turn(text: Column) -> Column:
     return text.rlike(r"(?im)^\s*(assistant|ai|bot)\s*:")
 
 
-#: Irregular past forms of the predicate vocabulary.
-IRREGULAR = {"was": "be", "is": "be", "has": "have", "had": "have", "made": "make", "wrote": "write", "built": "build", "led": "lead", "ran": "run", "met": "meet", "left": "leave", "bought": "buy", "sold": "sell"}
+#: Irregular verbs, each with its other forms.
+IRREGULAR_VERBS = """
+be was is, bear bore, begin began begun, bend bent, break broke broken, bring brought, build built, buy bought, catch caught,
+choose chose chosen, come came, deal dealt, draw drew drawn, drink drank drunk, drive drove driven, feel felt, fight fought,
+find found, fly flew flown, freeze froze frozen, get got gotten, give gave given, go went, grow grew grown, have has had,
+hold held, keep kept, know knew known, lead led, leave left, lend lent, lose lost, make made, mean meant, meet met,
+ring rang rung, rise rose risen, run ran, say said, seek sought, sell sold, send sent, shine shone, sing sang sung, sit sat,
+speak spoke spoken, spend spent, stand stood, swear swore sworn, swim swam swum, take took taken, teach taught, tear tore torn,
+tell told, think thought, throw threw thrown, understand understood, visit visited visiting, wake woke woken, wear wore worn,
+write wrote written
+"""
+IRREGULAR = {form: verb for verb, *forms in (line.split() for line in IRREGULAR_VERBS.split(",")) for form in forms}
+
+#: What an ending becomes, the first that fits: a pattern of the whole word and the base form.
+ENDINGS = [
+    (r"^(.)ying$", "$1ie"),
+    (r"^(.+y)ing$", "$1"),
+    (r"^(.*([^aeiou]))\2ing$", "$1"),
+    (r"^(.+[aeiou][vtczgs])ing$", "$1e"),
+    (r"^(..+)ing$", "$1"),
+    (r"^.?ing$|^.ed$|^.s$|ss$", "$0"),
+    (r"^(..+)ied$", "$1y"),
+    (r"^(.*([^aeiou]))\2ed$", "$1"),
+    (r"^(.*(?:[aiou]s|[aiou]r|[aiu]g|[aiu]d|[aeiu]t|[aio]v|[ai]c|iz|in|[pbt]l|[rn][cs]|lv))ed$", "$1e"),
+    (r"^(..+)ed$", "$1"),
+    (r"^(..+)ies$", "$1y"),
+    (r"^(.*(?:ch|sh|ss)|.+[xz])es$", "$1"),
+    (r"^(..+)s$", "$1"),
+]
 
 
 def lemma(verb: Column) -> Column:
-    """The base form of a verb: an irregular form by table, else by its ending."""
+    """The base form of a verb in lower case without outer blanks: an irregular form by table, else by its ending."""
+    word = F.lower(F.trim(verb))
     table = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])
-    rules = (
-        F.when(verb.rlike("ies$"), F.regexp_replace(verb, "ies$", "y"))
-        .when(verb.rlike("ied$"), F.regexp_replace(verb, "ied$", "y"))
-        .when(verb.rlike("(ss|sh|ch|x|z|o)es$"), F.regexp_replace(verb, "es$", ""))
-        .when(verb.rlike("([bdgmnprt])\\1(ed|ing)$"), F.regexp_replace(verb, "([bdgmnprt])\\1(ed|ing)$", "$1"))
-        .when(verb.rlike("[aeiou][a-z]*(at|iz|ag|ut|ir|as|os|in|ov|iv|uc|ur|us)(ed|ing)$"), F.regexp_replace(verb, "(ed|ing)$", "e"))
-        .when(verb.rlike("[aeiou][a-z]*(ed|ing)$"), F.regexp_replace(verb, "(ed|ing)$", ""))
-        .when(verb.rlike("[^s]s$"), F.regexp_replace(verb, "s$", ""))
-        .otherwise(verb)
-    )
-    return F.coalesce(F.element_at(table, verb), rules)
+    base = word
+    for pattern, to in reversed(ENDINGS):
+        base = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, to) if to != "$0" else word).otherwise(base)
+    return F.coalesce(F.element_at(table, word), base)
 
 
 _DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]

@@ -419,10 +419,25 @@ def fn21_predicate_likeness(t):
     return R.predicate_likeness(met.withColumns({"type_a": kind("pa"), "type_b": kind("pb")}), {"PROMO": "LARGE"}).select("pa", "pb", F.round("score", 6).alias("score"))
 
 
-@query("SELECT event_type AS verb, CASE event_type WHEN 'purchase' THEN 'purchase' ELSE event_type END AS base, count(*) AS n FROM events GROUP BY 1, 2")
+_TWICE = "substr(verb, length(verb) - {0}, 1) = substr(verb, length(verb) - {0} - 1, 1) AND substr(verb, length(verb) - {0}, 1) NOT IN ('a', 'e', 'i', 'o', 'u')"
+_E_ENDS = "ate ize ise ase ose use ive ave ove ure ire ore are age uge ige ude ide ade ete ite ute ine ace ice ple ble tle rce nce lve rse nse".split()
+
+
+@query(f"""WITH i(verb, base) AS (VALUES {', '.join(f"('{f}', '{v}')" for f, v in S.IRREGULAR.items())}),
+v AS (SELECT verb, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS verb FROM documents UNION ALL SELECT event_type FROM events UNION ALL SELECT unnest(string_split(predicate, '_')) FROM facts) x GROUP BY 1)
+SELECT verb, coalesce(i.base, CASE WHEN verb LIKE '%ing' AND length(verb) > 4 THEN
+  CASE WHEN length(verb) = 5 AND verb LIKE '%ying' THEN concat(left(verb, 1), 'ie') WHEN verb LIKE '%ying' THEN left(verb, -3) WHEN {_TWICE.format(3)} THEN left(verb, -4)
+  WHEN length(verb) >= 6 AND contains('vtczgs', left(right(verb, 4), 1)) AND contains('aeiou', left(right(verb, 5), 1)) THEN concat(left(verb, -3), 'e') ELSE left(verb, -3) END
+WHEN verb LIKE '%ed' AND length(verb) > 3 THEN CASE WHEN verb LIKE '%ied' AND length(verb) > 4 THEN concat(left(verb, -3), 'y') WHEN {_TWICE.format(2)} THEN left(verb, -3)
+  WHEN left(right(verb, 4), 3) IN ({", ".join(f"'{e}'" for e in _E_ENDS)}) THEN left(verb, -1) ELSE left(verb, -2) END
+WHEN verb LIKE '%s' AND length(verb) > 2 AND verb NOT LIKE '%ss' THEN CASE WHEN verb LIKE '%ies' AND length(verb) > 4 THEN concat(left(verb, -3), 'y')
+  WHEN length(verb) > 3 AND (verb LIKE '%ches' OR verb LIKE '%shes' OR verb LIKE '%sses' OR verb LIKE '%xes' OR verb LIKE '%zes') THEN left(verb, -2) ELSE left(verb, -1) END
+ELSE verb END) AS base, n FROM v LEFT JOIN i USING (verb)""")
 def fn20_lemma(t):
-    verbs = t.events.groupBy(F.col("event_type").alias("verb")).agg(F.count("*").alias("n"))
-    return verbs.withColumn("base", S.lemma(F.col("verb"))).select("verb", "base", "n")
+    """Base forms of all lower-case words of the documents, of event types and of the words of predicates."""
+    words = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("verb"))
+    words = words.union(t.events.select("event_type")).union(t.facts.select(F.explode(F.split("predicate", "_"))))
+    return words.groupBy("verb").agg(F.count("*").alias("n")).select("verb", S.lemma(F.col("verb")).alias("base"), "n")
 
 
 @query("SELECT user_id, CASE WHEN last < TIMESTAMP '2024-01-08' THEN 'due' ELSE 'fresh' END AS state FROM (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) x")

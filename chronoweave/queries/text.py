@@ -76,10 +76,28 @@ def tx5_book_chunks(t):
     return X.book_chunks(t.documents, "doc_id", "text", 120, 900, 60, "\n").select("doc_id", "piece", F.md5(F.encode("content", "utf-8")).alias("h"))
 
 
-@query("""SELECT DISTINCT doc_id, lower(s) AS subject, lower(r) AS relation, lower(o) AS object, CAST(0.7 AS DOUBLE) AS confidence FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(\\p{L}+) (of|in|to|von|der|de|la) (\\p{L}+)', 1)) AS s, unnest(regexp_extract_all(text, '(?i)(\\p{L}+) (of|in|to|von|der|de|la) (\\p{L}+)', 2)) AS r, unnest(regexp_extract_all(text, '(?i)(\\p{L}+) (of|in|to|von|der|de|la) (\\p{L}+)', 3)) AS o FROM documents) x
-WHERE lower(s) NOT IN ('i', 'you', 'he', 'she', 'it', 'we', 'they', 'this', 'that', 'there') AND lower(o) NOT IN ('i', 'you', 'he', 'she', 'it', 'we', 'they', 'this', 'that', 'there')""")
+_SAID = [" works at ", " is employed by ", " formerly for ", " is the CEO of ", " leads ", " reports to ", " lives in ", " is based in ", " moved to ", " knows ", " is friends with ", " met ", " is married to ", "'s spouse ", " built ", " founded ", " graduated from ", " attends "]
+_SENTENCES = """
+SELECT concat('d', CAST(doc_id AS VARCHAR(20))) AS id, text FROM documents
+UNION ALL SELECT fact_id, concat(replace(s.canonical_name, '#', ' '), {verb}, replace(o.canonical_name, '#', ' '), '.')
+FROM facts JOIN entities s ON s.entity_id = subject_id JOIN entities o ON o.entity_id = object_id"""
+_VERB = "CASE CAST(substr(object_id, 2) AS BIGINT) % 18 " + " ".join(f"WHEN {i} THEN '{v.replace(chr(39), chr(39) * 2)}'" for i, v in enumerate(_SAID)) + " END"
+_HITS = " UNION ALL ".join(
+    f"SELECT id, {i} AS phrase, '{p}' AS predicate, '{h}' AS temporal_hint, " + ", ".join("unnest(regexp_extract_all(text, '{}', {})) AS {}".format(X.relation_pattern(f).replace("'", "''"), g, c) for g, c in ((0, "hit"), (1, "subject"), (2, "object"))) + ", unnest(range(len(regexp_extract_all(text, '{}')))) AS n FROM x".format(X.relation_pattern(f).replace("'", "''"))
+    for i, (f, p, h) in enumerate(X.RELATIONS)
+)
+
+
+@query(f"""WITH x AS ({_SENTENCES.format(verb=_VERB)}), h AS ({_HITS}), r AS (SELECT *, row_number() OVER (PARTITION BY id, lower(subject), predicate, lower(object) ORDER BY phrase, n) AS r FROM h WHERE length(subject) >= 2 AND length(object) >= 2 AND lower(subject) NOT IN ('i', 'we', 'you', 'he', 'she', 'it', 'they'))
+SELECT id, subject, predicate, object, temporal_hint, CAST(0.7 AS DOUBLE) AS confidence, substr(hit, 1, 100) AS source FROM r WHERE r = 1""")
 def tx6_relations(t):
-    return X.relations(t.documents, "doc_id", "text", ["of", "in", "to", "von", "der", "de", "la"])
+    """Typed relations in all documents and in the facts as sentences, each fact by one of the eighteen phrases."""
+    verb = F.element_at(F.array(*[F.lit(v) for v in _SAID]), (F.substring("object_id", 2, 20).cast("long") % 18 + 1).cast("int"))
+    name = lambda side: t.entities.select(F.col("entity_id").alias(side), F.replace("canonical_name", F.lit("#"), F.lit(" ")).alias(f"{side}_name"))
+    facts = t.facts.select("fact_id", "subject_id", "object_id").join(name("subject_id"), "subject_id").join(name("object_id"), "object_id")
+    said = facts.select(F.col("fact_id").alias("id"), F.concat("subject_id_name", verb, "object_id_name", F.lit(".")).alias("text"))
+    texts = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text").unionByName(said)
+    return X.best_relations(X.relations(texts, "id", "text"), "id")
 
 
 _HAS = lambda marks: " OR ".join("contains(lower(text), '" + m.replace("'", "''") + "')" for m in marks)
