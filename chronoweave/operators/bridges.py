@@ -44,15 +44,19 @@ def _usable(vector: Column) -> Column:
 def _packed(rows: DataFrame, cell_rows: int) -> DataFrame:
     """(cluster, dim, cell, ids, components, vectors, middle, spread) from (entity_id, component, cluster, centre).
 
-    A cell holds vectors with the same largest component (and its sign), about ``cell_rows`` of them by the hash of the id.
+    A cell holds vectors with the same largest component (and its sign), about ``cell_rows`` of them by the hash of the id;
+    in a cluster of fewer cells than there are such components, those of several.
     ``vectors`` are the unit vectors, ``middle`` is the direction of their sum and ``spread`` the widest angle to it.
     """
     v = rows.filter("cluster is not null and component is not null").filter(_usable(F.col("centre")))
     v = v.withColumn("centre", F.transform("centre", lambda x: x.cast("double"))).withColumn("dim", F.size("centre"))
     largest = F.array_max(F.transform("centre", lambda x, i: F.struct(F.abs(x).alias("x"), i.alias("i"), (x > 0).alias("s"))))
     v = v.withColumn("code", F.when(largest["s"], largest["i"] + 1).otherwise(-largest["i"] - 1))
-    parts = v.groupBy("cluster", "dim", "code").agg(F.ceil(F.count("*") / cell_rows).alias("parts"))
-    v = v.join(parts, ["cluster", "dim", "code"]).withColumn("part", F.pmod(F.xxhash64("entity_id"), F.col("parts")))
+    counts = v.groupBy("cluster", "dim", "code").agg(F.count("*").alias("n"))  # at most two rows a component of the vectors
+    enough = F.ceil(F.sum("n").over(Window.partitionBy("cluster", "dim")) / cell_rows)
+    counts = counts.withColumn("slot", F.pmod("code", enough))
+    parts = F.ceil(F.sum("n").over(Window.partitionBy("cluster", "dim", "slot")) / cell_rows)
+    v = v.join(counts.select("cluster", "dim", "code", "slot", parts.alias("parts")), ["cluster", "dim", "code"]).withColumn("part", F.pmod(F.xxhash64("entity_id"), F.col("parts")))
     kinds = dict(v.dtypes)
 
     def pack(cell: pd.DataFrame) -> pd.DataFrame:
@@ -63,11 +67,11 @@ def _packed(rows: DataFrame, cell_rows: int) -> DataFrame:
         middle = middle / max(np.linalg.norm(middle), 1e-300)
         spread = float(np.arccos(np.clip(x @ middle, -1, 1)).max())
         first = cell.iloc[0]
-        told = [first["cluster"], first["dim"], f"{first['code']}:{first['part']}", list(cell["entity_id"]), list(cell["component"]), x.tobytes(), list(middle), spread]
+        told = [first["cluster"], first["dim"], f"{first['slot']}:{first['part']}", list(cell["entity_id"]), list(cell["component"]), x.tobytes(), list(middle), spread]
         return pd.DataFrame([told], columns=["cluster", "dim", "cell", "ids", "components", "vectors", "middle", "spread"])
 
     kind = f"cluster {kinds['cluster']}, dim int, cell string, ids array<{kinds['entity_id']}>, components array<{kinds['component']}>, vectors binary, middle array<double>, spread double"
-    return v.groupBy("cluster", "dim", "code", "part").applyInPandas(pack, kind)
+    return v.groupBy("cluster", "dim", "slot", "part").applyInPandas(pack, kind)
 
 
 def _best(x: pd.DataFrame, keys: list[str], most: int) -> pd.DataFrame:

@@ -177,42 +177,49 @@ def _bridging(t):
     return B.bridge_entities(topology, t.entity_clusters, t.participants).filter("cluster is not null")
 
 
-def _sweep(t):
-    return B.cross_component_best(_bridging(t), _centres(t))
+def _held(t):
+    """Entities that may bridge components, and their centres, each worked out once."""
+    return stash(_bridging(t)), stash(_centres(t))
+
+
+def _sweep(held):
+    return B.cross_component_best(*held)
 
 
 @query(f"WITH {_ACROSS} SELECT a, b FROM sp")
 def er14_er16_cross_component(t):
     """The best five pairs of every two components, of one cluster and similar enough."""
-    return _sweep(t).select("a", "b")
+    return _sweep(_held(t)).select("a", "b")
 
 
 _DRIFT = f"""{_ACROSS}, tg AS (SELECT entity_id, label AS target FROM (SELECT entity_id, label, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, label) AS r FROM (SELECT m.entity_id, m.label, count(*) AS n FROM mentions m JOIN entity_clusters k ON k.entity_id = m.entity_id AND k.cluster <> m.label GROUP BY 1, 2) x) y WHERE r = 1),
 dp AS (SELECT a, b FROM (SELECT g.entity_id AS a, e.entity_id AS b, row_number() OVER (PARTITION BY g.entity_id ORDER BY round(list_cosine_similarity(x.v, y.v), 9) DESC, e.entity_id) AS r FROM tg g JOIN en o ON o.entity_id = g.entity_id JOIN en e ON e.cluster = g.target AND e.component <> o.component JOIN ce x ON x.entity_id = g.entity_id JOIN ce y ON y.entity_id = e.entity_id) z WHERE r <= 10)"""
 
 
-def _drift_pairs(t):
+def _drift_pairs(t, held):
     """An entity whose mentions drift to another cluster, with the ten nearest members of it in other components."""
     n = t.mentions.join(t.entity_clusters.select("entity_id", "cluster"), "entity_id").filter("cluster <> label").groupBy("entity_id", "label").agg(F.count("*").alias("n"))
     target = n.groupBy("entity_id").agg(F.min(F.struct(-F.col("n"), F.col("label"))).alias("m")).select("entity_id", F.col("m.label").alias("cluster"))
-    return B.drift_best(target.withColumnRenamed("cluster", "target"), _bridging(t), _centres(t))
+    return B.drift_best(target.withColumnRenamed("cluster", "target"), *held)
 
 
 @query(f"WITH {_DRIFT} SELECT a, b FROM dp")
 def er15_drift_pairs(t):
-    return _drift_pairs(t).select("a", "b")
+    return _drift_pairs(t, _held(t)).select("a", "b")
 
 
 @query(f"WITH {_DRIFT} SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT a, b FROM sp UNION ALL SELECT a, b FROM dp) x")
 def er16_policy_union(t):
     """Both policies, every pair once."""
-    return B.bridge_pairs(_sweep(t), _drift_pairs(t)).select("a", "b")
+    held = _held(t)
+    return B.bridge_pairs(_sweep(held), _drift_pairs(t, held)).select("a", "b")
 
 
 @query(f"WITH {_DRIFT}, al AS (SELECT a, b, s, false AS d FROM sw JOIN sp USING (a, b) UNION ALL SELECT least(a, b), greatest(a, b), round(list_cosine_similarity(x.v, y.v), 9), true FROM dp JOIN ce x ON x.entity_id = a JOIN ce y ON y.entity_id = b) SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(s), 6) AS score, bool_or(d) AS drift_driven FROM al GROUP BY 1, 2")
 def er14_er15_bridge_pairs(t):
     """The pairs of both policies with their scores; what a drift drives stays marked though the sweep has it too."""
-    return B.bridge_pairs(_sweep(t), _drift_pairs(t)).withColumn("score", F.round("score", 6))
+    held = _held(t)
+    return B.bridge_pairs(_sweep(held), _drift_pairs(t, held)).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT max(o_orderdate) >= (SELECT max(l_shipdate) FROM lineitem) AS fresh FROM orders")
