@@ -1,7 +1,10 @@
+import time
 import tracemalloc
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
+
 from chronoweave.operators import vectors as V
 
 
@@ -29,3 +32,32 @@ def test_nearest_with_many_ties(spark):
     for q in range(20):
         want = sorted(range(300), key=lambda i: (-s[q % 7, i % 7], i))[:9]
         assert [r["id"] for r in found if r["query_id"] == q] == want
+
+
+def test_expansion_against_all_walks(spark):
+    rng = np.random.default_rng(7)
+    kinds = ["located_in", "part_of", "lives_in", "owns"]
+    facts = [(f"f{i}", kinds[rng.integers(4)], f"v{rng.integers(30)}", f"v{rng.integers(30)}") for i in range(120)]
+    anchors = [(q, f"v{rng.integers(32)}") for q in range(12) for _ in range(2)]
+    weights = {"located_in": 1.0, "part_of": 0.8, "lives_in": 0.6}
+    for depth, most in ((1, 4), (2, 5), (3, 6)):
+        got = V.expand_anchors(spark.createDataFrame(anchors, "query_id long, entity_id string"), spark.createDataFrame(facts, "fact_id string, predicate string, subject_id string, object_id string"), weights, depth, most)
+        want = []
+        for q in range(12):
+            best, front = {}, {e for x, e in anchors if x == q}
+            for hop in range(1, depth + 1):
+                met = [f for f in facts if f[2] in front or f[3] in front]
+                for f in met:
+                    best.setdefault((f[0], weights.get(f[1], 0.4)), hop)
+                front = {f[3] for f in met if f[2] in front} | {f[2] for f in met if f[3] in front}
+            want += [(q, *k, h) for k, h in sorted(best.items(), key=lambda x: (-x[0][1], x[1], x[0][0]))[:most]]
+        assert sorted(map(tuple, got.select("query_id", "fact_id", "predicate_weight", "hop").collect())) == sorted(want)
+
+
+def test_expansion_of_a_hub_is_done_once(spark):
+    """Thousands of queries at a vertex of thousands of facts: a row for each of them would be 150 million."""
+    facts = spark.range(30_000).select(F.concat(F.lit("f"), "id").alias("fact_id"), F.lit("lives_in").alias("predicate"), F.concat(F.lit("c"), "id").alias("subject_id"), F.lit("hub").alias("object_id"))
+    anchors = spark.range(5_000).select(F.col("id").alias("query_id"), F.lit("hub").alias("entity_id"))
+    began = time.monotonic()
+    assert V.expand_anchors(anchors, facts, {"lives_in": 0.6}, 2, 20).count() == 100_000
+    assert time.monotonic() - began < 60
