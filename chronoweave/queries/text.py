@@ -204,12 +204,9 @@ def ev3_unit_sweep(t):
     cut = [X.units(d, "doc_id", "text", size, size // 2).withColumn("config", F.lit(size)) for size in (128, 256)]
     u = cut[0].unionByName(cut[1])
     n = d.filter("doc_id % 20 = 0 and length(text) >= 200").select(F.col("doc_id").alias("needle"), "doc_id", F.lit(40).alias("first"), F.lit(90).alias("last"), F.substring("text", 41, 50).alias("q"))
-    w = n.select("needle", F.explode(F.array_distinct(F.split("q", " "))).alias("w"))
-    k = w.groupBy("needle").agg(F.count("*").alias("n"))
-    x = u.select("config", "doc_id", "unit", F.explode(F.array_distinct(F.split("content", " "))).alias("w"))
-    s = w.join(x, "w").groupBy("config", "needle", "doc_id", "unit").agg(F.count("*").alias("k")).join(k, "needle").withColumn("score", F.col("k") / F.col("n"))
-    r = F.row_number().over(Window.partitionBy("config", "needle").orderBy(F.desc("score"), "doc_id", "unit"))
     gold = X.needle_units(n.drop("q"), u.drop("content"), "doc_id")
+    s = X.contending_units(n.select("needle", F.array_distinct(F.split("q", " ")).alias("asked")), u.select("config", "doc_id", "unit", F.array_distinct(F.split("content", " ")).alias("held")), gold)
+    r = F.row_number().over(Window.partitionBy("config", "needle").orderBy(F.desc("score"), "doc_id", "unit"))
     return X.sweep_scores(s.withColumn("rank", r).filter("rank <= 50"), gold, ["doc_id", "unit"])
 
 
