@@ -31,7 +31,7 @@ def test_hops_against_search(spark):
 
 
 def test_hops_of_a_star_are_not_shuffled_in_pairs(spark):
-    """All 2,000 leaves are seeds: 4 million pairs, which took 100 MB and more."""
+    """All 2,000 leaves are seeds: 4 million pairs."""
     leaves = spark.range(2000).select(F.concat(F.lit("leaf"), "id").alias("src"), F.lit("hub").alias("dst"))
     found = G.hops(leaves, leaves.select(F.col("src").alias("seed")), 2)
     before = shuffled(spark)
