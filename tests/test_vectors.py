@@ -61,3 +61,28 @@ def test_expansion_of_a_hub_is_done_once(spark):
     began = time.monotonic()
     assert V.expand_anchors(anchors, facts, {"lives_in": 0.6}, 2, 20).count() == 100_000
     assert time.monotonic() - began < 60
+
+
+def test_similar_pairs_against_all(spark):
+    """Several blocks; null and zero vectors, an id twice."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(150, 3))
+    rows = [(f"v{i}", x.tolist()) for i, x in enumerate(base)] + [("zero", [0.0] * 3), ("null", None), ("v3", base[3].tolist())]
+    found = [(r["a"], r["b"]) for r in V.similar_pairs(spark.createDataFrame(rows, "id string, vector array<double>"), 0.5, block_rows=40).collect()]
+    n = base / np.linalg.norm(base, axis=1)[:, None]
+    s = n @ n.T
+    ids = [f"v{i}" for i in range(150)]
+    want = [tuple(sorted((ids[i], ids[j]))) for i in range(150) for j in range(i) if s[i, j] >= 0.5]
+    want += [tuple(sorted(("v3", ids[j]))) for j in range(150) if j != 3 and s[3, j] >= 0.5]
+    assert sorted(found) == sorted(want)
+
+
+def test_similar_pairs_leave_a_task_in_parts():
+    """All 18 million pairs of a block are similar: as one frame they alone take 430 MB."""
+    rows = pd.DataFrame({"id": range(6000), "vector": [np.array([1.0, 2.0])] * 6000, "_q": 0, "_r": 0})
+    tracemalloc.start()
+    found = sum(len(part) for part in V.pairs_of_blocks(iter([rows.assign(_side=0), rows.assign(_side=1)]), 0.9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 6000 * 5999 // 2
+    assert peak < 250_000_000
