@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,15 +68,35 @@ def condensed(points: DataFrame, tree: DataFrame, min_size: int) -> tuple[DataFr
     return left, stash(clusters.join(mass, "cluster", "left").select("cluster", "parent", "born", F.coalesce("own", F.lit(0.0)).alias("own")))
 
 
-def stable(clusters: DataFrame) -> DataFrame:
+def _stable(rows: pd.DataFrame) -> pd.DataFrame:
+    """``stable`` of the (cluster, parent, own) rows of whole trees; a parent's name is greater than its children's."""
+    rows = rows.sort_values("cluster", ignore_index=True)
+    place = {c: i for i, c in enumerate(rows["cluster"].tolist())}
+    up = [-1 if pd.isna(p) else place[int(p)] for p in rows["parent"]]
+    own, below, chosen = rows["own"].tolist(), [0.0] * len(rows), [None] * len(rows)
+    for i, p in enumerate(up):
+        if p >= 0:
+            below[p] += max(own[i], below[i])
+    names = rows["cluster"].tolist()
+    for i in reversed(range(len(rows))):
+        above = chosen[up[i]] if up[i] >= 0 else None
+        chosen[i] = above if above is not None else names[i] if own[i] >= below[i] else None
+    return pd.DataFrame({"cluster": rows["cluster"], "chosen": pd.array(chosen, dtype="Int64")})
+
+
+def stable(clusters: DataFrame, task_clusters: int = TASK_EDGES) -> DataFrame:
     """(cluster, chosen): for every cluster the most stable one that is chosen at or above it, if there is one.
 
     From the leaves up, a cluster is as stable as it is itself or as the best below it are together; the root of all is
-    never chosen. A round a level of the condensed tree.
+    never chosen. Up to ``task_clusters`` clusters, which a chain of splits may hold one by one, are one task's; more take
+    a round a level of the condensed tree.
     """
     roots = clusters.filter("parent is null")
     only = roots.count() == 1
     rows = clusters.select("cluster", "parent", F.when(F.col("parent").isNull() & F.lit(only), F.lit(-1.0)).otherwise(F.col("own")).alias("own"))
+    if rows.count() <= task_clusters:
+        kind = dict(rows.dtypes)["cluster"]
+        return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(_stable, f"cluster {kind}, chosen {kind}")
     kids = rows.filter("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.count("*").alias("kids"))
     waits = stash(rows.join(kids, "cluster", "left").select("cluster", "parent", "own", F.coalesce("kids", F.lit(0)).alias("kids"), F.lit(0.0).alias("below")))
     done = None
@@ -86,6 +107,7 @@ def stable(clusters: DataFrame) -> DataFrame:
         waits = stash(waits.filter("kids > 0").join(up, "cluster", "left").select("cluster", "parent", "own", (F.col("kids") - F.coalesce("k", F.lit(0))).alias("kids"), (F.col("below") + F.coalesce("b", F.lit(0.0))).alias("below")))
     if done is None:
         return clusters.select("cluster", F.col("cluster").alias("chosen"))
+    done = stash(done)  # one table, not one a level, for the way down
     front, told = stash(done.filter("parent is null").select("cluster", F.when(F.col("takes"), F.col("cluster")).alias("chosen"))), None
     while not front.isEmpty():
         told = front if told is None else told.unionByName(front)

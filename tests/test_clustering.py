@@ -137,3 +137,37 @@ def test_clusters_equal_the_plain_tree(spark, min_size, task_edges):
             assert math.isclose(got[i].probability, want[i][1], rel_tol=1e-6)
     assert sorted(map(sorted, groups[0].values())) == sorted(map(sorted, groups[1].values()))
     assert [len(groups[0][c]) for c in range(len(groups[0]))] == sorted(map(len, groups[0].values()), reverse=True)
+
+
+def test_a_chain_of_splits_is_one_task(spark):
+    """A condensed tree of 400 levels, each with a leaf; by levels as well on a small one."""
+    import random
+
+    from chronoweave.operators.clustering import stable
+
+    def chosen(rows):
+        own, kids = {c: o for c, _, o in rows}, {}
+        for c, p, _ in rows:
+            kids.setdefault(p, []).append(c)
+        tops = kids[None]
+        if len(tops) == 1:
+            own[tops[0]] = -1.0
+        best, out = {}, {}
+        for c in sorted(own):
+            best[c] = max(own[c], sum(best[k] for k in kids.get(c, [])))
+        for c in sorted(own, reverse=True):
+            p = next(p for k, p, _ in rows if k == c)
+            out[c] = (out[p] if p is not None else None) or (c if own[c] >= sum(best[k] for k in kids.get(c, [])) else None)
+        return out
+
+    rng = random.Random(2)
+    for levels, roots, most in ((400, 1, 10_000), (6, 2, 1), (6, 2, 10_000)):
+        rows = []
+        for r in range(roots):
+            names = [1000 * (r + 1) - 2 * i for i in range(levels)]
+            rows += [(c, names[i - 1] if i else None, rng.random() * (levels - i)) for i, c in enumerate(names)]
+            rows += [(c - 3, c, rng.random()) for c in names]
+        df = spark.createDataFrame([(c, p, 0.0, o) for c, p, o in rows], "cluster long, parent long, born double, own double")
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+        assert {r.cluster: r.chosen for r in stable(df, most).collect()} == chosen(rows)
+        assert levels < 100 or len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before < 20
