@@ -15,9 +15,11 @@ the ones of a passage that stands in many documents.
 
 Equal sets are collapsed to classes first. Documents that share a signature are candidates. A parity bitmap, whose
 distance never exceeds the sets' difference, drops most false ones, and the rest are verified on whole sets. Star
-rounds compare the members of a signature with one pivot, at first any, then the one with the most links; the last
-round compares all members whose components still differ, so components are those of all links, and a group of near
-copies does not make all its pairs.
+rounds compare the members of a signature with one pivot, at first any, then the one with the most links. The last
+round takes all sets that still share a signature with another component and compares those that the prefix filter lets
+meet, so components are those of all links, and a group of near copies does not make all its pairs: shingles are put in
+order from the rarest on, and a linked pair shares one within so few of the first that a set with more differences of
+its own meets nobody.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from chronoweave.plans.stash import drop_stash, stash
 #: Most ids that are broadcast as a filter (16 MB); beyond it the filter is a shuffle join.
 BROADCAST_IDS = 2_000_000
 PARITY_WORDS = 8
+#: Sizes in one class of the prefix filter differ by at most a part in so many.
+SIZE_CLASS = 32
 #: Groups, as a share of those that the pigeonholes need, whose shared signatures each set may leave out.
 HOT_SHARE = 0.04
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -246,6 +250,55 @@ def shared_signatures(signed: DataFrame, sizes: DataFrame, edges: list[int], pla
     return rows.filter(F.col("r") > F.coalesce(most, F.lit(0))).select("sig", "cid", "low")
 
 
+def size_classes(most: int) -> list[int]:
+    """Lower edges of the prefix filter's classes of set sizes."""
+    edges = [1]
+    while edges[-1] <= most:
+        edges.append(edges[-1] + max(1, edges[-1] // SIZE_CLASS))
+    return edges
+
+
+def prefix_pairs(comp: DataFrame, docs: DataFrame, n: int, num: int, den: int, most: int) -> DataFrame:
+    """Pairs (a, b), a < b, of the sets of stashed (cid, comp) in different components that may be linked.
+
+    Shingles are ordered by the number of these sets that hold them, rarest first. If two sets of sizes x and y share s
+    shingles, the first shared one has at least s - 1 others behind it in both: it is among the first x - s + 1 of the
+    one and y - s + 1 of the other. Rows meet by shingle and by the classes of both sizes, which bound s from below; in
+    each meeting the members of the largest component are not compared with each other.
+    """
+    edge = np.array(size_classes(most * den // num + 1))
+
+    def describe(ids, shingles, bounds):
+        size = np.diff(bounds)
+        return [ids, pa.array(size), pa.array(np.searchsorted(edge, size, side="right") - 1), _lists(shingles.view(np.int64), bounds)]
+
+    sets = _map_sets(_only(docs, comp.select(F.col("cid").alias("doc_id")), "left_semi"), n, "cid long, n long, k long, shingles array<long>", describe)
+    rows = sets.filter("n > 0").withColumn("rid", F.xxhash64("shingles")).dropDuplicates(["cid", "rid"]).select("cid", "rid", "n", "k", F.explode("shingles").alias("s"))
+    rows = rows.withColumn("held", F.count("*").over(Window.partitionBy("s")))
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("cid", "rid").orderBy("held", "s"))).filter("held > 1")
+    smallest = F.ceil(F.col("n") * num / den)  # of a partner
+    within = lambda size: F.col("pos") <= F.col("n") - F.ceil((F.col("n") + F.greatest(size, smallest)) * num / (num + den)) + 1
+    rows = rows.filter(within(smallest))
+    # the classes of partners, with the least and greatest size in each
+    classes = F.array(*[F.struct(*[F.lit(int(x)).cast("long").alias(c) for c, x in (("c", i), ("low", edge[i]), ("top", edge[i + 1] - 1))]) for i in range(len(edge) - 1)])
+    reach = int((np.searchsorted(edge, edge * den // num + 1, side="right") - np.arange(len(edge))).max())
+    near = F.explode(F.slice(classes, F.greatest(F.col("k") - reach, F.lit(0)).cast("int") + 1, 2 * reach + 1)).alias("p")
+    told = rows.select("cid", "n", "k", "s", "pos", near).filter((F.col("p.low") * num <= F.col("n") * den) & (F.col("p.top") >= smallest) & within(F.col("p.low")))
+    told = told.select("cid", "n", "k", "pos", "s", F.least("k", "p.c").alias("k1"), F.greatest("k", "p.c").alias("k2"))
+    weight = comp.groupBy("comp").agg(F.count("*").alias("held"))
+    keys = ["s", "k1", "k2"]
+    met = Window.partitionBy(*keys)
+    told = told.join(comp.join(weight, "comp"), "cid").withColumns({"home": F.max(F.struct("held", "comp")).over(met)["comp"], "least": F.min("comp").over(met), "greatest": F.max("comp").over(met)})
+    told = stash(told.filter("least <> greatest").select(*keys, "cid", "n", "k", "pos", "comp", "home"))
+    mine = told.filter("comp <> home").select(*keys, F.col("cid").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+    theirs = told.select(*keys, F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    shared = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    fits = (F.col("ca") != F.col("cb")) & ((F.col("k1") == F.col("k2")) | (F.col("ka") != F.col("kb"))) & (shared * (num + den) >= (F.col("na") + F.col("nb")) * num)
+    pairs = stash(mine.join(theirs, keys).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    drop_stash(told)
+    return pairs
+
+
 def jaccard_components(
     docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, star_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -304,8 +357,7 @@ def jaccard_components(
         last = turn == star_rounds
         now = rows.withColumns({"comp": F.col("cid"), "degree": F.lit(0)}) if comp is None else rows.join(comp, "cid")
         first = F.struct(-F.col("degree"), F.xxhash64(F.lit(turn), "cid"), "cid", "comp")
-        told = [F.min("comp").alias("least"), F.max("comp").alias("greatest"), F.count("*").alias("m")]
-        told += [F.sum(F.shiftright(F.xxhash64(F.lit(i), "cid", "low"), 24)).alias(f"f{i}") for i in range(2)] if last else [F.min(F.when(F.col("low"), first)).alias("p")]
+        told = [F.min("comp").alias("least"), F.max("comp").alias("greatest"), F.count("*").alias("m"), F.min(F.when(F.col("low"), first)).alias("p")]
         # signatures whose members are all in one component are done
         groups = now.groupBy("sig").agg(*told).filter("least <> greatest")
         if not last:
@@ -316,13 +368,11 @@ def jaccard_components(
             rows._stash_path = mine._stash_path
             pairs = mine.filter("comp <> home").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
             pairs = _described(_described(pairs, described, "a", "a"), described, "b", "b").filter(close).select("a", "b")
-        else:  # of signatures with the same members one is enough
-            one = groups.groupBy("f0", "f1").agg(F.min("sig").alias("sig")).select("sig")
-            now = stash(now.join(one, "sig", "left_semi").select("sig", "cid", "low", "comp"))
-            own = _described(now.filter("low").select("sig", F.col("cid").alias("a"), F.col("comp").alias("ca")), described, "a", "a")
-            other = _described(now.select("sig", F.col("cid").alias("b"), F.col("comp").alias("cb"), "low"), described, "b", "b")
-            met = own.join(other, "sig").filter((F.col("ca") != F.col("cb")) & (~F.col("low") | (F.col("a") < F.col("b"))) & close)
-            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            apart = stash(now.join(groups.select("sig"), "sig", "left_semi").select("cid", "comp").distinct())
+            pairs = prefix_pairs(apart, docs.filter("doc_id is not null"), n, num, den, most)
+            drop_stash(apart)
+            pairs = _described(_described(pairs, described, "a", "a"), described, "b", "b").filter(close).select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs)
