@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalar as S
+from chronoweave.operators.intervals import numbered
 from chronoweave.plans.stash import stash
 
 
@@ -154,6 +155,27 @@ def templates(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("edges").agg(F.array_join(path, ">").alias("template"))
 
 
+def named_chains(edges: DataFrame, nodes: DataFrame, since: Column, low: int = 2, high: int = 6) -> DataFrame:
+    """(edges, template): ``chains`` with the path of their (event_id, node), which grows with the chain.
+
+    An event has one node at most; one without a node is left out of the path.
+    """
+    named = nodes.groupBy("event_id").agg(F.min("node").alias("node"))
+    e = edges.filter("expired_at is null").select("edge_id", "cause_event_id", "effect_event_id", "created_at")
+    e = e.join(named.toDF("effect_event_id", "_to"), "effect_event_id", "left")
+    first = e.filter(F.col("created_at") >= since).join(named.toDF("cause_event_id", "_from"), "cause_event_id", "left")
+    now = first.select(F.array("edge_id").alias("edges"), F.concat_ws(">", "_from", "_to").alias("template"), F.col("effect_event_id").alias("_end"))
+    step = e.select("edge_id", F.col("cause_event_id").alias("_end"), "effect_event_id", "_to")
+    found = []
+    for n in range(2, high + 1):
+        met = now.join(step, "_end").filter(~F.array_contains("edges", F.col("edge_id")))
+        path = F.when(F.col("template") == "", F.coalesce("_to", F.lit(""))).otherwise(F.concat_ws(">", "template", "_to"))
+        now = met.select(F.array_append("edges", F.col("edge_id")).alias("edges"), path.alias("template"), F.col("effect_event_id").alias("_end"))
+        if n >= low:
+            found.append(now.filter("template <> ''").select("edges", "template"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def patterns(named: DataFrame, least: int = 3) -> DataFrame:
     """(template, instances) of templates with at least ``least`` chains."""
     return named.groupBy("template").agg(F.count("*").alias("instances")).filter(F.col("instances") >= least)
@@ -170,8 +192,11 @@ def upsert_patterns(held: DataFrame, named: DataFrame, edges: DataFrame, least:
 
 def stamp_edges(named: DataFrame, kept: DataFrame) -> DataFrame:
     """(edge_id, template, position): the first pattern, by name, that an edge stands in and its first place there."""
-    rows = named.join(kept.select("template"), "template", "left_semi").select("template", F.posexplode("edges").alias("position", "edge_id"))
-    return rows.groupBy("edge_id").agg(F.min(F.struct("template", "position")).alias("m")).select("edge_id", "m.template", "m.position")
+    codes = stash(numbered(kept.select("template"), ["template"], {"code": F.lit(1)}).select("template", F.col("code").cast("long")))
+    rows = named.join(codes, "template").select("code", F.posexplode("edges").alias("position", "edge_id"))
+    # a number for name and place: places are fewer than 1024
+    first = rows.groupBy("edge_id").agg(F.min(F.col("code") * 1024 + F.col("position")).alias("m"))
+    return first.select("edge_id", F.expr("m div 1024").alias("code"), F.expr("cast(m % 1024 as int)").alias("position")).join(codes, "code").select("edge_id", "template", "position")
 
 
 def match_edges(edges: DataFrame, nodes: DataFrame, kept: DataFrame) -> DataFrame:

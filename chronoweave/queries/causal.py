@@ -113,7 +113,7 @@ def _nodes(t):
 
 
 def _named(t):
-    return stash(C.templates(C.chains(t.causal_edges, F.lit("2024-01-01").cast("timestamp")), _nodes(t)))
+    return stash(C.named_chains(t.causal_edges, _nodes(t), F.lit("2024-01-01").cast("timestamp")))
 
 
 @query(_CHAINS + "SELECT len(edges) AS size, count(*) AS n, min(edges[1]) AS lo FROM k GROUP BY 1")
@@ -294,7 +294,7 @@ def im1_im2_direct_dependents(t):
 SELECT root, template, touching, n - touching AS outside, len(string_split(template, '>')) - 1 AS need FROM to_ JOIN al USING (template)""")
 def im5_pattern_impact(t):
     named = _named(t)
-    kept = C.patterns(named)
+    kept = stash(C.patterns(named))
     return C.pattern_impact(C.stamp_edges(named, kept), t.causal_edges, _roots(t), kept)
 
 
