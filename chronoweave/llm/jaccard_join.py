@@ -352,22 +352,25 @@ def jaccard_components(
         drop_stash(held)
 
     close = _few_differences(num, den)
-    links, tried, comp = [], None, None
+    links, tried = [], None
+    comp = described.withColumns({"comp": F.col("cid"), "degree": F.lit(0)})
     for turn in range(star_rounds + 1):
         last = turn == star_rounds
-        now = rows.withColumns({"comp": F.col("cid"), "degree": F.lit(0)}) if comp is None else rows.join(comp, "cid")
-        first = F.struct(-F.col("degree"), F.xxhash64(F.lit(turn), "cid"), "cid", "comp")
+        now = rows.join(comp, "cid")
+        first = F.struct(-F.col("degree"), F.xxhash64(F.lit(turn), "cid"), "cid", "comp", "n", *words_of)
         told = [F.min("comp").alias("least"), F.max("comp").alias("greatest"), F.count("*").alias("m"), F.min(F.when(F.col("low"), first)).alias("p")]
         # signatures whose members are all in one component are done
         groups = now.groupBy("sig").agg(*told).filter("least <> greatest")
         if not last:
-            groups = groups.filter("p is not null").select("sig", "m", F.col("p.cid").alias("pivot"), F.col("p.comp").alias("home"))
-            mine = stash(now.select("sig", "cid", "low", "comp").join(groups, "sig"))
+            # most that share a signature by chance differ too much from its pivot: told here, before they make pairs
+            facts = [F.col(f"p.{p}").alias(f"a{p}") for p in words_of]
+            groups = groups.filter("p is not null").select("sig", "m", F.col("p.cid").alias("pivot"), F.col("p.comp").alias("home"), F.col("p.n").alias("na"), *facts)
+            mine = now.select("sig", "cid", "low", "comp", F.col("n").alias("nb"), *[F.col(p).alias(f"b{p}") for p in words_of]).join(groups, "sig")
+            mine = stash(mine.select("sig", "cid", "low", "m", "pivot", ((F.col("comp") != F.col("home")) & close).alias("near")))
             drop_stash(rows)
             rows = mine.filter("m > 2").select("sig", "cid", "low")  # a pair alone is done with its pivot
             rows._stash_path = mine._stash_path
-            pairs = mine.filter("comp <> home").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
-            pairs = _described(_described(pairs, described, "a", "a"), described, "b", "b").filter(close).select("a", "b")
+            pairs = mine.filter("near").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
         else:
             apart = stash(now.join(groups.select("sig"), "sig", "left_semi").select("cid", "comp").distinct())
             pairs = prefix_pairs(apart, docs.filter("doc_id is not null"), n, num, den, most)
@@ -387,10 +390,8 @@ def jaccard_components(
             linked = linked.union(more)
         found = connected_components(linked, "a", "b")
         ends = linked.select(F.col("a").alias("cid")).union(linked.select("b")).groupBy("cid").agg(F.count("*").cast("int").alias("degree"))
-        told = described.select("cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").join(ends, "cid", "left")
-        comp = stash(told.select("cid", F.coalesce("component", "cid").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree")))
-    if comp is None:
-        comp = described.select("cid", F.col("cid").alias("comp"))
+        told = described.join(found.withColumnRenamed("node", "cid"), "cid", "left").join(ends, "cid", "left")
+        comp = stash(told.select("cid", F.coalesce("component", "cid").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"), "n", *words_of))
     out = stash(members.join(comp.select("cid", "comp"), "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cid").alias("component_id")))
     for held in (rows, described, members, *links):
         drop_stash(held)
