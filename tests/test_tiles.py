@@ -1,5 +1,6 @@
-"""Core numbers in rounds over tiles of the graph."""
+"""Core numbers and communities in rounds over tiles of the graph."""
 
+import itertools
 import random
 
 from chronoweave.operators import graph
@@ -47,3 +48,14 @@ def test_core_numbers_in_tiles_take_few_rounds(spark, monkeypatch):
 def test_core_numbers_without_edges(spark):
     assert graph.core_numbers(spark.createDataFrame([("a", "a")], "src string, dst string")).collect() == []
     assert graph.communities(spark.createDataFrame([("a", "a")], "src string, dst string")).collect() == []
+
+
+def test_communities_do_not_depend_on_the_tiles(spark, monkeypatch):
+    rng = random.Random(2)
+    pairs = [(f"v{g}{rng.randrange(9)}", f"v{g}{rng.randrange(9)}") for g in range(5) for _ in range(45)] + [(f"v{a}0", f"v{b}1") for a, b in itertools.combinations(range(5), 2)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    want = {r.v: r.community for r in graph.communities(edges, rounds=4, levels=2).collect()}
+    assert 1 < len(set(want.values())) < len(want) and all(want[c] == c <= v for v, c in want.items())
+    seen, _ = few_arcs(monkeypatch, 40)
+    got = graph.communities(edges, rounds=4, levels=2)
+    assert {r.v: r.community for r in got.collect()} == want and seen[0] > 2
