@@ -205,9 +205,8 @@ def ev3_unit_sweep(t):
     u = cut[0].unionByName(cut[1])
     n = d.filter("doc_id % 20 = 0 and length(text) >= 200").select(F.col("doc_id").alias("needle"), "doc_id", F.lit(40).alias("first"), F.lit(90).alias("last"), F.substring("text", 41, 50).alias("q"))
     gold = X.needle_units(n.drop("q"), u.drop("content"), "doc_id")
-    s = X.contending_units(n.select("needle", F.array_distinct(F.split("q", " ")).alias("asked")), u.select("config", "doc_id", "unit", F.array_distinct(F.split("content", " ")).alias("held")), gold)
-    r = F.row_number().over(Window.partitionBy("config", "needle").orderBy(F.desc("score"), "doc_id", "unit"))
-    return X.sweep_scores(s.withColumn("rank", r).filter("rank <= 50"), gold, ["doc_id", "unit"])
+    ranked = X.gold_ranks(n.select("needle", F.array_distinct(F.split("q", " ")).alias("asked")), u.select("config", "doc_id", "unit", F.array_distinct(F.split("content", " ")).alias("held")), gold)
+    return X.sweep_scores(ranked.filter("rank <= 50"), gold, ["doc_id", "unit"])
 
 
 @query("""WITH p AS (SELECT doc_id, quality = 1 AS truth, length(text) > 300 AS guess FROM labels JOIN documents USING (doc_id))
