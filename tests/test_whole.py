@@ -5,6 +5,7 @@ import random
 import pytest
 
 from chronoweave.operators import graph
+from chronoweave.operators.blocks import bridges, cut_vertices
 from chronoweave.operators.components import connected_components
 from chronoweave.operators.graph_cuts import betweenness
 
@@ -60,3 +61,10 @@ def test_components_of_tasks_that_hold_few_edges(spark, most):
     df = spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in some_pairs(6, 300, 230) + [(None, 1), (7, None)]], "src string, dst string")
     want = {tuple(r) for r in connected_components(df).collect()}
     assert {tuple(r) for r in connected_components(df, task_edges=most).collect()} == want and len(want) > 200
+
+
+def test_cuts_and_bridges_do_not_depend_on_the_way(spark):
+    pairs = some_pairs(8, 50, 55)
+    df = spark.createDataFrame([(f"v{a}", f"v{b}", i) for i, (a, b) in enumerate([*pairs, *pairs[:9]])], "src string, dst string, edge_id long")
+    whole, by_blocks = (({r.v for r in cut_vertices(df, most).collect()}, {r.edge_id for r in bridges(df, most).collect()}) for most in (1 << 20, 0))
+    assert whole == by_blocks and len(whole[0]) > 5 and len(whole[1]) > 5
